@@ -11,7 +11,6 @@ one pair at a time, may have gone another way: such a unit is encoded again with
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ragged, slices
+from .unitcache import UnitCache
 
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
-#: Units that a worker keeps the ids of.
-CACHE_UNITS = 400_000
 _SLOT_BITS = 22
 
 
@@ -78,13 +76,7 @@ class PieceModel:
         self.surface_at = np.cumsum(self.surface_len) - self.surface_len
         self.leads_space = np.array([p.startswith(SPACE) and k == 1 for p, k in zip(self.pieces, kinds, strict=True)])
         self.is_byte = np.array([k == 6 for k in kinds])
-        self._forget()
-
-    def _forget(self) -> None:
-        """Empty the cache of units: place by unit, and for each place its ids in ``flat``."""
-        self.cache: dict[str, int] = {}
-        self.flat, self.n_flat = np.zeros(1 << 20, np.int32), 0
-        self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.cache = UnitCache(lambda units: self.unit_ids([u.replace(" ", SPACE) for u in units]))
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
@@ -98,20 +90,6 @@ class PieceModel:
         at[self.pair_key[at] != key] = -1
         return at
 
-    def _keep(self, units: list[str]) -> None:
-        """Encode units and put them into the cache."""
-        ids, sizes = self.unit_ids([u.replace(" ", SPACE) for u in units])
-        base, more = len(self.cache), len(units)
-        while base + more > len(self.begin):
-            self.begin, self.size = np.concatenate([self.begin, self.begin]), np.concatenate([self.size, self.size])
-        while self.n_flat + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, self.flat])
-        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.size[base : base + more] = sizes
-        self.begin[base : base + more] = self.n_flat + np.cumsum(sizes) - sizes
-        self.n_flat += len(ids)
-        self.cache.update(zip(units, range(base, base + more), strict=True))
-
     def _symbol(self, char: str) -> int:
         """The symbol of a character: its piece, or a number behind all pieces."""
         return self.id.get(char, len(self.pieces) + ord(char))
@@ -186,8 +164,6 @@ class PieceModel:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and where each text begins (with the total at the end)."""
         n_units, keys = [], []
-        if len(self.cache) > CACHE_UNITS:
-            self._forget()
         for t in texts:
             t = t.replace(SPACE, " ")
             if not t:
@@ -213,14 +189,8 @@ class PieceModel:
                     parts = [" " + p for p in parts[1:]]
             n_units.append(len(parts))
             keys += parts
-        which = np.fromiter(map(self.cache.get, keys, repeat(-1)), np.int64, len(keys))
-        if (missing := np.flatnonzero(which < 0)).size:
-            absent = [keys[i] for i in missing]
-            self._keep(list(dict.fromkeys(absent)))
-            which[missing] = np.fromiter(map(self.cache.__getitem__, absent), np.int64, len(absent))
-        sizes = self.size[which]
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[ragged(self.begin[which], sizes)], at[np.concatenate([[0], np.cumsum(n_units)]).astype(np.int64)]
+        ids, at = self.cache.ids(keys)
+        return ids, at[np.concatenate([[0], np.cumsum(n_units)]).astype(np.int64)]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """Texts of flat ids: surfaces joined, one leading space of the dummy prefix dropped, bad UTF-8 replaced byte by byte."""
