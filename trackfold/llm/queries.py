@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, pieces, tokenfiles
+from . import contamination, langid, pieces, tokenfiles
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,15 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it was held out, its predicted language, and the score."""
+    return langid.language_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: where its ids start, how many there are, and their checksum, read back from the token files."""
     return tokenfiles.token_report(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op6_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op6_pieces)}
 ORACLES: dict[str, str] = {}
