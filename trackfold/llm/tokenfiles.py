@@ -17,6 +17,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ END_ID = 2
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4_000_000, 64 << 10
 LEVEL = 3
 _NULL_ID = -(1 << 63)
+_EXACT = "\ue000"
+_JOINED = 2000
+#: White space in front of a space, and white space beyond ASCII.
+_SPACED = [w + " " for w in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+_WIDE = list("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 class TextTokenizer:
@@ -51,38 +57,63 @@ class TextTokenizer:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.token_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.token_bytes[i] = len(token)  # a byte-level vocabulary writes each byte as one character
         self.cache = UnitCache(self._encode)
         if "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer) or self.library.normalizer is not None:
             raise ValueError("only byte-level tokenizers without normaliser and prefix space are supported")
 
-    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
-        sizes = np.array([len(i) for i in ids], np.int64)
-        return np.array([i for one in ids for i in one], np.int32), sizes
+    def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units: those with a space in front are joined and encoded in stretches, as their borders are token borders."""
+        exact = [i for i, k in enumerate(keys) if k[0:1] == _EXACT]
+        spaced = [" " + k for k in keys if k[0:1] != _EXACT]
+        stretches = ["".join(spaced[a : a + _JOINED]) for a in range(0, len(spaced), _JOINED)]
+        encoded = self.library.encode_batch_fast([*stretches, *(keys[i][1:] for i in exact)], add_special_tokens=False)
+        joined = np.fromiter(chain.from_iterable(e.ids for e in encoded[: len(stretches)]), np.int32)
+        ends = np.searchsorted(np.cumsum(self.token_bytes[joined]), np.cumsum([len(u.encode()) for u in spaced]), side="left") + 1 if spaced else np.zeros(0, np.int64)
+        if not exact:
+            return joined, np.diff(ends, prepend=0)
+        alone = [e.ids for e in encoded[len(stretches) :]]
+        sizes = np.zeros(len(keys), np.int64)
+        other = np.ones(len(keys), bool)
+        other[exact] = False
+        sizes[other], sizes[exact] = np.diff(ends, prepend=0), [len(i) for i in alone]
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        from_joined = np.repeat(other, sizes)
+        flat[from_joined], flat[~from_joined] = joined, np.fromiter(chain.from_iterable(alone), np.int32)
+        return flat, sizes
+
+    def keys(self, t: str) -> list[str]:
+        """The units of a text: a key stands for itself with a space in front, or begins with _EXACT and stands for the rest."""
+        if any(s in t for s in self.special):
+            return [_EXACT + t]
+        parts = t.split(" ")
+        if _EXACT not in t and not any(s in t for s in _SPACED) and (t.isascii() or not any(s in t for s in _WIDE)):
+            if parts[0]:
+                parts[0] = _EXACT + parts[0]
+            elif len(parts) > 1:
+                del parts[0]  # the text begins with a space
+            return parts
+        units, open_ = [parts[0]], not parts[0] or parts[0][-1].isspace()
+        for p in parts[1:]:
+            if open_:
+                units[-1] += " " + p
+            else:
+                units.append(" " + p)
+            open_ = not p or p[-1].isspace()
+        return [_EXACT + u for u in units]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and where each begins (with the total at the end)."""
-        units: list[str] = []
-        n_units = []
+        keys: list[str] = []
+        ends = [0]
         for t in texts:
-            if not t:
-                n_units.append(0)
-                continue
-            if any(s in t for s in self.special):
-                parts = [t]
-            else:
-                raw = t.split(" ")
-                parts, open_ = [raw[0]], not raw[0] or raw[0][-1].isspace()
-                for p in raw[1:]:
-                    if open_:
-                        parts[-1] += " " + p
-                    else:
-                        parts.append(" " + p)
-                    open_ = not p or p[-1].isspace()
-            n_units.append(len(parts))
-            units += parts
-        ids, at = self.cache.ids(units)
-        return ids, at[np.concatenate([[0], np.cumsum(n_units)]).astype(np.int64)]
+            if t:
+                keys += self.keys(t)
+            ends.append(len(keys))
+        ids, at = self.cache.ids(keys)
+        return ids, at[np.array(ends)]
 
 
 _tokenizers: dict[str, TextTokenizer] = {}
@@ -126,7 +157,13 @@ def train_dictionary(docs: DataFrame, path: str, key: str, text: str) -> bytes:
     """A dictionary from the id arrays of at most SAMPLE_ROWS documents, chosen by a hash of the key; empty if too few."""
     import zstandard
 
-    rows = docs.where(F.length(text).between(1, SAMPLE_CHARS // 100)).select(text, F.xxhash64(key).alias("__h")).orderBy("__h", text).limit(SAMPLE_ROWS).collect()
+    hashed = docs.where(F.length(text).between(1, SAMPLE_CHARS // SAMPLE_ROWS)).select(F.col(text).alias("__t"), F.xxhash64(key).alias("__h"))
+    least = hashed.select("__h").orderBy("__h").limit(SAMPLE_ROWS).agg(F.max("__h")).first()[0]
+    if least is None:
+        return b""
+    rows = hashed.where(F.col("__h") <= least).limit(2 * SAMPLE_ROWS).collect()
+    rows.sort(key=lambda r: (r[1], r[0]))
+    rows = rows[:SAMPLE_ROWS]
     ids, at = tokenizer(path).encode([r[0] for r in rows])
     data = ids.astype(f"<u{tokenizer(path).id_bytes}")
     try:
