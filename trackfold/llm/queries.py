@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, pieces, tokenfiles
+from . import contamination, langid, nearcopies, pieces, tokenfiles
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its class of near copies (the smallest doc_id in it), exact copies, links and size of the class."""
+    return nearcopies.near_copies(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "n_class")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and digest of its piece ids, digest of the text decoded from them."""
     return pieces.piece_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -39,5 +44,5 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_report(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op6_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op6_pieces)}
 ORACLES: dict[str, str] = {}
