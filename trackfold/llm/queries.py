@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, nearcopies, pieces, tokenfiles
+from . import additive, contamination, langid, nearcopies, pieces, tokenfiles, urlrules
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "n_class")
 
 
+def op5_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for each row whose vec_id is divisible by 100."""
+    return additive.neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and digest of its piece ids, digest of the text decoded from them."""
     return pieces.piece_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -44,5 +49,33 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_report(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op6_pieces)}
-ORACLES: dict[str, str] = {}
+#: The rules of op7 as (host, path, verdict).
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: host, path, the rule that fits best, and the verdict."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlrules.with_verdict(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules)}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op7_url_rules": """
+        WITH p AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), r(h, p, v) AS (
+            VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+        ), m AS (
+            SELECT page_id, host, path, r.h || r.p AS rule, r.v AS verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC NULLS LAST) AS n
+            FROM p LEFT JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+    """,
+}
