@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, chat, contamination, langid, nearcopies, pieces, tokenfiles, urlrules
+from . import additive, chat, contamination, langid, nearcopies, pieces, surrogates, tokenfiles, urlrules
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +59,22 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.with_verdict(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The surrogates' key: the session's ``trackfold.pii.key``, or one for trials."""
+    return spark.conf.get("trackfold.pii.key", "key for trials").encode()
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its text with surrogates, the kinds of entities found, and their number."""
+    return surrogates.pseudonymised(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: its turns and the text under the loss mask as read back from the formatted output."""
     return chat.chat_report(read_table(spark, sf_dir, "conversations"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op8_surrogates, op10_chat)}
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
