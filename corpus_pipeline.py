@@ -1,13 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of ``documents``.  SQL cannot express the field, the signatures, the
+ciphers and the merges of the stages, so ORACLE_SQL is None; ``tests/llm/test_pipeline.py`` holds the result against a
+plain restatement.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackfold.llm import contamination, langid, nearcopies, pieces, surrogates
+from trackfold.llm.common import read_table, saved
+from trackfold.llm.queries import pii_key, tokenizer_file
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without a language (null texts and texts without a letter); a null lang becomes the predicted one."""
+    found = langid.with_language(docs, langid.fit(docs), label="__lang", score="__score")
+    kept = found.where(F.col("__lang") != langid.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return nearcopies.without_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove documents that hold benchmark passages."""
+    return contamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by surrogates; n_chars follows the text."""
+    changed = surrogates.pseudonymised(docs, pii_key(spark), kinds="__kinds", count="__count")
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, their digest, and the digest of the text that they decode to."""
+    return pieces.piece_digests(docs, tokenizer_file("piece_bpe_32k.model"), ids=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("SentencePiece encoding and decoding", encoding),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), "documents")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -267,11 +267,14 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "pi
     return docs.mapInArrow(run, schema)
 
 
-def piece_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: n_tokens, ids_sha256 and decoded_sha256, in one pass that keeps ids within the worker."""
+def piece_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """Per document: n_tokens, ids_sha256 and decoded_sha256 (and piece_ids, if asked for), in one pass."""
     import hashlib
 
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if ids:
+        fields.append(T.StructField("piece_ids", T.ArrayType(T.IntegerType())))
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -282,6 +285,9 @@ def piece_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
             spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
             sha = [hashlib.sha256(",".join(words[a:b]).encode()).hexdigest() for a, b in spans]
             back = [hashlib.sha256(t.encode()).hexdigest() for t in m.decode(flat, at)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at), pa.int64()), pa.array(sha), pa.array(back)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(key), pa.array(np.diff(at), pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+            if ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return docs.select(key, text).mapInArrow(run, schema)

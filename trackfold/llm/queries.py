@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, chat, contamination, langid, nearcopies, pieces, surrogates, tokenfiles, urlrules
+from . import additive, chat, contamination, langid, licences, nearcopies, pieces, surrogates, tokenfiles, urlrules
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,12 +69,17 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymised(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the licence families that its lines state, how many do, and how many only speak of licences."""
+    return licences.licence_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: its turns and the text under the loss mask as read back from the formatted output."""
     return chat.chat_report(read_table(spark, sf_dir, "conversations"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op8_surrogates, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op8_surrogates, op9_licences, op10_chat)}
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
