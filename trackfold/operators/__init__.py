@@ -1,0 +1 @@
+"""Relational operators on tracking tables: DataFrame in, DataFrame out."""
