@@ -1,0 +1 @@
+"""Reading and writing: JSON lines, artifacts, motion capture, and intermediate tables."""
