@@ -38,6 +38,7 @@ LEVEL = 3
 _NULL_ID = -(1 << 63)
 _EXACT = "\ue000"
 _JOINED = 2000
+_TRAILING = ".,;:!?"
 #: White space in front of a space, and white space beyond ASCII.
 _SPACED = [w + " " for w in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
 _WIDE = list("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -60,11 +61,24 @@ class TextTokenizer:
         self.token_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.token_bytes[i] = len(token)  # a byte-level vocabulary writes each byte as one character
-        self.cache = UnitCache(self._encode)
+        self.cache, self.words = UnitCache(self._encode, 600_000), UnitCache(self._encode_words, 600_000)
         if "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer) or self.library.normalizer is not None:
             raise ValueError("only byte-level tokenizers without normaliser and prefix space are supported")
 
     def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, put together from a word and the punctuation behind it where a letter or digit meets it (a token border)."""
+        parts, ends = [], []
+        for k in keys:
+            word = k.rstrip(_TRAILING) if k[-1:] in _TRAILING and k[0:1] != _EXACT else k
+            if word is not k and word and word[-1].isalnum():
+                parts += (word, _EXACT + k[len(word) :])
+            else:
+                parts.append(k)
+            ends.append(len(parts))
+        ids, at = self.words.ids(parts)
+        return ids, np.diff(at[np.array(ends)], prepend=0)
+
+    def _encode_words(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units: those with a space in front are joined and encoded in stretches, as their borders are token borders."""
         exact = [i for i, k in enumerate(keys) if k[0:1] == _EXACT]
         spaced = [" " + k for k in keys if k[0:1] != _EXACT]
@@ -157,11 +171,11 @@ def train_dictionary(docs: DataFrame, path: str, key: str, text: str) -> bytes:
     """A dictionary from the id arrays of at most SAMPLE_ROWS documents, chosen by a hash of the key; empty if too few."""
     import zstandard
 
-    hashed = docs.where(F.length(text).between(1, SAMPLE_CHARS // SAMPLE_ROWS)).select(F.col(text).alias("__t"), F.xxhash64(key).alias("__h"))
+    hashed = docs.select(F.col(text).alias("__t"), F.xxhash64(key).alias("__h"))
     least = hashed.select("__h").orderBy("__h").limit(SAMPLE_ROWS).agg(F.max("__h")).first()[0]
     if least is None:
         return b""
-    rows = hashed.where(F.col("__h") <= least).limit(2 * SAMPLE_ROWS).collect()
+    rows = hashed.where((F.col("__h") <= least) & F.length("__t").between(1, SAMPLE_CHARS // SAMPLE_ROWS)).limit(2 * SAMPLE_ROWS).collect()
     rows.sort(key=lambda r: (r[1], r[0]))
     rows = rows[:SAMPLE_ROWS]
     ids, at = tokenizer(path).encode([r[0] for r in rows])
