@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfold.llm import contamination, langid, nearcopies, pieces, surrogates
-from trackfold.llm.common import read_table, saved
+from trackfold.llm.common import bounded_batches, read_table, saved
 from trackfold.llm.queries import pii_key, tokenizer_file
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a language (null texts and texts without a letter); a null lang becomes the predicted one."""
+    bounded_batches(spark)
     found = langid.with_language(docs, langid.fit(docs), label="__lang", score="__score")
     kept = found.where(F.col("__lang") != langid.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
@@ -24,22 +25,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
+    bounded_batches(spark)
     return nearcopies.without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove documents that hold benchmark passages."""
+    bounded_batches(spark)
     return contamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates; n_chars follows the text."""
+    bounded_batches(spark)
     changed = surrogates.pseudonymised(docs, pii_key(spark), kinds="__kinds", count="__count")
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, their digest, and the digest of the text that they decode to."""
+    bounded_batches(spark)
     return pieces.piece_digests(docs, tokenizer_file("piece_bpe_32k.model"), ids=True)
 
 

@@ -12,11 +12,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 19
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most some megabytes, so that texts of any length need little memory on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, so that any store Spark knows will do."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

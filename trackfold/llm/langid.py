@@ -192,10 +192,15 @@ def train(rows: list[tuple[str, str]], seed: int = 11, steps: int = 260, batch:
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    data, at = text_bytes(pa.array([t for _, t in rows], pa.string()))
-    data = _lowered(data)
-    hashes, starts, ends, first = word_table(data, at)
-    label = np.repeat([languages.index(lang) for lang, _ in rows], np.diff(first))
+    parts, offset = [], 0
+    for part in slices([pa.RecordBatch.from_arrays([pa.array([t for _, t in rows], pa.string())], names=["text"])], "text"):
+        own, at = text_bytes(part.column("text"))
+        own = _lowered(own)
+        h, a, e, f = word_table(own, at)
+        parts.append((own, h, a + offset, e + offset, np.diff(f)))
+        offset += len(own)
+    data, hashes, starts, ends, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
+    label = np.repeat([languages.index(lang) for lang, _ in rows], counts)
     keep = np.zeros(len(hashes), bool)
     for k in range(len(languages)):  # whole rows until the bound; the row that crosses it is cut
         keep[np.flatnonzero(label == k)[:WORDS_PER_LANGUAGE]] = True

@@ -21,7 +21,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i below n; grown by doubling and kept by the worker."""
     if len(_powers[0]) < n:
-        size = 1 << max(22, (n - 1).bit_length())
+        size = 1 << max(21, (n - 1).bit_length())
         inverse = np.uint64(pow(int(_P), -1, 2**64))
         for k, base in ((0, _P), (1, inverse)):
             table = np.full(size, base, np.uint64)
