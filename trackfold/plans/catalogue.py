@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import game, geometry, layer1, people  # noqa: F401
+from . import game, geometry, layer1, people, reviews  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
