@@ -21,7 +21,8 @@ def tokenizer_file(name: str) -> str:
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words, words hit by 13-word benchmark windows, items found, and whether it is contaminated."""
-    return contamination.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    report = contamination.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +77,40 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: its turns and the text under the loss mask as read back from the formatted output."""
-    return chat.chat_report(read_table(spark, sf_dir, "conversations"), tokenizer_file("byte_bpe_50k.json"))
+    report = chat.chat_report(read_table(spark, sf_dir, "conversations"), tokenizer_file("byte_bpe_50k.json"))
+    return report.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op8_surrogates, op9_licences, op10_chat)}
-_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+_CONTROL = r"([<\[])(\\*)(/TURN\]|/INST\]|/ROLE\]|/SYS\]|INST\]|ROLE\]|SYS\]|/s>|s>)"
 
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item, array_to_string(w[p + 1 : p + 13], ' ') AS g, least(13, len(w)) AS n FROM (SELECT *, unnest(range(greatest(1, len(w) - 12))) AS p FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM win),
+        dw AS (SELECT doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS p FROM d CROSS JOIN sizes WHERE len(w) >= n)),
+        hit AS (SELECT doc_id, item, p, dw.n FROM dw JOIN win ON dw.g = win.g AND dw.n = win.n),
+        words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op10_chat": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        ), e AS (
+            SELECT *, regexp_replace(text, '{_CONTROL}', '\\1\\\\\\2\\3', 'g') AS t, regexp_replace(role, '{_CONTROL}', '\\1\\\\\\2\\3', 'g') AS r FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               3 + sum(length(t) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 4 ELSE 20 + length(r) END) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op7_url_rules": """
         WITH p AS (
             SELECT page_id,
