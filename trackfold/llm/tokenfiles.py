@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,8 @@ LEVEL = 3
 _NULL_ID = -(1 << 63)
 _EXACT = "\ue000"
 _JOINED = 2000
-_TRAILING = ".,;:!?"
+#: Between a letter or digit and ASCII punctuation, and on both sides of a single newline, a token ends.
+_CUT = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: White space in front of a space, and white space beyond ASCII.
 _SPACED = [w + " " for w in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
 _WIDE = list("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -61,19 +63,20 @@ class TextTokenizer:
         self.token_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.token_bytes[i] = len(token)  # a byte-level vocabulary writes each byte as one character
-        self.cache, self.words = UnitCache(self._encode, 600_000), UnitCache(self._encode_words, 600_000)
+        self.cache, self.words = UnitCache(self._encode, 700_000), UnitCache(self._encode_words, 500_000)
         if "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer) or self.library.normalizer is not None:
             raise ValueError("only byte-level tokenizers without normaliser and prefix space are supported")
 
     def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units, put together from a word and the punctuation behind it where a letter or digit meets it (a token border)."""
+        """Ids of units, put together from parts that are cut at certain token borders: before punctuation, and around a newline."""
         parts, ends = [], []
         for k in keys:
-            word = k.rstrip(_TRAILING) if k[-1:] in _TRAILING and k[0:1] != _EXACT else k
-            if word is not k and word and word[-1].isalnum():
-                parts += (word, _EXACT + k[len(word) :])
-            else:
+            if k.isalpha() or k[0:1] == _EXACT:
                 parts.append(k)
+            else:
+                first, *more = _CUT.split(k)
+                parts.append(first)
+                parts += [_EXACT + p for p in more]
             ends.append(len(parts))
         ids, at = self.words.ids(parts)
         return ids, np.diff(at[np.array(ends)], prepend=0)
