@@ -214,3 +214,37 @@ def extrinsics(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if np.linalg.det(r) < 0:
         r = u @ np.diag([1, 1, -1]) @ vt
     return r, t
+
+
+def look_at(camera: list[float], target: list[float]) -> np.ndarray:
+    """Rotation whose rows are right, up and forward of a camera that looks at a target (z is up)."""
+    forward = np.subtract(target, camera).astype(float)
+    forward /= np.linalg.norm(forward) + EPSILON
+    right = np.cross([0.0, 0.0, 1.0], forward)
+    if np.linalg.norm(right) < EPSILON:
+        right = np.array([1.0, 0.0, 0.0])
+    right /= np.linalg.norm(right) + EPSILON
+    return np.stack([right, np.cross(forward, right), forward])
+
+
+def pinhole(x: Column, y: Column, z: Column, k: np.ndarray, r: np.ndarray, t: np.ndarray, noise: float = 0.0, seed: int = 0) -> Column:
+    """Struct u, v of a world point in a camera; the divisor gets EPSILON added; ``noise`` adds seeded normal errors."""
+    p = k @ np.concatenate([r, np.reshape(t, (3, 1))], 1)
+    dot = lambda row: x * float(row[0]) + y * float(row[1]) + z * float(row[2]) + float(row[3])
+    w = dot(p[2]) + EPSILON
+    error = (lambda s: F.randn(seed + s) * noise) if noise > 0 else (lambda s: F.lit(0.0))
+    return F.struct((dot(p[0]) / w + error(0)).alias("u"), (dot(p[1]) / w + error(1)).alias("v"))
+
+
+def motion_states(deltas, clip: str = "clip_id", frame: str = "frame_idx"):
+    """The camera state of each clip after all its motions (column ``delta``) in frame order: h, confidence, panning frames.
+
+    The product of matrices is ordered, so it is a fold over the clip's sorted motions; a clip bounds their number.
+    """
+    ordered = deltas.groupBy(clip).agg(F.array_sort(F.collect_list(F.struct(F.col(frame), "delta"))).alias("d"))
+    start = F.struct(F.array(*map(F.lit, IDENTITY)).alias("h"), F.lit(1.0).alias("confidence"), F.lit(0).alias("panning"))
+
+    def step(s: Column, d: Column) -> Column:
+        return let(motion_update(s, d["delta"]), lambda n: F.struct(n["h"].alias("h"), n["confidence"].alias("confidence"), (s["panning"] + n["panning"].cast("int")).alias("panning")))
+
+    return ordered.select(clip, F.aggregate("d", start, step).alias("s")).select(clip, "s.*")

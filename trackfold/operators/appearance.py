@@ -116,3 +116,8 @@ def jersey_consensus(evidence: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def displayed(consensus: DataFrame) -> DataFrame:
     """Numbers that are sure enough to show: a share of 0.9 and three pieces of evidence."""
     return consensus.where((F.col("share") >= 0.9) & (F.col("evidence") >= 3))
+
+
+def with_identity_fields(detections: DataFrame) -> DataFrame:
+    """Detections with the identity columns before any repair: the tracker's own id, not synthesized."""
+    return detections.withColumns({"identity_track_id": F.col("track_id"), "identity_track_source": F.lit("tracker"), "identity_repair": F.lit(None).cast("string"), "synthesized": F.lit(False)})
