@@ -76,7 +76,7 @@ class PieceModel:
         self.surface_at = np.cumsum(self.surface_len) - self.surface_len
         self.leads_space = np.array([p.startswith(SPACE) and k == 1 for p, k in zip(self.pieces, kinds, strict=True)])
         self.is_byte = np.array([k == 6 for k in kinds])
-        self.cache = UnitCache(lambda units: self.unit_ids([u.replace(" ", SPACE) for u in units]), 300_000)
+        self.cache = UnitCache(lambda units: (units, *self.unit_ids([u.replace(" ", SPACE) for u in units])), 300_000)
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:

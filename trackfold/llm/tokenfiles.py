@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, slices
-from .unitcache import UnitCache
+from .common import ragged, shared_folder, slices
+from .unitcache import CACHE_UNITS, UnitCache
 
 MAGIC = b"TFTOKEN1"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("before", "<u8")])
@@ -39,6 +40,7 @@ LEVEL = 3
 _NULL_ID = -(1 << 63)
 _EXACT = "\ue000"
 _JOINED = 2000
+_PUNCTUATION = frozenset(string.punctuation)
 #: Between a letter or digit and ASCII punctuation, and on both sides of a single newline, a token ends.
 _CUT = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: White space in front of a space, and white space beyond ASCII.
@@ -63,23 +65,41 @@ class TextTokenizer:
         self.token_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.token_bytes[i] = len(token)  # a byte-level vocabulary writes each byte as one character
-        self.cache, self.words = UnitCache(self._encode, 700_000), UnitCache(self._encode_words, 500_000)
+        self.cache = UnitCache(self._encode, CACHE_UNITS)
         if "ByteLevel(add_prefix_space=False" not in str(self.library.pre_tokenizer) or self.library.normalizer is not None:
             raise ValueError("only byte-level tokenizers without normaliser and prefix space are supported")
 
-    def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units, put together from parts that are cut at certain token borders: before punctuation, and around a newline."""
-        parts, ends = [], []
+    def _encode(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Ids of units and of their parts: a unit is cut at certain token borders, before punctuation and around a newline."""
+        known, cut, need = self.cache.place, {}, {}
         for k in keys:
             if k.isalpha() or k[0:1] == _EXACT:
-                parts.append(k)
+                need[k] = None
+                continue
+            if k[-1:] in _PUNCTUATION and k[:-1].isalpha():  # the commonest cut
+                cut[k] = parts = [k[:-1], _EXACT + k[-1]]
             else:
                 first, *more = _CUT.split(k)
-                parts.append(first)
-                parts += [_EXACT + p for p in more]
-            ends.append(len(parts))
-        ids, at = self.words.ids(parts)
-        return ids, np.diff(at[np.array(ends)], prepend=0)
+                if not more:
+                    need[k] = None
+                    continue
+                cut[k] = parts = [first, *[_EXACT + p for p in more]]
+            for p in parts:
+                if p not in known:
+                    need[p] = None
+        new = list(need)
+        flat, sizes = self._encode_words(new) if new else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if not cut:
+            return new, flat, sizes
+        # parts lie in the cache, or behind it among the new ones
+        n, offset = len(known), self.cache.n_flat
+        place = {k: n + i for i, k in enumerate(new)}
+        begin = np.concatenate([self.cache.begin[:n], offset + np.cumsum(sizes) - sizes])
+        size = np.concatenate([self.cache.size[:n], sizes])
+        at = np.fromiter((place[p] if p in place else known[p] for parts in cut.values() for p in parts), np.int64)
+        joined = np.concatenate([self.cache.flat[:offset], flat])[ragged(begin[at], size[at])]
+        heads = np.cumsum([0, *map(len, cut.values())])[:-1]
+        return [*new, *cut], np.concatenate([flat, joined]), np.concatenate([sizes, np.add.reduceat(size[at], heads)])
 
     def _encode_words(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units: those with a space in front are joined and encoded in stretches, as their borders are token borders."""

@@ -14,9 +14,9 @@ CACHE_UNITS = 1_000_000
 
 
 class UnitCache:
-    """``encode`` takes distinct units and returns their ids, flat, and how many each has."""
+    """``encode`` takes distinct units and returns units (those, and others that it met on the way), their ids, flat, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_UNITS):
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = CACHE_UNITS):
         self.encode, self.limit = encode, limit
         self._forget()
 
@@ -26,7 +26,7 @@ class UnitCache:
         self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _keep(self, units: list[str]) -> None:
-        ids, sizes = self.encode(units)
+        units, ids, sizes = self.encode(units)
         base, more = len(self.place), len(units)
         while base + more > len(self.begin):
             self.begin, self.size = np.concatenate([self.begin, self.begin]), np.concatenate([self.size, self.size])
