@@ -276,3 +276,18 @@ def agg_03_flt_05_game_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sts_07_rim_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     balls = ledger_events(spark, sf_dir).join(adapter.events(spark, sf_dir).selectExpr("clip_id AS game_id", "event_id % 500 AS seq", "v"), ["game_id", "seq"]).withColumn("x", 140.0 + F.col("v") % 40).withColumn("y", 742.0 + F.col("v") * 7 % 40)
     return ledger.rim_proposals(balls).select("game_id", "seq", "points")
+
+
+@query()
+def sts_11_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per clip and state: frames, detections (also made ones), active players and numbered ones after all passes in order."""
+    from ..operators.annotate import annotate
+    from .layer1 import signed_frames
+
+    d = people(spark, sf_dir)
+    first = d.groupBy("clip_id", "frame_idx", "track_id").agg(F.min("slot").alias("slot"))
+    d = d.join(first, ["clip_id", "frame_idx", "track_id", "slot"]).select("clip_id", "track_id", "frame_idx", "slot", "x", "y", "w", "h", "conf", "court_x", "court_y", "uniform", "hist")
+    out = annotate(d, signed_frames(spark, sf_dir).select("clip_id", "frame_idx", "signature"), adapter.balls(spark, sf_dir), reads(spark, sf_dir), adapter.WIDTH, adapter.HEIGHT, adapter.FPS)
+    per_frame = out.detections.groupBy("clip_id", "frame_idx").agg(F.count("*").alias("detections"), F.count_if("synthesized").alias("made"), F.count_if("active.candidate").alias("active"), F.count("jersey").alias("numbered"))
+    j = out.frames.join(per_frame, ["clip_id", "frame_idx"])
+    return j.groupBy("clip_id", "state").agg(F.count("*").alias("frames"), *[F.sum(c).alias(c) for c in ("detections", "made", "active", "numbered")])
