@@ -1,7 +1,8 @@
 """All review passes over a clip's detections, in the order that their results depend on.
 
 smooth, active, continuity, appearance, active, repair, smooth, active, jersey, live play: the second smoothing sees the
-rows that repair made, and the second and third scores of active players see the appearance distances.
+rows that repair made, and the second and third scores of active players see the appearance distances.  What several
+later passes read is written to the shared folder, so that no pass is computed again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import saved
 from . import appearance, continuity, identity, liveplay, tracks
 
 KEYS = ["clip_id", "track_id", "frame_idx"]
@@ -41,14 +43,14 @@ def annotate(detections: DataFrame, signatures: DataFrame, balls: DataFrame, rea
     ``signatures``: clip_id, frame_idx, signature; ``balls``: clip_id, frame_idx, conf; ``reads``: clip_id, track_id,
     frame_idx, slot, read, conf, sharpness.
     """
-    d = _active(_smoothed(detections.withColumn("appearance_distance", F.lit(None).cast("double")), fps), width, height)
-    frames = continuity.with_segments(continuity.frame_tracks(d).join(signatures, ["clip_id", "frame_idx"], "left"))
+    d = saved(_active(_smoothed(detections.withColumn("appearance_distance", F.lit(None).cast("double")), fps), width, height))
+    frames = saved(continuity.with_segments(continuity.frame_tracks(d).join(signatures, ["clip_id", "frame_idx"], "left")))
     d = d.join(frames.select("clip_id", "frame_idx", F.col("continuity_segment").alias("segment")), ["clip_id", "frame_idx"])
     d = appearance.with_team(d, appearance.prototypes(d)).withColumn("appearance_distance", F.col("team_distance"))
-    d = _active(d, width, height)
+    d = saved(_active(d, width, height))
 
     ends = d.select(*KEYS, "x", "y", "w", "h", F.col("svx").alias("vx"), F.col("svy").alias("vy"), "court_x", "court_y", "uniform", "conf", F.col("active.candidate").alias("active"), "segment")
-    links = identity.selected(identity.candidates(ends, identity.LINK, fps=fps))
+    links = saved(identity.selected(identity.candidates(ends, identity.LINK, fps=fps)))
     names = identity.canonical_ids(links)
     filled = tracks.fill_gaps(ends, segment="segment")
     bridges = identity.bridged(ends, links).withColumnRenamed("identity", "track_id")
@@ -57,8 +59,8 @@ def annotate(detections: DataFrame, signatures: DataFrame, balls: DataFrame, rea
     # two tracks of one identity in a frame: the row of the lower slot stays
     first = named.groupBy(*KEYS).agg(F.min("slot").alias("slot"))
     d = named.join(first, [*KEYS, "slot"]).unionByName(made, allowMissingColumns=True)
-    d = d.withColumn("conf", F.coalesce("conf", F.lit(0.5)))
-    d = _active(_smoothed(d, fps), width, height)
+    d = saved(d.withColumn("conf", F.coalesce("conf", F.lit(0.5))))
+    d = saved(_active(_smoothed(d, fps), width, height))
 
     evidence = reads.withColumn("number", appearance.jersey_text(F.col("read"))).where(F.col("number").isNotNull() & (F.col("sharpness") >= 25))
     evidence = evidence.join(names, ["clip_id", "track_id"], "left").withColumn("track_id", F.coalesce("canonical", "track_id")).drop("canonical")

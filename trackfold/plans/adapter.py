@@ -60,9 +60,14 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with each track once in a frame: that of the lowest slot."""
-    d = detections(spark, sf_dir)
-    keep = d.groupBy("clip_id", "frame_idx", "track_id").agg(F.min("slot").alias("slot"))
-    return d.join(keep, ["clip_id", "frame_idx", "track_id", "slot"])
+    return lowest_slot(detections(spark, sf_dir), "clip_id", "frame_idx", "track_id")
+
+
+def lowest_slot(rows: DataFrame, *keys: str) -> DataFrame:
+    """The row of the lowest slot of each group, by one aggregation that is partial before its exchange."""
+    rest = [c for c in rows.columns if c not in keys and c != "slot"]
+    first = F.min(F.struct("slot", *rest)).alias("r")
+    return rows.groupBy(*keys).agg(first).select(*keys, "r.*").select(*rows.columns)
 
 
 def balls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,7 @@ from .registry import query
 def short_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short tracks (one per user and clip) close to each other, for identity links."""
     e = adapter.events(spark, sf_dir).where("slot <> 0")
-    keep = e.groupBy("clip_id", "frame_idx", "user_id").agg(F.min("slot").alias("slot"))
-    return e.join(keep, ["clip_id", "frame_idx", "user_id", "slot"]).selectExpr(
+    return adapter.lowest_slot(e, "clip_id", "frame_idx", "user_id").selectExpr(
         "clip_id", "frame_idx", "user_id AS track_id", "v * 37 % 80 + 0.0D AS x", "v * 61 % 60 + 0.0D AS y", "40 + v * 7 % 20 + 0.0D AS w", "90 + v * 11 % 40 + 0.0D AS h", "(v * 3 % 400 - 200) / 7.0D AS vx", "(v * 19 % 160 - 80) / 7.0D AS vy",
         "CASE WHEN v % 7 = 0 THEN NULL ELSE v * 29 % 300 + 0.0D END AS court_x", "CASE WHEN v % 7 = 0 THEN NULL ELSE v * 17 % 150 + 0.0D END AS court_y",
         "CASE v % 5 WHEN 0 THEN 'dark' WHEN 1 THEN 'light' WHEN 2 THEN NULL ELSE 'unknown' END AS uniform", "(50 + v * 13 % 50) / 100.0D AS conf", "v % 9 <> 0 AS active", "frame_idx div 25 AS segment",
@@ -285,8 +284,7 @@ def sts_11_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .layer1 import signed_frames
 
     d = people(spark, sf_dir)
-    first = d.groupBy("clip_id", "frame_idx", "track_id").agg(F.min("slot").alias("slot"))
-    d = d.join(first, ["clip_id", "frame_idx", "track_id", "slot"]).select("clip_id", "track_id", "frame_idx", "slot", "x", "y", "w", "h", "conf", "court_x", "court_y", "uniform", "hist")
+    d = adapter.lowest_slot(d, "clip_id", "frame_idx", "track_id").select("clip_id", "track_id", "frame_idx", "slot", "x", "y", "w", "h", "conf", "court_x", "court_y", "uniform", "hist")
     out = annotate(d, signed_frames(spark, sf_dir).select("clip_id", "frame_idx", "signature"), adapter.balls(spark, sf_dir), reads(spark, sf_dir), adapter.WIDTH, adapter.HEIGHT, adapter.FPS)
     per_frame = out.detections.groupBy("clip_id", "frame_idx").agg(F.count("*").alias("detections"), F.count_if("synthesized").alias("made"), F.count_if("active.candidate").alias("active"), F.count("jersey").alias("numbered"))
     j = out.frames.join(per_frame, ["clip_id", "frame_idx"])
