@@ -10,7 +10,7 @@ import numpy as np
 from .common import ragged
 
 #: Units that a worker keeps the ids of.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 1_500_000
 
 
 class UnitCache:
