@@ -39,7 +39,7 @@ SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4_000_000, 64 << 10
 LEVEL = 3
 _NULL_ID = -(1 << 63)
 _EXACT = "\ue000"
-_JOINED = 2000
+_JOINED = 300
 _PUNCTUATION = frozenset(string.punctuation)
 #: Between a letter or digit and ASCII punctuation, and on both sides of a single newline, a token ends.
 _CUT = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
@@ -60,6 +60,8 @@ class TextTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # every unit comes once: the library's own cache would only be filled
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.token_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
