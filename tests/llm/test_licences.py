@@ -56,3 +56,50 @@ def test_scores_equal_a_plain_restatement(spark, model):
 def test_plan_is_native(spark, model):
     plan = licences.with_licences(spark.createDataFrame([(1, "x")], "doc_id long, text string"), model)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Exchange"))
+
+
+MIT = """MIT License
+
+Copyright (c) 2021 Some Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+
+
+def test_wrapped_notices_and_short_statements(spark):
+    comment = "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in ("A file\n\n" + HEADER.format("")).split("\n")) + " */"
+    rows = [
+        (1, MIT, "mit"),
+        (2, MIT[MIT.index("Permission") :], "mit"),
+        (3, BSD, "bsd"),
+        (4, HEADER.format(""), "gpl"),
+        (5, HEADER.format("Lesser "), "lgpl"),
+        (6, HEADER.format("Affero "), "agpl"),
+        (7, comment, "gpl"),
+        (8, comment.replace("\n", "\r\n"), "gpl"),
+        (9, "Some prose\n" * 300 + BSD + "\n" + HEADER.format("") + "\n" + "more prose\n" * 300, "bsd,gpl"),
+        (10, BSD + "\n\n" + MIT, "bsd,mit"),
+        (11, APACHE, "apache-2.0"),
+        (12, "This work is licensed under a Creative\nCommons Attribution 4.0\nInternational License", "cc-by"),
+        (13, "MIT License", "mit"),
+        (14, "License: MIT", "mit"),
+        (15, "The licence\nof my\ncar and the Apache\nhelicopters, creative\nwriting", ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = {r.doc_id: r for r in licences.licence_report(docs).collect()}
+    assert {k: r.families for k, r in got.items()} == {k: want for k, _, want in rows}
+    assert [(got[k].n_stated, got[k].n_unknown) for k in (3, 4, 12, 13)] == [(1, 0)] * 4
+    assert [got[k].n_stated for k in (1, 9, 10)] == [2, 2, 3]

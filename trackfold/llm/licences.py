@@ -1,10 +1,12 @@
 """Licence families of paragraphs: sparse n-gram logistic regression, calibrated, confirmed by templates.
 
-Only DataFrame functions and Spark's own learner are used.  A paragraph is a line.  Its features are word n-grams (one
-to three words) that hold a cue (a stem such as ``licen``); a line without any cue has no feature at all, so it is
-unknown and need not be scored.  The model is a multinomial regression with an L1 penalty over the families and an
+Only DataFrame functions and Spark's own learner are used.  A paragraph is the text between lines without a letter or
+digit.  It is judged as a whole, so that a notice may be wrapped over lines; its sentences of several lines and its
+lines are judged too, so that it may state several families.  The features are word n-grams (one to three words) that
+hold a cue (a stem such as ``licen``); a text without any cue has no feature at all, so it is unknown and need not be
+scored.  The model is a multinomial regression with an L1 penalty over the families and an
 unknown class, fitted on variants of the template notices and on near misses; a temperature and a threshold are chosen
-on variants that were held out.  A predicted family is accepted if enough of a template's word trigrams are in the line.
+on variants that were held out.  A predicted family is accepted if enough of a template's word trigrams are in the text.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Share of a template's trigrams that a line must hold.
+#: Share of a template's trigrams that a line, sentence or paragraph must hold.
 CONFIRM = 0.6
+#: What parts paragraphs (lines without a letter or digit, such as an empty comment line), and sentences.
+BLANK = r"\n[^\p{L}\p{N}]*\n"
+SENTENCE = r"(?<=[.!?;:])\s+(?=\p{Lu}|[^\p{L}\p{N}\s])"
 
 # Stems that every feature holds.
 CUES = "licen copyright apache gnu gpl bsd mozilla mpl creative commons unlicense redistribut warrant spdx cc0 cc-by by-nc by-sa by-nd noncommercial reserved permission sublicens".split()
@@ -32,6 +37,10 @@ TEMPLATES = {
         "This project is licensed under the Apache-2.0 license",
         "SPDX-License-Identifier: Apache-2.0",
         "http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License 2.0",
+        "Apache License Version 2.0, January 2004",
+        "License: Apache-2.0",
+        "License: Apache 2.0",
     ],
     "mit": [
         "Released under the MIT License",
@@ -39,6 +48,9 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "MIT License",
+        "The MIT License (MIT)",
+        "License: MIT",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3",
@@ -47,15 +59,27 @@ TEMPLATES = {
         "Released under the GNU GPL v3",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "License: GNU General Public License v3.0",
+        "GNU General Public License Version 3, 29 June 2007",
+        "GNU General Public License Version 2, June 1991",
+        "License: GPL",
+        "License: GPLv3",
+        "License: GPL-3.0",
     ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 3",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        "License: LGPL",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "GNU Affero General Public License Version 3, 19 November 2007",
+        "License: AGPL",
     ],
     "bsd": [
         "Licensed under the BSD 3-Clause License",
@@ -63,33 +87,43 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-2-Clause",
         "Use of this source code is governed by a BSD-style license",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
+        "License: BSD",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License 2.0",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0",
+        "License: MPL-2.0",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
         "Licensed under CC BY-NC-SA 4.0",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "License: CC BY-NC 4.0",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "License: CC BY 4.0",
     ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "License: CC BY-SA 4.0",
     ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain under the Unlicense",
         "Released under CC0 1.0 Universal",
         "SPDX-License-Identifier: Unlicense",
         "SPDX-License-Identifier: CC0-1.0",
+        "License: Unlicense",
+        "License: CC0",
     ],
     "proprietary": [
         "All rights reserved",
@@ -135,6 +169,17 @@ def _has_cue(text: Column) -> Column:
     return found
 
 
+def _may_have_cue(text: Column) -> Column:
+    """A quick test that no text with a cue fails, also if the cue's words are on two lines."""
+    found = F.lit(False)
+    for cue in CUES:
+        every = F.lit(True)
+        for word in cue.split():
+            every = every & F.contains(text, F.lit(word))
+        found = found | every
+    return found
+
+
 def features(tokens: Column) -> Column:
     """Distinct n-grams of one to three words that hold a cue."""
 
@@ -209,17 +254,26 @@ def train(spark: SparkSession) -> Classifier:
     return Classifier(classes, weights, intercepts, temperature, max(0.5, min(0.9, strongest + 0.02)))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once (an expression in a lambda is worked out again for each element)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _judged(line: Column, model: Classifier) -> Column:
     """A line as struct of line, family (unknown if not sure), probability and template share."""
+    return _let(words(line), lambda tokens: _let(line_grams(tokens), lambda own: _scored(line, own, model)))
+
+
+def _scored(line: Column, own: Column, model: Classifier) -> Column:
+    """``_judged`` by the line's own n-grams."""
     n = len(model.classes)
     table: dict[str, list[float]] = {}
     for gram, k, w in model.weights:
         table.setdefault(gram, [0.0] * n)[k] = w
     # the vocabulary is bounded (what the L1 penalty left of 4000 n-grams): a literal map, so nothing is joined
     weights = F.create_map(*[x for g, w in table.items() for x in (F.lit(g), F.array(*map(F.lit, w)))]) if table else F.create_map(F.lit(""), F.array(*[F.lit(0.0)] * n))
-    tokens = words(line)
     start = F.array(*[F.lit(b) for b in model.intercepts])
-    logits = F.aggregate(F.filter(F.transform(features(tokens), lambda g: weights[g]), lambda w: w.isNotNull()), start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
+    logits = F.aggregate(F.filter(F.transform(F.filter(own, _has_cue), lambda g: weights[g]), lambda w: w.isNotNull()), start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
     logits = F.transform(logits, lambda x: x / model.temperature)
     top = F.array_max(logits)
     chosen = F.transform(F.array(F.struct(logits.alias("l"), top.alias("top"))), lambda s: F.struct(F.array_position(s.l, s.top).cast("int").alias("k"), (1 / F.aggregate(s.l, F.lit(0.0), lambda a, x: a + F.exp(x - s.top))).alias("p")))[0]
@@ -228,7 +282,6 @@ def _judged(line: Column, model: Classifier) -> Column:
 
     def final(c: Column) -> Column:
         family = F.element_at(names, c.k)
-        own = line_grams(tokens)
         share = F.coalesce(F.array_max(F.transform(notices[family], lambda t: F.size(F.array_intersect(t, own)) / F.size(t))), F.lit(0.0))
         sure = (family != UNKNOWN) & (c.p >= model.threshold) & (share >= CONFIRM)
         return F.struct(line.alias("line"), F.when(sure, family).otherwise(F.lit(UNKNOWN)).alias("family"), c.p.alias("probability"), share.alias("template_share"))
@@ -236,20 +289,57 @@ def _judged(line: Column, model: Classifier) -> Column:
     return F.transform(F.array(chosen), final)[0]
 
 
+def _found(paragraph: Column, model: Classifier) -> Column:
+    """What is judged in a paragraph: its lines with a cue; then each sentence of several lines that states a family none
+    of the lines states; then the paragraph, if it states one that neither does.  Lines that state nothing are left out
+    if they lie in such a sentence or paragraph."""
+
+    def units(texts: Column, level: int) -> Column:
+        return F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(level).alias("level")))
+
+    several = lambda t: F.contains(t, F.lit("\n"))
+    whole = F.btrim(paragraph, F.lit(" \t\r\n"))
+    lines = F.filter(F.split(whole, "\n"), lambda t: _has_cue(F.lower(t)))
+    sentences = F.filter(F.split(whole, SENTENCE), lambda t: several(t) & _may_have_cue(F.lower(t)))
+    paragraphs = F.filter(F.array(whole), several)
+    judged = F.transform(F.concat(units(lines, 0), units(sentences, 1), units(paragraphs, 2)), lambda u: F.struct(_judged(u.text, model).alias("found"), u.level.alias("level")))
+
+    def stated(all_units: Column, level: int, besides: Column | None = None) -> Column:
+        own = F.filter(all_units, lambda u: (u.level == level) & (u.found.family != UNKNOWN))
+        own = F.transform(own, lambda u: u.found)
+        return own if besides is None else F.filter(own, lambda f: ~F.array_contains(besides, f.family))
+
+    def families(found: Column) -> Column:
+        return F.transform(found, lambda f: f.family)
+
+    # an array of one element stands for a named value: what is in it is worked out once
+    by_line = F.transform(F.array(judged), lambda j: F.struct(j.alias("all"), families(stated(j, 0)).alias("own")))
+    by_sentence = F.transform(by_line, lambda s: F.struct(s.all.alias("all"), s.own.alias("own"), stated(s.all, 1, s.own).alias("more")))
+    by_paragraph = F.transform(by_sentence, lambda s: F.struct(s.all.alias("all"), s.more.alias("more"), stated(s.all, 2, F.concat(s.own, families(s.more))).alias("rest")))
+
+    def kept(s: Column) -> Column:
+        own = F.transform(F.filter(s.all, lambda u: u.level == 0), lambda u: u.found)
+        own = F.filter(own, lambda f: (f.family != UNKNOWN) | ((F.size(s.rest) == 0) & ~F.exists(s.more, lambda m: F.contains(m.line, f.line))))
+        return F.concat(own, s.more, s.rest)
+
+    return F.flatten(F.transform(by_paragraph, kept))
+
+
 def with_licences(docs: DataFrame, model: Classifier, text: str = "text", name: str = "licences") -> DataFrame:
-    """``docs`` with an array of its lines that hold a cue: line, family, calibrated probability, template share.
+    """``docs`` with an array of its lines that hold a cue, and of its sentences and paragraphs of several lines that
+    state a family which their lines do not: the text, family, calibrated probability, template share.
 
     Null and empty texts have none; the column ``name`` is replaced, all others stay; nothing is shuffled, so repeated
     rows are judged one by one and texts of any length as a whole.
     """
     own = F.col(text)
-    lines = F.when(_has_cue(F.lower(own)), F.filter(F.split(own, "\n"), lambda x: _has_cue(F.lower(x)))).otherwise(F.array().cast("array<string>"))
+    paragraphs = F.when(_may_have_cue(F.lower(own)), F.filter(F.split(own, BLANK), lambda x: _may_have_cue(F.lower(x)))).otherwise(F.array().cast("array<string>"))
     keep = [F.col(f"`{c}`") for c in docs.columns if c != name]
-    return docs.select(*keep, F.transform(lines, lambda x: _judged(x, model)).alias(name))
+    return docs.select(*keep, F.flatten(F.transform(paragraphs, lambda x: _found(x, model))).alias(name))
 
 
 def licence_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: families (sorted, comma-joined), lines that state one, lines with cues only, and the least probability of a stated one."""
+    """Per document: families (sorted, comma-joined), lines (or wrapped notices) that state one, lines with cues only, and the least probability of a stated one."""
     found = with_licences(docs.select(key, text), train(docs.sparkSession), text)
     stated = F.filter("licences", lambda x: x.family != UNKNOWN)
     return found.select(
