@@ -76,3 +76,15 @@ def test_dataframe_and_collisions(spark):
     assert got[0] == (f"Mr. {names['Adams']} wrote", "name", 1) and got[6] == got[0]
     assert got[50] == (None, "", 0) and got[51] == ("", "", 0)
     assert S.pseudonymised(docs.limit(0), KEY).count() == 0
+
+
+def test_untitled_and_repeated_mentions():
+    text, found = MAP.replace("Mrs Anna Rossi met us. Rossi left; Anna Rossi wrote later. ROSSI's note")
+    given, surname = found[0][2].split()
+    assert text == f"Mrs {given} {surname} met us. {surname} left; {given} {surname} wrote later. {surname.upper()}'s note"
+    assert [k for k, _, _ in found] == ["name"] * 4
+    assert [f[1] for f in MAP.replace("Contact: John Smith")[1]] == ["John Smith"]
+    assert [f[1] for f in MAP.replace("Żak called. Mr Łukasz Żak: Łukasz Żak")[1]] == ["Łukasz Żak", "Żak", "Łukasz Żak"]
+    assert [f[1] for f in MAP.replace("Mr\u00a0Smith, Mr  Jones, Prof. Dr. Adams; John F. Kennedy")[1]] == ["Smith", "Jones", "Adams", "John F. Kennedy"]
+    assert [f[1] for f in MAP.replace("Mr Fox and Fox@example.com; foxes, a fox")[1]] == ["Fox", "Fox@example.com"]
+    assert re.fullmatch("Dr [Α-Ω][α-ω]+λεν [Α-Ω][α-ω]+ρεκ", MAP.replace("Dr Νίκος Παπαδόπουλος")[0])

@@ -6,12 +6,16 @@ one, so distinct entities stay distinct and equal ones equal (in any letter case
 tasks; check digits and ranges are kept by walking the permutation's cycle until the result is valid.  Names are drawn
 by a keyed hash from syllables of their script with an ending of their gender; there two names could meet, so the
 corpus' distinct names are checked and the later of two is drawn again.
+
+A name is found behind one or several titles, or as a given name of the list before capitalised words; its words are
+then replaced wherever they stand capitalised in the same text, before or after.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,19 +42,23 @@ _HEX = "0123456789abcdef"
 _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 
 # Titles by gender, and the syllables and endings of surrogate names by script.
-_TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа", "m": "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н", "u": "Dr|Prof|Mx"}
+_TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа|Κυρία|Κα", "m": "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н|Κύριος|Κος", "u": "Dr|Prof|Mx"}
 _SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
     "cyrillic": "ба бе би бо да де ди до га го ка ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ве ви во".split(),
+    "greek": "βα βε βι βο γα γε γι γο δα δε δι δο ζα ζε ζι ζο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι σο τα τε τι το".split(),
 }
-_ENDINGS = {"latin": {"f": "lina", "m": "lis", "u": "len", "surname": "rek"}, "cyrillic": {"f": "лина", "m": "лис", "u": "лен", "surname": "рек"}}
+_ENDINGS = {"latin": {"f": "lina", "m": "lis", "u": "len", "surname": "rek"}, "cyrillic": {"f": "лина", "m": "лис", "u": "лен", "surname": "рек"}, "greek": {"f": "λινα", "m": "λις", "u": "λεν", "surname": "ρεκ"}}
 # Given names by gender, for names without a title that shows it.
 _GIVEN = {"f": "Anna Maria Mary Jane Emma Laura Julia Sofia Elena Clara Marie Lucia Carmen Ingrid Anne Ольга Анна Мария Елена".split(), "m": "John James Peter Paul Hans Karl Pierre Jean Juan Carlos Luis Michael David Thomas Иван Пётр Сергей Алексей".split()}
 _GENDER = {n.lower(): g for g, names in _GIVEN.items() for n in names}
 
 _GAP = r"[^\w\n]{1,6}"
-_WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_WORD = r"[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
 _ALL_TITLES = "|".join(_TITLES.values())
+_ALL_GIVEN = "|".join(v for names in _GIVEN.values() for n in names for v in (n, n.upper()))
+_UPPER = "[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and (c.isupper() or c.istitle())) + "]"
+_NAME = rf"(?:{_UPPER}{_WORD}|{_UPPER}\.(?=[^\S\n]+{_UPPER}{_WORD}))"
 ENTITY = re.compile(
     r"(?P<email>\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
@@ -60,9 +68,10 @@ ENTITY = re.compile(
     r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d)\b)[^\w\n]{0,8}[:=][^\w\n]{0,8}(?P<secret>[A-Za-z0-9_+/.=-]{12,})"
     r"|(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"
-    rf"|(?P<title>\b(?:{_ALL_TITLES})\b)\.? (?P<name>(?-i:[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]){_WORD}(?: (?-i:[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]){_WORD}){{0,2}})"
+    rf"|(?P<title>\b(?:{_ALL_TITLES})\b(?:\.?[^\S\n]+(?:{_ALL_TITLES})\b)*)(?:\.?[^\S\n]+|\.?[^\S\n]*\n[^\S\n]*)(?P<name>{_NAME}(?:[^\S\n]+{_NAME}){{0,2}})"
+    rf"|(?P<untitled>\b(?:{_ALL_GIVEN})(?:[^\S\n]+{_NAME}){{1,2}})"
 )
-_HINT = re.compile(rf"[0-9@]|AKIA|gh[pousr]_|sk-|xox|eyJ|{_ALL_TITLES}")
+_HINT = re.compile(rf"[0-9@]|AKIA|gh[pousr]_|sk-|xox|eyJ|{_ALL_TITLES}|{_ALL_GIVEN}")
 _ASSIGNED = ("key", "secret", "token", "passw")
 
 
@@ -160,18 +169,36 @@ class Surrogates:
 
     def name_parts(self, title: str | None, name: str) -> list[tuple[str, str, str]]:
         """(kind, part, surrogate) of each word of a name; the last of several, or one behind a title, is the surname."""
-        words = name.split(" ")
-        gender = next((g for g, t in _TITLES.items() if title and title in t.split("|")), "u")
+        words = name.split()
+        titles = re.split(r"[.\s]+", title or "")
+        gender = next((g for g in "fm" if not set(titles).isdisjoint(_TITLES[g].split("|"))), "u")
         given = words[:-1] if len(words) > 1 or title else words
         if gender == "u":
             gender = next((_GENDER[w.lower()] for w in given if w.lower() in _GENDER), "u")
         out = []
         for k, w in enumerate(words):
-            script = "cyrillic" if "CYRILLIC" in unicodedata.name(w[0], "") else "latin"
-            kind = "surname" if k == len(words) - 1 else "given_" + gender
-            out.append((kind, w, self.syllables(kind, w, _ENDINGS[script]["surname" if kind == "surname" else gender], script)))
+            kind = "initial" if w.endswith(".") else "surname" if k == len(words) - 1 else "given_" + gender
+            out.append((kind, w, self._name_word(kind, w)))
         return out
 
+    def _name_word(self, kind: str, word: str) -> str:
+        if kind == "initial":
+            return self.characters(kind, word)
+        script = next((s for s in ("cyrillic", "greek") if s.upper() in unicodedata.name(word[0], "")), "latin")
+        return self.syllables(kind, word, _ENDINGS[script][kind.removeprefix("given_")], script)
+
+    def _mentions(self, text: str, known: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+        """Where words of known names (by kind) stand capitalised in a text, neighbours as one, and their surrogates."""
+        for m in re.finditer(rf"(?<!\w){_UPPER}{_WORD}(?:[^\S\n]+{_UPPER}{_WORD})*", text):
+            run: list[re.Match] = []
+            for w in [*re.finditer(_WORD, m[0]), None]:
+                if w is not None and w[0].lower() in known:
+                    run.append(w)
+                elif run:
+                    a, b = run[0].start(), run[-1].end()
+                    yield m.start() + a, m.start() + b, re.sub(_WORD, lambda x: self._name_word(known[x[0].lower()], x[0]), m[0][a:b])
+                    run = []
+
     def of(self, kind: str, text: str, title: str | None = None) -> str | None:
         """The surrogate of an entity, None if the text is none after all (a number without its check digit)."""
         if kind == "email":
@@ -205,23 +232,35 @@ class Surrogates:
                 new = self.characters("hex", text.lower(), _HEX)
                 return new.upper() if text.isupper() else new
             return text[:front] + self.characters("secret", text[front:])
-        return " ".join(s for _, _, s in self.name_parts(title, text))
+        new = iter([s for _, _, s in self.name_parts(title, text)])
+        return re.sub(r"\S+", lambda _: next(new), text)
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
-        """The text with surrogates, and the (kind, entity, surrogate) found in it, in order."""
+        """The text with surrogates, and the (kind, entity, surrogate) found in it, in order; then further mentions of its names, in order."""
         if not _may_hold(text):
             return text, []
-        found: list[tuple[str, str, str]] = []
-        out, end = [], 0
+        spans: list[tuple[int, int, str, str]] = []
+        mentions: list[tuple[int, int, str, str]] = []
+        known: dict[str, str] = {}
         for m in ENTITY.finditer(text):
-            kind = next(k for k in ("email", "ip", "iban", "ssn", "phone", "card", "secret", "key", "name") if m[k] is not None)
-            new = self.of(kind, m[kind], m["title"])
+            group = next(k for k in ("email", "ip", "iban", "ssn", "phone", "card", "secret", "key", "name", "untitled") if m[k] is not None)
+            kind = "name" if group == "untitled" else group
+            new = self.of(kind, m[group], m["title"])
             if new is None:
                 continue
-            out += [text[end : m.start(kind)], new]
-            end = m.end(kind)
-            found.append((kind, m[kind], new))
-        return ("".join(out) + text[end:], found) if found else (text, [])
+            spans.append((m.start(group), m.end(group), kind, new))
+            if kind == "name":
+                for part, word, _ in self.name_parts(m["title"], m[group]):
+                    if part != "initial":
+                        known.setdefault(word.lower(), part)
+        if known:
+            between = zip([0, *(e for _, e, _, _ in spans)], [*(b for b, _, _, _ in spans), len(text)], strict=True)
+            mentions += [(a + b, a + e, "name", new) for a, z in between for b, e, new in self._mentions(text[a:z], known)]
+        out, end = [], 0
+        for a, z, _, new in sorted(spans + mentions):
+            out += [text[end:a], new]
+            end = z
+        return "".join(out) + text[end:], [(kind, text[a:z], new) for a, z, kind, new in spans + mentions]
 
 
 def drawn_names(docs: DataFrame, surrogates: Surrogates, text: str = "text") -> DataFrame:
@@ -231,9 +270,9 @@ def drawn_names(docs: DataFrame, surrogates: Surrogates, text: str = "text") ->
         for batch in slices(batches, text):
             rows = set()
             for t in batch.column(text).to_pylist():
-                for m in ENTITY.finditer(t) if t and re.search(_ALL_TITLES, t) else ():
-                    if m["name"]:
-                        rows |= {(kind, part.lower(), new.lower()) for kind, part, new in surrogates.name_parts(m["title"], m["name"])}
+                for m in ENTITY.finditer(t) if t and re.search(rf"{_ALL_TITLES}|{_ALL_GIVEN}", t) else ():
+                    if name := m["name"] or m["untitled"]:
+                        rows |= {(kind, part.lower(), new.lower()) for kind, part, new in surrogates.name_parts(m["title"], name) if kind != "initial"}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(rows), strict=True)], names=["kind", "name", "surrogate"])
 
