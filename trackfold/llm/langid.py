@@ -1,16 +1,19 @@
 """Language identification with a linear-chain conditional random field over the words of a text.
 
-Every word gets a label; emissions are sums of hashed features (prefixes, suffixes, character bigrams and trigrams of
-the word, and lexicon features), transitions are learned.  Marginals come from forward-backward.  Both are exact for
-texts of any length: sequences are cut into blocks, the blocks' transfer matrices are multiplied in parallel, joined
-one after the other, and the blocks then run forward and backward in parallel from their true borders.
+Every word gets a label; emissions are sums of hashed features (prefixes, suffixes, and all character bigrams and
+trigrams of the word, and lexicon features), transitions are learned.  A run of more than ``PIECE`` bytes without a
+space, as in scripts that write none, is cut into pieces that are labelled one by one, so every byte of a text counts.
+Marginals come from forward-backward.  Both are exact for texts of any length: sequences are cut into blocks, the
+blocks' transfer matrices are multiplied in parallel, joined one after the other, and the blocks then run forward and
+backward in parallel from their true borders.
 
 Documents carry one language each, so the training sequences are made to switch: stretches of words from different
-documents of the sample follow each other.
+documents of the sample follow each other.  The model is fitted in a task, on a bounded sample of rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,24 +26,25 @@ from pyspark.sql import types as T
 from .common import ragged, slices, text_bytes
 from .words import mix, word_table
 
-#: Training rows of each language, and words taken of all rows of a language, at most.
-ROWS_PER_LANGUAGE, WORDS_PER_LANGUAGE = 400, 120_000
-#: Hashed feature weights, lexicon words of each language, bytes of a word that features look at from each end.
-FEATURES, LEXICON, REACH = 1 << 16, 2000, 12
+#: Training rows of each language at most (the documented bound of the sample).
+ROWS_PER_LANGUAGE = 400
+#: Hashed feature weights, lexicon words of each language, bytes of a word or piece.
+FEATURES, LEXICON, PIECE = 1 << 16, 2000, 32
 BLOCK = 64
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
-    """Languages, emission weights by feature, transition and start scores, and each lexicon word's language features."""
+    """Languages, emission weights by feature, transition and start scores, and the languages of each lexicon word."""
 
     languages: list[str]
     weights: np.ndarray  # FEATURES x L, float32
     transition: np.ndarray  # L x L
     start: np.ndarray  # L
     lexicon: np.ndarray  # sorted word hashes
-    lexicon_bits: np.ndarray  # bit l: among the commonest words of language l
+    lexicon_at: np.ndarray  # where each word's languages begin
+    lexicon_language: np.ndarray  # languages that have the word among their commonest
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -53,42 +57,35 @@ def _lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: np.ndarray, bits: np.ndarray, hashes: np.ndarray, n_languages: int) -> tuple[np.ndarray, np.ndarray]:
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of each word, flat, and where each word's begin.  ``data`` is lower-cased already."""
     n = len(starts)
     length = ends - starts
     parts: list[np.ndarray] = []
     owner: list[np.ndarray] = []
+    first = 2 + len(model.languages)  # below: the bias, "in no lexicon", and one for each language's lexicon
 
-    def add(words: np.ndarray, value: np.ndarray, kind: int) -> None:
-        parts.append((mix(value ^ (np.uint64(kind) << np.uint64(56))) % np.uint64(FEATURES - 64)).astype(np.int64) + 64)
+    def add(words: np.ndarray, at: np.ndarray, size: int, kind: int) -> None:
+        value = sum(data[at + k].astype(np.uint64) << np.uint64(8 * k) for k in range(size))
+        parts.append((mix(value ^ (np.uint64(kind) << np.uint64(56))) % np.uint64(FEATURES - first)).astype(np.int64) + first)
         owner.append(words)
 
-    padded = np.concatenate([np.zeros(4, np.uint8), data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    base = starts + 4
     for size in (1, 2, 3, 4):  # prefixes and suffixes
-        at = np.flatnonzero(length >= size)
-        value = sum(padded[base[at] + k] << np.uint64(8 * k) for k in range(size))
-        add(at, value, size)
-        value = sum(padded[base[at] + length[at] - size + k] << np.uint64(8 * k) for k in range(size))
-        add(at, value, 8 + size)
-    for size in (2, 3):  # character n-grams of the first and last bytes; a long word counts each place once
-        for k in range(REACH):
-            at = np.flatnonzero(length >= k + size)
-            if not len(at):
-                break
-            add(at, sum(padded[base[at] + k + j] << np.uint64(8 * j) for j in range(size)), 16 + size)
+        words = np.flatnonzero(length >= size)
+        add(words, starts[words], size, size)
+        add(words, ends[words] - size, size, 8 + size)
+    for size in (2, 3):  # character n-grams at every place
+        count = np.maximum(length - size + 1, 0)
+        add(np.repeat(np.arange(n), count), ragged(starts, count), size, 16 + size)
     every = np.arange(n)
-    if len(lexicon):
-        place = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
-        known = lexicon[place] == hashes
-        for lang in range(min(n_languages, 60)):
-            at = every[known & ((bits[place] >> np.uint64(lang)) & np.uint64(1) == 1)]
-            parts.append(np.full(len(at), 2 + lang, np.int64))
-            owner.append(at)
-        at = every[~known]
-        parts.append(np.ones(len(at), np.int64))
-        owner.append(at)
+    if len(model.lexicon):
+        place = np.minimum(np.searchsorted(model.lexicon, hashes), len(model.lexicon) - 1)
+        known = model.lexicon[place] == hashes
+        count = np.where(known, np.diff(model.lexicon_at)[place], 0)
+        parts.append(2 + model.lexicon_language[ragged(model.lexicon_at[place], count)].astype(np.int64))
+        owner.append(np.repeat(every, count))
+        parts.append(np.ones(int((~known).sum()), np.int64))
+        owner.append(every[~known])
     parts.append(np.zeros(n, np.int64))  # the bias
     owner.append(every)
     flat, own = np.concatenate(parts), np.concatenate(owner)
@@ -100,8 +97,11 @@ def emission_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np
     """Emission scores of words given by byte ranges; one row of L scores for each."""
     if not len(starts):
         return np.zeros((0, len(model.languages)), np.float32)
-    features, at = word_features(data, starts, ends, model.lexicon, model.lexicon_bits, hashes, len(model.languages))
-    return np.add.reduceat(model.weights[features], at[:-1], axis=0)
+    out = []
+    for a in range(0, len(starts), 1 << 16):  # bounds the features that are held at once
+        features, at = word_features(data, starts[a : a + (1 << 16)], ends[a : a + (1 << 16)], hashes[a : a + (1 << 16)], model)
+        out.append(np.add.reduceat(model.weights[features], at[:-1], axis=0))
+    return np.concatenate(out)
 
 
 def marginals(scores: np.ndarray, first: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -196,27 +196,25 @@ def train(rows: list[tuple[str, str]], seed: int = 11, steps: int = 260, batch:
     for part in slices([pa.RecordBatch.from_arrays([pa.array([t for _, t in rows], pa.string())], names=["text"])], "text"):
         own, at = text_bytes(part.column("text"))
         own = _lowered(own)
-        h, a, e, f = word_table(own, at)
+        h, a, e, f = word_table(own, at, PIECE)
         parts.append((own, h, a + offset, e + offset, np.diff(f)))
         offset += len(own)
     data, hashes, starts, ends, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
     label = np.repeat([languages.index(lang) for lang, _ in rows], counts)
-    keep = np.zeros(len(hashes), bool)
-    for k in range(len(languages)):  # whole rows until the bound; the row that crosses it is cut
-        keep[np.flatnonzero(label == k)[:WORDS_PER_LANGUAGE]] = True
     size = len(languages)
-    common: dict[int, int] = {}
-    for k in range(min(size, 60)):
-        word, count = np.unique(hashes[keep & (label == k)], return_counts=True)
-        for w in word[np.lexsort((word, -count))[:LEXICON]].tolist():
-            common[w] = common.get(w, 0) | 1 << k
-    lexicon = np.array(sorted(common), np.uint64)
-    bits = np.array([common[w] for w in sorted(common)], np.uint64)
+    pairs = []
+    for k in range(size):
+        word, count = np.unique(hashes[label == k], return_counts=True)
+        word = word[np.lexsort((word, -count))[:LEXICON]]
+        pairs.append((word, np.full(len(word), k, np.int32)))
+    word, of = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    by = np.lexsort((of, word))
+    lexicon, at = np.unique(word[by], return_index=True)
+    model = Model(languages, np.zeros((FEATURES, size), np.float32), np.zeros((size, size)), np.zeros(size), lexicon, np.append(at, len(by)), of[by])
     distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    features, f_at = word_features(data, starts[where], ends[where], lexicon, bits, distinct, size)
+    features, f_at = word_features(data, starts[where], ends[where], distinct, model)
     f_len = np.diff(f_at)
-    model = Model(languages, np.zeros((FEATURES, size), np.float32), np.zeros((size, size)), np.zeros(size), lexicon, bits)
-    pools = [p for k in range(size) if len(p := np.flatnonzero(keep & (label == k)))]
+    pools = [p for k in range(size) if len(p := np.flatnonzero(label == k))]
     g_w, g_t, g_s = np.full((FEATURES, size), 1e-6, np.float32), np.full((size, size), 1e-6), np.full(size, 1e-6)
     for _ in range(steps if size > 1 else 0):
         # sequences of stretches of 4 to 24 words, each from a language drawn anew
@@ -262,26 +260,39 @@ def train(rows: list[tuple[str, str]], seed: int = 11, steps: int = 260, batch:
     return model
 
 
-def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most ROWS_PER_LANGUAGE rows of each language, chosen by a hash of the key; rows without language or text are left out."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("__h", F.xxhash64(F.col(key).cast("string")))
-    order = Window.partitionBy(lang).orderBy("__h")
-    first = labelled.select(lang, "__h").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= ROWS_PER_LANGUAGE)
-    limits = first.groupBy(lang).agg(F.max("__h").alias("h")).collect()  # one row for each language
+def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, text, h): at most ROWS_PER_LANGUAGE rows of each language, those of the smallest hashes of key and text.
+
+    Rows without language or text are left out; equal rows count once.  Hashes are first counted by language and
+    number of leading zeros, in every task before the exchange, so no language's rows meet in one task: only the few
+    rows with enough leading zeros are exchanged.
+    """
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), text).bitwiseAND((1 << 63) - 1).alias("h"))
+    bits = F.when(F.col("h") == 0, 0).otherwise(F.length(F.bin("h")))
+    counts: dict[str, dict[int, int]] = {}
+    for language, n_bits, n in labelled.groupBy("lang", bits.alias("bits")).count().collect():  # 64 rows a language at most
+        counts.setdefault(language, {})[n_bits] = n
+    limits: list = []
+    for language, by_bits in sorted(counts.items()):
+        total, n_bits = 0, 0
+        for n_bits in sorted(by_bits):
+            total += by_bits[n_bits]
+            if total >= ROWS_PER_LANGUAGE:
+                break
+        limits += [F.lit(language), F.lit((1 << n_bits) - 1)]
     if not limits:
-        return []
-    chosen = F.lit(False)
-    for language, h in limits:
-        chosen = chosen | ((F.col(lang) == language) & (F.col("__h") <= h))
-    rows = labelled.where(chosen).select(lang, F.col(text).alias("__t"), "__h").orderBy("__h", "__t").limit(ROWS_PER_LANGUAGE * len(limits)).collect()
-    return [(r[0], r[1]) for r in rows]
+        return labelled.limit(0)
+    chosen = labelled.where(F.col("h") <= F.create_map(*limits)[F.col("lang")]).dropDuplicates(["lang", "h", "text"])
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    return chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS_PER_LANGUAGE).drop("n")
 
 
 def label_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word label probabilities of texts: (probabilities, each text's first word, whether a word has letters, starts, ends)."""
     data, at = text_bytes(column)
     data = _lowered(data)
-    hashes, starts, ends, first = word_table(data, at)
+    hashes, starts, ends, first = word_table(data, at, PIECE)
     if not len(hashes):
         return np.zeros((0, len(model.languages))), first, np.zeros(0, bool), starts, ends
     digit = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
@@ -350,11 +361,27 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model from the rows that are not held out; None if there are no labelled rows."""
-    return train(training_rows(docs.where(~held_out(key)), key, text, lang))
+    """A model from the rows that are not held out; None if there are no labelled rows.
+
+    The bounded sample goes to one task, which returns the model's arrays; the driver only passes them on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((r["lang"], r["h"], r["text"]) for b in batches for r in b.to_pylist()), key=lambda r: (r[1], r[0], r[2]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(r[0], r[2]) for r in rows]))], pa.binary())], names=["model"])
+
+    rows = training_rows(docs.where(~held_out(key)), key, text, lang)
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else None
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """Per document: held_out, lang_pred and score."""
+    """Per document: held_out, lang_pred and score.
+
+    Null texts and texts without a letter get ``und`` and 0, as all do if no row that is not held out has text and lang.
+    Repeated rows are judged one by one; a null key is not held out; an empty table gives an empty one; long texts are
+    judged whole; other columns are ignored.
+    """
     out = with_language(docs.select("doc_id", "text"), fit(docs), score="score")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
