@@ -1,14 +1,15 @@
 """Near-duplicate documents: ProbMinHash signatures of weighted word shingles, banding, exact verification.
 
-1. Each text's five-word shingles are counted; the weight of a shingle is 1 + ln(count).  Texts with the same set of
-   shingles form a class, whose member with the smallest key stands for it.
+1. Each text's five-word shingles are counted; the weight of a shingle is 1 + ln(count).  Texts with the same weighted
+   set form a class, whose member with the smallest key stands for it.
 2. ProbMinHash: every element of a class's set starts a Poisson process with its weight as rate; an arrival falls into
    a random register and stays there if it is the register's earliest.  Elements whose next arrival is later than the
    latest register's are given up (early termination).  Two sets agree in a register with their probability Jaccard.
 3. Banding: classes that agree in all registers of a band share a bucket.  Buckets with the same members are taken once.
-4. Verification: the members of a bucket are dealt to blocks of at most BLOCK_MEMBERS; each pair of blocks is one
-   group, which counts the shingles that its members share (exact Jaccard of the sets) through sparse products, and
-   returns only a spanning forest of the links found.  No pairs are emitted and no bucket is collected into one task.
+4. Verification: a link is a pair in a bucket whose probability Jaccard, worked out exactly, is at least 0.8.  The
+   members of a bucket are dealt to blocks of at most BLOCK_MEMBERS, each of which is one group and also gets HUBS
+   members of the whole bucket, so that a bucket of near copies needs as many groups as it has blocks.  Only members
+   that are then not connected with most of their bucket are compared with all others of it.
 5. Connected components of the links by star contraction, each round written to the shared folder.
 """
 
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, slices, text_bytes
+from .common import saved, slices, text_bytes, unused
 from .words import mix, shingle_table, word_table
 
 WIDTH, SIMILARITY = 5, 0.8
-#: A pair of similarity 0.8 is missed by all bands with a chance of 5e-8.
+#: A pair of probability Jaccard 0.8 is missed by all bands with a chance of 5e-8.
 BANDS, ROWS = 32, 4
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES, HUBS = 512, 1_000_000, 16
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -40,15 +41,20 @@ def weighted_sets(hashes: np.ndarray, first: np.ndarray, width: int = WIDTH) ->
     """Distinct shingles of each row (sorted by row and hash), their counts, and each row's first."""
     shingles, at = shingle_table(hashes, first, width)
     n = len(at) - 1
-    if n >= 1 << 16:
-        raise ValueError("a slice has fewer than 65536 rows")
     row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(at))
-    # 48 bits of a hash identify a shingle: the row and they fit one number, which is sorted at once
-    both = np.sort(row << np.uint64(48) | shingles >> np.uint64(16))
-    head = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-    count = np.diff(np.append(head, len(both)))
-    both = both[head]
-    return both & np.uint64((1 << 48) - 1), count, np.searchsorted(both >> np.uint64(48), np.arange(n + 1, dtype=np.uint64))
+    # 48 bits of a hash identify a shingle: with a row's number they fit one number, which is sorted at once
+    out: list[tuple] = []
+    for a in range(0, n, 1 << 16):
+        b = min(n, a + (1 << 16))
+        both = np.sort((row[at[a] : at[b]] - np.uint64(a)) << np.uint64(48) | shingles[at[a] : at[b]] >> np.uint64(16))
+        head = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        count = np.diff(np.append(head, len(both)))
+        both = both[head]
+        out.append((both & np.uint64((1 << 48) - 1), count, np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=b - a)))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    elements, count, sizes = (np.concatenate(x) for x in zip(*out, strict=True))
+    return elements, count, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def prob_min_hash(elements: np.ndarray, weight: np.ndarray, first: np.ndarray, registers: int) -> np.ndarray:
@@ -89,9 +95,9 @@ def _sign_batches(key: str, text: str):
             hashes, _, _, first = word_table(data, rows)
             elements, count, at = weighted_sets(hashes, first)
             empty = np.diff(at) == 0
-            a, b = (np.concatenate([[0], np.cumsum(x, dtype=np.uint64)]) for x in (mix(elements), mix(elements ^ np.uint64(0x5851F42D4C957F2D))))
+            a, b = (np.concatenate([[0], np.cumsum(x, dtype=np.uint64)]) for x in (mix(elements + mix(count.astype(np.uint64))), mix(elements ^ mix(count.astype(np.uint64) + np.uint64(1 << 32)))))
             set_a, set_b = a[at[1:]] - a[at[:-1]], b[at[1:]] - b[at[:-1]]
-            owner = prob_min_hash(elements, 1 + np.log(count), at, BANDS * ROWS)
+            owner = prob_min_hash(elements, weights(count), at, BANDS * ROWS)
             band = mix(owner)
             band = band.reshape(len(owner), BANDS, ROWS)
             mixed = np.zeros((len(owner), BANDS), np.uint64)
@@ -104,91 +110,114 @@ def _sign_batches(key: str, text: str):
     return run
 
 
-class _Forest:
-    """Union-find over the members of a group."""
+def weights(count: np.ndarray) -> np.ndarray:
+    """Weights of shingles by how often they occur in a text."""
+    return 1 + np.log(count)
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+def probability_jaccard(e1: np.ndarray, w1: np.ndarray, e2: np.ndarray, w2: np.ndarray) -> float:
+    """The exact probability Jaccard similarity of two weighted sets (distinct elements, positive weights)."""
+    _, i, j = np.intersect1d(e1, e2, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    x, y = w1[i], w2[j]
+    by = np.argsort(-x / y, kind="stable")
+    x, y = x[by], y[by]
+    # for a common element, all others count with max(x_j / x_i, y_j / y_i): the first of the two up to its place
+    x_sum, y_sum = w1.sum() - x.sum() + np.cumsum(x), w2.sum() - np.cumsum(y)
+    return float((1 / (x_sum / x + y_sum / y)).sum())
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
 
-
-def links(texts: pa.Array, side: np.ndarray, threshold: float = SIMILARITY) -> list[tuple[int, int, float]]:
-    """A spanning forest of all pairs whose shingle sets have at least this Jaccard similarity.
-
-    Pairs of rows on different sides 0 and 1, and pairs within side 2, are compared.  Shared shingles are counted by
-    dense products over the shingles that at least two rows have, in slabs of bounded size.
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest member of each row's component under the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def linked(texts: pa.Array, side: np.ndarray, threshold: float = SIMILARITY) -> np.ndarray:
+    """Components of all pairs of texts with at least this probability Jaccard: the smallest row of each row's component.
+
+    Pairs of rows on different sides 0 and 1, and pairs within side 2, are compared.  The Bhattacharyya coefficient of
+    the normalised weights is never below the probability Jaccard: it comes from dense products in slabs of bounded size
+    and leaves few pairs.  Where all weights of a pair are equal it gives the Jaccard similarity at once; the other pairs
+    are worked out one by one, unless they are connected already.
     """
-    sets = []
+    sets, weight = [], []
     for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
         data, rows = text_bytes(part.column("text"))
         hashes, _, _, first = word_table(data, rows)
-        elements, _, at = weighted_sets(hashes, first)
+        elements, count, at = weighted_sets(hashes, first)
         sets += np.split(elements, at[1:-1])
+        weight += np.split(weights(count), at[1:-1])
+    n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(left) or not len(right):
-        return []
+        return np.arange(n)
+    flat = np.array([len(w) > 0 and w.max() == w.min() for w in weight])
+    root = np.concatenate([np.sqrt(w / w.sum()) if len(w) else w for w in weight]).astype(np.float32)
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(size)), size)
+    row = np.repeat(np.arange(n), size)
     kept = count[place] > 1
-    row, place = row[kept], np.unique(place[kept], return_inverse=True)[1]
+    row, place, root = row[kept], np.unique(place[kept], return_inverse=True)[1], root[kept]
     order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
+    row, place, root = row[order], place[order], root[order]
     n_places = int(place[-1]) + 1 if len(place) else 0
-    shared = np.zeros((len(left), len(right)), np.float32)
-    slab = max(256, (8 << 20) // len(size))
+    alike = np.zeros((len(left), len(right)), np.float32)
+    slab = max(256, (8 << 20) // n)
     for a in range(0, n_places, slab):
         lo, hi = np.searchsorted(place, (a, a + slab))
-        m = np.zeros((len(size), min(slab, n_places - a)), np.float32)
-        m[row[lo:hi], place[lo:hi] - a] = 1
-        shared += m[left] @ m[right].T
-    i, j = np.nonzero(shared)
-    both = shared[i, j].astype(np.int64)
+        m = np.zeros((n, min(slab, n_places - a)), np.float32)
+        m[row[lo:hi], place[lo:hi] - a] = root[lo:hi]
+        alike += m[left] @ m[right].T
+    i, j = np.nonzero(alike >= threshold - 1e-3)
+    bound = alike[i, j].astype(np.float64)
     i, j = left[i], right[j]
-    union = size[i] + size[j] - both
-    near = (both >= threshold * union - 1e-9) & ((side[i] != 2) | (i < j))
-    i, j, similar = i[near], j[near], both[near] / union[near]
-    forest, out = _Forest(len(size)), []
-    for k in np.lexsort((j, i, -similar)).tolist():
-        if forest.join(int(i[k]), int(j[k])):
-            out.append((int(i[k]), int(j[k]), float(similar[k])))
-    return out
-
-
-_LINKS = "a long, b long, similarity double"
+    wanted = (side[i] != 2) | (i < j)
+    i, j, bound = i[wanted], j[wanted], bound[wanted]
+    shared = bound * np.sqrt(size[i] * size[j])
+    jaccard = shared / (size[i] + size[j] - shared)
+    even = flat[i] & flat[j]
+    sure = even & (jaccard >= threshold + 1e-3)
+    label = _labels(n, i[sure], j[sure])
+    open_ = np.flatnonzero((~even | (np.abs(jaccard - threshold) < 1e-3)) & (label[i] != label[j]))
+    for k in open_[np.argsort(-bound[open_], kind="stable")].tolist():
+        a, b = sorted((int(label[i[k]]), int(label[j[k]])))
+        if a != b and probability_jaccard(sets[i[k]], weight[i[k]], sets[j[k]], weight[j[k]]) >= threshold - 1e-9:
+            label[label == b] = a
+    return label
 
 
 def _verify(group: pa.Table) -> pa.Table:
-    found = links(group.column("text").combine_chunks() if group.num_rows else pa.array([], pa.string()), group.column("side").to_numpy())
+    """Links (a, b) that connect what is connected in a group: from each node to the smallest of its component."""
+    label = linked(group.column("text").combine_chunks() if group.num_rows else pa.array([], pa.string()), group.column("side").to_numpy())
     names = group.column("node").to_numpy()
-    return pa.table({"a": pa.array([int(min(names[i], names[j])) for i, j, _ in found], pa.int64()), "b": pa.array([int(max(names[i], names[j])) for i, j, _ in found], pa.int64()), "similarity": pa.array([s for _, _, s in found], pa.float64())})
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, names)
+    least = least[label]
+    moved = least != names
+    return pa.table({"a": names[moved], "b": least[moved]})
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, root) for every node of an edge, root the smallest node of its component.
 
-    Alternates the large-star and small-star contractions; each round is written to the shared folder and read back.
+    Alternates the large-star and small-star contractions until all edges are stars; each round is written to the shared
+    folder and read back.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
-    now = saved(now, "edges")
+    now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
-        # the sum identifies the set of edges well enough to see that nothing moved
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before or not state.n:
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("hub")), F.struct(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("hub")))).alias("e")).select("e.*")
+        if ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("hub").alias("hub")).where("leaf > 1 OR (leaf > 0 AND hub > 0)").isEmpty():
             break
-        before = state
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -206,56 +235,90 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def _bucket_members(classes: DataFrame) -> DataFrame:
-    """(node, bucket, blocks): the members of each distinct set of classes that share a band, and its number of blocks."""
+    """(node, n_shingles, bucket, blocks, own): the members of each distinct set of classes that share a band, its number of blocks, and the member's own."""
     banded = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
     banded = banded.select("node", "n_shingles", F.xxhash64("band", "h").alias("bucket"))
     sets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.min("node").alias("least")).where("size > 1")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    once = sets.withColumn("blocks", blocks).groupBy("size", "members", "least", "blocks").agg(F.min("bucket").alias("bucket")).select("bucket", "blocks")
-    return banded.drop("n_shingles").join(once, "bucket")
+    once = sets.withColumn("blocks", _blocks("size", "shingles")).groupBy("size", "members", "least", "blocks").agg(F.min("bucket").alias("bucket")).select("bucket", "blocks")
+    return banded.join(once, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+
+
+def _blocks(members: str, shingles: str):
+    return F.greatest(F.ceil(F.col(members) / BLOCK_MEMBERS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _to(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _first_round(members: DataFrame) -> DataFrame:
+    """(node, bucket, low, high, side): the groups of blocks, each with HUBS members of its bucket."""
+    several = members.where("blocks > 1")
+    order = F.xxhash64(F.col("node") + 1, F.col("bucket"))
+    hubs = several.groupBy("bucket", F.pmod(order, F.lit(HUBS))).agg(F.min(F.struct(order.alias("h"), "node")).alias("hub"), F.first("blocks").alias("blocks"))
+    own = members.select("node", "bucket", "own")
+    spread = hubs.select(F.col("hub.node").alias("node"), "bucket", _to("blocks").alias("own"))
+    # a hub is in its own block already
+    both = own.union(spread.join(several.select("node", "bucket", "own"), ["node", "bucket", "own"], "left_anti"))
+    return both.select("node", "bucket", F.col("own").alias("low"), F.lit(-1).alias("high"), F.lit(2).alias("side"))
+
+
+def _second_round(members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Groups that compare members not connected with most of their bucket with all others of it; None if there are no such members."""
+    placed = members.where("blocks > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    most = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others"), F.sum("s").alias("s")).where("others > 0")
+    most = saved(most.select("bucket", "most", _blocks("others", "s").alias("chunks")), "others")
+    if most.isEmpty():
+        return None
+    placed = placed.join(most, "bucket")
+    few = placed.where("root <> most").withColumn("chunk", F.pmod(F.xxhash64("node", F.col("bucket") + 1), F.col("chunks")).cast("int"))
+    across = few.select("node", "bucket", F.col("chunk").alias("low"), _to("blocks").alias("high"), F.lit(0).alias("side"))
+    rest = placed.where("root = most").select("node", "bucket", _to("chunks").alias("low"), F.col("own").alias("high"), F.lit(1).alias("side"))
+    pairs = few.withColumn("other", _to("chunks"))
+    side = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
+    # high is below zero here, so these groups are others than those above
+    among = pairs.select("node", "bucket", F.least("chunk", "other").alias("low"), (-1 - F.greatest("chunk", "other")).alias("high"), side.alias("side"))
+    return across.union(rest).union(among)
 
 
 def near_links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified links (a, b, similarity) between class nodes; a spanning forest of each block pair's links."""
+    """(node, root): the components of all links between classes, for the nodes that have any."""
     members = saved(_bucket_members(classes), "buckets")
-    own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "node",
-        "bucket",
-        F.least("own", "other").alias("low"),
-        F.greatest("own", "other").alias("high"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
     wanted = classes.join(members.select("node").distinct(), "node").select("node", F.col("key").alias("__k"), F.col("text_hash").alias("__h"))
     source = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     texts = source.join(wanted, (F.col("text_hash") == F.col("__h")) & F.col("key").eqNullSafe(F.col("__k")))
-    rows = dealt.join(texts.select("node", "text").dropDuplicates(["node"]), "node")
-    return rows.groupBy("bucket", "low", "high").applyInArrow(_verify, _LINKS).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    texts = texts.select("node", "text").dropDuplicates(["node"])
+
+    def verified(dealt: DataFrame) -> DataFrame:
+        return dealt.join(texts, "node").groupBy("bucket", "low", "high").applyInArrow(_verify, "a long, b long")
+
+    edges = saved(verified(_first_round(members)), "links")
+    roots = saved(components(edges), "roots")
+    more = _second_round(members, roots)
+    return roots if more is None else saved(components(edges.union(saved(verified(more), "links"))), "roots")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: key, class_id (smallest key of all near copies), n_copies, n_links, n_class, and which stays.
+    """One row for each document: key, class_id (smallest key of all near copies), n_copies, n_class.
 
-    ``n_copies``: documents with the same shingle set; ``n_links``: verified links of that set in the spanning forests;
-    ``n_class``: documents of the class; ``text_hash`` with ``keep_hash``: the document to keep has the class_id as key
-    and both hashes equal.  Texts without words (null and empty ones too) are near copies of nothing: each is a class of
-    its own.  Rows that repeat a key with the same text are copies; a null key is a key like others and the smallest.
-    Other columns are ignored.
+    ``n_copies``: documents with the same weighted set of shingles; ``n_class``: documents of the class; ``text_hash``
+    with ``keep_hash``: the document to keep has the class_id as key and both hashes equal.  Texts without words (null
+    and empty ones too) are near copies of nothing: each is a class of its own.  Texts of any length are taken whole.
+    Rows that repeat a key with the same text are copies; a null key is a key like others and the smallest; an empty
+    table gives an empty one.  Other columns are ignored.
     """
     signs = saved(signed(docs, key, text), "signs")
     worded = signs.where("n_shingles > 0")
     sets = worded.groupBy("set_a", "set_b").agg(F.min(F.struct("key", "text_hash")).alias("first"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = sets.select(F.xxhash64("set_a", "set_b").alias("node"), "set_a", "set_b", "first.key", "first.text_hash", "n_copies", "n_shingles", "bands")
-    classes = saved(classes, "classes")
-    edges = saved(near_links(docs, classes, key, text), "links")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    member = classes.drop("bands").join(components(edges), "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = saved(sets.select(F.xxhash64("set_a", "set_b").alias("node"), "set_a", "set_b", "first.key", "first.text_hash", "n_copies", "n_shingles", "bands"), "classes")
+    roots = near_links(docs, classes, key, text)
+    member = classes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = member.groupBy("root").agg(F.min(F.struct("key", "text_hash")).alias("keep"), F.sum("n_copies").alias("n_class"))
-    member = member.join(whole, "root").select("set_a", "set_b", F.col("keep.key").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_class", F.col("keep.text_hash").alias("keep_hash"))
+    member = member.join(whole, "root").select("set_a", "set_b", F.col("keep.key").alias("class_id"), "n_copies", "n_class", F.col("keep.text_hash").alias("keep_hash"))
     out = worded.select("key", "text_hash", "set_a", "set_b").join(saved(member, "members"), ["set_a", "set_b"]).drop("set_a", "set_b")
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    alone = signs.where("n_shingles = 0").select("key", "text_hash", F.col("key").alias("class_id"), one.alias("n_copies"), none.alias("n_links"), one.alias("n_class"), F.col("text_hash").alias("keep_hash"))
+    one = F.lit(1).cast("long")
+    alone = signs.where("n_shingles = 0").select("key", "text_hash", F.col("key").alias("class_id"), one.alias("n_copies"), one.alias("n_class"), F.col("text_hash").alias("keep_hash"))
     return out.unionByName(alone).withColumnRenamed("key", key)
 
 
@@ -267,9 +330,10 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     found = near_copies(docs.select(key, text), key, text)
     gone = found.where(~(F.col(key).eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("keep_hash")))).select(F.col(key).alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
     several = found.where("n_copies > 1").groupBy(F.col(key).alias("__same"), F.col("text_hash").alias("__same_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hashed = docs.withColumn("__h", F.xxhash64(text))
-    kept = hashed.join(gone, F.col(key).eqNullSafe(F.col("__gone")) & (F.col("__h") == F.col("__gone_hash")), "left_anti")
+    h = unused(docs, "__h")
+    hashed = docs.withColumn(h, F.xxhash64(text))
+    kept = hashed.join(gone, F.col(key).eqNullSafe(F.col("__gone")) & (F.col(h) == F.col("__gone_hash")), "left_anti")
     # rows that repeat key and text are few or none: only they are reduced to one
-    repeated = kept.join(several, F.col(key).eqNullSafe(F.col("__same")) & (F.col("__h") == F.col("__same_hash")), "left_semi").dropDuplicates([key, "__h"])
-    single = kept.join(several, F.col(key).eqNullSafe(F.col("__same")) & (F.col("__h") == F.col("__same_hash")), "left_anti")
+    repeated = kept.join(several, F.col(key).eqNullSafe(F.col("__same")) & (F.col(h) == F.col("__same_hash")), "left_semi").dropDuplicates([key, h])
+    single = kept.join(several, F.col(key).eqNullSafe(F.col("__same")) & (F.col(h) == F.col("__same_hash")), "left_anti")
     return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

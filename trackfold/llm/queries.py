@@ -26,8 +26,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its class of near copies (the smallest doc_id in it), exact copies, links and size of the class."""
-    return nearcopies.near_copies(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "n_class")
+    """Per document: its class of near copies (the smallest doc_id in it), copies of its shingles, and size of the class."""
+    return nearcopies.near_copies(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_class")
 
 
 def op5_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
