@@ -24,6 +24,7 @@ def test_pipeline_equals_a_plain_restatement(spark, tmp_path):
     docs = [d for i, d in enumerate(docs) if cls[i] == d[0]]
     bad = {r[0] for r in contaminated(docs, [(1, bench)]) if r[5]}
     assert 101 in bad
+    spark.conf.set("trackfold.pii.key", "key for trials")
     table, library = surrogates.Surrogates(b"key for trials"), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {}
     for doc, text in docs:
@@ -35,6 +36,19 @@ def test_pipeline_equals_a_plain_restatement(spark, tmp_path):
     assert got == want
 
 
+def test_unlabelled_documents_and_further_columns_are_kept(spark):
+    rows = [(1, "some text", None, "s", 9, "a", 1), (2, "12", None, "s", 2, "b", 2), (3, None, None, "s", 0, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __lang string, __h int")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+    labelled = docs.union(docs.selectExpr("doc_id + 10", "concat(text, 'x')", "'en'", "source", "n_chars", "__lang", "__h"))
+    kept = corpus_pipeline.language(spark, labelled, "")
+    assert kept.columns == docs.columns and {r.doc_id: r["__lang"] for r in kept.collect()} == {1: "a", 11: "a", 12: "b"}
+    for stage in (corpus_pipeline.near_copies, corpus_pipeline.personal_data):
+        out = stage(spark, docs, "")
+        assert out.schema.simpleString() == docs.schema.simpleString() and sorted(r["__h"] for r in out.collect()) == [1, 2, 3]
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,8 +62,11 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The surrogates' key: the session's ``trackfold.pii.key``, or one for trials."""
-    return spark.conf.get("trackfold.pii.key", "key for trials").encode()
+    """The surrogates' key: ``trackfold.pii.key`` of the session.  Where it is unset a random one is made for the session,
+    so that nobody can invert the surrogates; set the key to get the same surrogates in another session."""
+    if not spark.conf.get("trackfold.pii.key", None):
+        spark.conf.set("trackfold.pii.key", secrets.token_hex(32))
+    return spark.conf.get("trackfold.pii.key").encode()
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Personal data replaced by keyed surrogates of the same kind and form.
 
-Numbers, addresses and secrets are permuted by a keyed Feistel network over their own characters: letters stay letters
-of their script and case, digits stay digits, separators stay where they are.  A permutation never maps two entities to
-one, so distinct entities stay distinct and equal ones equal (in any letter case or spacing) with nothing shared between
-tasks; check digits and ranges are kept by walking the permutation's cycle until the result is valid.  Names are drawn
-by a keyed hash from syllables of their script with an ending of their gender; there two names could meet, so the
-corpus' distinct names are checked and the later of two is drawn again.
+Numbers, addresses and secrets are permuted by a keyed cipher over their own characters: letters stay letters of their
+script and case, digits stay digits, separators stay where they are.  The permutation is one cycle through all values,
+so distinct entities stay distinct, equal ones equal (in any letter case or spacing) with nothing shared between tasks,
+and none is its own surrogate; check digits and ranges are kept by walking the cycle until the result is valid.  Names
+are drawn by a keyed hash from syllables of their script with an ending of their gender; there two names could meet, so
+the corpus' distinct names are counted (which decides on the number of syllables) and checked, and the later of two is
+drawn again.
 
 A name is found behind one or several titles, or as a given name of the list before capitalised words; its words are
-then replaced wherever they stand capitalised in the same text, before or after.
+then replaced wherever they stand capitalised in the same text, before or after.  Its gender is that of the given name,
+whatever the title, so that a person has one surrogate; a given name that is not listed gets a form that fits both.
 """
 
 from __future__ import annotations
 
+import datetime
+import functools
 import hashlib
 import re
 import sys
@@ -25,9 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import saved, slices
 
-#: Names that are drawn again, at most (they are broadcast).
+#: Names that are drawn again (they are broadcast): with more, names get another syllable.
 REDRAWN = 100_000
 
 # Characters that are permuted among themselves.
@@ -49,18 +53,36 @@ _SYLLABLES = {
     "greek": "βα βε βι βο γα γε γι γο δα δε δι δο ζα ζε ζι ζο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι σο τα τε τι το".split(),
 }
 _ENDINGS = {"latin": {"f": "lina", "m": "lis", "u": "len", "surname": "rek"}, "cyrillic": {"f": "лина", "m": "лис", "u": "лен", "surname": "рек"}, "greek": {"f": "λινα", "m": "λις", "u": "λεν", "surname": "ρεκ"}}
-# Given names by gender, for names without a title that shows it.
-_GIVEN = {"f": "Anna Maria Mary Jane Emma Laura Julia Sofia Elena Clara Marie Lucia Carmen Ingrid Anne Ольга Анна Мария Елена".split(), "m": "John James Peter Paul Hans Karl Pierre Jean Juan Carlos Luis Michael David Thomas Иван Пётр Сергей Алексей".split()}
+# Given names by gender.
+_GIVEN = {
+    "f": (
+        "Anna Maria Mary Jane Emma Laura Julia Sofia Elena Clara Marie Lucia Carmen Ingrid Anne Elizabeth Susan Jennifer Linda Patricia Barbara Margaret Sarah Karen Nancy Lisa Helen "
+        "Sandra Catherine Emily Olivia Charlotte Sophie Claire Camille Juliette Isabel Ana Pilar Rosa Petra Ursula Monika Katharina Heike Giulia Chiara Francesca Fatima Aisha "
+        "Priya Yuki Agnieszka Katarzyna Ольга Анна Мария Елена Наталья Татьяна Ирина Светлана Μαρία Ελένη Κατερίνα"
+    ).split(),
+    "m": (
+        "John James Peter Paul Hans Karl Pierre Jean Juan Carlos Luis Michael David Thomas Robert William Richard Joseph Charles Daniel Matthew Anthony Steven Andrew Kenneth George "
+        "Edward Brian Kevin Henry Arthur Oliver Jacques François Nicolas Antoine José Miguel Antonio Pablo Jürgen Wolfgang Klaus Stefan Andreas Marco Giovanni Luca Ahmed Mohammed "
+        "Raj Hiroshi Łukasz Piotr Иван Пётр Сергей Алексей Дмитрий Андрей Михаил Владимир Νίκος Γιώργος Δημήτρης"
+    ).split(),
+}
 _GENDER = {n.lower(): g for g, names in _GIVEN.items() for n in names}
 
 _GAP = r"[^\w\n]{1,6}"
 _WORD = r"[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
-_ALL_TITLES = "|".join(_TITLES.values())
+_ALL_TITLES = "|".join(v for t in _TITLES.values() for n in t.split("|") for v in (n, n.upper()))
 _ALL_GIVEN = "|".join(v for names in _GIVEN.values() for n in names for v in (n, n.upper()))
 _UPPER = "[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and (c.isupper() or c.istitle())) + "]"
-_NAME = rf"(?:{_UPPER}{_WORD}|{_UPPER}\.(?=[^\S\n]+{_UPPER}{_WORD}))"
+_CAPITAL = rf"{_UPPER}(?:{_WORD}|(?:[-'’](?!s\b)[^\W\d_]+)+)"
+_NAME = rf"(?:{_CAPITAL}|{_UPPER}\.(?=[^\S\n]+{_UPPER}{_WORD}))"
+#: Hebrew to Burmese, Hangul to Ethiopic, kana to Hangul: letters without case.
+_CASELESS = "[\u05d0-\u109f\u1100-\u139f\u3040-\ud7ff]"
+_BEHIND_TITLE = rf"(?:{_NAME}|{_CASELESS}[^\W\d_]*)"
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_DATE = rf"\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)? (?:{_MONTHS}),? \d{{4}}|(?:{_MONTHS}) \d{{1,2}},? \d{{4}}"
+_STREET = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct"
 ENTITY = re.compile(
-    r"(?P<email>\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>\w[\w.%+-]*@(?:[^\W_][\w-]*\.)+[^\W_][\w-]*)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
@@ -68,11 +90,31 @@ ENTITY = re.compile(
     r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d)\b)[^\w\n]{0,8}[:=][^\w\n]{0,8}(?P<secret>[A-Za-z0-9_+/.=-]{12,})"
     r"|(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"
-    rf"|(?P<title>\b(?:{_ALL_TITLES})\b(?:\.?[^\S\n]+(?:{_ALL_TITLES})\b)*)(?:\.?[^\S\n]+|\.?[^\S\n]*\n[^\S\n]*)(?P<name>{_NAME}(?:[^\S\n]+{_NAME}){{0,2}})"
+    rf"|(?i:\b(?:date of birth|birth ?date|d\.?o\.?b\.?|born(?: on)?)\b\.?)[^\w\n]{{0,4}}(?P<birth>{_DATE})(?!\d)"
+    r"|(?i:\bpassport(?: (?:no|nr|number|id))?\b\.?)[^\w\n]{0,4}(?P<passport>(?=(?:[A-Z]*\d){4})[A-Z0-9]{6,10})\b"
+    rf"|(?P<address>(?<![\w.,-])\d{{1,5}} {_UPPER}{_WORD}(?: {_UPPER}{_WORD})? (?:{_STREET})\b|\b{_UPPER}{_WORD}(?:straße|strasse|gasse|weg) \d{{1,4}}[a-z]?\b)"
+    rf"|(?P<title>\b(?:{_ALL_TITLES})\b(?:\.?[^\S\n]+(?:{_ALL_TITLES})\b)*)(?:\.?[^\S\n]+|\.?[^\S\n]*\n[^\S\n]*)(?P<name>{_BEHIND_TITLE}(?:[^\S\n]+{_BEHIND_TITLE}){{0,2}})"
     rf"|(?P<untitled>\b(?:{_ALL_GIVEN})(?:[^\S\n]+{_NAME}){{1,2}})"
 )
+_NAMED = re.compile(rf"{_ALL_TITLES}|{_ALL_GIVEN}")
 _HINT = re.compile(rf"[0-9@]|AKIA|gh[pousr]_|sk-|xox|eyJ|{_ALL_TITLES}|{_ALL_GIVEN}")
 _ASSIGNED = ("key", "secret", "token", "passw")
+_KINDS = ("email", "ip", "iban", "ssn", "phone", "card", "secret", "key", "birth", "passport", "address", "name", "untitled")
+
+
+def _alphabet(c: str) -> str | None:
+    """The letters that a lower-case or caseless letter is permuted among: a listed alphabet, else those of its kind in its block of 128."""
+    if c in _PLACE:
+        return _PLACE[c][0]
+    if not c.isalpha():
+        return None
+    base, kind = ord(c) & ~127, unicodedata.category(c)
+    return _block(base, kind)
+
+
+@functools.cache
+def _block(base: int, kind: str) -> str:
+    return "".join(x for x in map(chr, range(base, base + 128)) if unicodedata.category(x) == kind and x not in _PLACE)
 
 
 def _may_hold(text: str) -> bool:
@@ -96,35 +138,47 @@ def _iban_ok(text: str) -> bool:
 
 @dataclass
 class Surrogates:
-    """The keyed maps.  ``again``: how many times a (kind, name) is drawn anew."""
+    """The keyed maps.  ``again``: how many times a (kind, name) is drawn anew; ``length``: syllables of a drawn name."""
 
     key: bytes
     again: dict[tuple[str, str], int] = field(default_factory=dict)
     parts: dict[str, list[str]] = field(default_factory=lambda: _SYLLABLES)
+    length: int = 4
+
+    def __post_init__(self) -> None:
+        self._digest = hashlib.blake2b(self.key).digest()  # a key may have any length
 
     def _numbers(self, tweak: bytes, n: int) -> list[int]:
         out: list[int] = []
         k = 0
         while len(out) < n:
-            block = hashlib.blake2b(tweak + k.to_bytes(4, "big"), key=self.key).digest()
+            block = hashlib.blake2b(tweak + k.to_bytes(4, "big"), key=self._digest).digest()
             out += [int.from_bytes(block[i : i + 8], "big") for i in range(0, 64, 8)]
             k += 1
         return out[:n]
 
-    def permute(self, kind: str, values: list[int], radix: list[int]) -> list[int]:
-        """A keyed permutation of all value lists of these radices."""
-        half = len(values) // 2
-        form = f"{kind}|{','.join(map(str, radix))}|".encode()
-        values = list(values)
-        for r in range(8):
+    def _cipher(self, form: bytes, values: list[int], radix: list[int], sign: int) -> list[int]:
+        """A Feistel network over values of these radices, or its inverse."""
+        half, values = len(values) // 2, list(values)
+        for r in range(8)[::sign]:
             own, other = (range(half, len(values)), range(half)) if r % 2 == 0 else (range(half), range(half, len(values)))
             add = self._numbers(form + bytes([r]) + b",".join(str(values[i]).encode() for i in other), len(own))
             for i, a in zip(own, add, strict=True):
-                values[i] = (values[i] + a) % radix[i]
+                values[i] = (values[i] + sign * a) % radix[i]
         return values
 
+    def permute(self, kind: str, values: list[int], radix: list[int]) -> list[int]:
+        """The next of all value lists of these radices in a keyed order: one cycle, so no list stays where it is."""
+        form = f"{kind}|{','.join(map(str, radix))}|".encode()
+        coded = self._cipher(form, values, radix, 1)
+        for i, n in enumerate(radix):
+            coded[i] = (coded[i] + 1) % n
+            if coded[i]:
+                break
+        return self._cipher(form, coded, radix, -1)
+
     def _walk(self, kind: str, values: list[int], radix: list[int], valid=None) -> list[int]:
-        """The first valid result on the permutation's cycle; the values themselves are the last resort."""
+        """The next valid list on the cycle; it is the list itself only if no other is valid."""
         out = self.permute(kind, values, radix)
         while valid and out != values and not valid(out):
             out = self.permute(kind, out, radix)
@@ -135,8 +189,9 @@ class Surrogates:
         low = text.lower()
         if len(low) != len(text):
             low = text
-        at = [i for i, c in enumerate(low) if (c in alphabet if alphabet else c in _PLACE) and not keep(i)]
-        own = [(alphabet, alphabet.index(low[i])) if alphabet else _PLACE[low[i]] for i in at]
+        letters = [(alphabet if c in alphabet else None) if alphabet else _alphabet(c) for c in low]
+        at = [i for i, a in enumerate(letters) if a and not keep(i)]
+        own = [(letters[i], letters[i].index(low[i])) for i in at]
 
         def build(values: list[int]) -> str:
             out = list(text)
@@ -145,8 +200,9 @@ class Surrogates:
                 out[i] = c.upper() if text[i] != low[i] and len(c.upper()) == 1 else c
             return "".join(out)
 
-        values = self._walk(kind, [v for _, v in own], [len(a) for a, _ in own], (lambda v: valid(build(v))) if valid else None)
-        return build(values)
+        # capitals without a counterpart of one character stand as they are, so two forms could meet: walk on
+        sound = lambda v: build(v) != text and (not valid or valid(build(v)))
+        return build(self._walk(kind, [v for _, v in own], [len(a) for a, _ in own], sound)) if own else text
 
     def _digits(self, kind: str, text: str, keep: int = 0, valid=None) -> str:
         """Permute the digits of a text behind the first ``keep``, the same way in any spacing."""
@@ -156,40 +212,40 @@ class Surrogates:
         return "".join(next(it) if c.isdecimal() and c.isascii() else c for c in text)
 
     def syllables(self, kind: str, name: str, ending: str, script: str) -> str:
-        """A drawn name: four syllables, then the ending; in the letter case of the original."""
+        """A drawn name: some syllables, then the ending; in the letter case of the original, which it never is."""
         low = name.lower()
-        (number,) = self._numbers(f"{kind}|{script}|{self.again.get((kind, low), 0)}|{low}".encode(), 1)
-        parts = self.parts[script]
-        out = ""
-        for _ in range(4):
-            number, k = divmod(number, len(parts))
-            out += parts[k]
-        out += ending
+        draw, out = self.again.get((kind, low), 0), low
+        while out == low:
+            (number,) = self._numbers(f"{kind}|{script}|{draw}|{low}".encode(), 1)
+            parts, out = self.parts[script], ""
+            for _ in range(self.length):
+                number, k = divmod(number, len(parts))
+                out += parts[k]
+            out, draw = out + ending, draw + (1 << 32)
         return out.upper() if name.isupper() and len(name) > 1 else out.capitalize()
 
     def name_parts(self, title: str | None, name: str) -> list[tuple[str, str, str]]:
         """(kind, part, surrogate) of each word of a name; the last of several, or one behind a title, is the surname."""
         words = name.split()
-        titles = re.split(r"[.\s]+", title or "")
-        gender = next((g for g in "fm" if not set(titles).isdisjoint(_TITLES[g].split("|"))), "u")
         given = words[:-1] if len(words) > 1 or title else words
-        if gender == "u":
-            gender = next((_GENDER[w.lower()] for w in given if w.lower() in _GENDER), "u")
         out = []
-        for k, w in enumerate(words):
-            kind = "initial" if w.endswith(".") else "surname" if k == len(words) - 1 else "given_" + gender
+        for w in words:
+            kind = "initial" if w.endswith(".") else "surname" if len(out) >= len(given) else "given_" + _GENDER.get(w.lower(), "u")
             out.append((kind, w, self._name_word(kind, w)))
         return out
 
     def _name_word(self, kind: str, word: str) -> str:
         if kind == "initial":
             return self.characters(kind, word)
-        script = next((s for s in ("cyrillic", "greek") if s.upper() in unicodedata.name(word[0], "")), "latin")
+        name = unicodedata.name(word[0], "")
+        script = next((s for s in _ENDINGS if s.upper() in name), None)
+        if script is None:  # of a script without syllables: letters of the same script
+            return self.characters("letters", word)
         return self.syllables(kind, word, _ENDINGS[script][kind.removeprefix("given_")], script)
 
     def _mentions(self, text: str, known: dict[str, str]) -> Iterator[tuple[int, int, str]]:
         """Where words of known names (by kind) stand capitalised in a text, neighbours as one, and their surrogates."""
-        for m in re.finditer(rf"(?<!\w){_UPPER}{_WORD}(?:[^\S\n]+{_UPPER}{_WORD})*", text):
+        for m in re.finditer(rf"(?<!\w){_CAPITAL}(?:[^\S\n]+{_CAPITAL})*", text):
             run: list[re.Match] = []
             for w in [*re.finditer(_WORD, m[0]), None]:
                 if w is not None and w[0].lower() in known:
@@ -198,6 +254,44 @@ class Surrogates:
                     a, b = run[0].start(), run[-1].end()
                     yield m.start() + a, m.start() + b, re.sub(_WORD, lambda x: self._name_word(known[x[0].lower()], x[0]), m[0][a:b])
                     run = []
+        # names without case stand anywhere in a run, as such scripts need no spaces
+        if caseless := sorted((w for w in known if re.match(_CASELESS, w) and len(w) > 1), key=len, reverse=True):
+            for m in re.finditer("|".join(map(re.escape, caseless)), text):
+                yield m.start(), m.end(), self._name_word(known[m[0]], m[0])
+
+    def _date(self, text: str) -> str:
+        """Another date in the same form; years stay within 1900 to 2029."""
+        month = re.search(_MONTHS, text)
+
+        def parts(t: str) -> tuple[int, int, int]:
+            if month:
+                day, year = (int(x) for x in re.findall(r"\d+", t))
+                return year, 1 + _MONTHS.split("|").index(month[0]), day
+            a, b, c = (int(x) for x in re.findall(r"\d+", t))
+            return (a, b, c) if len(t.split("-")[0]) == 4 else (c, b, a)
+
+        def dated(digits: str) -> bool:
+            it = iter(digits)
+            year, m, day = parts("".join(next(it) if c.isdecimal() else c for c in text))
+            try:
+                datetime.date(year, m, day)
+            except ValueError:
+                # 3/25/1980: the month may come first
+                try:
+                    datetime.date(year, day, m)
+                except ValueError:
+                    return False
+            return 1900 <= year < 2030
+
+        digits = re.sub(r"\D", "", text)
+        year = digits[:4] if text[:4].isdecimal() else digits[-4:]
+        rest = digits[4:] if text[:4].isdecimal() else digits[:-4]
+        whole = (lambda y, r: y + r) if text[:4].isdecimal() else (lambda y, r: r + y)
+        # the day and month, then the year: each is walked to a valid one by itself
+        new = self.characters("day", rest, valid=lambda r: dated(whole("2000", r)))
+        new_year = self.characters("year", year, valid=lambda y: dated(whole(y, new)))
+        it = iter(whole(new_year, new))
+        return "".join(next(it) if c.isdecimal() else c for c in text)
 
     def of(self, kind: str, text: str, title: str | None = None) -> str | None:
         """The surrogate of an entity, None if the text is none after all (a number without its check digit)."""
@@ -215,7 +309,7 @@ class Surrogates:
             plain = text.replace(" ", "")
             if not _iban_ok(plain):
                 return None
-            new = plain[:2] + "00" + self.characters("iban", plain[4:].lower()).upper()
+            new = plain[:2] + "00" + self.characters("iban", plain[4:].lower()).upper()  # another account, hence another number
             check = 98 - int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97
             it = iter(f"{new[:2]}{check:02d}{new[4:]}")
             return "".join(c if c == " " else next(it) for c in text)
@@ -232,6 +326,16 @@ class Surrogates:
                 new = self.characters("hex", text.lower(), _HEX)
                 return new.upper() if text.isupper() else new
             return text[:front] + self.characters("secret", text[front:])
+        if kind == "birth":
+            return self._date(text)
+        if kind == "passport":
+            return self.characters("passport", text)
+        if kind == "address":
+            parts = re.fullmatch(rf"(?:(?P<n>\d+) (?P<a>.+?) (?P<s>{_STREET})|(?P<b>.+?)(?P<t>straße|strasse|gasse|weg) (?P<m>\d+)(?P<x>[a-z]?))", text)
+            number = parts["n"] or parts["m"]
+            number = self.characters("house", number, valid=lambda t: t[0] != "0")
+            named = " ".join(self._name_word("surname", w) for w in (parts["a"] or parts["b"]).split(" "))
+            return f"{number} {named} {parts['s']}" if parts["n"] else f"{named}{parts['t']} {number}{parts['x']}"
         new = iter([s for _, _, s in self.name_parts(title, text)])
         return re.sub(r"\S+", lambda _: next(new), text)
 
@@ -243,7 +347,7 @@ class Surrogates:
         mentions: list[tuple[int, int, str, str]] = []
         known: dict[str, str] = {}
         for m in ENTITY.finditer(text):
-            group = next(k for k in ("email", "ip", "iban", "ssn", "phone", "card", "secret", "key", "name", "untitled") if m[k] is not None)
+            group = next(k for k in _KINDS if m[k] is not None)
             kind = "name" if group == "untitled" else group
             new = self.of(kind, m[group], m["title"])
             if new is None:
@@ -270,7 +374,7 @@ def drawn_names(docs: DataFrame, surrogates: Surrogates, text: str = "text") ->
         for batch in slices(batches, text):
             rows = set()
             for t in batch.column(text).to_pylist():
-                for m in ENTITY.finditer(t) if t and re.search(rf"{_ALL_TITLES}|{_ALL_GIVEN}", t) else ():
+                for m in ENTITY.finditer(t) if t and _NAMED.search(t) else ():
                     if name := m["name"] or m["untitled"]:
                         rows |= {(kind, part.lower(), new.lower()) for kind, part, new in surrogates.name_parts(m["title"], name) if kind != "initial"}
             if rows:
@@ -280,28 +384,43 @@ def drawn_names(docs: DataFrame, surrogates: Surrogates, text: str = "text") ->
 
 
 def without_collisions(docs: DataFrame, key: bytes, text: str = "text", parts: dict[str, list[str]] | None = None) -> Surrogates:
-    """Surrogates under which no two names of the corpus share one: of names that do, all but the first are drawn again."""
+    """Surrogates under which no two names of the corpus share one: of names that do, all but the first are drawn again.
+
+    Names get so many syllables that of the corpus' n names n * n / (2 * 40 ** syllables), the expected number of those
+    that meet, is small; only names that meet come to the driver, and if there are more than REDRAWN, names get longer.
+    """
     surrogates = Surrogates(key, {}, parts or _SYLLABLES)
+    known = saved(drawn_names(docs, surrogates, text).select("kind", "name"), "names")
+    n = known.count()
+    while not parts and n * n / (2 * 40**surrogates.length) > 1000:
+        surrogates = Surrogates(key, {}, surrogates.parts, surrogates.length + 1)
     while True:
-        order = Window.partitionBy("kind", "surrogate").orderBy("name")
-        names = drawn_names(docs, surrogates, text)
-        twice = names.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("kind", "surrogate")
-        later = names.join(twice, ["kind", "surrogate"]).withColumn("n", F.row_number().over(order)).where("n > 1").select("kind", "name").limit(REDRAWN + 1).collect()
+        shared = known.sparkSession.sparkContext.broadcast(surrogates)
+
+        def draw(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds, names = (batch.column(c).to_pylist() for c in ("kind", "name"))
+                new = [shared.value._name_word(k, w.capitalize()).lower() for k, w in zip(kinds, names, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("name"), pa.array(new, pa.string())], names=["kind", "name", "surrogate"])
+
+        drawn = known.mapInArrow(draw, "kind string, name string, surrogate string")
+        order = Window.partitionBy("surrogate").orderBy("kind", "name")
+        later = drawn.withColumn("n", F.row_number().over(order)).where("n > 1").select("kind", "name").limit(REDRAWN + 1).collect()
+        shared.destroy()
         if not later:
             return surrogates
         again = dict(surrogates.again)
         for kind, name in later:
             again[kind, name] = again.get((kind, name), 0) + 1
-        if len(again) > REDRAWN:
-            raise ValueError("too many names meet: give names more syllables")
-        surrogates = Surrogates(key, again, surrogates.parts)
+        longer = len(again) > REDRAWN
+        surrogates = Surrogates(key, {} if longer else again, surrogates.parts, surrogates.length + longer)
 
 
 def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", kinds: str = "pii_kinds", count: str = "pii_count", parts: dict[str, list[str]] | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``, the sorted kinds found (comma-joined) and their number.
 
     Null and empty texts stay as they are with 0 entities; repeated rows change alike; texts of any length are searched
-    whole.  Columns of the names ``kinds`` and ``count`` are replaced, all others stay.
+    whole; an empty table gives an empty one.  Columns of the names ``kinds`` and ``count`` are replaced, all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(without_collisions(docs, key, text, parts))
     keep = [c for c in docs.columns if c not in (kinds, count)]
