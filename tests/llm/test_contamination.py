@@ -62,11 +62,63 @@ def test_report_equals_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == clean
 
 
-def test_longest_match_and_place(spark):
-    docs = [(1, "zero " + " ".join(f"w{i}" for i in range(5, 30)) + " end")]
-    items = [(9, " ".join(f"w{i}" for i in range(40)))]
-    row = contamination.contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).first()
-    assert (row.longest_match, row.longest_doc_word, row.longest_item, row.longest_item_word) == (25, 1, "9", 5)
+def longest(docs, items, width=13):
+    """Brute force: (doc, [(doc_word, n_words, item, item_word)]) of all maximal matches that hold a window."""
+    out = {}
+    every = [(str(k), words(t)) for k, t in items]
+    for doc, text in docs:
+        w, best = words(text), {}
+        for i in range(len(w)):
+            for name, v in every:
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n and (n >= width or (j == 0 and n == len(v))):
+                        best.setdefault(i, []).append((i, n, name, j))
+        # the length at a place is that of the longest match with any part of an item, where a window begins
+        full = {}
+        for i in best:
+            full[i] = max(next((n for n in range(min(len(w) - i, len(v) - j), 0, -1) if w[i : i + n] == v[j : j + n]), 0) for _, v in every for j in range(len(v)))
+        found = []
+        for i, n in full.items():
+            if full.get(i - 1) != n + 1:
+                found += [(i, n, name, j) for name, v in every for j in range(len(v)) if v[j : j + n] == w[i : i + n]]
+        out.setdefault(doc, []).append(sorted(found))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_longest_matches_and_places(spark):
+    passage = [f"w{i}" for i in range(60)]
+    items = [(9, " ".join(passage)), (10, "x " + " ".join(passage[5:45])), (11, "one two three"), (12, " ".join(["q r"] * 10))]
+    docs = [(k, f"zero{k} " + " ".join(passage[5 + k : 46 + k]) + f" end{k} one two three") for k in range(4)]
+    docs += [(k, " ".join(passage[5:45]) + " and more") for k in range(10, 14)] + [(20, " ".join(["q r"] * 13)), (21, "one two"), (22, None)]
+    report = contamination.contamination_report(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: r for r in report.collect()}
+    want = longest(docs, items)
+    for k, r in got.items():
+        assert [sorted(tuple(m) for m in r.matches)] == want[k], k
+        assert r.longest_match == max((m[1] for m in want[k][0]), default=0)
+    assert got[10].longest_match == 40 and {m.item for m in got[10].matches} == {"9", "10"}
+
+
+def test_a_benchmark_of_many_blocks(spark):
+    """30 MB in four blocks; one item is larger than a block."""
+    passage = [f"p{i}" for i in range(50)]
+    filler = lambda k, n: " ".join(f"f{k}x{i}" for i in range(n))
+    items = [(k, filler(k, 60000)) for k in range(30)] + [(100, filler(100, 900000)), (101, " ".join(passage))]
+    assert sum(len(t) for _, t in items) > 27e6 and len(items[30][1]) > contamination.BLOCK_BYTES
+    parts = list(contamination._parts(*items[30], 13))
+    assert len(parts) > 1 and max(len(p[1]) for p in parts) <= contamination.BLOCK_BYTES
+    border = parts[1][2]
+    big = items[30][1].split()
+    docs = [(k, "start " + " ".join(items[k][1].split()[100:120]) + " end") for k in range(30)]
+    docs += [(50, " ".join(big[border - 20 : border + 40])), (51, " ".join(passage)), (51, " ".join(passage)), (52, "nothing here"), (53, None), (54, " ".join(passage[:30]) + " gap " + " ".join(items[3][1].split()[7:27]))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated, r.longest_match) for r in contamination.contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), b).collect())
+    want = [(k, 22, 20, 1, True, 20) for k in range(30)] + [(51, 50, 50, 1, True, 50)] * 2 + [(52, 2, 0, 0, False, 0), (53, 0, 0, 0, False, 0), (54, 51, 50, 2, True, 30)]
+    assert [g for g in got if g[0] != 50] == want
+    assert [g[1:5] for g in got if g[0] == 50] == [(60, 60, 1, True)]
 
 
 def test_empty_tables(spark):
