@@ -9,7 +9,8 @@
 4. Verification: a link is a pair in a bucket whose probability Jaccard, worked out exactly, is at least 0.8.  The
    members of a bucket are dealt to blocks of at most BLOCK_MEMBERS, each of which is one group and also gets HUBS
    members of the whole bucket, so that a bucket of near copies needs as many groups as it has blocks.  Only members
-   that are then not connected with most of their bucket are compared with all others of it.
+   that are then not connected with most of their bucket are compared with the rest: with the component that most of
+   the bucket is in (once, not once for each bucket), and with each other.
 5. Connected components of the links by star contraction, each round written to the shared folder.
 """
 
@@ -235,12 +236,12 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def _bucket_members(classes: DataFrame) -> DataFrame:
-    """(node, n_shingles, bucket, blocks, own): the members of each distinct set of classes that share a band, its number of blocks, and the member's own."""
+    """(node, bucket, blocks, own): the members of each distinct set of classes that share a band, its number of blocks, and the member's own."""
     banded = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
     banded = banded.select("node", "n_shingles", F.xxhash64("band", "h").alias("bucket"))
     sets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.min("node").alias("least")).where("size > 1")
     once = sets.withColumn("blocks", _blocks("size", "shingles")).groupBy("size", "members", "least", "blocks").agg(F.min("bucket").alias("bucket")).select("bucket", "blocks")
-    return banded.join(once, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    return banded.drop("n_shingles").join(once, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
 
 
 def _blocks(members: str, shingles: str):
@@ -263,19 +264,28 @@ def _first_round(members: DataFrame) -> DataFrame:
     return both.select("node", "bucket", F.col("own").alias("low"), F.lit(-1).alias("high"), F.lit(2).alias("side"))
 
 
-def _second_round(members: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Groups that compare members not connected with most of their bucket with all others of it; None if there are no such members."""
-    placed = members.where("blocks > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    most = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others"), F.sum("s").alias("s")).where("others > 0")
-    most = saved(most.select("bucket", "most", _blocks("others", "s").alias("chunks")), "others")
-    if most.isEmpty():
+def _second_round(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Groups that compare members not connected with most of their bucket with the rest; None if there are no such members."""
+    placed = members.where("blocks > 1").select("node", "bucket").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "most")
+    few = placed.join(most, "bucket").where("root <> most").join(classes.select("node", "n_shingles"), "node")
+    few = saved(few.select("node", "bucket", "most", "n_shingles"), "others")
+    if few.isEmpty():
         return None
-    placed = placed.join(most, "bucket")
-    few = placed.where("root <> most").withColumn("chunk", F.pmod(F.xxhash64("node", F.col("bucket") + 1), F.col("chunks")).cast("int"))
-    across = few.select("node", "bucket", F.col("chunk").alias("low"), _to("blocks").alias("high"), F.lit(0).alias("side"))
-    rest = placed.where("root = most").select("node", "bucket", _to("chunks").alias("low"), F.col("own").alias("high"), F.lit(1).alias("side"))
-    pairs = few.withColumn("other", _to("chunks"))
+
+    def dealt(rows: DataFrame, by: str, count: str, own: str) -> DataFrame:
+        """Rows with the number of blocks of their group, and their own block."""
+        n = rows.groupBy(by).agg(F.count("*").alias("__n"), F.sum("n_shingles").alias("__s")).select(by, _blocks("__n", "__s").alias(count))
+        return rows.join(n, by).withColumn(own, F.pmod(F.xxhash64("node", F.col(by) + 1), F.col(count)).cast("int"))
+
+    left = dealt(few.select("node", "most", "n_shingles").distinct(), "most", "chunks", "chunk")
+    wanted = left.select("most", "chunks").distinct()
+    whole = roots.union(wanted.select(F.col("most").alias("node"), F.col("most").alias("root"))).distinct().join(wanted.select("most"), F.col("root") == F.col("most"))
+    right = dealt(whole.select("node", "most").join(classes.select("node", "n_shingles"), "node"), "most", "blocks", "own")
+    sizes = right.select("most", "blocks").distinct()
+    across = left.join(sizes, "most").select("node", F.col("most").alias("bucket"), F.col("chunk").alias("low"), _to("blocks").alias("high"), F.lit(0).alias("side"))
+    rest = right.join(wanted, "most").select("node", F.col("most").alias("bucket"), _to("chunks").alias("low"), F.col("own").alias("high"), F.lit(1).alias("side"))
+    pairs = dealt(few.select("node", "bucket", "n_shingles"), "bucket", "chunks", "chunk").withColumn("other", _to("chunks"))
     side = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
     # high is below zero here, so these groups are others than those above
     among = pairs.select("node", "bucket", F.least("chunk", "other").alias("low"), (-1 - F.greatest("chunk", "other")).alias("high"), side.alias("side"))
@@ -295,7 +305,7 @@ def near_links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: s
 
     edges = saved(verified(_first_round(members)), "links")
     roots = saved(components(edges), "roots")
-    more = _second_round(members, roots)
+    more = _second_round(members, roots, classes)
     return roots if more is None else saved(components(edges.union(saved(verified(more), "links"))), "roots")
 
 
