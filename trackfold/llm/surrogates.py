@@ -70,8 +70,19 @@ _GENDER = {n.lower(): g for g, names in _GIVEN.items() for n in names}
 
 _GAP = r"[^\w\n]{1,6}"
 _WORD = r"[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
-_ALL_TITLES = "|".join(v for t in _TITLES.values() for n in t.split("|") for v in (n, n.upper()))
-_ALL_GIVEN = "|".join(v for names in _GIVEN.values() for n in names for v in (n, n.upper()))
+
+
+def _any(words: list[str]) -> str:
+    """A pattern of all words, parted by their first letters."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())
+
+
+_TITLE_WORDS = [v for t in _TITLES.values() for n in t.split("|") for v in (n, n.upper())]
+_GIVEN_WORDS = [v for names in _GIVEN.values() for n in names for v in (n, n.upper())]
+_ALL_TITLES, _ALL_GIVEN = _any(_TITLE_WORDS), _any(_GIVEN_WORDS)
 _UPPER = "[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and (c.isupper() or c.istitle())) + "]"
 _CAPITAL = rf"{_UPPER}(?:{_WORD}|(?:[-'’](?!s\b)[^\W\d_]+)+)"
 _NAME = rf"(?:{_CAPITAL}|{_UPPER}\.(?=[^\S\n]+{_UPPER}{_WORD}))"
@@ -81,25 +92,60 @@ _BEHIND_TITLE = rf"(?:{_NAME}|{_CASELESS}[^\W\d_]*)"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 _DATE = rf"\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)? (?:{_MONTHS}),? \d{{4}}|(?:{_MONTHS}) \d{{1,2}},? \d{{4}}"
 _STREET = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct"
-ENTITY = re.compile(
-    r"(?P<email>\w[\w.%+-]*@(?:[^\W_][\w-]*\.)+[^\W_][\w-]*)"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
-    rf"|(?P<phone>(?<![\w+])\+\d{{1,3}}(?:{_GAP}\d{{2,4}}){{2,5}}(?!\d)|(?<![\w(])\(\d{{3}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|(?<!\d)\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?!\d)|(?<![\w+])\+\d{{9,15}}(?!\d))"
-    r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
-    r"|(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d)\b)[^\w\n]{0,8}[:=][^\w\n]{0,8}(?P<secret>[A-Za-z0-9_+/.=-]{12,})"
-    r"|(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"
-    rf"|(?i:\b(?:date of birth|birth ?date|d\.?o\.?b\.?|born(?: on)?)\b\.?)[^\w\n]{{0,4}}(?P<birth>{_DATE})(?!\d)"
-    r"|(?i:\bpassport(?: (?:no|nr|number|id))?\b\.?)[^\w\n]{0,4}(?P<passport>(?=(?:[A-Z]*\d){4})[A-Z0-9]{6,10})\b"
-    rf"|(?P<address>(?<![\w.,-])\d{{1,5}} {_UPPER}{_WORD}(?: {_UPPER}{_WORD})? (?:{_STREET})\b|\b{_UPPER}{_WORD}(?:straße|strasse|gasse|weg) \d{{1,4}}[a-z]?\b)"
-    rf"|(?P<title>\b(?:{_ALL_TITLES})\b(?:\.?[^\S\n]+(?:{_ALL_TITLES})\b)*)(?:\.?[^\S\n]+|\.?[^\S\n]*\n[^\S\n]*)(?P<name>{_BEHIND_TITLE}(?:[^\S\n]+{_BEHIND_TITLE}){{0,2}})"
-    rf"|(?P<untitled>\b(?:{_ALL_GIVEN})(?:[^\S\n]+{_NAME}){{1,2}})"
-)
-_NAMED = re.compile(rf"{_ALL_TITLES}|{_ALL_GIVEN}")
-_HINT = re.compile(rf"[0-9@]|AKIA|gh[pousr]_|sk-|xox|eyJ|{_ALL_TITLES}|{_ALL_GIVEN}")
+#: Patterns of entities in the order in which they are tried; the parts with a hint are left out of texts without it.
+_PATTERNS = {
+    "numbers": "|".join([
+        r"(?P<email>\w[\w.%+-]*@(?:[^\W_][\w-]*\.)+[^\W_][\w-]*)",
+        r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))",
+        r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
+        r"(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))",
+        rf"(?P<phone>(?<![\w+])\+\d{{1,3}}(?:{_GAP}\d{{2,4}}){{2,5}}(?!\d)|(?<![\w(])\(\d{{3}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|(?<!\d)\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?!\d)|(?<![\w+])\+\d{{9,15}}(?!\d))",
+        r"(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))",
+        r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d)\b)[^\w\n]{0,8}[:=][^\w\n]{0,8}(?P<secret>[A-Za-z0-9_+/.=-]{12,})",
+        r"(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))",
+    ]),
+    "papers": "|".join([
+        rf"(?i:\b(?:date of birth|birth ?date|d\.?o\.?b\.?|born(?: on)?)\b\.?)[^\w\n]{{0,4}}(?P<birth>{_DATE})(?!\d)",
+        r"(?i:\bpassport(?: (?:no|nr|number|id))?\b\.?)[^\w\n]{0,4}(?P<passport>(?=(?:[A-Z]*\d){4})[A-Z0-9]{6,10})\b",
+    ]),
+    "addresses": (
+        rf"(?P<address>(?<![\w.,-])\d{{1,5}} {_UPPER}{_WORD}(?: {_UPPER}{_WORD})? (?:{_STREET})\b|\b{_UPPER}{_WORD}(?:straße|strasse|gasse|weg) \d{{1,4}}[a-z]?\b)"
+    ),
+    "names": "|".join([
+        rf"(?P<title>\b(?:{_ALL_TITLES})\b(?:\.?[^\S\n]+(?:{_ALL_TITLES})\b)*)(?:\.?[^\S\n]+|\.?[^\S\n]*\n[^\S\n]*)(?P<name>{_BEHIND_TITLE}(?:[^\S\n]+{_BEHIND_TITLE}){{0,2}})",
+        rf"(?P<untitled>\b(?:{_ALL_GIVEN})(?:[^\S\n]+{_NAME}){{1,2}})",
+    ]),
+}
+_LETTERS = re.compile(r"[^\W\d_]+")
+_NAME_WORDS = frozenset(w for n in (*_TITLE_WORDS, *_GIVEN_WORDS) for w in _LETTERS.findall(n))
+_STREET_WORDS = frozenset(_STREET.split("|"))
+_STREET_ENDS = ("straße", "strasse", "gasse", "weg")
+_DIGIT, _KEY = re.compile(r"[\d@]"), re.compile(r"gh[pousr]_|sk-|xox|eyJ")
+
+
+@functools.cache
+def _pattern(parts: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(_PATTERNS[p] for p in parts))
+
+
+def entities(text: str) -> Iterator[re.Match]:
+    """Matches of all patterns, leftmost first; patterns whose hint is not in the text cannot match and are not tried."""
+    low = text.lower()
+    parts = []
+    digit = _DIGIT.search(text) is not None
+    if digit or any(w in low for w in _ASSIGNED) or "AKIA" in text or _KEY.search(text):
+        parts.append("numbers")
+    if digit and any(w in low for w in ("birth", "born", "dob", "d.o", "passport")):
+        parts.append("papers")
+    words = set(_LETTERS.findall(text))
+    if digit and (not words.isdisjoint(_STREET_WORDS) or any(w in text for w in _STREET_ENDS)):
+        parts.append("addresses")
+    if not words.isdisjoint(_NAME_WORDS):
+        parts.append("names")
+    return _pattern(tuple(parts)).finditer(text) if parts else iter(())
+
+
 _ASSIGNED = ("key", "secret", "token", "passw")
-_KINDS = ("email", "ip", "iban", "ssn", "phone", "card", "secret", "key", "birth", "passport", "address", "name", "untitled")
 
 
 def _alphabet(c: str) -> str | None:
@@ -117,11 +163,6 @@ def _block(base: int, kind: str) -> str:
     return "".join(x for x in map(chr, range(base, base + 128)) if unicodedata.category(x) == kind and x not in _PLACE)
 
 
-def _may_hold(text: str) -> bool:
-    """A quick test that no text with an entity fails."""
-    return _HINT.search(text) is not None or any(w in low for low in (text.lower(),) for w in _ASSIGNED)
-
-
 def luhn(digits: str) -> bool:
     """Whether the last digit of a number is its check digit."""
     total = 0
@@ -341,20 +382,19 @@ class Surrogates:
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
         """The text with surrogates, and the (kind, entity, surrogate) found in it, in order; then further mentions of its names, in order."""
-        if not _may_hold(text):
-            return text, []
         spans: list[tuple[int, int, str, str]] = []
         mentions: list[tuple[int, int, str, str]] = []
         known: dict[str, str] = {}
-        for m in ENTITY.finditer(text):
-            group = next(k for k in _KINDS if m[k] is not None)
+        for m in entities(text):
+            found = {k: v for k, v in m.groupdict().items() if v is not None}
+            group = next(k for k in found if k != "title")
             kind = "name" if group == "untitled" else group
-            new = self.of(kind, m[group], m["title"])
+            new = self.of(kind, m[group], found.get("title"))
             if new is None:
                 continue
             spans.append((m.start(group), m.end(group), kind, new))
             if kind == "name":
-                for part, word, _ in self.name_parts(m["title"], m[group]):
+                for part, word, _ in self.name_parts(found.get("title"), m[group]):
                     if part != "initial":
                         known.setdefault(word.lower(), part)
         if known:
@@ -374,9 +414,10 @@ def drawn_names(docs: DataFrame, surrogates: Surrogates, text: str = "text") ->
         for batch in slices(batches, text):
             rows = set()
             for t in batch.column(text).to_pylist():
-                for m in ENTITY.finditer(t) if t and _NAMED.search(t) else ():
-                    if name := m["name"] or m["untitled"]:
-                        rows |= {(kind, part.lower(), new.lower()) for kind, part, new in surrogates.name_parts(m["title"], name) if kind != "initial"}
+                for m in entities(t) if t else ():
+                    found = m.groupdict()
+                    if name := found.get("name") or found.get("untitled"):
+                        rows |= {(kind, part.lower(), new.lower()) for kind, part, new in surrogates.name_parts(found["title"], name) if kind != "initial"}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(rows), strict=True)], names=["kind", "name", "surrogate"])
 
