@@ -44,10 +44,9 @@ def test_scores_equal_a_plain_restatement(spark, model):
     for r in out:
         w = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", lines[r.n].lower())
         grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
-        if not any(c in lines[r.n].lower() for c in licences.CUES):
+        if not any(c in lines[r.n].lower() for c in licences.needed_words()):
             assert r.p is None
             continue
-        grams = {g for g in grams if any(c in g for c in licences.CUES)}
         logit = [(model.intercepts[k] + sum(weight.get((g, k), 0) for g in grams)) / model.temperature for k in range(len(model.classes))]
         p = [math.exp(x - max(logit)) for x in logit]
         assert abs(r.p - max(p) / sum(p)) < 1e-9
@@ -103,3 +102,35 @@ def test_wrapped_notices_and_short_statements(spark):
     assert {k: r.families for k, r in got.items()} == {k: want for k, _, want in rows}
     assert [(got[k].n_stated, got[k].n_unknown) for k in (3, 4, 12, 13)] == [(1, 0)] * 4
     assert [got[k].n_stated for k in (1, 9, 10)] == [2, 2, 3]
+
+
+def test_no_text_that_can_be_confirmed_lacks_the_needed_words():
+    """For every template: the trigrams that can stand in a text without needed words are too few."""
+    needed = licences.needed_words()
+    assert "the" not in needed and len(needed) < 80
+    for notice in (t for ts in licences.TEMPLATES.values() for t in ts):
+        grams = licences._notice_grams(notice)
+        without = [g for g in grams if not any(w in g for w in needed)]
+        assert len(without) < licences.CONFIRM * len(grams), notice
+
+
+def test_whole_result_equals_a_plain_restatement(spark, model):
+    """Families of one-line paragraphs by the rule alone: the likeliest class, sure enough, confirmed by a template."""
+    import math
+    import re
+
+    texts = [t for _, t, _ in licences.training_rows()][::11] + ["See the MIT page", "a gnu", "plain words", "reserved seats", "GNU General Public"]
+    out = {r.doc_id: r.families for r in licences.licence_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    weight: dict = {}
+    for g, k, w in model.weights:
+        weight[g, k] = w
+    for n, t in enumerate(texts):
+        w = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())
+        grams = {" ".join(w[i : i + m]) for m in (1, 2, 3) for i in range(len(w) - m + 1)}
+        logit = [(model.intercepts[k] + sum(weight.get((g, k), 0) for g in grams)) / model.temperature for k in range(len(model.classes))]
+        p = [math.exp(x - max(logit)) for x in logit]
+        k = p.index(max(p))
+        family = model.classes[k]
+        share = max((len(set(licences._notice_grams(x)) & grams) / len(licences._notice_grams(x)) for x in licences.TEMPLATES.get(family, [])), default=0)
+        sure = family != licences.UNKNOWN and p[k] / sum(p) >= model.threshold and share >= licences.CONFIRM
+        assert out[n] == (family if sure else ""), t

@@ -2,11 +2,11 @@
 
 Only DataFrame functions and Spark's own learner are used.  A paragraph is the text between lines without a letter or
 digit.  It is judged as a whole, so that a notice may be wrapped over lines; its sentences of several lines and its
-lines are judged too, so that it may state several families.  The features are word n-grams (one to three words) that
-hold a cue (a stem such as ``licen``); a text without any cue has no feature at all, so it is unknown and need not be
-scored.  The model is a multinomial regression with an L1 penalty over the families and an
-unknown class, fitted on variants of the template notices and on near misses; a temperature and a threshold are chosen
-on variants that were held out.  A predicted family is accepted if enough of a template's word trigrams are in the text.
+lines are judged too, so that it may state several families.  The features are all word n-grams (one to three words).
+The model is a multinomial regression with an L1 penalty over the families and an unknown class, fitted on variants of
+the template notices and on near misses; a temperature and a threshold are chosen on variants that were held out.  A
+predicted family is accepted if at least CONFIRM of a template's word trigrams are in the text.  That rule decides what
+need not be scored: a text without any of the words of ``needed_words`` lacks too many trigrams of every template.
 """
 
 from __future__ import annotations
@@ -25,9 +25,6 @@ CONFIRM = 0.6
 BLANK = r"\n[^\p{L}\p{N}]*\n"
 SENTENCE = r"(?<=[.!?;:])\s+(?=\p{Lu}|[^\p{L}\p{N}\s])"
 
-# Stems that every feature holds.
-CUES = "licen copyright apache gnu gpl bsd mozilla mpl creative commons unlicense redistribut warrant spdx cc0 cc-by by-nc by-sa by-nd noncommercial reserved permission sublicens".split()
-
 # Notices by family.
 TEMPLATES = {
     "apache-2.0": [
@@ -162,34 +159,37 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), 0)
 
 
-def _has_cue(text: Column) -> Column:
-    found = F.lit(False)
-    for cue in CUES:
-        found = found | F.contains(text, F.lit(cue))
-    return found
+#: Words too common, in some language, to be looked for.
+COMMON = frozenset("the of and or to in is a by under this for with any all mit on at it be as not can you see are".split())
 
 
-def _may_have_cue(text: Column) -> Column:
-    """A quick test that no text with a cue fails, also if the cue's words are on two lines."""
+def needed_words() -> list[str]:
+    """Words of which every text that can be confirmed has at least one.
+
+    For each template so many words are taken that the trigrams without any of them are less than CONFIRM of all.
+    """
+    taken: list[str] = []
+    for notice in (t for ts in TEMPLATES.values() for t in ts):
+        grams = [g.split() for g in _notice_grams(notice)]
+        left = [g for g in grams if not any(w in taken for w in g)]
+        while len(left) >= CONFIRM * len(grams):
+            every = {w for g in left for w in g}
+            words_ = [w for w in every if w not in COMMON] or list(every)
+            word = max(words_, key=lambda w: (sum(w in g for g in left), len(w), w))
+            taken.append(word)
+            left = [g for g in left if word not in g]
+    # a word that holds another is found with it
+    return sorted(w for w in taken if not any(v != w and v in w for v in taken))
+
+
+def _may_state(text: Column) -> Column:
+    """Whether a lower-cased text has one of the needed words; no text that can be confirmed fails this."""
     found = F.lit(False)
-    for cue in CUES:
-        every = F.lit(True)
-        for word in cue.split():
-            every = every & F.contains(text, F.lit(word))
-        found = found | every
+    for word in needed_words():
+        found = found | F.contains(text, F.lit(word))
     return found
 
 
-def features(tokens: Column) -> Column:
-    """Distinct n-grams of one to three words that hold a cue."""
-
-    def grams(n: int) -> Column:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
-    return F.array_distinct(F.filter(F.flatten(F.array(grams(1), grams(2), grams(3))), _has_cue))
-
-
 def line_grams(tokens: Column) -> Column:
     """Distinct words, word pairs and word trigrams of a line, which hold the grams of any notice in it."""
 
@@ -236,9 +236,9 @@ def train(spark: SparkSession) -> Classifier:
 
     classes = [*sorted(TEMPLATES), UNKNOWN]
     lines = spark.createDataFrame([(float(classes.index(f)), line, held) for f, line, held in training_rows()], "label double, line string, held boolean").coalesce(1)
-    lines = lines.withColumn("grams", features(words(F.col("line")))).cache()
-    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=4000, minDF=2.0, binary=True).fit(lines.where("NOT held"))
-    model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.001, maxIter=40, standardization=False).fit(vectorizer.transform(lines.where("NOT held")).cache())
+    lines = lines.withColumn("grams", line_grams(words(F.col("line")))).cache()
+    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=8000, minDF=2.0, binary=True).fit(lines.where("NOT held"))
+    model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.001, maxIter=40, standardization=False).fit(vectorizer.transform(lines.where("NOT held")))
     matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray().tolist()
     weights = [(g, k, float(matrix[k, j])) for j, g in enumerate(vectorizer.vocabulary) for k in range(len(classes)) if matrix[k, j] != 0]
     scored = model.transform(vectorizer.transform(lines.where("held"))).select("label", "rawPrediction").collect()  # the bounded training lines
@@ -270,10 +270,10 @@ def _scored(line: Column, own: Column, model: Classifier) -> Column:
     table: dict[str, list[float]] = {}
     for gram, k, w in model.weights:
         table.setdefault(gram, [0.0] * n)[k] = w
-    # the vocabulary is bounded (what the L1 penalty left of 4000 n-grams): a literal map, so nothing is joined
+    # the vocabulary is bounded (what the L1 penalty left of 8000 n-grams): literals, so nothing is joined
     weights = F.create_map(*[x for g, w in table.items() for x in (F.lit(g), F.array(*map(F.lit, w)))]) if table else F.create_map(F.lit(""), F.array(*[F.lit(0.0)] * n))
     start = F.array(*[F.lit(b) for b in model.intercepts])
-    logits = F.aggregate(F.filter(F.transform(F.filter(own, _has_cue), lambda g: weights[g]), lambda w: w.isNotNull()), start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
+    logits = F.aggregate(F.transform(F.array_intersect(own, F.array(*map(F.lit, table or [""]))), lambda g: weights[g]), start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
     logits = F.transform(logits, lambda x: x / model.temperature)
     top = F.array_max(logits)
     chosen = F.transform(F.array(F.struct(logits.alias("l"), top.alias("top"))), lambda s: F.struct(F.array_position(s.l, s.top).cast("int").alias("k"), (1 / F.aggregate(s.l, F.lit(0.0), lambda a, x: a + F.exp(x - s.top))).alias("p")))[0]
@@ -290,7 +290,7 @@ def _scored(line: Column, own: Column, model: Classifier) -> Column:
 
 
 def _found(paragraph: Column, model: Classifier) -> Column:
-    """What is judged in a paragraph: its lines with a cue; then each sentence of several lines that states a family none
+    """What is judged in a paragraph: its lines with a needed word; then each sentence of several lines that states a family none
     of the lines states; then the paragraph, if it states one that neither does.  Lines that state nothing are left out
     if they lie in such a sentence or paragraph."""
 
@@ -299,8 +299,8 @@ def _found(paragraph: Column, model: Classifier) -> Column:
 
     several = lambda t: F.contains(t, F.lit("\n"))
     whole = F.btrim(paragraph, F.lit(" \t\r\n"))
-    lines = F.filter(F.split(whole, "\n"), lambda t: _has_cue(F.lower(t)))
-    sentences = F.filter(F.split(whole, SENTENCE), lambda t: several(t) & _may_have_cue(F.lower(t)))
+    lines = F.filter(F.split(whole, "\n"), lambda t: _may_state(F.lower(t)))
+    sentences = F.filter(F.split(whole, SENTENCE), lambda t: several(t) & _may_state(F.lower(t)))
     paragraphs = F.filter(F.array(whole), several)
     judged = F.transform(F.concat(units(lines, 0), units(sentences, 1), units(paragraphs, 2)), lambda u: F.struct(_judged(u.text, model).alias("found"), u.level.alias("level")))
 
@@ -326,20 +326,20 @@ def _found(paragraph: Column, model: Classifier) -> Column:
 
 
 def with_licences(docs: DataFrame, model: Classifier, text: str = "text", name: str = "licences") -> DataFrame:
-    """``docs`` with an array of its lines that hold a cue, and of its sentences and paragraphs of several lines that
+    """``docs`` with an array of its lines that hold a needed word, and of its sentences and paragraphs of several lines that
     state a family which their lines do not: the text, family, calibrated probability, template share.
 
-    Null and empty texts have none; the column ``name`` is replaced, all others stay; nothing is shuffled, so repeated
+    Null and empty texts have none, and an empty table gives an empty one; the column ``name`` is replaced, all others stay; nothing is shuffled, so repeated
     rows are judged one by one and texts of any length as a whole.
     """
     own = F.col(text)
-    paragraphs = F.when(_may_have_cue(F.lower(own)), F.filter(F.split(own, BLANK), lambda x: _may_have_cue(F.lower(x)))).otherwise(F.array().cast("array<string>"))
+    paragraphs = F.when(_may_state(F.lower(own)), F.filter(F.split(own, BLANK), lambda x: _may_state(F.lower(x)))).otherwise(F.array().cast("array<string>"))
     keep = [F.col(f"`{c}`") for c in docs.columns if c != name]
     return docs.select(*keep, F.flatten(F.transform(paragraphs, lambda x: _found(x, model))).alias(name))
 
 
 def licence_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: families (sorted, comma-joined), lines (or wrapped notices) that state one, lines with cues only, and the least probability of a stated one."""
+    """Per document: families (sorted, comma-joined), lines (or wrapped notices) that state one, other lines with a needed word, and the least probability of a stated one."""
     found = with_licences(docs.select(key, text), train(docs.sparkSession), text)
     stated = F.filter("licences", lambda x: x.family != UNKNOWN)
     return found.select(
