@@ -62,3 +62,11 @@ def test_mask_by_binary_search():
     offsets = np.array([[0, 2], [2, 3], [3, 3], [3, 6], [6, 9]])
     assert chat.loss_mask(offsets, np.array([[2, 6]])).tolist() == [False, True, True, True, False]
     assert chat.loss_mask(offsets, np.zeros((0, 2))).tolist() == [False] * 5
+
+
+def test_output_is_read_from_files_in_any_order(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(chat, "PART_CHARS", 40)
+    rows = [(c, k, ["user", "assistant"][k % 2], f"turn {k} of {c}. " * 3) for c in range(6) for k in range(20)]
+    chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), PATH).repartition(7, "part").write.parquet(f"{tmp_path}/parts")
+    got = sorted(tuple(r)[:6] for r in chat.read_back(spark.read.parquet(f"{tmp_path}/parts")).collect())
+    assert got == [r for r in brute(rows) if r[0] != -7]

@@ -49,3 +49,30 @@ def test_one_document_and_a_wrong_dictionary(spark, tmp_path):
     assert files.dictionary
     with pytest.raises(ValueError, match="dictionary"):
         next(tokenfiles.read_shard(files.shards[0][0], b"other"))
+
+
+def test_a_common_key_has_shards_of_its_own(spark, tmp_path):
+    rows = [(k, f"text {k}") for k in range(100)] + [(50, "same text")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = tokenfiles.write_tokens(docs, PATH, f"file://{tmp_path}/out")
+    assert max(n for _, n, _, _ in files.shards) < 300
+    got = tokenfiles.read_tokens(spark, tokenfiles.open_files(f"file://{tmp_path}/out")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(k for k, _ in rows)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+
+
+def test_long_texts_have_a_dictionary(spark):
+    docs = spark.range(40).selectExpr("id doc_id", "concat(repeat(concat('word ', id, ' and more of it. '), 2000)) text")
+    assert len(tokenfiles.train_dictionary(docs, PATH, "doc_id", "text")) > 1000
+    assert tokenfiles.train_dictionary(docs.limit(1), PATH, "doc_id", "text")
+    assert tokenfiles.train_dictionary(docs.limit(0), PATH, "doc_id", "text") == b""
+
+
+def test_the_cache_is_bounded_by_characters(monkeypatch):
+    from trackfold.llm import unitcache
+
+    monkeypatch.setattr(unitcache, "CACHE_CHARS", 10_000)
+    t = tokenfiles.TextTokenizer(PATH)
+    for k in range(20):
+        t.encode([f"<|endoftext|> text {k} " * 100])
+        assert t.cache.chars < 20_000

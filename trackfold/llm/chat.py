@@ -5,8 +5,9 @@ or ``[ROLE]role[/ROLE]text[/TURN]`` (any other role).  Within texts a control st
 first character, which is taken away when the output is read: texts without control strings stay as they are.  The
 control strings are single tokens of their own, so no token reaches over a turn's border.
 
-The rows of a conversation stream through one task in the order of their turns.  A conversation is rendered in parts of
-about ``PART_CHARS`` that end at a turn; as control tokens cut the text there, the parts' tokens are those of the whole.
+The rows of a conversation stream through one task in the order of their turns.  A conversation is encoded once; one of
+more than ``PART_CHARS`` is stored in parts that end at a turn and are encoded one after the other, which bounds memory:
+as control tokens cut the text there, the parts' tokens are those of the whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import saved
+
 PART_CHARS = 1 << 18
 #: The control strings.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]", "[/TURN]"]
@@ -179,7 +182,11 @@ _REPORT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def read_back(parts: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted parts alone: turns and their digest, text under the mask and its digest, sizes."""
+    """Per conversation, from the formatted parts alone: turns and their digest, text under the mask and its digest, sizes.
+
+    The parts may lie in any order, as they do in files: those of a conversation are brought together and sorted.
+    """
+    parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +220,11 @@ PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 
 
 def chat_report(rows: DataFrame, path: str) -> DataFrame:
-    """Format all conversations and the probe, and read them back."""
+    """Format all conversations and the probe, write the output to the shared folder, and read it back from there.
+
+    Null texts and roles count as empty; null keys are one conversation; rows that repeat a turn stay; an empty table
+    gives the probe alone; turns of any length are taken whole.  Other columns are ignored.
+    """
     rows = rows.select(*(F.col(c).cast(k).alias(c) for c, k in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
     probe = rows.sparkSession.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(rows.union(probe), path))
+    return read_back(saved(format_conversations(rows.union(probe), path), "formatted"))

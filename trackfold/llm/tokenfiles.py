@@ -6,13 +6,14 @@ The dictionary is trained on the serialized id arrays of a bounded sample of doc
 
 with an index row (doc_id i64, offset u64, bytes u32, ids u32, ids before it in the shard u64) for each document, so
 that one short document is read with two small reads.  Shards hold ascending ranges of doc_id; ``manifest`` rows give
-each shard's path, documents, ids and ids before it.  A file is written under a name of its task attempt and renamed
-when it is whole, so a lost executor leaves no broken shard.
+each shard's path, documents, ids and ids before it.  A file has the name of its task attempt, and only the files of
+attempts that ended well are in the manifest, so an attempt that is lost or repeated leaves no broken or double shard.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import string
@@ -193,59 +194,75 @@ def _decompressor(dictionary: bytes):
 
 
 def train_dictionary(docs: DataFrame, path: str, key: str, text: str) -> bytes:
-    """A dictionary from the id arrays of at most SAMPLE_ROWS documents, chosen by a hash of the key; empty if too few."""
+    """A dictionary from the id arrays of at most SAMPLE_ROWS documents, chosen by a hash of the key.
+
+    Of a text above SAMPLE_CHARS / SAMPLE_ROWS characters a stretch at a hashed place is taken.  From too few samples to
+    train on, the dictionary is their ids as they are; it is empty only if no text has an id.
+    """
     import zstandard
 
-    hashed = docs.select(F.col(text).alias("__t"), F.xxhash64(key).alias("__h"))
+    longest = SAMPLE_CHARS // SAMPLE_ROWS
+    hashed = docs.select(F.col(text).alias("__t"), F.xxhash64(key).alias("__h")).where(F.length("__t") > 0)
     least = hashed.select("__h").orderBy("__h").limit(SAMPLE_ROWS).agg(F.max("__h")).first()[0]
     if least is None:
         return b""
-    rows = hashed.where((F.col("__h") <= least) & F.length("__t").between(1, SAMPLE_CHARS // SAMPLE_ROWS)).limit(2 * SAMPLE_ROWS).collect()
-    rows.sort(key=lambda r: (r[1], r[0]))
-    rows = rows[:SAMPLE_ROWS]
+    at = F.pmod(F.col("__h"), F.greatest(F.length("__t") - longest, F.lit(0)) + 1).cast("int") + 1
+    rows = hashed.where(F.col("__h") <= least).select(F.substring("__t", at, F.lit(longest)).alias("t"), "__h").orderBy("__h", "t").limit(SAMPLE_ROWS).collect()
     ids, at = tokenizer(path).encode([r[0] for r in rows])
     data = ids.astype(f"<u{tokenizer(path).id_bytes}")
+    samples = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: str = "text") -> TokenFiles:
     """Encode every whole text (null counts as empty), append END_ID, and write the shard files.
 
-    Rows of equal key stay neighbours; a null key comes first.  An empty table gives one empty shard.
+    Rows of equal key stay neighbours; a null key comes first.  An empty table gives one empty shard.  Shards hold ranges
+    of keys of about equal numbers of rows; a key with more rows than that has several shards of its own.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, path, key, text)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = [i / n for i in range(1, n)]
-    bounds = np.unique(np.array(docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", ranges, 0.25 / n) if n > 1 else [], np.float64))
-    shared = spark.sparkContext.broadcast((dictionary, bounds))
+    bounds, times = np.unique(np.array(docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", ranges, 0.25 / n) if n > 1 else [], np.float64), return_counts=True)
+    # range r begins at bounds[r - 1]; a bound that is met several times is a key with its own shards, in front of the range
+    own = np.concatenate([[0], np.where(np.abs(bounds) < 2.0**53, times - 1, 0)])
+    front = np.cumsum(own + 1) - own - 1
+    n_shards = int((own + 1).sum())
+    shared = spark.sparkContext.broadcast((dictionary, bounds, own, front))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, compressor = tokenizer(path), _compressor(shared.value[0])
+        _, bounds, own, front = shared.value
+        n_rows = TaskContext.get().partitionId()
         for batch in slices(batches, text):
             ids, at = t.encode([x or "" for x in batch.column(text).to_pylist()])
             whole = np.full(len(ids) + batch.num_rows, END_ID, f"<u{t.id_bytes}")
             begin = at + np.arange(batch.num_rows + 1)
-            own = np.ones(len(whole), bool)
-            own[begin[1:] - 1] = False
-            whole[own] = ids
+            text_id = np.ones(len(whole), bool)
+            text_id[begin[1:] - 1] = False
+            whole[text_id] = ids
             raw = memoryview(whole.tobytes())
             frames = [compressor.compress(raw[a * t.id_bytes : b * t.id_bytes]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
             keys = batch.column(key).cast(pa.int64()).fill_null(_NULL_ID)
-            shard = np.searchsorted(shared.value[1], keys.to_numpy().astype(np.float64), side="right")
+            k = keys.to_numpy().astype(np.float64)
+            part = np.searchsorted(bounds, k, side="right")
+            common = (own[part] > 0) & (k == np.append(bounds, np.nan)[part - 1])
+            turn = (n_rows + np.arange(len(k))) % np.maximum(own[part], 1)
+            n_rows += len(k)
+            shard = front[part] + np.where(common, turn, own[part])
             yield pa.RecordBatch.from_arrays([keys, pa.array(shard, pa.int32()), pa.array(np.diff(begin), pa.int64()), pa.array(frames, pa.binary())], names=["key", "shard", "ids", "frame"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number = task.partitionId()
         filesystem, base = _filesystem(folder)
-        final = f"{base}/shard-{number:06d}.tok"
-        part = f"{final}.attempt-{task.taskAttemptId()}"
+        name = f"shard-{number:06d}-{task.taskAttemptId()}.tok"
         rows, offset, before = [], len(MAGIC) + 33, 0
-        with filesystem.open_output_stream(part) as f:
+        with filesystem.open_output_stream(f"{base}/{name}") as f:
             f.write(MAGIC + hashlib.sha256(shared.value[0]).digest() + bytes([tokenizer(path).id_bytes]))
             for batch in batches:
                 n_ids, keys = batch.column("ids").to_numpy(), batch.column("key").to_numpy()
@@ -260,23 +277,36 @@ def write_tokens(docs: DataFrame, path: str, folder: str, key: str = "doc_id", t
                 f.write(b"".join(frames))
             index = np.concatenate(rows) if rows else np.zeros(0, INDEX)
             f.write(index.tobytes() + np.array([offset, len(index)], "<u8").tobytes() + MAGIC)
-        filesystem.move(part, final)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(index)], pa.int64()), pa.array([before], pa.int64())], names=["shard", "documents", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([len(index)], pa.int64()), pa.array([before], pa.int64())], names=["shard", "documents", "ids"])
 
     filesystem, base = _filesystem(folder)
     filesystem.create_dir(base, recursive=True)
     with filesystem.open_output_stream(f"{base}/dictionary.zdict") as f:
         f.write(dictionary)
     encoded = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(encode, "key long, shard int, ids long, frame binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("key", "frame")
-    written = sorted(tuple(r) for r in dealt.mapInArrow(write, "shard int, documents long, ids long").collect())
+    dealt = encoded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("key", "frame")
+    written = sorted(tuple(r) for r in dealt.mapInArrow(write, "shard string, documents long, ids long").collect())  # one row a shard
     shards, before = [], 0
-    for number, documents, ids in written:
-        shards.append((f"{folder}/shard-{number:06d}.tok", documents, ids, before))
+    for name, documents, ids in written:
+        shards.append((f"{folder}/{name}", documents, ids, before))
         before += ids
+    with filesystem.open_output_stream(f"{base}/manifest.json") as f:
+        f.write(json.dumps({"dictionary": hashlib.sha256(dictionary).hexdigest(), "shards": shards}).encode())
     return TokenFiles(folder, dictionary, shards)
 
 
+def open_files(folder: str) -> TokenFiles:
+    """The token files that a finished ``write_tokens`` left in a folder."""
+    filesystem, base = _filesystem(folder)
+    with filesystem.open_input_file(f"{base}/manifest.json") as f:
+        manifest = json.loads(f.read())
+    with filesystem.open_input_file(f"{base}/dictionary.zdict") as f:
+        dictionary = f.read()
+    if hashlib.sha256(dictionary).hexdigest() != manifest["dictionary"]:
+        raise ValueError(f"{folder} has another dictionary than its manifest names")
+    return TokenFiles(folder, dictionary, [tuple(s) for s in manifest["shards"]])
+
+
 def read_shard(path: str, dictionary: bytes, at: int | None = None) -> Iterator[tuple[np.void, np.ndarray]]:
     """The index rows and id arrays of a shard file, or only those of index row ``at``; the dictionary must be the one it names."""
     filesystem, base = _filesystem(path)
@@ -338,6 +368,10 @@ def _rows(rows: list[tuple], ids: bool, key: str) -> pa.RecordBatch:
 
 
 def token_report(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
-    """Write the token files of ``docs`` into a (new) folder and read them back."""
+    """Write the token files of ``docs`` into a (new) folder and read them back.
+
+    Null and empty texts are one end id; repeated rows are written one by one; null keys come first; long texts are
+    encoded whole; an empty table gives an empty result.  Other columns are ignored.
+    """
     spark = docs.sparkSession
     return read_tokens(spark, write_tokens(docs, path, folder or shared_folder(spark)))

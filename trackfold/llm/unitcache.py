@@ -9,8 +9,8 @@ import numpy as np
 
 from .common import ragged
 
-#: Units that a worker keeps the ids of.
-CACHE_UNITS = 1_500_000
+#: Units that a worker keeps the ids of, and characters and ids of them, at most.
+CACHE_UNITS, CACHE_CHARS, CACHE_IDS = 1_500_000, 24_000_000, 12_000_000
 
 
 class UnitCache:
@@ -22,6 +22,7 @@ class UnitCache:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.n_flat = np.zeros(1 << 20, np.int32), 0
         self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
@@ -36,11 +37,12 @@ class UnitCache:
         self.size[base : base + more] = sizes
         self.begin[base : base + more] = self.n_flat + np.cumsum(sizes) - sizes
         self.n_flat += len(ids)
+        self.chars += sum(map(len, units))
         self.place.update(zip(units, range(base, base + more), strict=True))
 
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, flat, and where each unit begins (with the total at the end)."""
-        if len(self.place) > self.limit:
+        if len(self.place) > self.limit or self.chars > CACHE_CHARS or self.n_flat > CACHE_IDS:
             self._forget()
         which = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
         if (missing := np.flatnonzero(which < 0)).size:
