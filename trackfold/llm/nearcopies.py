@@ -295,18 +295,25 @@ def _second_round(members: DataFrame, roots: DataFrame, classes: DataFrame) -> D
 def near_links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, root): the components of all links between classes, for the nodes that have any."""
     members = saved(_bucket_members(classes), "buckets")
-    wanted = classes.join(members.select("node").distinct(), "node").select("node", F.col("key").alias("__k"), F.col("text_hash").alias("__h"))
     source = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    texts = source.join(wanted, (F.col("text_hash") == F.col("__h")) & F.col("key").eqNullSafe(F.col("__k")))
-    texts = texts.select("node", "text").dropDuplicates(["node"])
 
-    def verified(dealt: DataFrame) -> DataFrame:
-        return dealt.join(texts, "node").groupBy("bucket", "low", "high").applyInArrow(_verify, "a long, b long")
+    def places(dealt: DataFrame) -> DataFrame:
+        """Where the texts of the nodes in ``dealt`` are."""
+        return classes.join(dealt.select("node").distinct(), "node").select("node", F.col("key").alias("__k"), F.col("text_hash").alias("__h"))
 
-    edges = saved(verified(_first_round(members)), "links")
+    def verified(dealt: DataFrame, wanted: DataFrame) -> DataFrame:
+        texts = source.join(wanted, (F.col("text_hash") == F.col("__h")) & F.col("key").eqNullSafe(F.col("__k")))
+        texts = texts.select("node", "text").dropDuplicates(["node"])
+        return saved(dealt.join(texts, "node").groupBy("bucket", "low", "high").applyInArrow(_verify, "a long, b long"), "links")
+
+    edges = verified(_first_round(members), places(members))
     roots = saved(components(edges), "roots")
     more = _second_round(members, roots, classes)
-    return roots if more is None else saved(components(edges.union(saved(verified(more), "links"))), "roots")
+    if more is None:
+        return roots
+    # written down, so that Spark sees the size of these (mostly small) tables before it plans the joins with all texts
+    more = saved(more, "second")
+    return saved(components(edges.union(verified(more, saved(places(more), "places")))), "roots")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
