@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import files, game, geometry, layer1, people, reviews  # noqa: F401
+from . import files, game, geometry, layer1, people, poses, reviews  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -44,12 +44,12 @@ def src_06_07_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.read_calibration(spark, path).select("clip_id", "frame_idx", F.col("h")[0].alias("h0"))
 
 
-@query("SELECT part, count(*) AS n FROM (SELECT event_id % 2 AS part FROM ev WHERE slot = 1 UNION ALL SELECT 2 FROM ev WHERE slot = 2) GROUP BY ALL")
+@query("SELECT part, count(*) AS n FROM (SELECT event_id % 2 AS part FROM ev WHERE slot < 5 UNION ALL SELECT 2 FROM ev WHERE slot >= 5) GROUP BY ALL")
 def snk_03_04_07_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/log"
     e = adapter.events(spark, sf_dir)
-    jsonl.write_lines(e.where("slot = 1").select((F.col("event_id") % 2).alias("part")), path)
-    jsonl.write_lines(e.where("slot = 2").select(F.lit(2).alias("part")), path, append=True)
+    jsonl.write_lines(e.where("slot < 5").select((F.col("event_id") % 2).alias("part")), path)
+    jsonl.write_lines(e.where("slot >= 5").select(F.lit(2).alias("part")), path, append=True)
     return spark.read.schema("part long").json(path).groupBy("part").agg(F.count("*").alias("n"))
 
 
@@ -60,9 +60,9 @@ def flt_18_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.contract_errors(rows, {"t_ms": "int", "track_id": "int", "x": "float"}).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id AS clip_id, k AS slice, k * 10.0::DOUBLE AS start_s FROM (SELECT *, unnest(range(CAST(ceil(d / 10.0) AS BIGINT))) AS k FROM (SELECT event_id, v % 700 / 10.0::DOUBLE AS d FROM ev WHERE slot = 3)) WHERE d > 0 AND least(k * 10.0 + 10.0, d) - k * 10.0 >= 8.0")
+@query("SELECT event_id AS clip_id, k AS slice, k * 10.0::DOUBLE AS start_s FROM (SELECT *, unnest(range(CAST(ceil(d / 10.0) AS BIGINT))) AS k FROM (SELECT event_id, v % 700 / 10.0::DOUBLE AS d FROM ev)) WHERE d > 0 AND least(k * 10.0 + 10.0, d) - k * 10.0 >= 8.0")
 def flt_20_clip_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = adapter.events(spark, sf_dir).where("slot = 3").select(F.col("event_id").alias("clip_id"), (F.col("v") % 700 / 10.0).alias("duration"))
+    clips = adapter.events(spark, sf_dir).select(F.col("event_id").alias("clip_id"), (F.col("v") % 700 / 10.0).alias("duration"))
     return jsonl.clip_slices(clips, 10.0).select("clip_id", F.col("slice").cast("long").alias("slice"), F.col("start").alias("start_s"))
 
 
@@ -130,12 +130,12 @@ end
 
 @query(
     """SELECT frame, bone, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM (
-         SELECT event_id + 1 AS frame, unnest(['root', 'spine', 'arm']) AS bone, unnest([0.0, 0.0, 30.48 * cos(radians(v % 360))]) AS x, unnest([2.54 * 100, 254.0, 254.0 + 30.48 * sin(radians(v % 360))]) AS y, unnest([2.54 * (v % 10), 2.54 * (v % 10) + 50.8, 2.54 * (v % 10) + 50.8]) AS z FROM ev WHERE event_id < 300)"""
+         SELECT event_id + 1 AS frame, unnest(['root', 'spine', 'arm']) AS bone, unnest([0.0, 0.0, 30.48 * cos(radians(v % 360))]) AS x, unnest([2.54 * 100, 254.0, 254.0 + 30.48 * sin(radians(v % 360))]) AS y, unnest([2.54 * (v % 10), 2.54 * (v % 10) + 50.8, 2.54 * (v % 10) + 50.8]) AS z FROM ev)"""
 )
 def src_15_16_prj_20_21_motion_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/motion"
     frame = F.concat_ws("\n", F.col("event_id") + 1, F.concat(F.lit("root 0 "), F.col("v") % 10, F.lit(" 100 0 0 0")), F.concat(F.lit("spine 0 0 "), F.col("v") % 360), F.lit("arm 0"))
-    e = adapter.events(spark, sf_dir).where("event_id < 300").select("event_id", frame.alias("f"))
-    e.agg(F.concat_ws("\n", F.lit(":DEGREES"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", "f"))), lambda s: s["f"])).alias("value")).write.text(path)
+    e = adapter.events(spark, sf_dir).select("clip_id", "event_id", frame.alias("f"))
+    e.groupBy("clip_id").agg(F.concat_ws("\n", F.lit(":DEGREES"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", "f"))), lambda s: s["f"])).alias("value")).write.partitionBy("clip_id").text(path)  # a file for each clip of 500 frames
     solved = mocap.solved(mocap.read_motion(spark, path), mocap.parse_skeleton(SKELETON))
     return solved.select("frame", "bone", *[F.round(c, 3).alias(c) for c in "xyz"])

@@ -49,7 +49,7 @@ _ISSUE_SQL = "[" + ", ".join(f"'{i}'" for i in _ISSUES) + "]"
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review notes on frames."""
     pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("v") % len(xs)).cast("int") + 1).alias(c)
-    e = adapter.events(spark, sf_dir).where("slot < 3")
+    e = adapter.events(spark, sf_dir)
     return e.select("clip_id", (F.col("frame_idx") % 20).alias("frame_idx"), "t_ms", pick(_ISSUES, "issue_type"), pick(_NOTES, "note"), F.when(F.col("v") % 4 != 0, F.col("user_id") % 12).alias("track_id"), F.col("event_id").alias("seq"))
 
 
@@ -69,7 +69,7 @@ _TESTS = {
     "scene_context": "issue_type = 'uncertain_play_state'",
 }
 _FEEDBACK = (
-    f"fb AS (SELECT clip_id, frame_idx % 20 AS frame_idx, t_ms, {_ISSUE_SQL}[v % {len(_ISSUES)} + 1] AS issue_type, {_NOTE_SQL}[v % {len(_NOTES)} + 1] AS note, CASE WHEN v % 4 <> 0 THEN user_id % 12 END AS track_id, event_id AS seq FROM ev WHERE slot < 3),"
+    f"fb AS (SELECT clip_id, frame_idx % 20 AS frame_idx, t_ms, {_ISSUE_SQL}[v % {len(_ISSUES)} + 1] AS issue_type, {_NOTE_SQL}[v % {len(_NOTES)} + 1] AS note, CASE WHEN v % 4 <> 0 THEN user_id % 12 END AS track_id, event_id AS seq FROM ev),"
     + "fc AS (SELECT *, CASE WHEN issue_type = 'general_note' AND len(c0) = 0 THEN ['scene_context'] ELSE list_sort(c0) END AS c FROM (SELECT *, list_filter(["
     + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _TESTS.items())
     + "], lambda x: x IS NOT NULL) AS c0 FROM (SELECT *, lower(trim(coalesce(note, ''))) AS t FROM fb)))"
@@ -170,11 +170,11 @@ def agg_15_16_pck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT m.clip_id, m.moment_id, m.t_ms, f.frame_idx FROM (SELECT clip_id, event_id AS moment_id, v % 1700 AS t_ms FROM ev WHERE slot = 5) m JOIN (SELECT DISTINCT clip_id, frame_idx, t_ms FROM ball) f ON f.clip_id = m.clip_id
+    """SELECT m.clip_id, m.moment_id, m.t_ms, f.frame_idx FROM (SELECT clip_id, event_id AS moment_id, v % 1700 AS t_ms FROM ev) m JOIN (SELECT DISTINCT clip_id, frame_idx, t_ms FROM ball) f ON f.clip_id = m.clip_id
        QUALIFY row_number() OVER (PARTITION BY m.moment_id ORDER BY abs(f.t_ms - m.t_ms), f.frame_idx) = 1"""
 )
 def joi_12_nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = adapter.events(spark, sf_dir).where("slot = 5").select("clip_id", F.col("event_id").alias("moment_id"), (F.col("v") % 1700).alias("t_ms"))
+    moments = adapter.events(spark, sf_dir).select("clip_id", F.col("event_id").alias("moment_id"), (F.col("v") % 1700).alias("t_ms"))
     return review.nearest_frames(moments, adapter.balls(spark, sf_dir).select("clip_id", "frame_idx", "t_ms"))
 
 

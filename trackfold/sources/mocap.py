@@ -92,9 +92,9 @@ def read_motion(spark: SparkSession, path: str) -> DataFrame:
     Each file is one text value that is split in order, so frames need no global line numbers.
     """
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), r"(?m)^\s*(?=\d+\s*$)")).alias("k", "block"))
-    blocks = text.where(F.col("block").rlike(r"^\d+\s*(\n|$)")).select("file", F.trim(F.split("block", "\n")[0]).cast("long").alias("frame"), F.explode(F.slice(F.split("block", "\n"), 2, 10_000)).alias("line"))
+    blocks = text.where(F.col("block").rlike(r"^\d+\s*(\n|$)")).select("file", F.trim(F.split("block", "\n")[0]).cast("long").alias("frame"), F.explode(F.slice(F.split("block", "\n"), F.lit(2), F.size(F.split("block", "\n")))).alias("line"))
     words = F.split(F.trim("line"), r"\s+")
-    return blocks.where(F.trim("line").rlike(r"^[^#:\s]")).select("file", "frame", words[0].alias("bone"), F.transform(F.slice(words, 2, 10_000), lambda x: x.cast("double")).alias("channels"))
+    return blocks.where(F.trim("line").rlike(r"^[^#:\s]")).select("file", "frame", words[0].alias("bone"), F.transform(F.slice(words, F.lit(2), F.size(words)), lambda x: x.cast("double")).alias("channels"))
 
 
 def positions(skeleton: Skeleton, frame: dict[str, dict[str, float]]) -> dict[str, np.ndarray]:
