@@ -54,7 +54,8 @@ def candidates(rows: DataFrame, least: float, max_gap: int = MAX_GAP, same_segme
     both = last.join(starts, ["clip_id", "start_frame"]).where("pred <> succ")
     if same_segment:
         both = both.where("a.segment = b.segment")
-    scored = both.withColumn("score", link_score(fps=fps)).where(F.col("score") >= least)
+    # exploded, so that the optimiser does not copy the whole score into the filter
+    scored = both.select("*", F.explode(F.array(link_score(fps=fps))).alias("score")).where(F.col("score") >= least)
     return scored.select("clip_id", "pred", "succ", "gap", F.col("a.frame_idx").alias("end_frame"), "start_frame", "score")
 
 
@@ -65,13 +66,10 @@ def selected(links: DataFrame) -> DataFrame:
     """
     out = links
     for side in ("pred", "succ"):
-        w = Window.partitionBy("clip_id", side)
-        best = F.max("score").over(w)
-        n_best = F.count_if(F.col("score") == F.col(f"best_{side}")).over(w)
-        out = out.withColumn(f"best_{side}", best)
-        second = F.max(F.when(F.col("score") < F.col(f"best_{side}"), F.col("score"))).over(w)
-        out = out.withColumn(f"rival_{side}", F.coalesce(F.when((F.col("score") < F.col(f"best_{side}")) | (n_best > 1), F.col(f"best_{side}")).otherwise(second), F.lit(0.0)))
-    return out.where((F.col("score") - MARGIN) > F.greatest("rival_pred", "rival_succ")).drop("best_pred", "rival_pred", "best_succ", "rival_succ")
+        w = Window.partitionBy("clip_id", side).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = out.withColumns({f"best_{side}": F.first("score").over(w), f"next_{side}": F.nth_value("score", 2).over(w)})
+        out = out.withColumn(f"rival_{side}", F.coalesce(F.when(F.col("score") < F.col(f"best_{side}"), F.col(f"best_{side}")).otherwise(F.col(f"next_{side}")), F.lit(0.0)))
+    return out.where((F.col("score") - MARGIN) > F.greatest("rival_pred", "rival_succ")).drop(*(f"{c}_{side}" for side in ("pred", "succ") for c in ("best", "next", "rival")))
 
 
 def hypothesis_groups(links: DataFrame, rounds: int | None = None) -> DataFrame:
