@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from trackfold.operators import poses
+from trackfold.operators import attribution, poses
+from trackfold.sources import jsonl
 
 
 def test_pose_of_a_box_in_pixels_and_in_shares(spark):
@@ -26,3 +28,23 @@ def test_group_ids_and_order(spark):
     assert got == {0: [], 1: ["g2"], 2: ["g2"], 3: ["g1", "g2"], 4: ["g1"]}
     rows = spark.createDataFrame([(1, None, 3, False, 0), (1, 2, None, False, 1), (1, 2, 5, False, 2), (1, 2, 5, True, 3), (1, None, None, False, 4)], "frame_idx long, identity_id long, track_id long, synthesized boolean, slot long").withColumn("clip_id", F.lit(1))
     assert [r.slot for r in poses.detection_order(rows).orderBy("position").collect()] == [3, 2, 1, 0, 4]
+
+
+def test_an_event_type_without_a_rule_raises(spark):
+    known = list(attribution.RULES)
+    rows = spark.createDataFrame([(k,) for k in known], "event_type string")
+    got = {r.event_type: r.required_terminal_event for r in attribution.with_terminal_event(rows).collect()}
+    assert got == {k: r[-1] for k, r in attribution.RULES.items()}
+    for bad in ("dunk_contest", None):
+        with pytest.raises(Exception, match="no rule for event type"):
+            attribution.with_terminal_event(spark.createDataFrame([(bad,)], "event_type string")).collect()
+
+
+def test_newer_dataset_first(spark, tmp_path):
+    (tmp_path / "v2.jsonl").write_text('{"label": "old"}\n')
+    paths = [f"{tmp_path}/v3.jsonl", f"{tmp_path}/v2.jsonl"]
+    assert [r.label for r in jsonl.first_that_exists(spark, paths, "label string").collect()] == ["old"]
+    (tmp_path / "v3.jsonl").write_text('{"label": "new"}\n')
+    assert [r.label for r in jsonl.first_that_exists(spark, paths, "label string").collect()] == ["new"]
+    with pytest.raises(FileNotFoundError):
+        jsonl.first_that_exists(spark, [f"{tmp_path}/none"], "label string")

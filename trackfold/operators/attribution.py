@@ -78,6 +78,13 @@ def _prerequisite(name: str) -> Column:
     return checks[name]() if name in checks else F.lit(True)
 
 
+def with_terminal_event(rows: DataFrame, rules: dict = RULES, name: str = "required_terminal_event") -> DataFrame:
+    """``rows`` with the terminal event that the rule of their ``event_type`` requires (null if none); a type without a rule raises."""
+    known = F.create_map(*[x for k, r in rules.items() for x in (F.lit(k), F.lit(r[-1]).cast("string"))])
+    unknown = F.raise_error(F.concat(F.lit("no rule for event type "), F.coalesce("event_type", F.lit("null"))))
+    return rows.withColumn(name, F.when(F.col("event_type").isin(list(rules)), known[F.col("event_type")]).otherwise(unknown))
+
+
 def violations(rules: dict = RULES, strict: bool = False) -> Column:
     """The unmet constraints of an event row, in order; null for an unknown event type.
 

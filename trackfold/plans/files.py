@@ -139,3 +139,18 @@ def src_15_16_prj_20_21_motion_capture(spark: SparkSession, sf_dir: str) -> Data
     e.groupBy("clip_id").agg(F.concat_ws("\n", F.lit(":DEGREES"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", "f"))), lambda s: s["f"])).alias("value")).write.partitionBy("clip_id").text(path)  # a file for each clip of 500 frames
     solved = mocap.solved(mocap.read_motion(spark, path), mocap.parse_skeleton(SKELETON))
     return solved.select("frame", "bone", *[F.round(c, 3).alias(c) for c in "xyz"])
+
+
+@query("SELECT 'move_' || v % 10 AS label, count(*) AS n, sum(v) AS total FROM ev GROUP BY ALL")
+def src_19_20_training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    older = adapter.events(spark, sf_dir).select(F.concat(F.lit("move_"), F.col("v") % 10).alias("label"), "v")
+    jsonl.write_lines(older, f"{folder}/v2")
+    samples = jsonl.first_that_exists(spark, [f"{folder}/v3", f"{folder}/v2"], "label string, v long")
+    return samples.groupBy("label").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("SELECT DISTINCT clip_id, user_id % 4 AS domain FROM ev WHERE clip_id IN (SELECT clip_id FROM ball WHERE conf > 0.98)")
+def joi_21_src_18_listed_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = adapter.events(spark, sf_dir).select("clip_id", (F.col("user_id") % 4).alias("domain")).distinct()
+    return jsonl.listed_clips(clips, adapter.balls(spark, sf_dir).where("conf > 0.98"))

@@ -40,6 +40,14 @@ def read_lines(spark: SparkSession, path: str, schema: str = STREAM, strict: boo
     return df
 
 
+def first_that_exists(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Rows of the first of several JSON-lines files that exists, so that a newer dataset replaces an older one; none of them raises."""
+    for path in paths:
+        if (df := _read(spark, path, schema)) is not None:
+            return df
+    raise FileNotFoundError(", ".join(paths))
+
+
 def of_kind(stream: DataFrame, kind: str) -> DataFrame:
     """The rows of one kind."""
     return stream.where(F.col("kind") == kind)
