@@ -24,23 +24,19 @@ NOTE_WORDS = {
 }
 ISSUE_TYPES = ["false_positive", "false_negative", "merge_error", "track_error", "live_play", "dead_ball", "uncertain_play_state", "general_note", "pose_error"]
 
-_BASE = ["detection_count", "active_candidate_count"]
-_PLAY = ["live_play_label", "live_play_score", "live_play_segment_label", "live_play_segment_duration_ms", "ball_signal_present", "ball_confidence", "active_candidate_count"]
-_STILLNESS = ["low_motion_detection_count", "zero_motion_detection_count"]
-_CLUSTER = ["detection_count", "overlap_pair_count", "synthesized_detection_count", "track_ids"]
 # The signals that each category asks for, in order.
 SIGNALS = {
-    "spectator_false_positive": [*_BASE, *_STILLNESS, "track_ids"],
-    "bystander_false_positive": [*_BASE, *_STILLNESS, "track_ids"],
-    "false_positive_generic": [*_BASE, "track_ids"],
-    "cluster_miss": _CLUSTER,
-    "cluster_merge": _CLUSTER,
+    "spectator_false_positive": ["detection_count", "active_candidate_count", "low_motion_detection_count", "zero_motion_detection_count", "track_ids"],
+    "bystander_false_positive": ["detection_count", "active_candidate_count", "low_motion_detection_count", "zero_motion_detection_count", "track_ids"],
+    "false_positive_generic": ["detection_count", "active_candidate_count", "track_ids"],
+    "cluster_miss": ["detection_count", "overlap_pair_count", "synthesized_detection_count", "track_ids"],
+    "cluster_merge": ["detection_count", "overlap_pair_count", "synthesized_detection_count", "track_ids"],
     "false_negative_generic": ["detection_count", "synthesized_detection_count", "track_ids"],
     "id_switch": ["track_ids", "canonical_track_ids", "canonical_track_count", "motion_speed_max", "motion_speed_median", "synthesized_detection_count"],
     "uniform_confusion": ["uniform_bucket_counts", "active_uniform_bucket_counts", "track_ids"],
-    "live_play_context": [*_PLAY, "motion_speed_max", "motion_speed_median", "track_ids"],
-    "dead_ball_context": [*_PLAY, *_STILLNESS, "track_ids"],
-    "scene_context": [*_BASE, "track_ids"],
+    "live_play_context": ["live_play_label", "live_play_score", "live_play_segment_label", "live_play_segment_duration_ms", "ball_signal_present", "ball_confidence", "active_candidate_count", "motion_speed_max", "motion_speed_median", "track_ids"],
+    "dead_ball_context": ["live_play_label", "live_play_score", "live_play_segment_label", "live_play_segment_duration_ms", "ball_signal_present", "ball_confidence", "active_candidate_count", "low_motion_detection_count", "zero_motion_detection_count", "track_ids"],
+    "scene_context": ["detection_count", "active_candidate_count", "track_ids"],
 }
 
 
@@ -156,7 +152,7 @@ def category_signals(categories_: Column) -> Column:
     """The signals that categories ask for, each once, in order; three by default."""
     table = F.create_map(*[x for k, v in SIGNALS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     found = F.array_distinct(F.flatten(F.transform(F.filter(categories_, lambda c: F.map_contains_key(table, c)), lambda c: table[c])))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, [*_BASE, "track_ids"])))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, ["detection_count", "active_candidate_count", "track_ids"])))
 
 
 def first_match(truth: DataFrame, found: DataFrame, within_ms: int = MATCH_MS) -> DataFrame:
