@@ -42,6 +42,36 @@ def test_fit_and_extrinsics():
     np.testing.assert_allclose(t, t0, atol=1e-9)
 
 
+def test_scale_of_extrinsics_is_that_of_the_first_column():
+    k = np.eye(3)
+    r, t = geometry.extrinsics(np.array([2.0, 0, 6, 0, 4, 8, 0, 0, 2]), k)
+    np.testing.assert_allclose(r, np.eye(3), atol=1e-9)
+    np.testing.assert_allclose(t, [3.0, 4.0, 1.0], atol=1e-9)
+
+
+def test_camera_poses_of_a_column(spark):
+    r0, t0 = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]]), np.array([1.0, 2.0, 30.0])
+    k = np.array([[1000.0, 0, 320], [0, 1000, 240], [0, 0, 1]])
+    h = (5 * k @ np.stack([r0[:, 0], r0[:, 1], t0], 1)).ravel().tolist()
+    rows = spark.createDataFrame([(0, h), (1, None), (2, [0.0] * 9), (3, h)], "i int, h array<double>").select("i", geometry.camera_poses(F.col("h"), k).alias("p")).orderBy("i").collect()
+    for i in (0, 3):
+        np.testing.assert_allclose(np.reshape(rows[i].p.rotation, (3, 3)), r0, atol=1e-9)
+        np.testing.assert_allclose(rows[i].p.translation, t0, atol=1e-9)
+    assert rows[1].p.rotation is None and rows[2].p.translation is None
+
+
+def test_lifted_height_is_measured_on_the_court(spark):
+    joints = [[0.0, 0.0] for _ in range(17)]
+    joints[15], joints[16], joints[9], joints[10] = [100.0, 200.0], [120.0, 200.0], [110.0, 100.0], [130.0, 80.0]
+    column = F.array(*[F.array(*map(F.lit, j)) for j in joints])
+    flat = one(spark, geometry.lift_joints(column, F.array(*map(F.lit, geometry.IDENTITY)), z_scale=1.0))
+    np.testing.assert_allclose(flat[9], [110, 100, 100], rtol=1e-5)
+    np.testing.assert_allclose(flat[10], [130, 80, 120], rtol=1e-5)
+    np.testing.assert_allclose(flat[15], [100, 200, 0], rtol=1e-5, atol=1e-3)
+    tripled = one(spark, geometry.lift_joints(column, F.array(*map(F.lit, [1.0, 0, 0, 0, 3, 0, 0, 0, 1])), z_scale=1.0))
+    np.testing.assert_allclose(tripled[9], [110, 300, 300], rtol=1e-5)
+
+
 def test_motion_update(spark):
     eye = F.array(*map(F.lit, geometry.IDENTITY))
     state = F.struct(eye.alias("h"), F.lit(1.0).alias("confidence"))

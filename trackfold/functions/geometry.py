@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,12 +98,17 @@ def motion_update(state: Column, delta: Column) -> Column:
 
 
 def lift_joints(joints: Column, h: Column, z_scale: float = 0.75) -> Column:
-    """17 joints projected one by one; z is z_scale times the distance of y from the ankles' middle."""
+    """17 joints projected one by one; z is z_scale times the distance, on the court, of y from the projected middle of the ankles."""
 
     def lifted(s: Column) -> Column:
-        return F.transform(s["j"], lambda j: let(project(j[0], j[1], s["h"]), lambda p: F.array(p["x"], p["y"], F.abs(j[1] - s["floor"]) * z_scale)))
+        return F.transform(s["j"], lambda j: let(project(j[0], j[1], s["h"]), lambda p: F.array(p["x"], p["y"], F.abs(p["y"] - s["floor"]) * z_scale)))
 
-    return let(joints, lambda j: F.when(F.size(j) == 17, let(F.struct(j.alias("j"), h.alias("h"), ((F.get(j, F.lit(15))[1] + F.get(j, F.lit(16))[1]) / 2).alias("floor")), lifted)))
+    def with_floor(j: Column) -> Column:
+        left, right = F.get(j, F.lit(15)), F.get(j, F.lit(16))
+        floor = project((left[0] + right[0]) / 2, (left[1] + right[1]) / 2, h)["y"]
+        return F.struct(j.alias("j"), h.alias("h"), floor.alias("floor"))
+
+    return let(joints, lambda j: F.when(F.size(j) == 17, let(with_floor(j), lifted)))
 
 
 def lift_joints_on_floor(joints: Column, h: Column, z_scale: float = 0.5) -> Column:
@@ -205,15 +211,31 @@ def fit_homography(pixels: np.ndarray, court: np.ndarray) -> np.ndarray | None:
 
 
 def extrinsics(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation and translation of a plane's homography under intrinsics ``k``; the rotation is made orthonormal by SVD."""
-    b = np.linalg.inv(k) @ h.reshape(3, 3)
-    scale = 2 / (np.linalg.norm(b[:, 0]) + np.linalg.norm(b[:, 1]))
-    r1, r2, t = b[:, 0] * scale, b[:, 1] * scale, b[:, 2] * scale
-    u, _, vt = np.linalg.svd(np.stack([r1, r2, np.cross(r1, r2)], 1))
-    r = u @ vt
-    if np.linalg.det(r) < 0:
-        r = u @ np.diag([1, 1, -1]) @ vt
-    return r, t
+    """Rotation and translation of a plane's homography under intrinsics ``k``; the first column's length is the scale, SVD makes the rotation orthonormal.
+
+    ``h`` may be a stack of matrices (n, 3, 3); the results are stacks too.
+    """
+    b = np.linalg.inv(k) @ np.reshape(h, (*np.shape(h)[:-1], 3, 3) if np.shape(h)[-1] == 9 else np.shape(h))
+    b = b / np.linalg.norm(b[..., 0], axis=-1)[..., None, None]
+    r1, r2 = b[..., 0], b[..., 1]
+    u, _, vt = np.linalg.svd(np.stack([r1, r2, np.cross(r1, r2)], -1))
+    return u @ vt, b[..., 2]
+
+
+def camera_poses(h: Column, k: np.ndarray) -> Column:
+    """Struct rotation (nine doubles) and translation (three) of homographies; null where there is none, or it is singular."""
+
+    @F.pandas_udf("rotation array<double>, translation array<double>")
+    def solve(column: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"rotation": [None] * len(column), "translation": [None] * len(column)}, dtype=object)
+        whole = [i for i, m in enumerate(column) if m is not None and len(m) == 9 and np.isfinite(m).all() and abs(np.linalg.det(np.reshape(m, (3, 3)))) > 0]
+        if whole:
+            r, t = extrinsics(np.stack([np.asarray(column.iloc[i], float) for i in whole]), k)
+            for i, rotation, translation in zip(whole, r, t, strict=True):
+                out.at[i, "rotation"], out.at[i, "translation"] = rotation.ravel().tolist(), translation.tolist()
+        return out
+
+    return solve(h)
 
 
 def look_at(camera: list[float], target: list[float]) -> np.ndarray:

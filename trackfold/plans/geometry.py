@@ -63,7 +63,8 @@ _JOINTS = "(SELECT *, unnest(range(17)) AS j FROM det)"
 
 
 @query(
-    f"SELECT clip_id, frame_idx, slot, j, round((1.1 * jx + 0.2 * jy + 5.0) / w0, 4) AS jx, round((0.1 * jx + 0.9 * jy + 3.0) / w0, 4) AS jy, round(abs(jy - (y + 240.5)) * 0.75, 4) AS jz FROM (SELECT *, (0.0001 * jx + 0.0002 * jy + 1.0 + 1e-6) AS w0 FROM (SELECT *, x + j * 3 AS jx, y + j * j AS jy FROM {_JOINTS}))"
+    f"""SELECT clip_id, frame_idx, slot, j, round((1.1 * jx + 0.2 * jy + 5.0) / w0, 4) AS jx, round((0.1 * jx + 0.9 * jy + 3.0) / w0, 4) AS jy, round(abs((0.1 * jx + 0.9 * jy + 3.0) / w0 - (0.1 * fx + 0.9 * fy + 3.0) / w1) * 0.75, 4) AS jz
+        FROM (SELECT *, 0.0001 * jx + 0.0002 * jy + 1.0 + 1e-6 AS w0, 0.0001 * fx + 0.0002 * fy + 1.0 + 1e-6 AS w1 FROM (SELECT *, x + j * 3 AS jx, y + j * j AS jy, x + 46.5 AS fx, y + 240.5 AS fy FROM {_JOINTS}))"""
 )
 def prj_04_lift_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapter.detections(spark, sf_dir).withColumn("lifted", geometry.lift_joints(_joints(), _h()))
