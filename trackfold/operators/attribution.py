@@ -85,7 +85,7 @@ def with_terminal_event(rows: DataFrame, rules: dict = RULES, name: str = "requi
     return rows.withColumn(name, F.when(F.col("event_type").isin(list(rules)), known[F.col("event_type")]).otherwise(unknown))
 
 
-def violations(rules: dict = RULES, strict: bool = False) -> Column:
+def violations(rules: dict = RULES, strict: bool = False, max_gap_ms: dict[str, int] = MAX_GAP_MS) -> Column:
     """The unmet constraints of an event row, in order; null for an unknown event type.
 
     ``strict`` also tests the gap limits (column ``gap_ms``), which by default are stated but not enforced.
@@ -106,16 +106,16 @@ def violations(rules: dict = RULES, strict: bool = False) -> Column:
             tests.append(F.when(~F.coalesce(F.col("resolution_event_type").isin(resolution), F.lit(False)), "resolution_required"))
         if terminal:
             tests.append(F.when(~F.col("terminal_event_type").eqNullSafe(terminal), f"required_terminal_event:{terminal}"))
-        if strict and name in MAX_GAP_MS:
-            tests.append(F.when(F.col("gap_ms") > MAX_GAP_MS[name], "max_gap_ms"))
+        if strict and name in max_gap_ms:
+            tests.append(F.when(F.col("gap_ms") > max_gap_ms[name], "max_gap_ms"))
         out = F.when(F.col("event_type") == name, F.array_compact(F.array(*tests))).otherwise(out)
     return out
 
 
-def stat_deltas() -> Column:
+def stat_deltas(table: list[tuple[str, str, str, int]] = STAT_DELTAS) -> Column:
     """Statistic deltas of an event row as a map; empty if any constraint is unmet (column ``rule_validation``)."""
     by: dict[tuple[str, str], list] = {}
-    for event, shot, stat, delta in STAT_DELTAS:
+    for event, shot, stat, delta in table:
         by.setdefault((event, shot), []).extend([F.lit(stat), F.lit(delta)])
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     out = empty

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST, WINDOW = 15, 30
-# Joints that a name means (COCO order), and the rules in order: (label, kind, needs the ball, predicates).
+# Joints that a name means (COCO order), and the rules in order: (label, kind, needs the ball, predicates);
+# a fifth value asks for a controlled ball.
 JOINTS = {"hips": [11, 12], "wrists": [9, 10], "head": [0], "shoulders": [5, 6], "ankles": [15, 16]}
 OVERHEAD = ("wrists", "pos_y", "<", "head")
 RULES = [
@@ -27,9 +28,10 @@ RULES = [
 
 
 def ordered(rules: list = RULES) -> list:
-    """Rules in the order of evaluation: those of the first-seen kind first, each kind in its own order."""
-    kinds = list(dict.fromkeys(r[1] for r in rules))
-    return [r for k in kinds for r in rules if r[1] == k]
+    """Rules in the order of evaluation: kinematic rules, signals and all others are three groups, the first-seen group is first."""
+    group = lambda r: r[1] if r[1] in ("kinematic", "signal") else "other"
+    groups = list(dict.fromkeys(map(group, rules)))
+    return sorted(rules, key=lambda r: groups.index(group(r)))
 
 
 def joint_mean(pose: Column, joint: str, axis: int) -> Column:
@@ -62,26 +64,28 @@ def predicate(poses: Column, joint: str, metric: str, operator: str, value) -> C
     return F.lit(True)
 
 
-def holds(rule: tuple, poses: Column, possession: Column) -> Column:
-    """Whether a rule holds: at least LEAST poses, its precondition, and all predicates."""
+def holds(rule: tuple, poses: Column, possession: Column, controlled: Column | None = None) -> Column:
+    """Whether a rule holds: at least LEAST poses, its preconditions (an unknown possession or control fails), and all predicates."""
     out = F.size(poses) >= LEAST
     if rule[2]:
         out = out & F.coalesce(possession, F.lit(False))
+    if len(rule) > 4 and rule[4]:
+        out = out & (F.lit(False) if controlled is None else F.coalesce(controlled, F.lit(False)))
     for p in rule[3]:
         out = out & F.coalesce(predicate(poses, *p), F.lit(True))
     return out
 
 
-def label(poses: Column, possession: Column, learned: Column | None = None, rules: list = RULES) -> Column:
+def label(poses: Column, possession: Column, learned: Column | None = None, rules: list = RULES, controlled: Column | None = None) -> Column:
     """A learned label that is not idle wins; else the first rule that holds; else idle."""
     out = F.lit("idle_bystander")
     for r in reversed(ordered(rules)):
-        out = F.when(holds(r, poses, possession), r[0]).otherwise(out)
+        out = F.when(holds(r, poses, possession, controlled), r[0]).otherwise(out)
     return out if learned is None else F.when(learned.isNotNull() & (learned != "idle_bystander"), learned).otherwise(out)
 
 
-def with_labels(rows: DataFrame, learned: str | None = None) -> DataFrame:
+def with_labels(rows: DataFrame, learned: str | None = None, rules: list = RULES, controlled: str | None = None) -> DataFrame:
     """Rows of poses (clip_id, track_id, frame_idx, pose, possession) with the label of their last WINDOW poses."""
     w = Window.partitionBy("clip_id", "track_id").orderBy("frame_idx").rowsBetween(-(WINDOW - 1), 0)
     windowed = rows.withColumn("__poses", F.collect_list("pose").over(w))
-    return windowed.withColumn("label", label(F.col("__poses"), F.col("possession"), F.col(learned) if learned else None)).drop("__poses")
+    return windowed.withColumn("label", label(F.col("__poses"), F.col("possession"), F.col(learned) if learned else None, rules, F.col(controlled) if controlled else None)).drop("__poses")

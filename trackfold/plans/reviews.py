@@ -276,10 +276,13 @@ def _rule_sql(rule: tuple) -> str:
     return " AND ".join(tests)
 
 
+WINDOWS = """po AS (SELECT clip_id, track_id, frame_idx, v % 3 = 0 AS possession, list_transform(range(17), lambda j: [((v * (j + 3)) % 100) / 1000.0::DOUBLE + 0.3, ((v * (j + 7)) % 140) / 1000.0::DOUBLE + j / 40.0::DOUBLE]) AS pose FROM ply),
+    win AS (SELECT clip_id, track_id, frame_idx, possession, list(pose) OVER (PARTITION BY clip_id, track_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS ps FROM po)"""
+
+
 @query(
     "SELECT clip_id, track_id, frame_idx, CASE " + " ".join(f"WHEN {_rule_sql(r)} THEN '{r[0]}'" for r in behaviour.ordered()) + " ELSE 'idle_bystander' END AS label FROM win",
-    """po AS (SELECT clip_id, track_id, frame_idx, v % 3 = 0 AS possession, list_transform(range(17), lambda j: [((v * (j + 3)) % 100) / 1000.0::DOUBLE + 0.3, ((v * (j + 7)) % 140) / 1000.0::DOUBLE + j / 40.0::DOUBLE]) AS pose FROM ply),
-    win AS (SELECT clip_id, track_id, frame_idx, possession, list(pose) OVER (PARTITION BY clip_id, track_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS ps FROM po)""",
+    WINDOWS,
 )
 def dsl_01_09_behaviour_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return behaviour.with_labels(poses(spark, sf_dir)).select("clip_id", "track_id", "frame_idx", "label")
@@ -301,7 +304,7 @@ def prj_17_win_07_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("clip_id", "track_id", "frame_idx", F.size(f).alias("n_rows"), F.size(last).alias("n_columns"), F.round(last[0], 4).alias("pose_x"), F.round(last[34], 5).alias("change_x"), f[0][34].alias("first_change"), F.round(f[0][68], 4).alias("left_ball"), F.round(last[70], 4).alias("court_x"))
 
 
-@query("SELECT 'adapter' AS dataset_id, '2.0.0' AS schema_version, count(*) AS sample_count, string_agg(l || '=' || n, ',' ORDER BY l) AS classes, 'valid' AS validation_status FROM (SELECT *, count(*) OVER () AS m FROM (SELECT event_type AS l, count(*) AS n FROM ev GROUP BY ALL))".replace("count(*) AS sample_count", "sum(n)::BIGINT AS sample_count"))
+@query("SELECT 'adapter' AS dataset_id, '2.0.0' AS schema_version, count(*) AS sample_count, string_agg(l || '=' || n, ',' ORDER BY l) AS classes, 'pass' AS validation_status FROM (SELECT *, count(*) OVER () AS m FROM (SELECT event_type AS l, count(*) AS n FROM ev GROUP BY ALL))".replace("count(*) AS sample_count", "sum(n)::BIGINT AS sample_count"))
 def agg_13_14_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.transform(F.sequence(F.lit(1), F.lit(72)), lambda k: (F.col("v") * k % 10).cast("double"))
     s = adapter.events(spark, sf_dir).select(F.col("event_type").alias("label"), F.array_repeat(row, 30).alias("features"))

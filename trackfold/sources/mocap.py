@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import EPSILON, norm2
+from ..operators.synthetic import capture_samples
+
 CM_PER_INCH = 2.54
 # Bones of the 17 joints behind the five of the head, in order.
 COCO_BONES = ["lhumerus", "rhumerus", "lradius", "rradius", "lwrist", "rwrist", "lfemur", "rfemur", "ltibia", "rtibia", "lfoot", "rfoot"]
 # Nose, eyes and ears as (steps forward from the head, offset).
 HEAD = [(5.0, (0, 0, 0)), (4.0, (-2, 0, 2)), (4.0, (2, 0, 2)), (2.0, (-5, 0, 1)), (2.0, (5, 0, 1))]
 
+# The takes of a dataset: skeleton file, motion file, label.
+TAKES = [
+    ("06.asf", "06_15.amc", "jump_shot"),
+    ("06.asf", "06_11.amc", "crossover"),
+    ("124.asf", "124_01.amc", "idle_bystander"),
+    ("124.asf", "124_02.amc", "idle_bystander"),
+    ("102.asf", "102_01.amc", "idle_bystander"),
+]
+
 
 @dataclass
 class Bone:
@@ -108,14 +122,6 @@ def positions(skeleton: Skeleton, frame: dict[str, dict[str, float]]) -> dict[st
     return at
 
 
-def coco_joints(at: dict[str, np.ndarray]) -> np.ndarray:
-    """17 joints; those of the head are set off forward, at right angles to the shoulders."""
-    across = at["rhumerus"] - at["lhumerus"]
-    forward = np.cross([0.0, 0.0, 1.0], across / (np.linalg.norm(across) + 1e-6))
-    forward = forward / (np.linalg.norm(forward) + 1e-6)
-    return np.array([at["head"] + forward * step + np.array(off, float) for step, off in HEAD] + [at[b] for b in COCO_BONES])
-
-
 def solved(motion: DataFrame, skeleton: Skeleton) -> DataFrame:
     """(file, frame, bone, x, y, z): forward kinematics of each frame; a frame has one row for each bone."""
     dof = {b.name: b.dof for b in skeleton.bones} | {"root": skeleton.order}
@@ -128,3 +134,40 @@ def solved(motion: DataFrame, skeleton: Skeleton) -> DataFrame:
         return pa.table({"file": [table.column("file")[0].as_py()] * n, "frame": [table.column("frame")[0].as_py()] * n, "bone": list(at), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
     return motion.groupBy("file", "frame").applyInArrow(one, "file string, frame long, bone string, x double, y double, z double")
+
+
+def coco_poses(bones: DataFrame) -> DataFrame:
+    """(file, frame, joints): the bones of each frame as 17 joints; null where one of the bones is missing.
+
+    The joints of the head are set off forward, at right angles to the shoulders.
+    """
+    wanted = ["head", *COCO_BONES]
+    at = F.map_from_entries(F.collect_list(F.when(F.col("bone").isin(wanted), F.struct("bone", F.array("x", "y", "z")))))
+    d = bones.groupBy("file", "frame").agg(at.alias("at"))
+    left, right, head = (F.try_element_at("at", F.lit(b)) for b in ("lhumerus", "rhumerus", "head"))
+    across = [right[i] - left[i] for i in range(3)]
+    width = F.sqrt(across[0] * across[0] + across[1] * across[1] + across[2] * across[2]) + EPSILON
+    d = d.withColumns({"fx": -across[1] / width, "fy": across[0] / width})
+    length = norm2(F.col("fx"), F.col("fy")) + EPSILON
+    d = d.withColumns({"fx": F.col("fx") / length, "fy": F.col("fy") / length})
+    face = [F.array(head[0] + F.col("fx") * step + off[0], head[1] + F.col("fy") * step + off[1], head[2] + off[2]) for step, off in HEAD]
+    joints = F.array(*face, *[F.try_element_at("at", F.lit(b)) for b in COCO_BONES])
+    whole = F.size(F.map_keys("at")) == len(wanted)
+    return d.select("file", "frame", F.when(whole, joints).alias("joints"))
+
+
+def capture_dataset(spark: SparkSession, folder: str, takes: list[tuple[str, str, str]] = TAKES) -> DataFrame:
+    """Training samples of the takes (skeleton file, motion file, label) whose files are both there; the others are warned of."""
+    out = None
+    for skeleton_file, motion_file, label in takes:
+        try:
+            text = spark.read.text(f"{folder}/{skeleton_file}", wholetext=True).first()[0]
+            motion = read_motion(spark, f"{folder}/{motion_file}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            warnings.warn(f"take without files: {skeleton_file}/{motion_file}", stacklevel=2)
+            continue
+        made = capture_samples(coco_poses(solved(motion, parse_skeleton(text))), label).drop("file")
+        out = made if out is None else out.unionByName(made)
+    return spark.createDataFrame([], "label string, schema_version string, features_v2 array<array<double>>") if out is None else out
