@@ -82,24 +82,29 @@ def sco_06_srt_04_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.hypotheses(c, _links(spark, sf_dir))
 
 
-@query(
-    "SELECT clip_id, track_id, canonical FROM cn QUALIFY row_number() OVER (PARTITION BY clip_id, track_id ORDER BY depth DESC) = 1",
-    _TAILS
-    + """,
+_CHAINS = _TAILS + """,
 rk AS (SELECT clip_id, pred, succ, row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, gap, succ) AS r FROM sl),
-cn AS (SELECT clip_id, succ AS track_id, pred AS canonical, r, 0 AS depth FROM rk UNION ALL SELECT cn.clip_id, cn.track_id, rk.pred, rk.r, depth + 1 FROM cn JOIN rk ON rk.clip_id = cn.clip_id AND rk.succ = cn.canonical AND rk.r < cn.r)""",
-    recursive=True,
-)
+cn AS (SELECT clip_id, succ AS track_id, pred AS canonical, r, 0 AS depth FROM rk UNION ALL SELECT cn.clip_id, cn.track_id, rk.pred, rk.r, depth + 1 FROM cn JOIN rk ON rk.clip_id = cn.clip_id AND rk.succ = cn.canonical AND rk.r < cn.r),
+fn AS (SELECT clip_id, track_id, canonical FROM cn QUALIFY row_number() OVER (PARTITION BY clip_id, track_id ORDER BY depth DESC) = 1)"""
+
+
+@query("SELECT clip_id, track_id, canonical FROM fn", _CHAINS, recursive=True)
 def sts_10_canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.canonical_ids(_links(spark, sf_dir))
 
 
+@query(
+    """SELECT m.clip_id, m.identity, m.frame_idx, round(ax + (bx - ax) * (m.frame_idx - fa) / (fb - fa), 4) AS x, round(ay + (b_y - ay) * (m.frame_idx - fa) / (fb - fa), 4) AS y, round(aw + (bw - aw) * (m.frame_idx - fa) / (fb - fa), 4) AS w, round(ah + (bh - ah) * (m.frame_idx - fa) / (fb - fa), 4) AS h
+       FROM (SELECT l.clip_id, fn.canonical AS identity, unnest(range(a.frame_idx + 1, b.frame_idx)) AS frame_idx, a.frame_idx AS fa, b.frame_idx AS fb, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS b_y, a.w AS aw, b.w AS bw, a.h AS ah, b.h AS bh
+             FROM sl l JOIN tl a ON a.clip_id = l.clip_id AND a.track_id = l.pred JOIN hd b ON b.clip_id = l.clip_id AND b.track_id = l.succ JOIN fn ON fn.clip_id = l.clip_id AND fn.track_id = l.succ) m
+       WHERE NOT EXISTS (SELECT 1 FROM sh LEFT JOIN fn USING (clip_id, track_id) WHERE sh.clip_id = m.clip_id AND coalesce(canonical, track_id) = m.identity AND sh.frame_idx = m.frame_idx)""",
+    _CHAINS,
+    recursive=True,
+)
 def sts_10_bridged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated rows of each link's gap, under the canonical identity."""
-    return identity.bridged(short_tracks(spark, sf_dir), _links(spark, sf_dir))
-
-
-query()(sts_10_bridged_rows)
+    made = identity.bridged(short_tracks(spark, sf_dir), _links(spark, sf_dir))
+    return made.select("clip_id", "identity", "frame_idx", *[F.round(c, 4).alias(c) for c in "xywh"])
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
