@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, chat, contamination, langid, licences, nearcopies, pieces, surrogates, tokenfiles, urlrules
+from . import additive, chat, contamination, infill, langid, licences, nearcopies, pieces, surrogates, tokenfiles, urlrules
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +85,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op8_surrogates, op9_licences, op10_chat)}
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its units, its fill-in-middle form, and digests of the output and of the text rebuilt from it."""
+    return infill.rearranged(read_table(spark, sf_dir, "documents"), texts=False)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op8_surrogates, op9_licences, op10_chat, op13_infill)}
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 _CONTROL = r"([<\[])(\\*)(/TURN\]|/INST\]|/ROLE\]|/SYS\]|INST\]|ROLE\]|SYS\]|/s>|s>)"
 
@@ -115,6 +120,25 @@ ORACLES: dict[str, str] = {
                3 + sum(length(t) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 4 ELSE 20 + length(r) END) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op13_infill": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+            FROM documents
+        ), h AS (
+            SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t
+        ), c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ), p AS (
+            SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS head, coalesce(array_to_string(u[a + 1:b], ''), '') AS body, coalesce(array_to_string(u[b + 1:n], ''), '') AS tail FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(body) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || body ELSE '<S>' || tail || '<P>' || head || '<M>' || body END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
     "op7_url_rules": """
         WITH p AS (
             SELECT page_id,
