@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 3 << 19
@@ -94,3 +95,23 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: A key that at least one in HOT rows hold is dealt over as many copies of its table row.
+HOT = 256
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left join ``table``, which has each key once; no task gets all rows of a common key.
+
+    Both have the column ``key`` without nulls.  At most HOT keys are common, so these alone are broadcast; their rows
+    go by salts, of which there are HOT, and their table rows once to each salt.
+    """
+    n = unused(rows, "__n")
+    counts = rows.groupBy(key).agg(F.count("*").alias(n))
+    total = rows.count()
+    often = F.broadcast(saved(counts.where(F.col(n) * HOT > total).select(key), "hot").withColumn(n, F.lit(True)))  # less than HOT keys
+    salt = unused(rows, "__salt")
+    dealt = rows.join(often, key, "left").withColumn(salt, F.when(F.col(n), F.pmod(F.monotonically_increasing_id(), F.lit(HOT))).otherwise(F.lit(0))).drop(n)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(n), F.lit(HOT - 1)).otherwise(F.lit(0)).cast("long")))
+    return dealt.join(table.join(often, key, "left").withColumn(salt, copies).drop(n), [key, salt], "left").drop(salt)
