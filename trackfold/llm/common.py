@@ -101,15 +101,15 @@ def unused(df: DataFrame, name: str) -> str:
 HOT = 256
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` left join ``table``, which has each key once; no task gets all rows of a common key.
 
-    Both have the column ``key`` without nulls.  At most HOT keys are common, so these alone are broadcast; their rows
+    Both have the column ``key`` without nulls; ``counted`` (key, n) are the rows of each key, if they are known.  At most HOT keys are common, so these alone are broadcast; their rows
     go by salts, of which there are HOT, and their table rows once to each salt.
     """
     n = unused(rows, "__n")
-    counts = rows.groupBy(key).agg(F.count("*").alias(n))
-    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count("*").alias(n)) if counted is None else counted.select(key, F.col("n").alias(n))
+    total = rows.count() if counted is None else counts.agg(F.sum(n)).first()[0] or 0
     often = F.broadcast(saved(counts.where(F.col(n) * HOT > total).select(key), "hot").withColumn(n, F.lit(True)))  # less than HOT keys
     salt = unused(rows, "__salt")
     dealt = rows.join(often, key, "left").withColumn(salt, F.when(F.col(n), F.pmod(F.monotonically_increasing_id(), F.lit(HOT))).otherwise(F.lit(0))).drop(n)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, bytebpe, chat, contamination, infill, langid, licences, nearcopies, pieces, surrogates, tokenfiles, urlrules
+from . import additive, bytebpe, chat, contamination, infill, langid, licences, nearcopies, partcodes, pieces, surrogates, tokenfiles, urlrules
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: codes of its eight parts, squared error, error of its label, digest of all codebooks."""
+    return partcodes.compressed(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and digest of its byte-level BPE ids, digest of the bytes decoded from them."""
     import public_tokenizers
@@ -97,7 +102,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.rearranged(read_table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op8_surrogates, op9_licences, op10_chat, op12_byte_bpe, op13_infill)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_token_files, op4_near_copies, op5_additive, op6_pieces, op7_url_rules, op8_surrogates, op9_licences, op10_chat, op11_part_codes, op12_byte_bpe, op13_infill)}
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 _CONTROL = r"([<\[])(\\*)(/TURN\]|/INST\]|/ROLE\]|/SYS\]|INST\]|ROLE\]|SYS\]|/s>|s>)"
 
