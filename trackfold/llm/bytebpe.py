@@ -231,15 +231,17 @@ class Vocabulary:
         def hashed(w: Column) -> Column:
             return F.crc32(F.encode(w, "UTF-8"))
 
-        # texts that are equal have one set of rare words, whatever the keys of their rows
-        keyed = docs.withColumn(digest, F.unhex(F.sha2(F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8"), 256)))
+        # texts that are equal have one set of rare words, whatever the keys of their rows; texts whose hashes are equal
+        # share the words of both, which does no harm
+        keyed = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
         others = _let(literal, lambda known: F.array_distinct(F.filter(words, lambda w: _found(known, F.encode(w, "UTF-8"), w).isNull())))
-        pairs = keyed.select(F.col(digest), F.explode(others).alias("word")).distinct()
-        rare = pairs.join(folded.where(~often).select("word", "ids"), "word").groupBy(digest).agg(F.collect_list(F.struct(hashed(F.col("word")).alias("h"), "word", "ids")).alias(rare_column))
+        pairs = keyed.select(F.col(digest), F.explode(others).alias("word"))
+        others = folded.where(~often)
+        rare = spread_join(pairs, others.select("word", "ids"), "word", others).groupBy(digest).agg(F.collect_set(F.struct("word", "ids")).alias(rare_column))
 
         def buckets(entries: Column) -> Column:  # about as many maps as each has words
             n = F.greatest(F.sqrt(F.size(entries)).cast("int"), F.lit(1))
-            one = lambda b: F.map_from_entries(F.transform(F.filter(entries, lambda e: F.pmod(e["h"], n) == b), lambda e: F.struct(e["word"], e["ids"])))
+            one = lambda b: F.map_from_entries(F.filter(entries, lambda e: F.pmod(hashed(e["word"]), n) == b))
             return F.transform(F.sequence(F.lit(0), n - 1), one)
 
         def looked_up(known: Column, maps: Column) -> Column:
