@@ -29,6 +29,18 @@ def test_ids_and_texts_equal_the_library(library):
     assert model.decode(ids, at) == [library.decode(w) for w in want]
 
 
+def test_runs_of_spaces_and_indented_code_equal_the_library(library):
+    runs = [c * n for c in (" ", "\t", "\n") for n in range(1, 201)]
+    all_ = [t for r in runs for t in (r, "a" + r + "b", "def f():\n" + r + "return 1", r + "\t " + r)]
+    rng = random.Random(9)
+    all_ += ["".join(rng.choice(["  ", "    ", " ", "\t", "\n", "x", "return", "=", "--", "aaaa", "▁"]) for _ in range(40)) for _ in range(2000)]
+    all_ += [" " * 200_000 + "x", "-" * 5000, "=" * 4097, "  x" * 30_000]
+    model = pieces.PieceModel(PATH)
+    ids, at = model.encode(all_)
+    want = library.encode(all_, num_threads=1)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
 def test_single_merges_agree_with_rounds():
     model = pieces.PieceModel(PATH)
     units = [t.replace(" ", "▁") for t in texts() if 0 < len(t) < 5000]

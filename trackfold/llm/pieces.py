@@ -4,13 +4,15 @@ Texts are cut before every stretch of spaces: the model's pieces hold the space
 of nothing else, so no merge crosses such a cut.  (``PieceModel`` checks that; a model with other pieces is encoded in
 whole texts.)  Distinct units are merged together: their symbols lie in one flat array, each round finds the smallest
 pair rank of every unit (segmented minimum), merges its leftmost non-overlapping occurrences at once, and compacts the
-array, until no unit has a pair left.  If a merge made a pair of a smaller rank than its own, the library, which merges
-one pair at a time, may have gone another way: such a unit is encoded again with one merge a round.
+array, until no unit has a pair left.  The library merges one pair at a time, the leftmost of the smallest rank.  It may
+go another way where a round makes a pair of no greater rank than its own, or where pairs of different pieces share the
+smallest rank (all pieces of spaces do): such a unit is encoded again merge by merge, with a heap of its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -114,12 +116,15 @@ class PieceModel:
             least = np.minimum.reduceat(rank, first)
             if not single:
                 own = unit[first]
-                back = (least < last[own]) & (least < _NONE)
+                back = (least <= last[own]) & (least < _NONE)
                 again.update(own[back].tolist())
                 last[own] = least
             size = np.diff(np.append(first, len(unit)))
             hit = (rank == np.repeat(least, size)) & (rank < _NONE)
             where = np.flatnonzero(hit)
+            if not single and len(where):
+                other = np.flatnonzero((unit[where[1:]] == unit[where[:-1]]) & (key[where[1:]] != key[where[:-1]]))
+                again.update(unit[where[other]].tolist())
             if single:
                 where = where[np.concatenate([[True], unit[where[1:]] != unit[where[:-1]]])] if len(where) else where
             elif len(where):
@@ -141,13 +146,44 @@ class PieceModel:
         symbols, unit = symbols[by], unit[by]
         if again:
             redo = sorted(again)
-            s, u = self.merge([units[i] for i in redo], single=True)
+            parts = [self.in_order(units[i]) for i in redo]
             keep = ~np.isin(unit, redo)
-            symbols, unit = np.concatenate([symbols[keep], s]), np.concatenate([unit[keep], np.array(redo)[u]])
+            symbols, unit = np.concatenate([symbols[keep], *parts]), np.concatenate([unit[keep], np.repeat(redo, [len(p) for p in parts])])
             by = np.argsort(unit, kind="stable")
             symbols, unit = symbols[by], unit[by]
         return symbols, unit
 
+    def in_order(self, text: str) -> np.ndarray:
+        """Symbols of one unit after its merges one by one, as the library takes them: by rank, then from the left."""
+        symbols = [self._symbol(c) for c in text]
+        n = len(symbols)
+        behind, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        known: dict[int, tuple[int, int] | None] = {}
+
+        def pair(a: int, b: int) -> tuple[int, int] | None:
+            key = a << 32 | b
+            if key not in known:
+                at = int(self._pairs(np.array([key], np.int64))[0])
+                known[key] = (int(self.pair_rank[at]), int(self.pair_made[at])) if at >= 0 else None
+            return known[key]
+
+        heap = [(p[0], i, symbols[i], symbols[i + 1], p[1]) for i in range(n - 1) if (p := pair(symbols[i], symbols[i + 1]))]
+        heapify(heap)
+        while heap:
+            _, i, a, b, made = heappop(heap)
+            j = behind[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue  # one of the two was merged since
+            symbols[i], symbols[j] = made, -1
+            behind[i] = behind[j]
+            if behind[i] < n:
+                before[behind[i]] = i
+                if p := pair(made, symbols[behind[i]]):
+                    heappush(heap, (p[0], i, made, symbols[behind[i]], p[1]))
+            if before[i] >= 0 and (p := pair(symbols[before[i]], made)):
+                heappush(heap, (p[0], before[i], symbols[before[i]], made, p[1]))
+        return np.array([s for s in symbols if s >= 0], np.int64)
+
     def unit_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, flat, and how many each has; characters that are no piece become their UTF-8 bytes' pieces."""
         symbols, unit = self.merge(units)
