@@ -1,11 +1,13 @@
 """Track operators: counts, best ball, Kalman smoothing, sliding windows, gap filling.
 
-Filters are sequential within one track of one clip; a group is one such track, whose length a clip bounds.
+A filter's gains depend only on a row's number within its track, so every step is an affine map of the state, and a track
+is a chain of such maps.  Tracks are cut into blocks of frames; each block's maps are composed, the blocks' maps are
+chained, and then every block runs from its own first state.  So no track is bound to one task, and no step is a loop.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,75 +34,183 @@ def last_ball(balls: DataFrame, order: str) -> DataFrame:
     return balls.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], n_keys: int):
-    """Rows of sorted batches with a flag where a new group of the first ``n_keys`` columns begins."""
-    before = None
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        flags = []
-        for key in zip(*columns[:n_keys], strict=True):
-            flags.append(key != before)
-            before = key
-        yield batch, columns, flags
+#: Frames of a block of a track; noise of the one-dimensional filter; the team that every new track gets.
+BLOCK = 4096
+PROCESS_NOISE, MEASUREMENT_NOISE = 1e-4, 1e-2
+HOME_TEAM = 1
 
 
-def kalman_1d(rows: DataFrame, value: str, process: float = 1e-4, measurement: float = 1e-2) -> DataFrame:
-    """``value`` of each track smoothed by a one-dimensional filter (column ``smooth``); the first value is taken as it is.
+def kalman_step(x: float, p: float, z: float, process: float, measurement: float) -> tuple[float, float]:
+    """One step of the one-dimensional filter: state and variance after a measurement."""
+    prior = p + process
+    gain = prior / (prior + measurement)
+    return x + gain * (z - x), (1 - gain) * prior
 
-    Rows are dealt by track and streamed in frame order, so a task holds one state at a time.
+
+def _settled(step: Callable[[tuple], tuple], state: tuple, most: int = 1 << 20) -> np.ndarray:
+    """The first element of each further state (gains), up to where they do not change any more."""
+    out: list = []
+    while len(out) < most:
+        gains, state = step(state)
+        if out and gains == out[-1]:
+            break
+        out.append(gains)
+    return np.array(out)
+
+
+def gains_1d(process: float, measurement: float) -> tuple[np.ndarray, np.ndarray]:
+    """Maps and inputs of the second, third ... row: x -> (1 - g) x + g z."""
+
+    def step(state: tuple) -> tuple:
+        prior = state[0] + process
+        gain = prior / (prior + measurement)
+        return gain, ((1 - gain) * prior,)
+
+    g = _settled(step, (1.0,))
+    return (1 - g)[:, None, None], g[:, None]
+
+
+def gains_2d(dt: float) -> tuple[np.ndarray, np.ndarray]:
+    """Maps and inputs of (position, velocity) of one axis; both axes share them."""
+
+    def step(state: tuple) -> tuple:
+        a, b, e = state
+        a, b, e = a + 2 * dt * b + dt * dt * e + 1.0, b + dt * e, e + 4.0
+        k1, k2 = a / (a + 9.0), b / (a + 9.0)
+        return (k1, k2), ((1 - k1) * a, (1 - k1) * b, e - k2 * b)
+
+    k = _settled(step, (25.0, 0.0, 25.0))
+    k1, k2 = k[:, 0], k[:, 1]
+    return np.stack([np.stack([1 - k1, (1 - k1) * dt], 1), np.stack([-k2, 1 - k2 * dt], 1)], 1), k
+
+
+def chained(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maps x -> a x + b composed with all before them in their stretch; stretches begin where ``first`` is set.
+
+    Each round doubles the number of maps that are composed, so a stretch of n rows takes log2(n) rounds.
     """
-    base = rows.select(*TRACK, "frame_idx", F.col(value).cast("double").alias("z"))
+    a, b = a.copy(), b.copy()
+    at = np.arange(len(a))
+    begin = np.maximum.accumulate(np.where(first, at, 0))
+    d, longest = 1, int((at - begin).max()) if len(a) else 0
+    while d <= longest:
+        here = np.flatnonzero(at - d >= begin)
+        before = here - d
+        b[here], a[here] = b[here] + a[here] @ b[before], a[here] @ a[before]
+        d *= 2
+    return a, b
+
+
+def _maps(n: np.ndarray, z: np.ndarray, gains: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The map of each row from its number within its track (from 1) and its measurements (rows x axes)."""
+    maps, inputs = gains
+    k = np.clip(n - 2, 0, len(maps) - 1)
+    a, b = maps[k], inputs[k][:, :, None] * z[:, None, :]
+    one = n == 1
+    a[one] = 0.0
+    b[one] = 0.0
+    b[one, 0] = z[one]
+    return a, b
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row's keys differ from those before it; the first row counts."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def filtered(rows: DataFrame, values: list[str], gains: tuple[np.ndarray, np.ndarray], names: list[str]) -> DataFrame:
+    """``rows`` with the state of a filter of the measurements ``values`` after each row: one column for each element and axis.
+
+    Rows have clip_id, track_id, frame_idx (no nulls) and are taken in frame order within a track.
+    """
+    size, axes = gains[0].shape[1], len(values)
+    shared = rows.sparkSession.sparkContext.broadcast(gains)
+    keys, columns = [*TRACK, "__block"], rows.columns
+    dealt = rows.withColumn("__block", F.floor(F.col("frame_idx") / BLOCK))
+    order = Window.partitionBy(*TRACK).orderBy("__block")
+    blocks = dealt.groupBy(*keys).agg(F.count("*").alias("__n"))
+    blocks = blocks.withColumn("__from", F.sum("__n").over(order) - F.col("__n")).withColumn("__last", F.lead("__n").over(order).isNull())
+
+    def sequences(batches):
+        """Keys, numbers within the track and measurements of each batch; a block that goes on in the next batch goes on counting."""
+        before, count = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            first = _changes(key)
+            goes_on = before == tuple(k[0] for k in key)
+            at = np.arange(batch.num_rows)
+            within = at - np.maximum.accumulate(np.where(first, at, 0))
+            if goes_on:
+                within[: np.flatnonzero(first)[1] if first.sum() > 1 else len(first)] += count
+            before, count = tuple(k[-1] for k in key), int(within[-1]) + 1
+            z = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in values], 1)
+            yield batch, key, first, goes_on, *_maps(batch.column("__from").to_numpy() + within + 1, z, shared.value)
+
+    def compose(batches):
+        for number, (_, key, first, _, a, b) in enumerate(sequences(batches)):
+            a, b = chained(a, b, first)
+            ends = np.append(np.flatnonzero(first)[1:], len(first)) - 1
+            flat = [pa.array(list(m[ends].reshape(len(ends), -1)), pa.list_(pa.float64())) for m in (a, b)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[ends], pa.int64()) for k in key), pa.array(np.full(len(ends), number, np.int64)), *flat], names=[*keys, "piece", "a", "b"])
+
+    def enter(batches):
+        """The state in which each block but a track's first begins, from the pieces of the blocks before it."""
+        track, state = None, np.zeros((size, axes))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(c).to_numpy() for c in TRACK]
+            first = _changes(key)
+            a = batch.column("a").flatten().to_numpy().reshape(-1, size, size)
+            b = batch.column("b").flatten().to_numpy().reshape(-1, size, axes)
+            if track == tuple(k[0] for k in key):
+                b = b.copy()
+                b[0] += a[0] @ state
+            _, b = chained(a, b, first)
+            track, state = tuple(k[-1] for k in key), b[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TRACK), pa.array(batch.column("__block").to_numpy() + 0), batch.column("piece"), pa.array(list(b.reshape(len(b), -1)), pa.list_(pa.float64()))], names=[*keys, "piece", "state"])
+
+    kinds = "clip_id long, track_id long, __block long, piece long"
+    whole = dealt.join(blocks, keys)
+    pieces = whole.where("NOT __last").repartition(*keys).sortWithinPartitions(*keys, "frame_idx").mapInArrow(compose, f"{kinds}, a array<double>, b array<double>")
+    # the state after a block is that after its last piece; it enters the track's next block
+    after = pieces.repartition(*TRACK).sortWithinPartitions(*keys, "piece").mapInArrow(enter, f"{kinds}, state array<double>")
+    after = after.groupBy(*keys).agg(F.max_by("state", "piece").alias("__state"))
+    entered = blocks.join(after, keys, "left").withColumn("__enter", F.lag("__state").over(order)).select(*keys, "__from", "__enter")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{n} double" for n in names)])
 
     def run(batches):
-        x, p = 0.0, 1.0
-        for batch, (_, _, _, z), new in _sequences(batches, 2):
-            out = []
-            for value_, first in zip(z, new, strict=True):
-                if first:
-                    x, p = value_, 1.0
-                else:
-                    prior = p + process
-                    gain = prior / (prior + measurement)
-                    x += gain * (value_ - x)
-                    p = (1 - gain) * prior
-                out.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*TRACK, "frame_idx", "z", "smooth"])
-
-    dealt = base.repartition(*TRACK).sortWithinPartitions(*TRACK, "frame_idx")
-    return dealt.mapInArrow(run, "clip_id long, track_id long, frame_idx long, z double, smooth double")
+        last = np.zeros((size, axes))
+        for batch, _, first, goes_on, a, b in sequences(batches):
+            begins = np.flatnonzero(first)
+            enter_ = batch.column("__enter").to_pylist() if batch.column("__enter").null_count < batch.num_rows else None
+            for k, i in enumerate(begins.tolist()):
+                state = last if k == 0 and goes_on else None if enter_ is None or enter_[i] is None else np.reshape(enter_[i], (size, axes))
+                if state is not None:
+                    b[i] += a[i] @ state
+            _, b = chained(a, b, first)
+            last = b[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(b[:, i, j]) for i in range(size) for j in range(axes))], names=[*columns, *names])
+
+    return dealt.join(entered, keys).repartition(*keys).sortWithinPartitions(*keys, "frame_idx").mapInArrow(run, schema)
+
+
+def kalman_1d(rows: DataFrame, value: str, process: float = PROCESS_NOISE, measurement: float = MEASUREMENT_NOISE) -> DataFrame:
+    """``value`` of each track smoothed by a one-dimensional filter (column ``smooth``); the first value is taken as it is."""
+    return filtered(rows.select(*TRACK, "frame_idx", F.col(value).cast("double").alias("z")), ["z"], gains_1d(process, measurement), ["smooth"])
 
 
 def kalman_2d(rows: DataFrame, fps: float, extra: tuple[str, ...] = ()) -> DataFrame:
     """x and y of each track smoothed by a constant-velocity filter: sx, sy, svx, svy; the first row only starts it.
 
-    Both axes share their gains, so one covariance (a, b, e) serves both; the time step is 1 / fps, whatever gaps there are.
+    The time step is 1 / fps, whatever gaps there are.
     """
-    dt = 1.0 / max(fps, 1e-6)
     base = rows.select(*TRACK, "frame_idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *extra)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
-
-    def run(batches):
-        s = np.zeros(4)
-        a = b = e = 0.0
-        for batch, columns, new in _sequences(batches, 2):
-            out = np.zeros((batch.num_rows, 4))
-            for i, (x, y, first) in enumerate(zip(columns[3], columns[4], new, strict=True)):
-                if first:
-                    s = np.array([x, y, 0.0, 0.0])
-                    a, b, e = 25.0, 0.0, 25.0
-                else:
-                    px, py = s[0] + dt * s[2], s[1] + dt * s[3]
-                    a = a + 2 * dt * b + dt * dt * e + 1.0
-                    b = b + dt * e
-                    e = e + 4.0
-                    k1, k2 = a / (a + 9.0), b / (a + 9.0)
-                    rx, ry = x - px, y - py
-                    s = np.array([px + k1 * rx, py + k1 * ry, s[2] + k2 * rx, s[3] + k2 * ry])
-                    a, b, e = (1 - k1) * a, (1 - k1) * b, e - k2 * b
-                out[i] = s
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[:, k]) for k in range(4))], names=[*batch.schema.names, "sx", "sy", "svx", "svy"])
-
-    return base.repartition(*TRACK).sortWithinPartitions(*TRACK, "frame_idx").mapInArrow(run, f"{kinds}, sx double, sy double, svx double, svy double")
+    return filtered(base, ["x", "y"], gains_2d(1.0 / max(fps, 1e-6)), ["sx", "sy", "svx", "svy"])
 
 
 def smooth_motion(rows: DataFrame, fps: float) -> DataFrame:
