@@ -107,11 +107,3 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.kind, r.n) for r in spark.table("kinds").collect()) == [("ball", 2), ("player", 1)]
-    schema = "game_id long, seq long, kind string, t_ms long, player_id long, team_id long"
-    rows = [(1, 0, "MadeBasket", 100, 5, 1), (1, 1, "MadeBasket", 200, 6, 2), (1, 2, "ThreePointSignal", 250, 0, 0), (1, 3, "ThreePointSignal", 9000, 0, 0), (2, 0, "ThreePointSignal", 10, 0, 0)]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "games"))
-    s = spark.readStream.schema(schema).parquet(str(tmp_path / "games"))
-    q = events.validated(s).writeStream.outputMode("append").format("memory").queryName("official").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [tuple(r) for r in spark.table("official").collect()] == [(1, 0, 2, 5, 1, 3)]

@@ -5,7 +5,8 @@ An event row has game_id, seq (order), kind, t_ms, player_id, team_id, to_id, po
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,33 @@ WINDOW_MS, HINT_POINTS = 2000, 3
 TRANSITION_ORIGINS = ["Steal", "Rebound", "Turnover"]
 
 
+class Waiting:
+    """Baskets (seq, t_ms, player, team) of a game that wait for a signal, kept in order of time."""
+
+    def __init__(self, window_ms: int, rows: Iterable[tuple] = ()):
+        self.window_ms = window_ms
+        self._sorted = sorted((r[1], r[0], r[2], r[3]) for r in rows)
+
+    def add(self, seq: int, t_ms: int, player: int, team: int) -> None:
+        insort(self._sorted, (t_ms, seq, player, team))
+
+    def take(self, t_ms: int) -> tuple | None:
+        """The basket that came first of those that a signal at ``t_ms`` can reach; it waits no more."""
+        low, high = bisect_left(self._sorted, (t_ms - self.window_ms,)), bisect_right(self._sorted, (t_ms, float("inf")))
+        if low >= high:
+            return None
+        at = min(range(low, high), key=lambda i: self._sorted[i][1])
+        t, seq, player, team = self._sorted.pop(at)
+        return seq, t, player, team
+
+    def drop_before(self, t_ms: int) -> None:
+        """Take out the baskets that no signal at ``t_ms`` or later can reach."""
+        del self._sorted[: bisect_left(self._sorted, (t_ms - self.window_ms,))]
+
+    def rows(self) -> list[tuple]:
+        return [(seq, t, player, team) for t, seq, player, team in self._sorted]
+
+
 def with_possession(events: DataFrame, game: str = "game_id") -> DataFrame:
     """Every event with the possession after it: number, team, handler, start, dribbles, passes, zone, transition.
 
@@ -66,20 +94,18 @@ def validated(events: DataFrame, game: str = "game_id", window_ms: int = WINDOW_
     base = events.select(*cols).repartition(game).sortWithinPartitions(game, "seq")
 
     def run(batches):
-        now, waiting = None, deque()
+        now, waiting = None, Waiting(window_ms)
         for batch in batches:
             out = []
             for g, seq, kind, t, player, team, points in zip(*(batch.column(c).to_pylist() for c in cols), strict=True):
                 if (g,) != now:
-                    now, waiting = (g,), deque()
+                    now, waiting = (g,), Waiting(window_ms)
                 if kind == "MadeBasket":
-                    waiting.append((seq, t, player, team))
+                    waiting.add(seq, t, player, team)
                 elif kind == "ThreePointSignal":
                     if expire:
-                        waiting = deque(w for w in waiting if w[1] + window_ms >= t)
-                    hit = next((w for w in waiting if w[1] <= t <= w[1] + window_ms), None)
-                    if hit:
-                        waiting.remove(hit)
+                        waiting.drop_before(t)
+                    if hit := waiting.take(t):
                         out.append((g, hit[0], seq, "MadeBasket", hit[2], hit[3], HINT_POINTS if points is None else points))
                 else:
                     out.append((g, seq, seq, kind, player, team, points))

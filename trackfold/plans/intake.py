@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sampling
+from ..sources.storage import shared_folder
+from ..streaming import state
 from . import adapter
-from .people import _LEDGER, ledger_events
+from .people import _FOLD, _LEDGER, HISTORY_SQL, ledger_events
 from .registry import query
 
 _CLIPS = "cl AS (SELECT clip_id, 100 + sum(v) % 1900 AS frames FROM ev GROUP BY clip_id), us AS (SELECT *, {weight} AS w FROM cl WHERE frames > 150), po AS (SELECT clip_id, frames, sum(w) OVER (ORDER BY md5(clip_id::VARCHAR), clip_id ROWS UNBOUNDED PRECEDING) - w AS lo FROM us), tt AS (SELECT sum(w)::BIGINT AS total, count(*) AS n FROM us)"
@@ -30,3 +32,42 @@ def srt_07_sampled_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srt_07_sampled_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with chances by length."""
     return sampling.sampled(clip_lengths(spark, sf_dir), 1000, 7, by_length=True).drop("start_s")
+
+
+#: Files that a stream is dealt to, and those of a batch.
+STREAM_FILES, FILES_PER_BATCH = 5, 2
+
+
+def _as_stream(rows: DataFrame, part: str, order: str) -> DataFrame:
+    """A stream of ``rows``, written as files of ascending parts; a file's rows are in order."""
+    spark, path = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/stream"
+    for k in range(STREAM_FILES):  # one after the other, so that their times ascend as those of arriving files do
+        rows.where(F.col(part) == k).drop(part).coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
+
+
+def _streamed(result: DataFrame) -> DataFrame:
+    folder = shared_folder(result.sparkSession)
+    return state.run_available(result, f"{folder}/out", f"{folder}/checkpoint")
+
+
+@query(HISTORY_SQL, _LEDGER + "," + _FOLD, recursive=True)
+def sts_06_streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's history worked out by a stream with state; every file holds a stretch of each game."""
+    events = ledger_events(spark, sf_dir).withColumn("part", F.col("seq") * STREAM_FILES / 500).withColumn("part", F.floor("part"))
+    return _streamed(state.ledger(_as_stream(events, "part", "seq")))
+
+
+_TRACKS = """z AS (SELECT clip_id, track_id, frame_idx, x, y, v % 3 = 0 AS has_pose, row_number() OVER (PARTITION BY clip_id, track_id ORDER BY frame_idx) AS n FROM ply),
+    k AS (SELECT clip_id, track_id, frame_idx, n, x AS sx, y AS sy, 1.0::DOUBLE AS p FROM z WHERE n = 1
+          UNION ALL SELECT z.clip_id, z.track_id, z.frame_idx, z.n, sx + (p + 1e-4) / (p + 1e-4 + 1e-2) * (z.x - sx), sy + (p + 1e-4) / (p + 1e-4 + 1e-2) * (z.y - sy), (1 - (p + 1e-4) / (p + 1e-4 + 1e-2)) * (p + 1e-4)
+          FROM k JOIN z ON z.clip_id = k.clip_id AND z.track_id = k.track_id AND z.n = k.n + 1),
+    hs AS (SELECT *, count(*) FILTER (has_pose) OVER (PARTITION BY clip_id, track_id ORDER BY frame_idx) AS poses FROM z)"""
+
+
+@query("SELECT clip_id, track_id, frame_idx, round(sx, 4) AS court_x, round(sy, 4) AS court_y, 1 AS team, k.n AS seen, least(poses, 30) AS poses FROM k JOIN hs USING (clip_id, track_id, frame_idx)", _TRACKS, recursive=True)
+def sts_08_streamed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of tracks kept by a stream: each detection with its track's state after it."""
+    rows = adapter.players(spark, sf_dir).select("clip_id", "track_id", "frame_idx", "x", "y", (F.col("v") % 3 == 0).alias("has_pose"), F.floor(F.col("frame_idx") * STREAM_FILES / 50).alias("part"))
+    out = _streamed(state.tracks(_as_stream(rows, "part", "frame_idx")))
+    return out.withColumns({c: F.round(c, 4) for c in ("court_x", "court_y")})

@@ -253,7 +253,19 @@ def sts_05_possession_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("game_id", "seq", "possession", "handler", "possession_team", "start_ms", "dribbles", "passes", "zone", "transition")
 
 
-@query()
+#: One step an event: the baskets that wait are a list in order of events, a signal takes the first that it can reach.
+_FOLD = """st AS (
+        SELECT DISTINCT game_id, -1::BIGINT AS seq, []::STRUCT(seq BIGINT, t BIGINT, player BIGINT, team BIGINT)[] AS waiting, NULL::STRUCT(seq BIGINT, t BIGINT, player BIGINT, team BIGINT) AS hit FROM lg
+        UNION ALL
+        SELECT game_id, seq, CASE WHEN kind = 'MadeBasket' THEN list_append(waiting, {'seq': seq, 't': t_ms, 'player': player_id, 'team': team_id}) WHEN found IS NOT NULL THEN list_filter(waiting, lambda w: w.seq <> found.seq) ELSE waiting END, found
+        FROM (SELECT g.*, s.waiting, CASE WHEN g.kind = 'ThreePointSignal' THEN list_filter(s.waiting, lambda w: w.t <= g.t_ms AND g.t_ms <= w.t + 2000)[1] END AS found FROM st s JOIN lg g ON g.game_id = s.game_id AND g.seq = s.seq + 1)
+    )"""
+HISTORY_SQL = """SELECT lg.game_id, CASE WHEN kind = 'ThreePointSignal' THEN hit.seq ELSE lg.seq END AS seq, lg.seq AS at_seq, CASE WHEN kind = 'ThreePointSignal' THEN 'MadeBasket' ELSE kind END AS kind,
+    CASE WHEN kind = 'ThreePointSignal' THEN hit.player ELSE player_id END AS player_id, CASE WHEN kind = 'ThreePointSignal' THEN hit.team ELSE team_id END AS team_id, points
+    FROM lg JOIN st USING (game_id, seq) WHERE kind <> 'MadeBasket' AND (kind <> 'ThreePointSignal' OR hit IS NOT NULL)"""
+
+
+@query(HISTORY_SQL, _LEDGER + "," + _FOLD, recursive=True)
 def sts_06_joi_15_validated_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger's history with baskets in the order in which signals make them official."""
     return ledger.validated(ledger_events(spark, sf_dir))

@@ -1,15 +1,10 @@
-"""Event streams: windowed counts with watermarks, and the ledger's delayed validation with state."""
+"""Event streams: reading, and windowed counts with watermarks; ``state`` has what keeps state by key."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledger import HINT_POINTS, WINDOW_MS
 from ..sources.jsonl import STREAM
 
 
@@ -21,27 +16,3 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 def counts(stream: DataFrame, size: str = "10 seconds", late: str = "10 seconds") -> DataFrame:
     """Events by kind and time window; rows later than the watermark are dropped."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "kind").agg(F.count("*").alias("n")).select("w.start", "w.end", "kind", "n")
-
-
-def validated(stream: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Baskets (game_id, seq, kind, t_ms, player_id, team_id) as signals make them official; the baskets that wait are state.
-
-    Rows of a game that come in one batch are taken in seq order.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(w) for w in state.get[0]] if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.kind == "MadeBasket":
-                waiting.append((int(r.seq), int(r.t_ms), int(r.player_id), int(r.team_id)))
-            elif r.kind == "ThreePointSignal":
-                hit = next((w for w in waiting if w[1] <= r.t_ms <= w[1] + window_ms), None)
-                if hit:
-                    waiting.remove(hit)
-                    out.append((key[0], hit[0], int(r.seq), hit[2], hit[3], HINT_POINTS))
-        state.update(([list(w) for w in waiting],))
-        yield pd.DataFrame(out, columns=["game_id", "seq", "at_seq", "player_id", "team_id", "points"])
-
-    return stream.groupBy("game_id").applyInPandasWithState(step, "game_id long, seq long, at_seq long, player_id long, team_id long, points long", "waiting array<array<long>>", "append", GroupStateTimeout.NoTimeout)
