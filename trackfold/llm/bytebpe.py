@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import saved, spread_join, unused
 
 #: A word that is at least this share of all words has its ids in the plan; longer words (in bytes) never have.
-COMMON, COMMON_BYTES = 1 << 18, 64
+COMMON, COMMON_BYTES = 1 << 20, 32
 #: Pairs up to which a word is merged one pair a step, which costs fewer lookups; the ids are the same.
 SHORT = 32
 #: The inside of a class of Unicode's white space.
@@ -216,7 +216,7 @@ class Vocabulary:
     def folded(self, docs: DataFrame, text: str) -> DataFrame:
         """(word, n, ids) of all distinct words of the texts, written to the shared folder."""
         words = docs.select(F.explode(self.words(F.col(f"`{text}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        return saved(saved(words, "words").select("word", "n", _let(self.table, lambda t: fold_ids(t, F.encode("word", "UTF-8"))).alias("ids")), "folded")
+        return saved(words.select("word", "n", _let(self.table, lambda t: fold_ids(t, F.encode("word", "UTF-8"))).alias("ids")), "folded")
 
     def with_ids(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
         """``docs`` with the ids of its whole texts; null texts have none."""
