@@ -63,8 +63,3 @@ def fits(correspondences: DataFrame) -> DataFrame:
         return pa.table([*keys, pa.array(rows, pa.list_(pa.float64()))], names=["clip_id", "frame_idx", "h"])
 
     return correspondences.select("clip_id", "frame_idx", "u", "v", "x", "y").groupBy("clip_id", "frame_idx").applyInArrow(one, "clip_id long, frame_idx long, h array<double>")
-
-
-def upsert(old: DataFrame, new: DataFrame, key: str = "clip_id") -> DataFrame:
-    """The old rows of clips that the new ones do not name, and the new rows."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

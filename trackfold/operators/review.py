@@ -198,15 +198,21 @@ def feedback_problem(row_checks: dict[str, Column]) -> Column:
 
 
 def validated_feedback(feedback: DataFrame, frames: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Feedback with the first reason to refuse it: missing_field, issue_type, clip, frame, track (null: accepted)."""
-    clips = frames.select("clip_id").distinct().withColumn("has_clip", F.lit(True))
-    f = feedback.join(clips, "clip_id", "left").join(frames.select("clip_id", "frame_idx").distinct().withColumn("has_frame", F.lit(True)), ["clip_id", "frame_idx"], "left")
-    f = f.join(tracks.select("clip_id", "frame_idx", "track_id").distinct().withColumn("has_track", F.lit(True)), ["clip_id", "frame_idx", "track_id"], "left")
+    """Feedback with the first reason to refuse it: missing_field, issue_type, clip, frame, track (null: accepted).
+
+    clip_id, frame_idx, t_ms, issue_type and timestamp must be there (null counts as missing); a note need not.  A track
+    that is null or empty stands for none; others must be in the frame, compared as text.
+    """
+    clips = frames.select("clip_id").distinct().withColumn("__clip", F.lit(True))
+    f = feedback.join(clips, "clip_id", "left").join(frames.select("clip_id", "frame_idx").distinct().withColumn("__frame", F.lit(True)), ["clip_id", "frame_idx"], "left")
+    named = tracks.select("clip_id", "frame_idx", F.col("track_id").cast("string").alias("__track_id")).distinct().withColumn("__track", F.lit(True))
+    f = f.withColumn("__track_id", F.col("track_id").cast("string")).join(named, ["clip_id", "frame_idx", "__track_id"], "left")
     fields = F.lit(True)
-    for c in ("clip_id", "frame_idx", "t_ms", "issue_type", "note"):
+    for c in ("clip_id", "frame_idx", "t_ms", "issue_type", "timestamp"):
         fields = fields & F.col(c).isNotNull()
-    checks = {"missing_field": fields, "issue_type": F.col("issue_type").isin(ISSUE_TYPES), "clip": F.col("has_clip"), "frame": F.col("has_frame"), "track": F.col("track_id").isNull() | F.col("has_track")}
-    return f.withColumn("problem", feedback_problem(checks)).drop("has_clip", "has_frame", "has_track")
+    none = F.coalesce(F.col("__track_id"), F.lit("")) == ""
+    checks = {"missing_field": fields, "issue_type": F.col("issue_type").isin(ISSUE_TYPES), "clip": F.col("__clip"), "frame": F.col("__frame"), "track": none | F.col("__track")}
+    return f.withColumn("problem", feedback_problem(checks)).select(*feedback.columns, "problem")
 
 
 def signal_table(spark: SparkSession) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sampling
+from ..sources import stores
 from ..sources.storage import shared_folder
+from ..sources.versions import VersionedTable
 from ..streaming import state
-from . import adapter
+from . import adapter, reviews
 from .people import _FOLD, _LEDGER, HISTORY_SQL, ledger_events
 from .registry import query
 
@@ -71,3 +73,41 @@ def sts_08_streamed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapter.players(spark, sf_dir).select("clip_id", "track_id", "frame_idx", "x", "y", (F.col("v") % 3 == 0).alias("has_pose"), F.floor(F.col("frame_idx") * STREAM_FILES / 50).alias("part"))
     out = _streamed(state.tracks(_as_stream(rows, "part", "frame_idx")))
     return out.withColumns({c: F.round(c, 4) for c in ("court_x", "court_y")})
+
+
+@query(f"SELECT issue_type, count(*) AS n, count(track_id) AS tracks, sum(t_ms) AS t_total, count(note) AS notes FROM (SELECT *, {reviews._PROBLEM} AS problem FROM fb) WHERE problem IS NULL GROUP BY issue_type", reviews._FEEDBACK)
+def snk_03_validated_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback appended in two batches, one of which comes twice, and read back."""
+    store = stores.feedback_store(spark, f"{shared_folder(spark)}/feedback")
+    feedback, d = reviews.feedback(spark, sf_dir), adapter.detections(spark, sf_dir)
+    for batch in (0, 1, 0):
+        stores.append_feedback(store, feedback.where(F.col("seq") % 2 == batch), reviews.reviewed_frames(d), d, f"batch {batch}")
+    return store.read().groupBy("issue_type").agg(F.count("*").alias("n"), F.count("track_id").alias("tracks"), F.sum("t_ms").alias("t_total"), F.count("note").alias("notes"))
+
+
+@query("SELECT clip_id, max(version) AS version, count(*) AS n FROM (SELECT clip_id, 1 AS version FROM ev WHERE event_id % 500 = 0 AND clip_id % 3 <> 0 UNION ALL SELECT clip_id, 2 FROM ev WHERE event_id % 500 = 0 AND clip_id % 3 = 0) GROUP BY ALL")
+def snk_05_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of clips, of which an upsert replaces every third."""
+    store = VersionedTable(spark, f"{shared_folder(spark)}/clips", "clip_id long, version int")
+    clips = adapter.events(spark, sf_dir).select("clip_id").distinct()
+    store.append(clips.withColumn("version", F.lit(1)), "first")
+    store.upsert(clips.where("clip_id % 3 = 0").withColumn("version", F.lit(2)), "clip_id")
+    return store.read().groupBy("clip_id").agg(F.max("version").alias("version"), F.count("*").alias("n"))
+
+
+@query(
+    """SELECT clip_id::VARCHAR AS clip_id, CASE WHEN clip_id % 3 = 0 THEN 'second' ELSE 'first' END AS solver, CASE WHEN clip_id % 3 = 0 THEN points * 2 ELSE points END AS point_sample_count,
+       CASE WHEN clip_id % 3 = 0 THEN frames ELSE 1 END AS homographies, CASE WHEN clip_id % 3 = 0 THEN frames * (clip_id + 0.5::DOUBLE) ELSE clip_id::DOUBLE END AS h0_total
+       FROM (SELECT clip_id, count(*) AS points, count(DISTINCT frame_idx) AS frames FROM det GROUP BY clip_id)"""
+)
+def snk_05_calibration_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrations by clip are stored, every third is replaced by one with a homography for each frame, all are read back."""
+    store = stores.calibration_store(spark, f"{shared_folder(spark)}/calibrations")
+    clips = adapter.detections(spark, sf_dir).groupBy(F.col("clip_id").alias("n")).agg(F.count("*").alias("point_sample_count"), F.collect_set("frame_idx").alias("frames"))  # a clip's 50 frames
+    matrix = lambda a: F.array(F.array(a.cast("double"), F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    key = F.col("n").cast("string").alias("clip_id")
+    stores.upsert_calibrations(store, clips.select(key, F.lit("first").alias("solver"), "point_sample_count", matrix(F.col("n")).alias("h_matrix")))
+    by_frame = F.map_from_arrays(F.transform("frames", lambda f: f.cast("string")), F.transform("frames", lambda f: matrix(F.col("n") + 0.5)))
+    stores.upsert_calibrations(store, clips.where("n % 3 = 0").select(key, F.lit("second").alias("solver"), (F.col("point_sample_count") * 2).alias("point_sample_count"), by_frame.alias("h_sequence")))
+    found = stores.homographies(store).groupBy("clip_id").agg(F.count("*").alias("homographies"), F.sum(F.col("h")[0]).alias("h0_total"))
+    return store.read().select("clip_id", "solver", "point_sample_count").join(found, "clip_id")

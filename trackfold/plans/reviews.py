@@ -50,7 +50,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review notes on frames."""
     pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("v") % len(xs)).cast("int") + 1).alias(c)
     e = adapter.events(spark, sf_dir)
-    return e.select("clip_id", (F.col("frame_idx") % 20).alias("frame_idx"), "t_ms", pick(_ISSUES, "issue_type"), pick(_NOTES, "note"), F.when(F.col("v") % 4 != 0, F.col("user_id") % 12).alias("track_id"), F.col("event_id").alias("seq"))
+    return e.select("clip_id", (F.col("frame_idx") % 20).alias("frame_idx"), "t_ms", pick(_ISSUES, "issue_type"), pick(_NOTES, "note"), F.when(F.col("v") % 4 != 0, F.col("user_id") % 12).alias("track_id"), F.when(F.col("v") % 9 != 0, F.concat(F.lit("at "), "t_ms")).alias("timestamp"), F.col("event_id").alias("seq"))
 
 
 _W = {k: f"regexp_matches(t, '{p}')" for k, p in review.NOTE_WORDS.items()}
@@ -69,7 +69,7 @@ _TESTS = {
     "scene_context": "issue_type = 'uncertain_play_state'",
 }
 _FEEDBACK = (
-    f"fb AS (SELECT clip_id, frame_idx % 20 AS frame_idx, t_ms, {_ISSUE_SQL}[v % {len(_ISSUES)} + 1] AS issue_type, {_NOTE_SQL}[v % {len(_NOTES)} + 1] AS note, CASE WHEN v % 4 <> 0 THEN user_id % 12 END AS track_id, event_id AS seq FROM ev),"
+    f"fb AS (SELECT clip_id, frame_idx % 20 AS frame_idx, t_ms, {_ISSUE_SQL}[v % {len(_ISSUES)} + 1] AS issue_type, {_NOTE_SQL}[v % {len(_NOTES)} + 1] AS note, CASE WHEN v % 4 <> 0 THEN user_id % 12 END AS track_id, CASE WHEN v % 9 <> 0 THEN 'at ' || t_ms END AS timestamp, event_id AS seq FROM ev),"
     + "fc AS (SELECT *, CASE WHEN issue_type = 'general_note' AND len(c0) = 0 THEN ['scene_context'] ELSE list_sort(c0) END AS c FROM (SELECT *, list_filter(["
     + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _TESTS.items())
     + "], lambda x: x IS NOT NULL) AS c0 FROM (SELECT *, lower(trim(coalesce(note, ''))) AS t FROM fb)))"
@@ -137,13 +137,24 @@ def joi_18_category_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.cases(feedback(spark, sf_dir)).select("case_id", F.array_join(review.category_signals(F.col("categories")), ",").alias("signals"))
 
 
+def reviewed_frames(detections: DataFrame) -> DataFrame:
+    """The frames that have a document."""
+    return detections.where("clip_id % 7 <> 0 AND frame_idx % 5 <> 0")
+
+
+#: Why feedback is refused, in order, with the issue types written out.
+_PROBLEM = """CASE WHEN timestamp IS NULL THEN 'missing_field'
+    WHEN issue_type NOT IN ('false_positive', 'false_negative', 'merge_error', 'track_error', 'live_play', 'dead_ball', 'uncertain_play_state', 'general_note', 'pose_error') THEN 'issue_type'
+    WHEN clip_id % 7 = 0 THEN 'clip' WHEN frame_idx % 5 = 0 THEN 'frame' WHEN track_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM det d WHERE d.clip_id = fb.clip_id AND d.frame_idx = fb.frame_idx AND d.track_id = fb.track_id) THEN 'track' END"""
+
+
 @query(
-    """SELECT seq, CASE WHEN note IS NULL THEN 'missing_field' WHEN clip_id % 7 = 0 THEN 'clip' WHEN frame_idx % 5 = 0 THEN 'frame' WHEN track_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM det d WHERE d.clip_id = fb.clip_id AND d.frame_idx = fb.frame_idx AND d.track_id = fb.track_id) THEN 'track' END AS problem FROM fb""",
+    f"SELECT seq, {_PROBLEM} AS problem FROM fb",
     _FEEDBACK,
 )
 def flt_15_feedback_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapter.detections(spark, sf_dir)
-    frames = d.where("clip_id % 7 <> 0 AND frame_idx % 5 <> 0")
+    frames = reviewed_frames(d)
     return review.validated_feedback(feedback(spark, sf_dir), frames, d).select("seq", "problem")
 
 
@@ -243,13 +254,6 @@ def prj_08_agg_19_fit_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("clip_id", "frame_idx").agg(F.count("*").alias("n"), F.max("away").alias("away")).where("away < 0.01").drop("away")
 
 
-@query("SELECT clip_id, max(version) AS version, count(*) AS n FROM (SELECT clip_id, 1 AS version FROM ev WHERE event_id % 500 = 0 AND clip_id % 3 <> 0 UNION ALL SELECT clip_id, 2 FROM ev WHERE event_id % 500 = 0 AND clip_id % 3 = 0) GROUP BY ALL")
-def snk_05_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = adapter.events(spark, sf_dir).select("clip_id").distinct()
-    out = calibration.upsert(clips.withColumn("version", F.lit(1)), clips.where("clip_id % 3 = 0").withColumn("version", F.lit(2)))
-    return out.groupBy("clip_id").agg(F.max("version").alias("version"), F.count("*").alias("n"))
-
-
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Player rows with 17 joints around a slowly moving centre."""
     p = adapter.players(spark, sf_dir)
