@@ -173,6 +173,28 @@ def correct_joints(a: Column, b: Column, threshold: float = PCK) -> Column:
     return F.when(F.size(a) > 0, near / F.size(a))
 
 
+def benchmark_totals(truth: DataFrame, found: DataFrame, by: list[str], within_ms: int = MATCH_MS) -> DataFrame:
+    """Per group: samples, matches, id_accuracy and avg_pck of ground truth against found players.
+
+    ``truth``: ``by``, track_id, t_ms, type, label, pose; ``found``: track_id, t_ms, ord, pose, and ``by`` if tracks of
+    several groups share their ids.  A sample matches the first found row (as ``first_match``).  id_accuracy is the
+    share of all matches that are an ``id_verification`` labelled ``correct``; avg_pck is the mean share of correct
+    joints over matches where both have a pose.  Both are 0 without such matches.  Repeated samples count each.
+    """
+    counted = truth.groupBy(*truth.columns).agg(F.count("*").alias("__times"))
+    matched = first_match(counted, found, within_ms)
+    pck = correct_joints(F.col("pose"), F.col("f.pose"))
+    right = (F.col("type") == "id_verification") & (F.col("label") == "correct")
+    times = lambda c: F.sum(F.when(c, F.col("__times")).otherwise(0))
+    both = F.col("pck").isNotNull()
+    per_group = matched.withColumn("pck", pck).groupBy(*by).agg(
+        F.sum("__times").alias("matches"), times(F.coalesce(right, F.lit(False))).alias("__right"), F.sum(F.col("pck") * F.col("__times")).alias("__pck"), times(both).alias("__posed")
+    )
+    out = truth.groupBy(*by).agg(F.count("*").alias("samples")).join(per_group, by, "left")
+    share = lambda a, b: F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.col(b)), F.lit(0.0))
+    return out.select(*by, "samples", F.coalesce("matches", F.lit(0)).alias("matches"), share("__right", "matches").alias("id_accuracy"), share("__pck", "__posed").alias("avg_pck"))
+
+
 def nearest_frames(moments: DataFrame, frames: DataFrame, reach_ms: int = 1000) -> DataFrame:
     """For each moment (clip_id, t_ms) the frame nearest in time, of equally near ones the first.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import attribution, behaviour, features, ledger, review, synthetic
-from ..sources import jsonl, mocap, reports, rules
+from ..sources import hashes, jsonl, mocap, reports, rules
 from ..sources.storage import shared_folder
 from . import adapter, game, people, reviews
 from .registry import query
@@ -102,7 +102,7 @@ def agg_14_file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapter.events(spark, sf_dir).select("clip_id", F.struct("event_id", F.concat_ws(",", "event_id", "v").alias("t")).alias("s"))
     # a file for each clip of 500 events
     e.groupBy("clip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("value")).write.partitionBy("clip_id").text(path)
-    return jsonl.file_hashes(spark, path).select(F.regexp_extract("path", r"clip_id=(\d+)", 1).cast("long").alias("clip_id"), "sha256")
+    return hashes.file_hashes(spark, path).select(F.regexp_extract("path", r"clip_id=(\d+)", 1).cast("long").alias("clip_id"), "sha256")
 
 
 @query("SELECT frame_idx % 2 AS sequence, count(DISTINCT clip_id * 1000 + frame_idx) AS steps, count(*) AS points, sum(x) AS total FROM det GROUP BY ALL")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sampling
-from ..sources import stores
+from ..operators import review, sampling
+from ..sources import jsonl, lines, stores
 from ..sources.storage import shared_folder
 from ..sources.versions import VersionedTable
 from ..streaming import state
@@ -111,3 +111,56 @@ def snk_05_calibration_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores.upsert_calibrations(store, clips.where("n % 3 = 0").select(key, F.lit("second").alias("solver"), (F.col("point_sample_count") * 2).alias("point_sample_count"), by_frame.alias("h_sequence")))
     found = stores.homographies(store).groupBy("clip_id").agg(F.count("*").alias("homographies"), F.sum(F.col("h")[0]).alias("h0_total"))
     return store.read().select("clip_id", "solver", "point_sample_count").join(found, "clip_id")
+
+
+_LINE = "kind string, t_ms long, track_id long"
+
+
+def _written_lines(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{shared_folder(spark)}/lines"
+    jsonl.write_lines(adapter.events(spark, sf_dir).select(F.col("event_type").alias("kind"), "t_ms", F.when(F.col("v") % 3 != 0, F.col("user_id")).alias("track_id")), path)
+    return path
+
+
+_LINE_TOTALS = "SELECT event_type AS kind, count(*) AS n, sum(t_ms) AS t_total, count(user_id) FILTER (v % 3 <> 0) AS tracked FROM ev GROUP BY event_type"
+
+
+def _line_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("t_ms").alias("t_total"), F.count("track_id").alias("tracked"))
+
+
+@query(_LINE_TOTALS)
+def src_02_strict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines read by the reader that refuses blank and broken ones."""
+    return _line_totals(lines.strict_rows(spark, _written_lines(spark, sf_dir), _LINE, blanks=True))
+
+
+@query(_LINE_TOTALS)
+def src_04_strict_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream that a broken line would stop."""
+    stream, folder = lines.strict_stream(spark, _written_lines(spark, sf_dir), _LINE, maxFilesPerTrigger=4), shared_folder(spark)
+    lines.drained(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return _line_totals(spark.read.schema(_LINE).parquet(f"{folder}/out"))
+
+
+_MOVED = "list_transform(range(17), lambda j: [((v * j) % 13) / 100.0::DOUBLE, 0.0::DOUBLE])"
+
+
+@query(
+    """SELECT clip_id, count(*) AS samples, count(f.v) AS matches, coalesce(count(*) FILTER (f.v IS NOT NULL AND type = 'id_verification' AND label = 'correct') / nullif(count(f.v), 0), 0.0) AS id_accuracy, round(coalesce(avg(pck), 0.0), 6) AS avg_pck
+       FROM (SELECT *, CASE WHEN has_pose AND f.v % 5 <> 0 THEN list_avg(list_transform(range(17), lambda j: CASE WHEN abs(((f.v * j) % 13) / 100.0::DOUBLE) < 0.05 THEN 1.0 ELSE 0.0 END)) END AS pck FROM (
+         SELECT t.*, (SELECT arg_min({'v': d.v}, d.frame_idx * 10 + d.slot) FROM det d WHERE d.track_id = t.track_id AND d.clip_id = t.clip_id AND abs(t.t_ms - (d.t_ms + d.v % 40)) < 33) AS f
+         FROM (SELECT clip_id, track_id, t_ms, v, CASE WHEN v % 2 = 0 THEN 'id_verification' ELSE 'pose' END AS type, CASE WHEN v % 3 = 0 THEN 'correct' ELSE 'wrong' END AS label, v % 4 <> 0 AS has_pose FROM ply) t)) GROUP BY clip_id"""
+)
+def agg_16_benchmark_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth of the tracks against their detections, some milliseconds late: matches, identities, joints."""
+    d, j = adapter.detections(spark, sf_dir), F.sequence(F.lit(0), F.lit(16))
+    still = F.transform(j, lambda k: F.array(F.lit(0.0), F.lit(0.0)))
+    moved = F.transform(j, lambda k: F.array((F.col("v") * k % 13) / 100.0, F.lit(0.0)))
+    track = (F.col("clip_id") * 100 + F.col("track_id")).alias("track_id")
+    pick = lambda c, a, b: F.when(c, a).otherwise(b)
+    truth = adapter.players(spark, sf_dir).select(
+        "clip_id", track, "t_ms", pick(F.col("v") % 2 == 0, "id_verification", "pose").alias("type"), pick(F.col("v") % 3 == 0, "correct", "wrong").alias("label"), F.when(F.col("v") % 4 != 0, still).alias("pose")
+    )
+    found = d.select(track, (F.col("t_ms") + F.col("v") % 40).alias("t_ms"), (F.col("frame_idx") * 10 + F.col("slot")).alias("ord"), F.when(F.col("v") % 5 != 0, moved).alias("pose"))
+    return review.benchmark_totals(truth, found, ["clip_id"]).withColumn("avg_pck", F.round("avg_pck", 6))

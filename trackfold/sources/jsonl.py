@@ -124,11 +124,6 @@ def write_artifacts(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("clip_id").json(path)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of the content of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def clip_slices(clips: DataFrame, seconds: float) -> DataFrame:
     """Ranges of ``seconds`` of each clip (clip_id, duration), up to the first that is shorter than 80 percent of that."""
     n = F.ceil(F.col("duration") / seconds).cast("int")
