@@ -53,7 +53,7 @@ def annotate(detections: DataFrame, signatures: DataFrame, balls: DataFrame, rea
     links = saved(identity.selected(identity.candidates(ends, identity.LINK, fps=fps)))
     names = identity.canonical_ids(links)
     filled = tracks.fill_gaps(ends, segment="segment")
-    bridges = identity.bridged(ends, links).withColumnRenamed("identity", "track_id")
+    bridges = identity.bridged(ends, links, names).withColumnRenamed("identity", "track_id")
     made = filled.unionByName(bridges).withColumn("synthesized", F.lit(True))
     named = d.join(names, ["clip_id", "track_id"], "left").withColumn("track_id", F.coalesce("canonical", "track_id")).withColumn("synthesized", F.lit(False)).drop("canonical")
     # two tracks of one identity in a frame: the row of the lower slot stays

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import clip01
 from ..sources.storage import saved
+from .components import components
 
 MAX_GAP, LINK, HYPOTHESIS, MARGIN, TOP = 3, 0.72, 0.55, 0.05, 3
 MAX_COURT, MAX_RATIO = 260.0, 1.35
@@ -72,26 +73,18 @@ def selected(links: DataFrame) -> DataFrame:
     return out.where((F.col("score") - MARGIN) > F.greatest("rival_pred", "rival_succ")).drop(*(f"{c}_{side}" for side in ("pred", "succ") for c in ("best", "next", "rival")))
 
 
-def hypothesis_groups(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def hypothesis_groups(links: DataFrame) -> DataFrame:
     """Candidates with the group of those that share a predecessor or successor with each other, over any number of steps.
 
-    Labels spread along shared ends until nothing changes (``rounds`` limits them only if given).  The label is the
-    smallest (pred, succ) of the group.
+    Ends are nodes (a predecessor an even number, a successor an odd one), candidates are edges, and groups are their
+    components.  The label is the smallest (pred, succ) of the group.
     """
-    now = links.withColumn("group_key", F.struct("pred", "succ"))
-    done = 0
-    while True:
-        by = lambda c: F.min("group_key").over(Window.partitionBy("clip_id", c))
-        step = now.withColumn("g", by("pred")).withColumn("group_key", F.least("group_key", "g")).withColumn("g", by("succ")).withColumn("n", F.least("group_key", "g"))
-        step = saved(step.withColumn("moved", F.col("n") != F.col("group_key")).withColumn("group_key", F.col("n")).drop("g", "n"))
-        done += 1
-        moved = step.where("moved").limit(1).count() > 0
-        # one more look along both ends: a group is done when each end has one label
-        w1, w2 = Window.partitionBy("clip_id", "pred"), Window.partitionBy("clip_id", "succ")
-        open_ = step.withColumn("m", F.least(F.min("group_key").over(w1), F.min("group_key").over(w2))).where("m <> group_key").limit(1).count() > 0
-        now = step.drop("moved")
-        if not (moved or open_) or (rounds and done >= rounds):
-            return now
+    node = lambda c, side: (F.col(c).cast("long") * 2 + side)
+    edges = links.select(F.col("clip_id").alias("part"), node("pred", 0).alias("a"), node("succ", 1).alias("b"))
+    roots = components(edges).withColumnsRenamed({"part": "clip_id", "node": "__node", "root": "__root"})
+    found = saved(links.withColumn("__node", node("pred", 0)).join(roots, ["clip_id", "__node"]).drop("__node"))
+    least = found.groupBy("clip_id", "__root").agg(F.min(F.struct("pred", "succ")).alias("group_key"))
+    return found.join(least, ["clip_id", "__root"]).drop("__root")
 
 
 def hypotheses(links: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -117,23 +110,28 @@ def canonical_ids(links: DataFrame) -> DataFrame:
     """(clip_id, track_id, canonical): each successor's first track.
 
     Links are applied by descending score, then gap and successor; a chain goes through a link only if that was applied
-    before.  Pointers are followed until no track moves; each round at least one chain grows shorter.
+    before.  So a link points at its predecessor's link if that has a smaller rank.  Pointers are then doubled: each
+    round every link takes its pointer's pointer, so a chain of n links takes log2(n) + 1 rounds at most.
     """
     order = Window.partitionBy("clip_id").orderBy(F.desc("score"), "gap", "succ")
-    now = links.withColumn("rank", F.row_number().over(order)).select("clip_id", F.col("succ").alias("track_id"), F.col("pred").alias("canonical"), "rank")
-    base = now.select(F.col("clip_id").alias("c"), F.col("track_id").alias("t"), F.col("canonical").alias("up"), F.col("rank").alias("r"))
-    while True:
-        met = now.join(base, (F.col("clip_id") == F.col("c")) & (F.col("canonical") == F.col("t")) & (F.col("r") < F.col("rank")), "left")
-        step = saved(met.select("clip_id", "track_id", F.coalesce("up", "canonical").alias("canonical"), F.coalesce("r", "rank").alias("rank"), F.col("up").isNotNull().alias("moved")))
-        if step.where("moved").limit(1).count() == 0:
-            return step.select("clip_id", "track_id", "canonical")
-        now = step.drop("moved")
-
-
-def bridged(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Interpolated rows for the gap of each link, under the canonical id; frames that have that identity get none."""
+    ranked = links.withColumn("rank", F.row_number().over(order)).select("clip_id", F.col("succ").alias("track_id"), F.col("pred").alias("canonical"), "rank")
+    above = ranked.select("clip_id", F.col("track_id").alias("canonical"), F.col("rank").alias("__rank"))
+    # ``next`` is the link to go on with, named by its successor
+    now = saved(ranked.join(above, ["clip_id", "canonical"], "left").select("clip_id", "track_id", "canonical", F.when(F.col("__rank") < F.col("rank"), F.col("canonical")).alias("next")))
+    while now.where("next IS NOT NULL").limit(1).count():
+        ahead = now.select("clip_id", F.col("track_id").alias("next"), F.col("canonical").alias("__canonical"), F.col("next").alias("__next"))
+        met = now.join(ahead, ["clip_id", "next"], "left")
+        now = saved(met.select("clip_id", "track_id", F.coalesce("__canonical", "canonical").alias("canonical"), F.col("__next").alias("next")))
+    return now.select("clip_id", "track_id", "canonical")
+
+
+def bridged(rows: DataFrame, links: DataFrame, canon: DataFrame | None = None) -> DataFrame:
+    """Interpolated rows for the gap of each link, under the canonical id; frames that have that identity get none.
+
+    ``canon`` are the canonical ids, if they are at hand.
+    """
     ends = track_ends(rows)
-    canon = canonical_ids(links)
+    canon = canonical_ids(links) if canon is None else canon
     named = lambda t: F.coalesce("canonical", t)
     p = ends.select("clip_id", F.col("track_id").alias("pred"), F.col("tail").alias("a"))
     s = ends.select("clip_id", F.col("track_id").alias("succ"), F.col("head").alias("b"))
