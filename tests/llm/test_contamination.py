@@ -127,3 +127,10 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in contamination.contamination_report(docs, items).collect()] == [False]
     assert contamination.contamination_report(spark.createDataFrame([], schema), items).count() == 0
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage, 7, "x"), (2, "clean", 8, "y")], "doc_id long, text string, __TF_hits int, __own string")
+    out = contamination.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "clean", 8, "y")]

@@ -172,3 +172,12 @@ def test_very_long_text(spark):
     long = " ".join(f"v{k * 7919 % 199999}" for k in range(150000))
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, long[: len(long) // 4])], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in nearcopies.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "one two three four five six seven eight"
+    names = "doc_id long, text string, __gone string, __gone_hash long, __same int, __SAME_HASH int, __h int, class_id int, text_hash int"
+    docs = spark.createDataFrame([(1, text, "a", 1, 2, 3, 4, 5, 6), (2, text, "b", 1, 2, 3, 4, 5, 6), (1, text, "c", 1, 2, 3, 4, 5, 6), (3, None, "d", 1, 2, 3, 4, 5, 6)], names)
+    out = nearcopies.without_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]

@@ -52,3 +52,11 @@ def test_many_rules_are_joined_without_broadcast(spark, monkeypatch):
         assert sorted(r.verdict for r in out.collect()) == ["block", "block"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_allowed_pages_keep_columns_of_any_name(spark):
+    names = "page_id long, url string, __url string, host string, path int, rule int, verdict string, page int"
+    pages = spark.createDataFrame([(1, "http://a.com/en/", "own", "h", 1, 2, "v", 3), (2, "http://b.org/", "own", "h", 1, 2, "v", 3)], names)
+    out = urlrules.allowed(pages, RULES)
+    assert out.columns == pages.columns
+    assert [tuple(r) for r in out.collect()] == [(2, "http://b.org/", "own", "h", 1, 2, "v", 3)]

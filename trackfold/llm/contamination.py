@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, saved, slices, text_bytes
+from .common import ragged, saved, slices, text_bytes, unused
 from .words import word_table
 
 #: Text of one benchmark block that is broadcast.
@@ -385,5 +385,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 13,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The documents that are not contaminated, with their own columns; nothing is shuffled."""
-    found = with_matches(docs, benchmark, width=width)
-    return found.where(~contaminated(n_hit(), F.col(f"{_STATE}.n_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = {c: unused(docs, "__own") for c in docs.columns if c.lower() == _STATE}
+    found = with_matches(docs.withColumnsRenamed(taken), benchmark, width=width)
+    return found.where(~contaminated(n_hit(), F.col(f"{_STATE}.n_words"))).select(*[F.col(f"`{taken.get(c, c)}`").alias(c) for c in docs.columns])

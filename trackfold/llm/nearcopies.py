@@ -345,12 +345,13 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Texts without words all stay.
     """
     found = near_copies(docs.select(key, text), key, text)
-    gone = found.where(~(F.col(key).eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("keep_hash")))).select(F.col(key).alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
-    several = found.where("n_copies > 1").groupBy(F.col(key).alias("__same"), F.col("text_hash").alias("__same_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    h = unused(docs, "__h")
+    gone, gone_hash, same, same_hash, h = (unused(docs, n) for n in ("__gone", "__gone_hash", "__same", "__same_hash", "__h"))
+    away = found.where(~(F.col(key).eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("keep_hash")))).select(F.col(key).alias(gone), F.col("text_hash").alias(gone_hash)).distinct()
+    several = found.where("n_copies > 1").groupBy(F.col(key).alias(same), F.col("text_hash").alias(same_hash)).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     hashed = docs.withColumn(h, F.xxhash64(text))
-    kept = hashed.join(gone, F.col(key).eqNullSafe(F.col("__gone")) & (F.col(h) == F.col("__gone_hash")), "left_anti")
+    kept = hashed.join(away, F.col(key).eqNullSafe(F.col(gone)) & (F.col(h) == F.col(gone_hash)), "left_anti")
     # rows that repeat key and text are few or none: only they are reduced to one
-    repeated = kept.join(several, F.col(key).eqNullSafe(F.col("__same")) & (F.col(h) == F.col("__same_hash")), "left_semi").dropDuplicates([key, h])
-    single = kept.join(several, F.col(key).eqNullSafe(F.col("__same")) & (F.col(h) == F.col("__same_hash")), "left_anti")
+    is_several = F.col(key).eqNullSafe(F.col(same)) & (F.col(h) == F.col(same_hash))
+    repeated = kept.join(several, is_several, "left_semi").dropDuplicates([key, h])
+    single = kept.join(several, is_several, "left_anti")
     return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -71,5 +71,5 @@ def with_verdict(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
 
 def allowed(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """The pages that are not blocked, with their own columns."""
-    judged = with_verdict(pages.withColumn("__url", F.col(url)), rules, "__url")
-    return judged.where("verdict <> 'block'").select(*[F.col(f"`{c}`") for c in pages.columns])
+    packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col(url).alias("url"))
+    return with_verdict(packed, rules).where("verdict <> 'block'").select("page.*")
