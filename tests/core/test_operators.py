@@ -134,3 +134,36 @@ def test_behaviour_needs_the_ball_and_fifteen_poses(spark):
     up = [[[0.5, 0.5 - 0.01 * t if j in (9, 10, 11, 12) else 0.6] for j in range(17)] for t in range(20)]
     label = lambda poses, ball: spark.createDataFrame([(poses, ball)], "p array<array<array<double>>>, b boolean").select(behaviour.label(F.col("p"), F.col("b")).alias("l")).first().l
     assert label(up, True) == "jump_shot" and label(up, False) != "jump_shot" and label(up[:10], True) == "idle_bystander"
+
+
+def test_labels_by_window_columns_equal_labels_of_gathered_poses(spark):
+    """Null poses, joints that are null in some pose, every rule; the plan gathers no poses."""
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(4)
+
+    def pose(f):
+        if rng.random() < 0.1:
+            return None
+        dx, dy = rng.choice([0.0, 0.002]) * f, rng.choice([0.0, 0.003, -0.003]) * f
+        p = [[0.5 + dx + rng.random() * 0.01, 0.5 + dy + rng.random() * 0.3] for _ in range(17)]
+        if rng.random() < 0.05:
+            p[11] = [None, None]
+        return p
+
+    rows = [(1, t, f, pose(f), f % 3 > 0, [None, "idle_bystander", "pass"][f % 3] if t == 2 else None, f % 2 == 0) for t in range(6) for f in range(60)]
+    df = spark.createDataFrame(rows, "clip_id long, track_id long, frame_idx long, pose array<array<double>>, possession boolean, learned string, ball boolean")
+    rules = [*behaviour.RULES, ("held", "kinematic", False, [("elbow", "velocity_x", ">", 9.0)], True)]
+    w = Window.partitionBy("clip_id", "track_id").orderBy("frame_idx").rowsBetween(-29, 0)
+    for rule_list, learned, ball in ((behaviour.RULES, None, None), (rules, "learned", "ball"), ([], None, None)):
+        out = behaviour.with_labels(df, learned, rule_list, ball)
+        assert out.columns == [*df.columns, "label"]
+        assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+        column = lambda c: F.col(c) if c else None
+        gathered = df.withColumn("p", F.collect_list("pose").over(w)).withColumn("label", behaviour.label(F.col("p"), F.col("possession"), column(learned), rule_list, column(ball)))
+        key = lambda d: {(r.track_id, r.frame_idx): r.label for r in d.collect()}
+        got = key(out)
+        assert got == key(gathered)
+        assert len(set(got.values())) > (3 if rule_list else 0)

@@ -1,43 +1,16 @@
-"""Synthetic training samples: moves written as formulas, seen by a camera, as feature rows of 30 steps."""
+"""Training samples of motion capture: skeletons seen by a camera, as feature rows of 30 steps."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from .features import STEPS, feature_row
 
 SCHEMA_VERSION = "2.0.0"
-# Each move as formulas of t from 0 to 1: all joints, joints that differ, and the ball (x, y, z in centimetres).
-MOVES = {
-    "jump_shot": (
-        ("0", "0", "50 * sin(pi() * t)"),
-        {
-            0: ("0", "0", "180 + 50 * sin(pi() * t)"),
-            9: ("0", "0", "50 * sin(pi() * t) + 60 * t"),
-            10: ("0", "0", "50 * sin(pi() * t) + 60 * t"),
-            11: ("985", "762", "100 + 50 * sin(pi() * t)"),
-            12: ("1015", "762", "100 + 50 * sin(pi() * t)"),
-        },
-        ("1000", "780", "140 + 160 * t + 50 * sin(pi() * t)"),
-    ),
-    "crossover": (("1400 + 100 * t", "0", "100"), {}, ("1400 + 100 * t + if(t < 0.5, -30, 30)", "762", "40")),
-    "layup": (("160", "600 + 150 * t", "100 + 30 * sin(pi() * t)"), {}, ("160", "610 + 150 * t", "150 + 50 * t")),
-    "dunk": (("160", "700 + 62 * t", "100 + 120 * sin(pi() * t)"), {10: ("160", "705 + 62 * t", "200 + 150 * t")}, ("160", "705 + 62 * t", "200 + 150 * t")),
-    "pass_chest": (("1000", "1000", "100"), {9: ("990", "1000 + 50 * t", "130"), 10: ("1010", "1000 + 50 * t", "130")}, ("1000", "1010 + 50 * t", "130")),
-    "rebound": (
-        ("160", "762", "100 + 70 * sin(pi() * t)"),
-        {j: ("160", "762", "100 + 70 * sin(pi() * t) + 100 * sin(pi() * t * 0.8D)") for j in (9, 10)},
-        ("160", "762", "305 * (1 - t) + (100 + 70 * sin(pi() * t) + 100 * sin(pi() * t * 0.8D)) * t"),
-    ),
-    "block": (("160 + 50 * t", "762", "100 + 60 * sin(pi() * t)"), {10: ("180 + 50 * t", "770", "150 + 100 * t")}, ("170 + 50 * t", "762", "200 + 100 * t")),
-    "steal": (("800", "500 + 100 * t", "100"), {10: ("820", "540 + 100 * t", "40")}, ("825", "545 + 100 * t", "40")),
-    "euro_step_left": (("762 + if(t < 0.5, -40 * sin(pi() * t), 40 * sin(pi() * (t - 0.5D)))", "500 + 100 * t", "100"), {}, ("762 + if(t < 0.5, -40 * sin(pi() * t), 40 * sin(pi() * (t - 0.5D)))", "520 + 100 * t", "120")),
-    "euro_step_right": (("762 + if(t < 0.5, 40 * sin(pi() * t), -40 * sin(pi() * (t - 0.5D)))", "500 + 100 * t", "100"), {}, ("762 + if(t < 0.5, 40 * sin(pi() * t), -40 * sin(pi() * (t - 0.5D)))", "520 + 100 * t", "120")),
-}
-# The cameras of written moves and of motion capture: intrinsics, rotation, translation.
+# The cameras of a plain view and of motion capture: intrinsics, rotation, translation.
 INTRINSICS = np.array([[1000.0, 0, 960], [0, 1000, 540], [0, 0, 1]])
 MOVE_CAMERA = (INTRINSICS, np.eye(3), np.array([0.0, -600.0, -250.0]))
 _AT = [300.0, -600.0, 250.0]
@@ -45,21 +18,6 @@ _TURN = geometry.look_at(_AT, [0.0, 0.0, 100.0])
 CAPTURE_CAMERA = (INTRINSICS, _TURN, -_TURN @ np.array(_AT))
 
 
-def _point(formulas: tuple[str, str, str]) -> Column:
-    return F.array(*[F.expr(f).cast("double") for f in formulas])
-
-
-def move_steps(spark: SparkSession) -> DataFrame:
-    """label, step, skeleton (17 points) and ball of every move at its 30 steps."""
-    rows = spark.createDataFrame([(m,) for m in MOVES], "label string").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
-    skeleton = ball = F.lit(None)
-    for name, (body, joints, at) in MOVES.items():
-        here = F.col("label") == name
-        skeleton = F.when(here, F.array(*[_point(joints.get(j, body)) for j in range(17)])).otherwise(skeleton)
-        ball = F.when(here, _point(at)).otherwise(ball)
-    return rows.withColumn("t", F.col("step") / float(STEPS - 1)).select("label", "step", skeleton.alias("skeleton"), ball.alias("ball"))
-
-
 def samples(steps: DataFrame, camera: tuple[np.ndarray, np.ndarray, np.ndarray], *keys: str) -> DataFrame:
     """keys and features: the steps (keys, step, skeleton, ball) of each sample as feature rows in order.
 
@@ -76,12 +34,6 @@ def samples(steps: DataFrame, camera: tuple[np.ndarray, np.ndarray, np.ndarray],
     return d.groupBy(*keys).agg(F.transform(rows, lambda r: r["row"]).alias("features"))
 
 
-def move_samples(spark: SparkSession, each: int = 20) -> DataFrame:
-    """label, schema_version, features_v2: ``each`` equal samples of every move."""
-    made = samples(move_steps(spark), MOVE_CAMERA, "label")
-    return made.select("label", F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("features").alias("features_v2"), F.explode(F.sequence(F.lit(1), F.lit(each)))).drop("col")
-
-
 def capture_samples(poses: DataFrame, label: str) -> DataFrame:
     """label, schema_version, features_v2, file: a sample of each motion file (file, frame, joints), 30 of its frames if it has more.
 

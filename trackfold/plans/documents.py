@@ -1,4 +1,4 @@
-"""Queries of rule files, reports, file hashes, pose sequences, camera poses and synthetic samples; written files go to the shared folder."""
+"""Queries of rule files, reports, file hashes, pose sequences, and camera poses; written files go to the shared folder."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import attribution, behaviour, features, ledger, review, synthetic
+from ..operators import attribution, behaviour, features, ledger, review
 from ..sources import hashes, jsonl, mocap, reports, rules
 from ..sources.storage import shared_folder
 from . import adapter, game, people, reviews
@@ -22,7 +22,7 @@ def _written(spark: SparkSession, document: dict) -> dict:
 
 
 @query(
-    f"SELECT event_type, count(*) AS n, sum(CASE event_type WHEN 'turnover' THEN 3 WHEN 'steal' THEN 1 ELSE 0 END) AS total FROM (SELECT *, {game._violations_sql()} AS bad FROM cases) WHERE CASE WHEN event_type = 'catch' THEN actor_id IS NOT NULL ELSE bad = '' END AND event_type IN ('turnover', 'steal', 'catch', 'pass') GROUP BY ALL",
+    f"SELECT event_type, count(*) AS n, sum(CASE event_type WHEN 'turnover' THEN 3 WHEN 'steal' THEN 1 ELSE 0 END) AS total FROM (SELECT *, {game._violations_sql()} AS bad FROM cases) WHERE CASE WHEN event_type = 'catch' THEN actor_id IS NOT NULL ELSE bad = '' END GROUP BY ALL",
     game._case_sql(),
 )
 def src_08_set_03_event_rules_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +31,9 @@ def src_08_set_03_event_rules_of_a_file(spark: SparkSession, sf_dir: str) -> Dat
     document["events"]["catch"]["prerequisites"] = ["actor_identity_known"]
     document["events"]["turnover"]["counting"]["stat_deltas"] = {"TOs": 3}
     own = rules.event_rules(_written(spark, document))
-    d = game.rule_cases(spark, sf_dir).where(F.col("event_type").isin("turnover", "steal", "catch", "pass"))
+    d = game.rule_cases(spark, sf_dir)
     d = d.withColumn("rule_validation", attribution.violations(own.rules)).where(F.size("rule_validation") == 0).withColumn("stat_deltas", attribution.stat_deltas(own.stat_deltas))
-    total = F.aggregate(F.map_values("stat_deltas"), F.lit(0), lambda a, b: a + b)
+    total = F.coalesce(F.try_element_at("stat_deltas", F.lit("TOs")), F.lit(0)) + F.coalesce(F.try_element_at("stat_deltas", F.lit("Steals")), F.lit(0))
     return d.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(total).alias("total"))
 
 
@@ -121,14 +121,14 @@ def src_17_pose_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("sequence").agg(F.count("*").alias("steps"), F.sum(F.size("step")).alias("points"), F.sum(summed).alias("total"))
 
 
-@query("SELECT clip_id, frame_idx, round(cos(radians(v % 360)), 6) + 0.0 AS r00, round(sin(radians(v % 360)), 6) + 0.0 AS r10, 1.0 AS r22, v % 10 + 0.0::DOUBLE AS tx, v % 7 + 0.0::DOUBLE AS ty, 30.0 + v % 5 AS tz FROM ev WHERE slot = 0".replace("30.0 + v % 5", "30.0::DOUBLE + v % 5"))
+@query("SELECT clip_id, frame_idx, round(cos(radians(v % 360)), 6) + 0.0 AS r00, round(sin(radians(v % 360)), 6) + 0.0 AS r10, 1.0 AS r22, v % 10 + 0.0::DOUBLE AS tx, v % 7 + 0.0::DOUBLE AS ty, 30.0 + v % 5 AS tz FROM ev".replace("30.0 + v % 5", "30.0::DOUBLE + v % 5"))
 def prj_09_10_camera_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = np.array([[1000.0, 0, 320], [0, 1000, 240], [0, 0, 1]])
     v = F.col("v")
     c, s, scale = F.cos(F.radians(v % 360)), F.sin(F.radians(v % 360)), 1.0 + v % 3
     tx, ty, tz = v % 10, v % 7, 30 + v % 5
     h = F.array(*[x * scale for x in (1000 * c, -1000 * s, 1000 * tx + 320 * tz, 1000 * s, 1000 * c, 1000 * ty + 240 * tz, F.lit(0.0), F.lit(0.0), tz.cast("double"))])
-    d = adapter.events(spark, sf_dir).where("slot = 0").select("clip_id", "frame_idx", geometry.camera_poses(h, k).alias("p"))
+    d = adapter.events(spark, sf_dir).select("clip_id", "frame_idx", geometry.camera_poses(h, k).alias("p"))
     r, t = F.col("p.rotation"), F.col("p.translation")
     six = lambda x, name: (F.round(x, 6) + 0.0).alias(name)
     return d.select("clip_id", "frame_idx", six(r[0], "r00"), six(r[3], "r10"), six(r[8], "r22"), six(t[0], "tx"), six(t[1], "ty"), six(t[2], "tz"))
@@ -154,37 +154,3 @@ def prj_22_joints_of_bones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The moves in SQL: all joints, the joints that differ, and the ball.
-_MOVES = """st AS (SELECT i AS step, i / 29.0::DOUBLE AS t, sin(pi() * i / 29.0::DOUBLE) AS up, sin(pi() * (i / 29.0::DOUBLE - 0.5)) AS late FROM range(30) r(i)),
-bd AS (
-    SELECT 'jump_shot' AS label, step, t, up, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 50 * up AS z, 1000.0::DOUBLE AS bx, 780.0::DOUBLE AS bq, 140 + 160 * t + 50 * up AS bz FROM st UNION ALL
-    SELECT 'crossover', step, t, up, 1400 + 100 * t, 0, 100, 1400 + 100 * t + CASE WHEN t < 0.5 THEN -30 ELSE 30 END, 762, 40 FROM st UNION ALL
-    SELECT 'layup', step, t, up, 160, 600 + 150 * t, 100 + 30 * up, 160, 610 + 150 * t, 150 + 50 * t FROM st UNION ALL
-    SELECT 'dunk', step, t, up, 160, 700 + 62 * t, 100 + 120 * up, 160, 705 + 62 * t, 200 + 150 * t FROM st UNION ALL
-    SELECT 'pass_chest', step, t, up, 1000, 1000, 100, 1000, 1010 + 50 * t, 130 FROM st UNION ALL
-    SELECT 'rebound', step, t, up, 160, 762, 100 + 70 * up, 160, 762, 305 * (1 - t) + (100 + 70 * up + 100 * sin(pi() * t * 0.8)) * t FROM st UNION ALL
-    SELECT 'block', step, t, up, 160 + 50 * t, 762, 100 + 60 * up, 170 + 50 * t, 762, 200 + 100 * t FROM st UNION ALL
-    SELECT 'steal', step, t, up, 800, 500 + 100 * t, 100, 825, 545 + 100 * t, 40 FROM st UNION ALL
-    SELECT 'euro_step_left', step, t, up, 762 - CASE WHEN t < 0.5 THEN 40 * up ELSE -40 * late END, 500 + 100 * t, 100, 762 - CASE WHEN t < 0.5 THEN 40 * up ELSE -40 * late END, 520 + 100 * t, 120 FROM st UNION ALL
-    SELECT 'euro_step_right', step, t, up, 762 + CASE WHEN t < 0.5 THEN 40 * up ELSE -40 * late END, 500 + 100 * t, 100, 762 + CASE WHEN t < 0.5 THEN 40 * up ELSE -40 * late END, 520 + 100 * t, 120 FROM st),
-jo AS (SELECT label, step, j, bx, bq, bz,
-    CASE WHEN label = 'jump_shot' AND j = 11 THEN 985 WHEN label = 'jump_shot' AND j = 12 THEN 1015 WHEN label = 'pass_chest' AND j = 9 THEN 990 WHEN label = 'pass_chest' AND j = 10 THEN 1010 WHEN label = 'block' AND j = 10 THEN x + 20 WHEN label = 'steal' AND j = 10 THEN 820 ELSE x END AS x,
-    CASE WHEN label = 'jump_shot' AND j IN (11, 12) THEN 762 WHEN label = 'dunk' AND j = 10 THEN y + 5 WHEN label = 'pass_chest' AND j IN (9, 10) THEN y + 50 * t WHEN label = 'block' AND j = 10 THEN 770 WHEN label = 'steal' AND j = 10 THEN y + 40 ELSE y END AS y,
-    CASE WHEN label = 'jump_shot' AND j = 0 THEN z + 180 WHEN label = 'jump_shot' AND j IN (9, 10) THEN z + 60 * t WHEN label = 'jump_shot' AND j IN (11, 12) THEN z + 100 WHEN label = 'dunk' AND j = 10 THEN 200 + 150 * t WHEN label = 'pass_chest' AND j IN (9, 10) THEN 130
-         WHEN label = 'rebound' AND j IN (9, 10) THEN z + 100 * sin(pi() * t * 0.8) WHEN label = 'block' AND j = 10 THEN 150 + 100 * t WHEN label = 'steal' AND j = 10 THEN 40 ELSE z END AS z
-    FROM bd, range(17) r(j)),
-px AS (SELECT *, (1000 * x + 960 * (z - 250)) / (z - 250 + 1e-6) AS pu, (1000 * (y - 600) + 540 * (z - 250)) / (z - 250 + 1e-6) AS pv FROM jo),
-nm AS (SELECT *, (pu - min(pu) OVER s) / (max(pu) OVER s - min(pu) OVER s + 1e-6) AS nu, (pv - min(pv) OVER s) / (max(pv) OVER s - min(pv) OVER s + 1e-6) AS nv FROM px WINDOW s AS (PARTITION BY label, step)),
-sk AS (SELECT label, step, any_value(bx) AS bx, any_value(bq) AS bq, any_value(bz) AS bz, max(CASE j WHEN 9 THEN nu END) AS lu, max(CASE j WHEN 9 THEN nv END) AS lv, max(CASE j WHEN 10 THEN nu END) AS ru, max(CASE j WHEN 10 THEN nv END) AS rv,
-    avg(nv) FILTER (j IN (15, 16)) AS fv, avg(x) FILTER (j IN (11, 12)) AS hx, avg(y) FILTER (j IN (11, 12)) AS hy FROM nm GROUP BY label, step)"""
-_TO_BALL = "sqrt(pow({u} / (1 + 1e-6) - bx, 2) + pow({v} / (1 + 1e-6) - bq, 2) + pow(abs({v} - fv) / (1 + 1e-6) * 0.75 - bz, 2)) * 0.01"
-
-
-@query(
-    f"SELECT label, step, 20 AS n, 72 AS width, round({_TO_BALL.format(u='lu', v='lv')}, 3) AS left_ball, round({_TO_BALL.format(u='ru', v='rv')}, 3) AS right_ball, round(hx * 0.001, 5) AS court_x, round(hy * 0.001, 5) AS court_y FROM sk",
-    _MOVES,
-)
-def src_22_prj_18_synthetic_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = synthetic.move_samples(spark).select("label", F.posexplode("features_v2").alias("step", "row"))
-    d = d.groupBy("label", F.col("step").cast("long").alias("step"), "row").agg(F.count("*").cast("int").alias("n"))
-    at = lambda k, digits, name: F.round(F.col("row")[k], digits).alias(name)
-    return d.select("label", "step", "n", F.size("row").alias("width"), at(68, 3, "left_ball"), at(69, 3, "right_ball"), at(70, 5, "court_x"), at(71, 5, "court_y"))

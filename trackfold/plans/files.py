@@ -67,11 +67,11 @@ def flt_20_clip_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT clip_id, round(sum(dx), 4) AS hx, round(sum(dy), 4) AS hy, count(*) FILTER (sqrt(dx * dx + dy * dy) > 0.05) AS panning, round(pow(0.99::DOUBLE, count(*) FILTER (sqrt(dx * dx + dy * dy) > 0.05)), 6) AS confidence FROM (SELECT clip_id, v % 10 / 100.0::DOUBLE AS dx, v % 7 / 100.0::DOUBLE AS dy FROM ev WHERE slot = 0) GROUP BY ALL"
+    "SELECT clip_id, round(sum(dx), 4) AS hx, round(sum(dy), 4) AS hy, count(*) FILTER (sqrt(dx * dx + dy * dy) > 0.05) AS panning, round(pow(0.99::DOUBLE, count(*) FILTER (sqrt(dx * dx + dy * dy) > 0.05)), 6) AS confidence FROM (SELECT clip_id, v % 10 / 100.0::DOUBLE AS dx, v % 7 / 100.0::DOUBLE AS dy FROM ev) GROUP BY ALL"
 )
 def prj_07_camera_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, zero = F.lit(1.0), F.lit(0.0)
-    d = adapter.events(spark, sf_dir).where("slot = 0").select("clip_id", "frame_idx", F.array(one, zero, F.col("v") % 10 / 100.0, zero, one, F.col("v") % 7 / 100.0, zero, zero, one).alias("delta"))
+    d = adapter.events(spark, sf_dir).select("clip_id", (F.col("frame_idx") * 10 + F.col("slot")).alias("frame_idx"), F.array(one, zero, F.col("v") % 10 / 100.0, zero, one, F.col("v") % 7 / 100.0, zero, zero, one).alias("delta"))
     return geometry.motion_states(d).select("clip_id", F.round(F.col("h")[2], 4).alias("hx"), F.round(F.col("h")[5], 4).alias("hy"), F.col("panning").cast("long").alias("panning"), F.round("confidence", 6).alias("confidence"))
 
 

@@ -53,7 +53,22 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("clip_id", (F.col("frame_idx") % 20).alias("frame_idx"), "t_ms", pick(_ISSUES, "issue_type"), pick(_NOTES, "note"), F.when(F.col("v") % 4 != 0, F.col("user_id") % 12).alias("track_id"), F.when(F.col("v") % 9 != 0, F.concat(F.lit("at "), "t_ms")).alias("timestamp"), F.col("event_id").alias("seq"))
 
 
-_W = {k: f"regexp_matches(t, '{p}')" for k, p in review.NOTE_WORDS.items()}
+#: Words of a note by what they speak of.
+_NOTE_PATTERNS = {
+    "spectator": r"\bspectator\b|\bseated\b|\bbench\b",
+    "bystander": r"\bbystander",
+    "referee": r"\bref\b|\breferee\b|\bsideline\b",
+    "cluster": r"\bcluster",
+    "merged": r"\bmerged\b",
+    "missed_players": r"\bmissed \d+ players?\b",
+    "missed": r"\bmissed\b",
+    "merge": r"\bmerged\b|\bmerge\b",
+    "identity": r"\bsame\b|\bbecomes\b|\bkeep changing\b|\bid switch\b|\bnumbers keep changing\b",
+    "uniform": r"\bdark\b|\blight\b|\buniform\b",
+    "live": r"\bdribbling\b|\bdribbler\b|\bbringing the ball forward\b|\blive play\b",
+    "dead": r"\bsubbed out\b|\bsubstitution\b|\bout of bounds\b|\bstopped the play\b|\bdead ball\b|\binbound\b|\bno actual play\b",
+}
+_W = {k: f"regexp_matches(t, '{p}')" for k, p in _NOTE_PATTERNS.items()}
 _AWAY, _MISS = f"({_W['bystander']} OR {_W['referee']})", f"({_W['cluster']} OR {_W['merged']} OR {_W['missed_players']})"
 _TESTS = {
     "spectator_false_positive": _W["spectator"],
@@ -125,7 +140,20 @@ def agg_09_category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.category_rollup(_report(spark, sf_dir))
 
 
-_SIG = "(VALUES " + ", ".join(f"('{c}', {i}, '{s}')" for c, v in review.SIGNALS.items() for i, s in enumerate(v)) + ") s(category, place, signal)"
+#: Category, place and signal.
+_SIG = """(VALUES
+    ('spectator_false_positive', 0, 'detection_count'), ('spectator_false_positive', 1, 'active_candidate_count'), ('spectator_false_positive', 2, 'low_motion_detection_count'), ('spectator_false_positive', 3, 'zero_motion_detection_count'), ('spectator_false_positive', 4, 'track_ids'),
+    ('bystander_false_positive', 0, 'detection_count'), ('bystander_false_positive', 1, 'active_candidate_count'), ('bystander_false_positive', 2, 'low_motion_detection_count'), ('bystander_false_positive', 3, 'zero_motion_detection_count'), ('bystander_false_positive', 4, 'track_ids'),
+    ('false_positive_generic', 0, 'detection_count'), ('false_positive_generic', 1, 'active_candidate_count'), ('false_positive_generic', 2, 'track_ids'),
+    ('cluster_miss', 0, 'detection_count'), ('cluster_miss', 1, 'overlap_pair_count'), ('cluster_miss', 2, 'synthesized_detection_count'), ('cluster_miss', 3, 'track_ids'),
+    ('cluster_merge', 0, 'detection_count'), ('cluster_merge', 1, 'overlap_pair_count'), ('cluster_merge', 2, 'synthesized_detection_count'), ('cluster_merge', 3, 'track_ids'),
+    ('false_negative_generic', 0, 'detection_count'), ('false_negative_generic', 1, 'synthesized_detection_count'), ('false_negative_generic', 2, 'track_ids'),
+    ('id_switch', 0, 'track_ids'), ('id_switch', 1, 'canonical_track_ids'), ('id_switch', 2, 'canonical_track_count'), ('id_switch', 3, 'motion_speed_max'), ('id_switch', 4, 'motion_speed_median'), ('id_switch', 5, 'synthesized_detection_count'),
+    ('uniform_confusion', 0, 'uniform_bucket_counts'), ('uniform_confusion', 1, 'active_uniform_bucket_counts'), ('uniform_confusion', 2, 'track_ids'),
+    ('live_play_context', 0, 'live_play_label'), ('live_play_context', 1, 'live_play_score'), ('live_play_context', 2, 'live_play_segment_label'), ('live_play_context', 3, 'live_play_segment_duration_ms'), ('live_play_context', 4, 'ball_signal_present'), ('live_play_context', 5, 'ball_confidence'), ('live_play_context', 6, 'active_candidate_count'), ('live_play_context', 7, 'motion_speed_max'), ('live_play_context', 8, 'motion_speed_median'), ('live_play_context', 9, 'track_ids'),
+    ('dead_ball_context', 0, 'live_play_label'), ('dead_ball_context', 1, 'live_play_score'), ('dead_ball_context', 2, 'live_play_segment_label'), ('dead_ball_context', 3, 'live_play_segment_duration_ms'), ('dead_ball_context', 4, 'ball_signal_present'), ('dead_ball_context', 5, 'ball_confidence'), ('dead_ball_context', 6, 'active_candidate_count'), ('dead_ball_context', 7, 'low_motion_detection_count'), ('dead_ball_context', 8, 'zero_motion_detection_count'), ('dead_ball_context', 9, 'track_ids'),
+    ('scene_context', 0, 'detection_count'), ('scene_context', 1, 'active_candidate_count'), ('scene_context', 2, 'track_ids')
+) s(category, place, signal)"""
 
 
 @query(
@@ -208,14 +236,14 @@ def joi_02_03_homography_of_frame(spark: SparkSession, sf_dir: str) -> DataFrame
 _NAMES = sorted(geometry.PRIMITIVES)
 _PRIM = "(VALUES " + ", ".join(f"('{n}', '{geometry.PRIMITIVES[n][0]}', '{geometry.PRIMITIVES[n][1]}')" for n in _NAMES) + ") p(primitive_id, kind, family)"
 _POINTS = f"""pn AS (SELECT clip_id, frame_idx, slot, event_id, x0 AS u, y0 AS v2, coalesce(CASE WHEN v % 5 <> 0 THEN nm END, CASE WHEN v % 7 <> 0 THEN nm ELSE 'nowhere' END) AS primitive_id
-    FROM (SELECT *, v * 37 % 500 + 0.0::DOUBLE AS x0, v * 61 % 400 + 0.0::DOUBLE AS y0, [{", ".join(f"'{n}'" for n in _NAMES)}][v % 12 + 1] AS nm FROM ev WHERE slot < 5)),
+    FROM (SELECT *, v * 37 % 500 + 0.0::DOUBLE AS x0, v * 61 % 400 + 0.0::DOUBLE AS y0, [{", ".join(f"'{n}'" for n in _NAMES)}][v % 12 + 1] AS nm FROM ev)),
 kp AS (SELECT * FROM pn LEFT JOIN {_PRIM} USING (primitive_id))"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicked points of court features."""
     name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("v") % 12).cast("int") + 1)
-    e = adapter.events(spark, sf_dir).where("slot < 5")
+    e = adapter.events(spark, sf_dir)
     p = e.select("clip_id", "frame_idx", "slot", F.col("event_id").alias("sample_order"), (F.col("v") * 37 % 500 + 0.0).alias("u"), (F.col("v") * 61 % 400 + 0.0).alias("v"), F.when(F.col("v") % 5 != 0, name).alias("primitive_id"), F.when(F.col("v") % 7 != 0, name).otherwise("nowhere").alias("landmark_id"))
     return calibration.known_points(p, geometry.primitive_rows(spark))
 
@@ -261,8 +289,27 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("pose", pose).withColumn("possession", F.col("v") % 3 == 0)
 
 
+#: Joints that a name means, and the rules in order of evaluation.
+_JOINTS = {"hips": [11, 12], "wrists": [9, 10], "head": [0], "shoulders": [5, 6], "ankles": [15, 16]}
+_RULES = [
+    ("idle_bystander", "kinematic", False, [("hips", "velocity_z", "<", 0.001)]),
+    ("crossover", "kinematic", False, [("wrists", "velocity_x", ">", 0.05)]),
+    ("jump_shot", "kinematic", True, [("hips", "velocity_z", ">", 0.02), ("wrists", "pos_y", "<", "head")]),
+    ("dunk", "kinematic", False, [("wrists", "pos_y", "<", "head"), ("hips", "velocity_y", "<", -0.05)]),
+    ("layup", "kinematic", False, [("wrists", "pos_y", "<", "head")]),
+    ("euro_step_left", "kinematic", False, [("hips", "velocity_x", "<", -0.02)]),
+    ("euro_step_right", "kinematic", False, [("hips", "velocity_x", ">", 0.02)]),
+    ("pass_chest", "kinematic", False, [("wrists", "velocity_z", ">", 0.05)]),
+    ("block", "kinematic", False, [("wrists", "pos_y", "<", "head")]),
+    ("steal", "kinematic", False, [("wrists", "velocity_x", ">", 0.02)]),
+    ("rebound", "kinematic", False, [("wrists", "pos_y", "<", "head"), ("hips", "velocity_y", "<", -0.05)]),
+    ("step_back", "kinematic", False, [("hips", "velocity_y", "<", -0.05)]),
+    ("travel", "violation", False, [("ankles", "steps_since_dribble", ">", 2)]),
+]
+
+
 def _joint(joint: str, axis: int, p: str) -> str:
-    at = behaviour.JOINTS[joint]
+    at = _JOINTS[joint]
     return "((" + " + ".join(f"{p}[{k + 1}][{axis + 1}]" for k in at) + f") / {len(at)})"
 
 
@@ -285,7 +332,7 @@ WINDOWS = """po AS (SELECT clip_id, track_id, frame_idx, v % 3 = 0 AS possession
 
 
 @query(
-    "SELECT clip_id, track_id, frame_idx, CASE " + " ".join(f"WHEN {_rule_sql(r)} THEN '{r[0]}'" for r in behaviour.ordered()) + " ELSE 'idle_bystander' END AS label FROM win",
+    "SELECT clip_id, track_id, frame_idx, CASE " + " ".join(f"WHEN {_rule_sql(r)} THEN '{r[0]}'" for r in _RULES) + " ELSE 'idle_bystander' END AS label FROM win",
     WINDOWS,
 )
 def dsl_01_09_behaviour_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
