@@ -86,13 +86,14 @@ end
 def test_motion_capture(spark, tmp_path):
     s = mocap.parse_skeleton(SKELETON)
     assert [b.name for b in s.bones] == ["a", "b"]
-    at = mocap.positions(s, {"root": {"tx": 1.0, "ty": 2.0, "tz": 3.0}, "a": {"rz": 90.0}})
+    stack = mocap.pose_stacks(s, {"root": np.array([[1.0, 2, 3, 0, 0, 0]]), **{b.name: np.array([[90.0 if c == "rz" else 0.0 for c in b.dof]]) * (b.name == "a") for b in s.bones}}, 1)[0]
+    at = dict(zip(["root", "a", "b"], stack, strict=True))
     np.testing.assert_allclose(at["root"], np.array([1, 3, 2]) * 2.54)
     np.testing.assert_allclose(at["a"] - at["root"], [0, 0, 25.4], atol=1e-9)
     np.testing.assert_allclose(at["b"] - at["a"], [0, 4 * 2.54, 0], atol=1e-9)
     (tmp_path / "m.amc").write_text("#!x\n:FULLY\nstray 1\n1\nroot 1 2 3 0 0 0\na 0 0 90\nunknown 5\n2\nroot 0 0 0 0 0 0\n")
     motion = mocap.read_motion(spark, str(tmp_path / "m.amc"))
-    assert sorted((r.frame, r.bone, len(r.channels)) for r in motion.collect()) == [(1, "a", 3), (1, "root", 6), (1, "unknown", 1), (2, "root", 6)]
+    assert sorted((r.frame, b.bone, len(b.channels)) for r in motion.collect() for b in r.bones) == [(1, "a", 3), (1, "root", 6), (1, "unknown", 1), (2, "root", 6)]
     got = {(r.frame, r.bone): (r.x, r.y, r.z) for r in mocap.solved(motion, s).collect()}
     np.testing.assert_allclose(got[1, "b"], at["b"])
     assert len(got) == 6
@@ -107,3 +108,54 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.kind, r.n) for r in spark.table("kinds").collect()) == [("ball", 2), ("player", 1)]
+
+
+def _plain_positions(skeleton, frame):
+    """One frame, bone by bone, with matrices of single axes."""
+
+    def turn(axis, degrees):
+        c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+        return np.array({"rx": [[1, 0, 0], [0, c, -s], [0, s, c]], "ry": [[c, 0, s], [0, 1, 0], [-s, 0, c]], "rz": [[c, -s, 0], [s, c, 0], [0, 0, 1]]}[axis])
+
+    def product(order, angles):
+        out = np.eye(3)
+        for a in order:
+            out = out @ turn(a, angles.get(a, 0.0))
+        return out
+
+    root = frame.get("root", {})
+    place = {"root": 2.54 * np.array([root.get("tx", skeleton.position[0]), root.get("tz", skeleton.position[2]), root.get("ty", skeleton.position[1])])}
+    turned = {"root": product(skeleton.axes, {a: root.get(a, skeleton.orientation[i]) for i, a in enumerate(("rx", "ry", "rz"))})}
+    for b in skeleton.bones:
+        place[b.name] = place[b.parent] + turned[b.parent] @ (b.direction * b.length * 2.54)
+        turned[b.name] = turned[b.parent] @ b.basis @ product(b.dof, frame.get(b.name, {})) @ b.basis.T
+    return place
+
+
+def test_stacks_of_frames_equal_frames_one_by_one(spark, tmp_path):
+    """Random channels, lines that lack, repeated lines, short lines, and batches of a few frames."""
+    rng = np.random.default_rng(3)
+    bones = [mocap.Bone(n, *(lambda d: (d / np.linalg.norm(d), float(rng.uniform(1, 9))))(rng.normal(size=3)), mocap.turns(["rx", "ry", "rz"], rng.uniform(-90, 90, (1, 3)))[0], dof, up) for n, dof, up in (("a", ["rx", "ry", "rz"], "root"), ("b", ["rz"], "root"), ("c", [], "a"), ("d", ["rz", "rx"], "c"), ("e", ["ry"], "b"))]
+    s = mocap.Skeleton(["tx", "ty", "tz", "rx", "ry", "rz"], ["rz", "ry", "rx"], np.array([1.0, 2, 3]), np.array([10.0, 20, 30]), bones)
+    dof = {"root": s.order} | {b.name: b.dof for b in bones}
+    lines, frames = [], {}
+    for f in range(1, 41):
+        lines.append(str(f))
+        frames[f] = {}
+        for name in rng.permutation(list(dof)).tolist() + ["a"] * (f % 5 == 0):
+            if rng.random() < 0.8:
+                values = rng.uniform(-180, 180, len(dof[name]) - (rng.random() < 0.2 and len(dof[name]) > 1)).round(3).tolist()
+                lines.append(" ".join([name, *map(str, values)]))
+                frames[f][name] = dict(zip(dof[name], values, strict=False))
+    (tmp_path / "m.amc").write_text(":DEGREES\n" + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = mocap.solved(mocap.read_motion(spark, str(tmp_path / "m.amc")), s)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.frame, r.bone): (r.x, r.y, r.z) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 240
+    for f, channels in frames.items():
+        for bone, place in _plain_positions(s, channels).items():
+            np.testing.assert_allclose(got[f, bone], place, atol=1e-9)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,16 +55,17 @@ class Skeleton:
     bones: list[Bone] = field(default_factory=list)
 
 
-def rotation(order: list[str], degrees: dict[str, float]) -> np.ndarray:
-    """The product of rotations about the axes of ``order`` (rx, ry, rz), missing angles being 0."""
-    out = np.eye(3)
-    for axis in order:
+def turns(order: list[str], degrees: np.ndarray) -> np.ndarray:
+    """Rotations about the axes of ``order`` (rx, ry, rz), one after the other: a stack for the rows of angles."""
+    out = np.broadcast_to(np.eye(3), (len(degrees), 3, 3))
+    for axis, column in zip(order, np.radians(degrees).T, strict=True):
         k = "xyz".index(axis[1])
-        a = np.radians(degrees.get(axis, 0.0))
         i, j = (k + 1) % 3, (k + 2) % 3
-        turn = np.eye(3)
-        turn[i, i] = turn[j, j] = np.cos(a)
-        turn[i, j], turn[j, i] = -np.sin(a), np.sin(a)
+        turn = np.zeros((len(degrees), 3, 3))
+        turn[:, k, k] = 1.0
+        turn[:, i, i] = turn[:, j, j] = np.cos(column)
+        turn[:, j, i] = np.sin(column)
+        turn[:, i, j] = -turn[:, j, i]
         out = out @ turn
     return out
 
@@ -84,7 +86,9 @@ def parse_skeleton(text: str) -> Skeleton:
     for block in re.findall(r"begin\s(.*?)\bend", sections["bonedata"], re.S):
         b = _fields(block)
         d = np.array(b["direction"], float)
-        basis = rotation([f"r{c.lower()}" for c in b["axis"][3]], dict(zip(("rx", "ry", "rz"), map(float, b["axis"][:3]), strict=True)))
+        angle = dict(zip("xyz", map(float, b["axis"][:3]), strict=True))
+        axes = b["axis"][3].lower()
+        basis = turns([f"r{c}" for c in axes], np.array([[angle[c] for c in axes]]))[0]
         name = b["name"][0]
         bones[name] = Bone(name, d / n if (n := np.linalg.norm(d)) > 0 else d, float(b["length"][0]), basis, b.get("dof", []))
     for line in re.search(r"begin\s(.*?)\bend", sections["hierarchy"], re.S)[1].splitlines():
@@ -101,39 +105,81 @@ def parse_skeleton(text: str) -> Skeleton:
 
 
 def read_motion(spark: SparkSession, path: str) -> DataFrame:
-    """(file, frame, bone, channels): lines of motion files; a line of digits begins a frame, lines before the first are left out.
+    """(file, frame, bones): a row for each frame of motion files, with bone and channels of its lines in order.
 
-    Each file is one text value that is split in order, so frames need no global line numbers.
+    A line of digits begins a frame; lines before the first, comments and directives are left out.  Each file is one
+    text value that is split in order, so frames need no global line numbers.
     """
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), r"(?m)^\s*(?=\d+\s*$)")).alias("k", "block"))
-    blocks = text.where(F.col("block").rlike(r"^\d+\s*(\n|$)")).select("file", F.trim(F.split("block", "\n")[0]).cast("long").alias("frame"), F.explode(F.slice(F.split("block", "\n"), F.lit(2), F.size(F.split("block", "\n")))).alias("line"))
-    words = F.split(F.trim("line"), r"\s+")
-    return blocks.where(F.trim("line").rlike(r"^[^#:\s]")).select("file", "frame", words[0].alias("bone"), F.transform(F.slice(words, F.lit(2), F.size(words)), lambda x: x.cast("double")).alias("channels"))
-
-
-def positions(skeleton: Skeleton, frame: dict[str, dict[str, float]]) -> dict[str, np.ndarray]:
-    """World positions of the root and all bones in centimetres; y and z change places in the root's translation."""
-    root = frame.get("root", {})
-    at = {"root": np.array([root.get(c, skeleton.position[i]) for c, i in (("tx", 0), ("tz", 2), ("ty", 1))], float) * CM_PER_INCH}
-    turned = {"root": rotation(skeleton.axes, {a: root.get(a, o) for a, o in zip(("rx", "ry", "rz"), skeleton.orientation, strict=True)})}
-    for b in skeleton.bones:
-        at[b.name] = at[b.parent] + turned[b.parent] @ (b.direction * b.length * CM_PER_INCH)
-        turned[b.name] = turned[b.parent] @ (b.basis @ rotation(b.dof, frame.get(b.name, {})) @ b.basis.T)
-    return at
+    blocks = text.where(F.col("block").rlike(r"^\d+\s*(\n|$)")).withColumn("lines", F.split("block", "\n"))
+    worded = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda line: F.trim(line).rlike(r"^[^#:\s]"))
+    words = F.transform(worded, lambda line: F.split(F.trim(line), r"\s+"))
+    bones = F.transform(words, lambda w: F.struct(w[0].alias("bone"), F.transform(F.slice(w, F.lit(2), F.size(w)), lambda x: x.cast("double")).alias("channels")))
+    return blocks.select("file", F.trim(F.get("lines", F.lit(0))).cast("long").alias("frame"), bones.alias("bones"))
+
+
+def channel_matrix(bones: pa.ListArray, name: str, default: np.ndarray) -> np.ndarray:
+    """A bone's channels in each frame (rows), defaults where a frame does not give them; of repeated lines the last counts."""
+    lines, n = bones.flatten(), len(bones)
+    frame = np.repeat(np.arange(n), bones.value_lengths().to_numpy(zero_copy_only=False))
+    at = np.flatnonzero(np.array(lines.field("bone").to_pylist(), object) == name)
+    last = np.full(n, -1)
+    last[frame[at]] = at
+    here = np.flatnonzero(last >= 0)
+    out = np.tile(default, (n, 1)).astype(float)
+    channels = lines.field("channels")
+    size = channels.value_lengths().to_numpy(zero_copy_only=False)
+    begin = np.cumsum(size) - size
+    values = channels.flatten().to_numpy(zero_copy_only=False)
+    for c in range(len(default)):
+        given = here[size[last[here]] > c]
+        out[given, c] = values[begin[last[given]] + c]
+    return out
 
 
-def solved(motion: DataFrame, skeleton: Skeleton) -> DataFrame:
-    """(file, frame, bone, x, y, z): forward kinematics of each frame; a frame has one row for each bone."""
-    dof = {b.name: b.dof for b in skeleton.bones} | {"root": skeleton.order}
+def pose_stacks(skeleton: Skeleton, channels: dict[str, np.ndarray], n: int) -> np.ndarray:
+    """World positions (frames x nodes x 3) of the root and all bones in centimetres, for stacks of channels by bone.
+
+    Bones of one level hang on bones that are done, so a level is one product of stacks for all frames.  y and z change
+    places in the root's translation.
+    """
+    root = dict(zip(skeleton.order, channels["root"].T, strict=True))
+    still = dict(zip(("tx", "ty", "tz", "rx", "ry", "rz"), [*skeleton.position, *skeleton.orientation], strict=True))
+    of = lambda c: root[c] if c in root else np.full(n, still[c])
+    number = {"root": 0} | {b.name: i for i, b in enumerate(skeleton.bones, 1)}
+    at, turned = np.zeros((n, len(number), 3)), np.zeros((n, len(number), 3, 3))
+    at[:, 0] = np.stack([of("tx"), of("tz"), of("ty")], 1) * CM_PER_INCH
+    turned[:, 0] = turns(skeleton.axes, np.stack([of(a) for a in skeleton.axes], 1))
+    level = ["root"]
+    while bones := [b for b in skeleton.bones if b.parent in level]:
+        own, above = [number[b.name] for b in bones], [number[b.parent] for b in bones]
+        offset = np.stack([b.direction * b.length * CM_PER_INCH for b in bones])
+        local = np.stack([b.basis @ turns(b.dof, channels[b.name]) @ b.basis.T for b in bones], 1)
+        parents = turned[:, above]
+        at[:, own] = at[:, above] + np.einsum("nbij,bj->nbi", parents, offset)
+        turned[:, own] = parents @ local
+        level = [b.name for b in bones]
+    return at
 
-    def one(table: pa.Table) -> pa.Table:
-        rows = zip(table.column("bone").to_pylist(), table.column("channels").to_pylist(), strict=True)
-        at = positions(skeleton, {b: dict(zip(dof[b], c, strict=False)) for b, c in rows if b in dof})
-        n = len(at)
-        xyz = np.array(list(at.values()))
-        return pa.table({"file": [table.column("file")[0].as_py()] * n, "frame": [table.column("frame")[0].as_py()] * n, "bone": list(at), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
-    return motion.groupBy("file", "frame").applyInArrow(one, "file string, frame long, bone string, x double, y double, z double")
+def solved(motion: DataFrame, skeleton: Skeleton) -> DataFrame:
+    """(file, frame, bone, x, y, z): forward kinematics of the frames of ``read_motion``, all frames of a batch at once."""
+    names = ["root", *(b.name for b in skeleton.bones)]
+    still = dict(zip(("tx", "ty", "tz", "rx", "ry", "rz"), [*skeleton.position, *skeleton.orientation], strict=True))
+    default = {b.name: np.zeros(len(b.dof)) for b in skeleton.bones} | {"root": np.array([still.get(c, 0.0) for c in skeleton.order])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bones = batch.column("bones")
+            xyz = pose_stacks(skeleton, {b: channel_matrix(bones, b, d) for b, d in default.items()}, n).reshape(-1, 3)
+            each = pa.array(np.repeat(np.arange(n), len(names)))
+            columns = [batch.column("file").take(each), batch.column("frame").take(each), pa.array(names * n), *(pa.array(np.ascontiguousarray(xyz[:, i])) for i in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "frame", "bone", "x", "y", "z"])
+
+    return motion.select("file", "frame", "bones").mapInArrow(run, "file string, frame long, bone string, x double, y double, z double")
 
 
 def coco_poses(bones: DataFrame) -> DataFrame:
