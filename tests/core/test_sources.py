@@ -32,6 +32,16 @@ def test_artifacts_and_round_trip(spark, tmp_path):
     assert jsonl.listed_clips(clips, a).count() == 1
 
 
+def test_clips_of_the_four_domains(spark, tmp_path):
+    artifacts = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "clip_id string")
+    assert jsonl.clips_of_domains(spark, str(tmp_path), artifacts).count() == 0
+    for name in ("nba/a.mp4", "nba/x.mp4", "nba/b.mov", "youth/b.mp4", "street/c.mp4", "playground/d.MP4"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"film")
+    got = sorted(tuple(r) for r in jsonl.clips_of_domains(spark, str(tmp_path), artifacts).collect())
+    assert got == [("a", "nba", "nba/a.mp4"), ("b", "youth", "youth/b.mp4")]
+
+
 def test_calibration_shapes(spark, tmp_path):
     m = [[1.0, 0, 0], [0, 1, 0], [0, 0, 1]]
     (tmp_path / "old.json").write_text(json.dumps({"z": {"h_matrix": m}}))

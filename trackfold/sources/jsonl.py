@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import exists
+
 #: Rows of the event stream; ``kind`` tells which fields are set.
 STREAM = (
     "kind string, t_ms bigint, track_id int, player_id int, `from` int, `to` int, x double, y double, confidence_bps int, action string, court_x double, court_y double, event_type string, actor_id int, secondary_actor_id int, "
@@ -94,6 +96,23 @@ def listed_clips(clips: DataFrame, artifacts: DataFrame) -> DataFrame:
     return clips.join(artifacts.select("clip_id").distinct(), "clip_id", "left_semi")
 
 
+#: The folders of clips.
+DOMAINS = ["nba", "ncaa", "youth", "playground"]
+
+
+def clips_of_domains(spark: SparkSession, folder: str, artifacts: DataFrame) -> DataFrame:
+    """(clip_id, domain, path): the clips (mp4 files) of the four domains below ``folder`` that have a document.
+
+    A domain without a folder has none; names are told apart by case.  Only names are read, not the files.
+    """
+    there = [d for d in DOMAINS if exists(spark, f"{folder}/{d}")]
+    if not there:
+        return spark.createDataFrame([], "clip_id string, domain string, path string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").load([f"{folder}/{d}" for d in there])
+    named = files.select(F.regexp_extract("path", r"([^/]+)/([^/]+)\.mp4$", 1).alias("domain"), F.regexp_extract("path", r"([^/]+)/([^/]+)\.mp4$", 2).alias("clip_id"))
+    return listed_clips(named.select("clip_id", "domain", F.concat("domain", F.lit("/"), "clip_id", F.lit(".mp4")).alias("path")), artifacts)
+
+
 def pose_sequences(spark: SparkSession, path: str) -> DataFrame:
     """Pose sequences of a JSON file that is a list, or an object with ``sequences``: sequence, poses."""
     poses = "array<array<array<array<double>>>>"
