@@ -6,9 +6,12 @@ restores.  A timer in event time takes baskets out that no signal can reach any
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +30,19 @@ def with_typed_state(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
 
 
+@contextmanager
+def _by_value():
+    """Processors travel with their code: the worker that Spark starts on the driver's side gets no files of the session."""
+    modules = [sys.modules[c.__module__] for c in (LedgerState, Waiting, kalman_step)]
+    for m in modules:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        yield
+    finally:
+        for m in modules:
+            cloudpickle.unregister_pickle_by_value(m)
+
+
 class LedgerState(StatefulProcessor):
     """Events of a game become official, baskets when a signal takes them; waiting ones are a list state."""
 
@@ -111,7 +127,8 @@ def ledger(stream: DataFrame, window_ms: int = WINDOW_MS, late: str = "1 second"
     with_typed_state(stream.sparkSession)
     # one more, since the first watermark is 0 and a row at the watermark is late already
     timed = stream.select("game_id", "seq", "kind", "t_ms", "player_id", "team_id", "points", F.timestamp_millis(F.col("t_ms") + 1).alias("ts")).withWatermark("ts", late)
-    return timed.groupBy("game_id").transformWithStateInPandas(LedgerState(window_ms), LEDGER, "append", "eventTime")
+    with _by_value():
+        return timed.groupBy("game_id").transformWithStateInPandas(LedgerState(window_ms), LEDGER, "append", "eventTime")
 
 
 def tracks(stream: DataFrame) -> DataFrame:
@@ -121,7 +138,8 @@ def tracks(stream: DataFrame) -> DataFrame:
     """
     with_typed_state(stream.sparkSession)
     rows = stream.select("clip_id", "track_id", "frame_idx", "x", "y", "has_pose")
-    return rows.groupBy("clip_id", "track_id").transformWithStateInPandas(TrackState(), "clip_id long, track_id long, frame_idx long, court_x double, court_y double, team int, seen long, poses long", "append", "none")
+    with _by_value():
+        return rows.groupBy("clip_id", "track_id").transformWithStateInPandas(TrackState(), "clip_id long, track_id long, frame_idx long, court_x double, court_y double, team int, seen long, poses long", "append", "none")
 
 
 def run_available(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
