@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import saved
 from . import appearance, continuity, identity, liveplay, tracks
+from .policy import IdentityPolicy
 
 KEYS = ["clip_id", "track_id", "frame_idx"]
 
@@ -37,22 +38,22 @@ def _active(d: DataFrame, width: int, height: int) -> DataFrame:
     return appearance.with_active(boxed, tracks.frame_counts(boxed), width, height)
 
 
-def annotate(detections: DataFrame, signatures: DataFrame, balls: DataFrame, reads: DataFrame, width: int, height: int, fps: float) -> Annotated:
+def annotate(detections: DataFrame, signatures: DataFrame, balls: DataFrame, reads: DataFrame, width: int, height: int, fps: float, policy: IdentityPolicy = IdentityPolicy()) -> Annotated:
     """``detections``: one row for each track of a frame: clip_id, track_id, frame_idx, slot, x, y, w, h, conf, court_x, court_y, uniform, hist.
 
     ``signatures``: clip_id, frame_idx, signature; ``balls``: clip_id, frame_idx, conf; ``reads``: clip_id, track_id,
     frame_idx, slot, read, conf, sharpness.
     """
     d = saved(_active(_smoothed(detections.withColumn("appearance_distance", F.lit(None).cast("double")), fps), width, height))
-    frames = saved(continuity.with_segments(continuity.frame_tracks(d).join(signatures, ["clip_id", "frame_idx"], "left")))
+    frames = saved(continuity.with_segments(continuity.frame_tracks(d).join(signatures, ["clip_id", "frame_idx"], "left"), policy=policy))
     d = d.join(frames.select("clip_id", "frame_idx", F.col("continuity_segment").alias("segment")), ["clip_id", "frame_idx"])
     d = appearance.with_team(d, appearance.prototypes(d)).withColumn("appearance_distance", F.col("team_distance"))
     d = saved(_active(d, width, height))
 
     ends = d.select(*KEYS, "x", "y", "w", "h", F.col("svx").alias("vx"), F.col("svy").alias("vy"), "court_x", "court_y", "uniform", "conf", F.col("active.candidate").alias("active"), "segment")
-    links = saved(identity.selected(identity.candidates(ends, identity.LINK, fps=fps)))
+    links = saved(identity.selected(identity.candidates(ends, policy.link, fps=fps, policy=policy)))
     names = identity.canonical_ids(links)
-    filled = tracks.fill_gaps(ends, segment="segment")
+    filled = tracks.fill_gaps(ends, policy.max_gap, segment="segment" if policy.reset else None).where(F.lit(policy.fill))
     bridges = identity.bridged(ends, links, names).withColumnRenamed("identity", "track_id")
     made = filled.unionByName(bridges).withColumn("synthesized", F.lit(True))
     named = d.join(names, ["clip_id", "track_id"], "left").withColumn("track_id", F.coalesce("canonical", "track_id")).withColumn("synthesized", F.lit(False)).drop("canonical")

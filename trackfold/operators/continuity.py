@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clip01
+from .policy import IdentityPolicy
 
-VISUAL, CHURN, SCORE, BREAK_CHURN = 0.28, 0.80, 0.72, 0.55
+BREAK_CHURN = 0.55
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -27,7 +28,7 @@ def frame_tracks(detections: DataFrame) -> DataFrame:
     return detections.groupBy("clip_id", "frame_idx").agg(F.array_sort(F.collect_set("track_id")).alias("tracks"), F.count("*").alias("n"))
 
 
-def with_segments(frames: DataFrame, signature: str = "signature") -> DataFrame:
+def with_segments(frames: DataFrame, signature: str = "signature", policy: IdentityPolicy = IdentityPolicy()) -> DataFrame:
     """Frames with churn, visual change, score, break flag and segment number; the first frame of a clip begins segment 0."""
     w = Window.partitionBy("clip_id").orderBy("frame_idx")
     before = frames.withColumns({"__t": F.lag("tracks").over(w), "__s": F.lag(signature).over(w), "__n": F.lag("n").over(w)})
@@ -40,6 +41,6 @@ def with_segments(frames: DataFrame, signature: str = "signature") -> DataFrame:
         }
     )
     v, c = F.col("visual_delta"), F.col("churn")
-    d = d.withColumn("discontinuity", 0.60 * clip01(v / VISUAL) + 0.30 * clip01(c / CHURN) + 0.10 * clip01(F.col("count_delta") / 6.0))
-    d = d.withColumn("breaks", ~first & ((F.col("discontinuity") >= SCORE) | ((v >= VISUAL) & (c >= BREAK_CHURN))))
+    d = d.withColumn("discontinuity", 0.60 * clip01(v / policy.visual) + 0.30 * clip01(c / policy.churn) + 0.10 * clip01(F.col("count_delta") / 6.0))
+    d = d.withColumn("breaks", ~first & ((F.col("discontinuity") >= policy.cut) | ((v >= policy.visual) & (c >= BREAK_CHURN))))
     return d.withColumn("continuity_segment", F.sum(F.col("breaks").cast("long")).over(w)).drop("__t", "__s", "__n")

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.geometry import clip01
 from ..sources.storage import saved
 from .components import components
+from .policy import IdentityPolicy
 
-MAX_GAP, LINK, HYPOTHESIS, MARGIN, TOP = 3, 0.72, 0.55, 0.05, 3
-MAX_COURT, MAX_RATIO = 260.0, 1.35
+MARGIN = 0.05
 _ENDS = ["frame_idx", "x", "y", "w", "h", "vx", "vy", "court_x", "court_y", "uniform", "conf", "active", "segment"]
 
 
-def link_score(a: str = "a", b: str = "b", gap: str = "gap", fps: float = 30.0) -> Column:
+def link_score(a: str = "a", b: str = "b", gap: str = "gap", fps: float = 30.0, policy: IdentityPolicy = IdentityPolicy()) -> Column:
     """Score of track end ``a`` and track start ``b`` (structs); null where a gate rules the link out."""
     A, B = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))  # noqa: N806
     elapsed = (F.col(gap) + 1) * max(1.0 / fps, 0.001)
     distance = F.sqrt((A("x") + A("vx") * elapsed - B("x")) ** 2 + (A("y") + A("vy") * elapsed - B("y")) ** 2)
-    limit = F.greatest(F.lit(40.0), MAX_RATIO * (A("h") + B("h")) / 2)
+    limit = F.greatest(F.lit(40.0), policy.max_ratio * (A("h") + B("h")) / 2)
     ratio = lambda f: F.least(A(f), B(f)) / F.greatest(A(f), B(f))
     size = (ratio("w") + ratio("h")) / 2
     sa, sb = F.sqrt(A("vx") ** 2 + A("vy") ** 2), F.sqrt(B("vx") ** 2 + B("vy") ** 2)
@@ -29,11 +29,11 @@ def link_score(a: str = "a", b: str = "b", gap: str = "gap", fps: float = 30.0)
     conflict = F.coalesce(known("uniform") & (A("uniform") != B("uniform")), F.lit(False))
     uniform = F.when(A("uniform").isNull() | B("uniform").isNull(), 0.0).when(known("uniform") & (A("uniform") == B("uniform")), 1.0).when((A("uniform") == "unknown") | (B("uniform") == "unknown"), 0.55).otherwise(0.0)
     on_court = F.sqrt((A("court_x") - B("court_x")) ** 2 + (A("court_y") - B("court_y")) ** 2)
-    court = F.when(on_court.isNull(), 0.5).otherwise(clip01(1 - on_court / MAX_COURT))
+    court = F.when(on_court.isNull(), 0.5).otherwise(clip01(1 - on_court / policy.max_court))
     score = (
-        0.34 * clip01(1 - distance / limit) + 0.18 * velocity + 0.14 * size + 0.14 * uniform + 0.10 * court + 0.06 * clip01(1 - (F.col(gap) - 1) / 3.0) + 0.04 * F.least(A("conf"), B("conf"))
+        0.34 * clip01(1 - distance / limit) + 0.18 * velocity + 0.14 * size + 0.14 * uniform + 0.10 * court + 0.06 * clip01(1 - (F.col(gap) - 1) / float(max(policy.max_gap, 1))) + 0.04 * F.least(A("conf"), B("conf"))
     )
-    allowed = A("active") & B("active") & ~conflict & (distance <= limit) & (size >= 0.55) & F.coalesce(on_court <= MAX_COURT, F.lit(True))
+    allowed = A("active") & B("active") & ~conflict & (distance <= limit) & (size >= 0.55) & F.coalesce(on_court <= policy.max_court, F.lit(True))
     return F.when(allowed, F.round(score, 4))
 
 
@@ -43,20 +43,22 @@ def track_ends(rows: DataFrame) -> DataFrame:
     return rows.groupBy("clip_id", "track_id").agg(F.min(s).alias("head"), F.max(s).alias("tail"))
 
 
-def candidates(rows: DataFrame, least: float, max_gap: int = MAX_GAP, same_segment: bool = True, fps: float = 30.0) -> DataFrame:
-    """Pairs (pred, succ) of tracks of a clip whose gap is 1 to ``max_gap`` frames, scored at least ``least``.
+def candidates(rows: DataFrame, least: float, same_segment: bool | None = None, fps: float = 30.0, policy: IdentityPolicy = IdentityPolicy()) -> DataFrame:
+    """Pairs (pred, succ) of tracks of a clip whose gap is 1 to ``policy.max_gap`` frames, scored at least ``least``.
+
+    Both ends lie in one segment if ``same_segment`` says so, or where it is None the policy.  A limit of no frames gives no pairs.
 
     The range condition is made an equality: the end is spread over the frames where a successor may start.
     """
     ends = track_ends(rows)
     starts = ends.select("clip_id", F.col("track_id").alias("succ"), F.col("head").alias("b"), F.col("head.frame_idx").alias("start_frame"))
     last = ends.select("clip_id", F.col("track_id").alias("pred"), F.col("tail").alias("a"))
-    last = last.withColumn("gap", F.explode(F.sequence(F.lit(1), F.lit(max_gap)))).withColumn("start_frame", F.col("a.frame_idx") + F.col("gap") + 1)
-    both = last.join(starts, ["clip_id", "start_frame"]).where("pred <> succ")
-    if same_segment:
+    last = last.withColumn("gap", F.explode(F.sequence(F.lit(1), F.lit(max(policy.max_gap, 1))))).withColumn("start_frame", F.col("a.frame_idx") + F.col("gap") + 1)
+    both = last.join(starts, ["clip_id", "start_frame"]).where((F.col("pred") != F.col("succ")) & (F.col("gap") <= policy.max_gap))
+    if policy.reset if same_segment is None else same_segment:
         both = both.where("a.segment = b.segment")
     # exploded, so that the optimiser does not copy the whole score into the filter
-    scored = both.select("*", F.explode(F.array(link_score(fps=fps))).alias("score")).where(F.col("score") >= least)
+    scored = both.select("*", F.explode(F.array(link_score(fps=fps, policy=policy))).alias("score")).where(F.col("score") >= least)
     return scored.select("clip_id", "pred", "succ", "gap", F.col("a.frame_idx").alias("end_frame"), "start_frame", "score")
 
 
@@ -87,8 +89,10 @@ def hypothesis_groups(links: DataFrame) -> DataFrame:
     return found.join(least, ["clip_id", "__root"]).drop("__root")
 
 
-def hypotheses(links: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The best TOP candidates of each group: rank, status of candidate and group, margin to the best."""
+def hypotheses(links: DataFrame, chosen: DataFrame, policy: IdentityPolicy = IdentityPolicy()) -> DataFrame:
+    """The best ``policy.top`` candidates of each group: rank, status of candidate and group, margin to the best; none if the policy wants none."""
+    if not policy.with_hypotheses:
+        links = links.where(F.lit(False))
     c = hypothesis_groups(links).join(chosen.select("clip_id", "pred", "succ", F.lit(True).alias("is_selected")), ["clip_id", "pred", "succ"], "left").withColumn("is_selected", F.coalesce("is_selected", F.lit(False)))
     g = Window.partitionBy("clip_id", "group_key")
     c = c.withColumns(
@@ -100,9 +104,9 @@ def hypotheses(links: DataFrame, chosen: DataFrame) -> DataFrame:
             "n": F.count("*").over(g),
         }
     )
-    group_status = F.when(~F.col("any_selected"), "deferred").when(F.col("best_other") >= F.col("best") - MARGIN, "ambiguous_selected").otherwise("selected")
+    group_status = F.when(~F.col("any_selected"), "deferred").when(F.col("best_other") >= F.col("best") - policy.ambiguity, "ambiguous_selected").otherwise("selected")
     status = F.when(F.col("is_selected"), "selected").when(F.col("any_selected"), "alternate").otherwise("deferred")
-    out = c.where(F.col("rank") <= TOP)
+    out = c.where(F.col("rank") <= policy.top)
     return out.select("clip_id", F.col("group_key.pred").alias("group_pred"), F.col("group_key.succ").alias("group_succ"), "rank", "pred", "succ", "gap", "score", F.round(F.col("best") - F.col("score"), 4).alias("margin"), status.alias("status"), group_status.alias("group_status"), F.col("n").alias("candidates"))
 
 

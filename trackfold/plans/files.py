@@ -34,13 +34,19 @@ def src_05_14_snk_02_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("clip_id").agg(F.countDistinct("frame_idx").alias("frames"), F.count("*").alias("detections"), F.sum("track_id").alias("tracks"))
 
 
+#: Clips whose calibrations are together in a document, so that no document grows with their number.
+CLIPS_PER_DOCUMENT = 64
+
+
 @query("SELECT clip_id::VARCHAR AS clip_id, CASE WHEN clip_id % 2 = 0 THEN 7 END AS frame_idx, clip_id + 0.5::DOUBLE AS h0 FROM (SELECT DISTINCT clip_id FROM ev)")
 def src_06_07_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/calibration"
     m = F.array(F.array(F.col("clip_id") + 0.5, F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     even = F.col("clip_id") % 2 == 0
     c = adapter.events(spark, sf_dir).select("clip_id").distinct().select(F.col("clip_id").cast("string").alias("k"), F.struct(F.when(even, F.create_map(F.lit("7"), m)).alias("h_sequence"), F.when(~even, m).alias("h_matrix")).alias("c"))
-    c.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "c")))).alias("value")).write.text(path)  # one row for each clip
+    c = c.withColumn("document", F.floor(F.col("k").cast("long") / CLIPS_PER_DOCUMENT))
+    documents = c.groupBy("document").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "c")))).alias("value"))
+    documents.write.partitionBy("document").text(path)
     return jsonl.read_calibration(spark, path).select("clip_id", "frame_idx", F.col("h")[0].alias("h0"))
 
 

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import appearance, identity, ledger
+from ..operators.policy import IdentityPolicy
 from . import adapter
 from .geometry import _DR
 from .registry import query
 
+POLICY = IdentityPolicy()
+
 
 def short_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short tracks (one per user and clip) close to each other, for identity links."""
@@ -45,18 +48,18 @@ sl AS (SELECT a.* FROM lk a WHERE a.score - 0.05 > coalesce((SELECT max(b.score)
 
 @query("SELECT clip_id, pred, succ, gap, score FROM lk", _TAILS)
 def joi_06_sco_04_link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = identity.candidates(short_tracks(spark, sf_dir), identity.LINK)
+    c = identity.candidates(short_tracks(spark, sf_dir), POLICY.link)
     return c.select("clip_id", "pred", "succ", F.col("gap").cast("long").alias("gap"), "score")
 
 
 @query("SELECT clip_id, pred, succ, gap, score FROM hy", _TAILS)
 def joi_07_hypothesis_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = identity.candidates(short_tracks(spark, sf_dir), identity.HYPOTHESIS, same_segment=False)
+    c = identity.candidates(short_tracks(spark, sf_dir), POLICY.hypothesis, same_segment=False)
     return c.select("clip_id", "pred", "succ", F.col("gap").cast("long").alias("gap"), "score")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.selected(identity.candidates(short_tracks(spark, sf_dir), identity.LINK))
+    return identity.selected(identity.candidates(short_tracks(spark, sf_dir), POLICY.link))
 
 
 @query("SELECT clip_id, pred, succ, score FROM sl", _TAILS)
@@ -78,7 +81,7 @@ cc AS (SELECT clip_id, pred * 1000 + succ AS node, pred * 1000 + succ AS root FR
     recursive=True,
 )
 def sco_06_srt_04_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = identity.candidates(short_tracks(spark, sf_dir), identity.HYPOTHESIS, same_segment=False).withColumn("gap", F.col("gap").cast("long"))
+    c = identity.candidates(short_tracks(spark, sf_dir), POLICY.hypothesis, same_segment=False).withColumn("gap", F.col("gap").cast("long"))
     return identity.hypotheses(c, _links(spark, sf_dir))
 
 

@@ -9,9 +9,11 @@ import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import attribution, behaviour
+from ..operators.policy import IdentityPolicy
 
 try:
     import yaml
@@ -22,6 +24,19 @@ except ImportError:  # JSON files work without it
 KIND, SECTIONS = "mvp_event_rules", ["actors", "counting", "prerequisites", "temporal"]
 # The sections that an identity policy must fill.
 POLICY_SECTIONS = ["assumptions", "continuity", "identity", "identity.short_gap", "identity.hypotheses"]
+# The limits of an identity policy: setting -> (section, name in the file, kind).
+POLICY_LIMITS = {
+    "visual": ("continuity", "visual_delta_threshold", float),
+    "churn": ("continuity", "track_churn_threshold", float),
+    "cut": ("continuity", "score_threshold", float),
+    "max_gap": ("short_gap", "max_gap_frames", int),
+    "link": ("short_gap", "repair_score_threshold", float),
+    "max_court": ("short_gap", "max_court_distance", float),
+    "max_ratio": ("short_gap", "max_center_distance_ratio", float),
+    "hypothesis": ("hypotheses", "min_score", float),
+    "top": ("hypotheses", "max_candidates_per_group", int),
+    "ambiguity": ("hypotheses", "ambiguity_margin", float),
+}
 # Fixed value: the video where neither a call nor the configuration names one.
 DEFAULT_VIDEO = "data/sample.mp4"
 
@@ -119,6 +134,40 @@ def identity_policy(document: dict) -> dict:
     return document
 
 
+def identity_settings(document: dict) -> IdentityPolicy:
+    """The settings of an identity policy; an empty section, or a limit that is missing or no number, raises ValueError.
+
+    The three switches may be missing and are then on.
+    """
+    identity_policy(document)
+    sections = {"continuity": document["continuity"], "short_gap": document["identity"]["short_gap"], "hypotheses": document["identity"]["hypotheses"]}
+
+    def number(section: str, name: str, kind: type):
+        try:
+            return kind(sections[section][name])
+        except (KeyError, TypeError, ValueError):
+            raise ValueError(f"the identity policy has no number {section}.{name}") from None
+
+    limits = {field: number(section, name, kind) for field, (section, name, kind) in POLICY_LIMITS.items()}
+    return IdentityPolicy(
+        **limits,
+        reset=bool(sections["continuity"].get("reset_identity_on_discontinuity", True)),
+        fill=bool(document["identity"].get("occlusion_first_within_segment", True)),
+        with_hypotheses=bool(sections["hypotheses"].get("enabled", True)),
+    )
+
+
+def identity_policy_document(policy: IdentityPolicy = IdentityPolicy()) -> dict:
+    """Settings as a document that ``identity_settings`` reads back, as a start for a policy of one's own."""
+    sections: dict[str, dict] = {"continuity": {}, "short_gap": {}, "hypotheses": {}}
+    for field, (section, name, _) in POLICY_LIMITS.items():
+        sections[section][name] = getattr(policy, field)
+    sections["continuity"]["reset_identity_on_discontinuity"] = policy.reset
+    sections["hypotheses"]["enabled"] = policy.with_hypotheses
+    identity = {"occlusion_first_within_segment": policy.fill, "short_gap": sections["short_gap"], "hypotheses": sections["hypotheses"]}
+    return {"assumptions": {"continuity_default": "conserved"}, "continuity": sections["continuity"], "identity": identity}
+
+
 def kinematic_rules(document: dict) -> list[tuple]:
     """The behaviour rules of a document in their order, as ``behaviour.label`` takes them; without rules there are none."""
     out = []
@@ -143,6 +192,18 @@ def video_path(spark: SparkSession, requested: str | None, configuration: str) -
     return read_document(spark, configuration).get("local_video_path", DEFAULT_VIDEO)
 
 
+def with_video_path(rows: DataFrame, configuration: str, requested: str = "requested", name: str = "video") -> DataFrame:
+    """``rows`` with the requested video, else that of the configuration file, else the default.
+
+    A missing configuration stops the query only if a row needs it.
+    """
+    try:
+        other = F.lit(video_path(rows.sparkSession, None, configuration))
+    except FileNotFoundError:
+        other = F.raise_error(F.lit(f"no configuration at {configuration}")).cast("string")
+    return rows.withColumn(name, F.coalesce(F.col(requested), other))
+
+
 def event_rules_document(rules: dict[str, tuple] = attribution.RULES, max_gap_ms: dict[str, int] = attribution.MAX_GAP_MS, stat_deltas: list[tuple] = attribution.STAT_DELTAS) -> dict:
     """Rule tables as a document that ``event_rules`` reads back, as a start for rules of one's own."""
     events = {}
