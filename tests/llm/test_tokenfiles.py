@@ -61,6 +61,17 @@ def test_a_common_key_has_shards_of_its_own(spark, tmp_path):
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
 
 
+def test_larger_tables_have_more_shards(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, "some text " * 10) for k in range(2000)], "doc_id long, text string")
+    few = tokenfiles.write_tokens(docs, PATH, f"file://{tmp_path}/few")
+    monkeypatch.setattr(tokenfiles, "SHARD_CHARS", 10_000)
+    many = tokenfiles.write_tokens(docs, PATH, f"file://{tmp_path}/many")
+    assert len(few.shards) == 4 and len(many.shards) == 20
+    assert max(n for _, n, _, _ in many.shards) <= 130
+    rows = [[tuple(r) for r in tokenfiles.read_tokens(spark, f).orderBy("start").collect()] for f in (few, many)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2000
+
+
 def test_long_texts_have_a_dictionary(spark):
     docs = spark.range(40).selectExpr("id doc_id", "concat(repeat(concat('word ', id, ' and more of it. '), 2000)) text")
     assert len(tokenfiles.train_dictionary(docs, PATH, "doc_id", "text")) > 1000

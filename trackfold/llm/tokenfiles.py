@@ -38,6 +38,8 @@ END_ID = 2
 #: Rows and text characters at most that the dictionary is trained on, and its size.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4_000_000, 64 << 10
 LEVEL = 3
+#: Characters of text that a shard holds on average at most, which bounds a task's work and the index that it keeps.
+SHARD_CHARS = 1 << 30
 _NULL_ID = -(1 << 63)
 _EXACT = "\ue000"
 _JOINED = 300
@@ -221,11 +223,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, key: str = "doc_id", t
     """Encode every whole text (null counts as empty), append END_ID, and write the shard files.
 
     Rows of equal key stay neighbours; a null key comes first.  An empty table gives one empty shard.  Shards hold ranges
-    of keys of about equal numbers of rows; a key with more rows than that has several shards of its own.
+    of keys of about equal numbers of rows, as many as there are shuffle partitions, and more where these would hold more
+    than SHARD_CHARS; a key with more rows than a shard has several shards of its own.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, path, key, text)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
     ranges = [i / n for i in range(1, n)]
     bounds, times = np.unique(np.array(docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", ranges, 0.25 / n) if n > 1 else [], np.float64), return_counts=True)
     # range r begins at bounds[r - 1]; a bound that is met several times is a key with its own shards, in front of the range
