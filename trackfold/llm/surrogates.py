@@ -11,6 +11,7 @@ drawn again.
 A name is found behind one or several titles, or as a given name of the list before capitalised words; its words are
 then replaced wherever they stand capitalised in the same text, before or after.  Its gender is that of the given name,
 whatever the title, so that a person has one surrogate; a given name that is not listed gets a form that fits both.
+Surnames with one form for men and one for women keep both: a family's two forms get two forms of one surrogate.
 """
 
 from __future__ import annotations
@@ -53,6 +54,15 @@ _SYLLABLES = {
     "greek": "βα βε βι βο γα γε γι γο δα δε δι δο ζα ζε ζι ζο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι σο τα τε τι το".split(),
 }
 _ENDINGS = {"latin": {"f": "lina", "m": "lis", "u": "len", "surname": "rek"}, "cyrillic": {"f": "лина", "m": "лис", "u": "лен", "surname": "рек"}, "greek": {"f": "λινα", "m": "λις", "u": "λεν", "surname": "ρεκ"}}
+# Endings of surnames of women and of men, by script (Greek ones without accents), and what the surrogate's form for women has behind the other.
+_PAIRED = {
+    "latin": [("ska", "ski"), ("cka", "cki"), ("dzka", "dzki"), ("ská", "ský"), ("cká", "cký"), ("ova", "ov"), ("eva", "ev")],
+    "cyrillic": [("ская", "ский"), ("цкая", "цкий"), ("ова", "ов"), ("ева", "ев"), ("ёва", "ёв"), ("ина", "ин"), ("ына", "ын")],
+    "greek": [("πουλου", "πουλος"), ("ιδου", "ιδης"), ("αδου", "αδης"), ("ακη", "ακης")],
+}
+_FEMININE = {"latin": "a", "cyrillic": "а", "greek": "ου"}
+# What makes a given name and a surname before it the name of a place or a body.
+_PLACES = "Street|Road|Avenue|Boulevard|Square|Bridge|Airport|University|College|Hospital|Library|Museum|Stadium|Station|Institute|Foundation|Prize|Award"
 # Given names by gender.
 _GIVEN = {
     "f": (
@@ -91,12 +101,14 @@ _CASELESS = "[\u05d0-\u109f\u1100-\u139f\u3040-\ud7ff]"
 _BEHIND_TITLE = rf"(?:{_NAME}|{_CASELESS}[^\W\d_]*)"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 _DATE = rf"\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)? (?:{_MONTHS}),? \d{{4}}|(?:{_MONTHS}) \d{{1,2}},? \d{{4}}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 _STREET = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct"
 #: Patterns of entities in the order in which they are tried; the parts with a hint are left out of texts without it.
 _PATTERNS = {
     "numbers": "|".join([
         r"(?P<email>\w[\w.%+-]*@(?:[^\W_][\w-]*\.)+[^\W_][\w-]*)",
         r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))",
+        rf"(?P<ip6>(?<![\w:.])(?:{_GROUP}:){{7}}{_GROUP}(?![\w:])|(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:{_GROUP}:){{2,6}}(?::{_GROUP}){{1,6}}(?![\w:]))",
         r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
         r"(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))",
         rf"(?P<phone>(?<![\w+])\+\d{{1,3}}(?:{_GAP}\d{{2,4}}){{2,5}}(?!\d)|(?<![\w(])\(\d{{3}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|(?<!\d)\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?!\d)|(?<![\w+])\+\d{{9,15}}(?!\d))",
@@ -106,6 +118,7 @@ _PATTERNS = {
     ]),
     "papers": "|".join([
         rf"(?i:\b(?:date of birth|birth ?date|d\.?o\.?b\.?|born(?: on)?)\b\.?)[^\w\n]{{0,4}}(?P<birth>{_DATE})(?!\d)",
+        r"(?i:\b(?:ssn|social security(?: (?:no|nr|number))?)\b\.?)[^\w\n]{0,4}(?P<spaced_ssn>\d{3} ?\d{2} ?\d{4})(?!\d)",
         r"(?i:\bpassport(?: (?:no|nr|number|id))?\b\.?)[^\w\n]{0,4}(?P<passport>(?=(?:[A-Z]*\d){4})[A-Z0-9]{6,10})\b",
     ]),
     "addresses": (
@@ -113,7 +126,7 @@ _PATTERNS = {
     ),
     "names": "|".join([
         rf"(?P<title>\b(?:{_ALL_TITLES})\b(?:\.?[^\S\n]+(?:{_ALL_TITLES})\b)*)(?:\.?[^\S\n]+|\.?[^\S\n]*\n[^\S\n]*)(?P<name>{_BEHIND_TITLE}(?:[^\S\n]+{_BEHIND_TITLE}){{0,2}})",
-        rf"(?P<untitled>\b(?:{_ALL_GIVEN})(?:[^\S\n]+{_NAME}){{1,2}})",
+        rf"(?P<untitled>\b(?:{_ALL_GIVEN})(?![^\S\n]+{_NAME}[^\S\n]+(?:{_PLACES})\b)(?:[^\S\n]+{_NAME}){{1,2}})",
     ]),
 }
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -135,7 +148,7 @@ def entities(text: str) -> Iterator[re.Match]:
     digit = _DIGIT.search(text) is not None
     if digit or any(w in low for w in _ASSIGNED) or "AKIA" in text or _KEY.search(text):
         parts.append("numbers")
-    if digit and any(w in low for w in ("birth", "born", "dob", "d.o", "passport")):
+    if digit and any(w in low for w in ("birth", "born", "dob", "d.o", "passport", "ssn", "social security")):
         parts.append("papers")
     words = set(_LETTERS.findall(text))
     if digit and (not words.isdisjoint(_STREET_WORDS) or any(w in text for w in _STREET_ENDS)):
@@ -163,6 +176,25 @@ def _block(base: int, kind: str) -> str:
     return "".join(x for x in map(chr, range(base, base + 128)) if unicodedata.category(x) == kind and x not in _PLACE)
 
 
+def base_form(kind: str, low: str, script: str | None) -> tuple[str, bool]:
+    """The form for men of a lower-case surname, and whether the name is that for women; all other names are their own form.
+
+    Greek surnames of such pairs lose their accents, as these move between the two forms.
+    """
+    plain = "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c)) if script == "greek" else low
+    for woman, man in _PAIRED.get(script, []) if kind == "surname" else []:
+        if plain.endswith(woman) and len(plain) > len(woman) + 1:
+            return plain[: -len(woman)] + man, True
+        if script == "greek" and plain.endswith(man):
+            return plain, False
+    return low, False
+
+
+def _script(word: str) -> str | None:
+    name = unicodedata.name(word[0], "")
+    return next((s for s in _ENDINGS if s.upper() in name), None)
+
+
 def luhn(digits: str) -> bool:
     """Whether the last digit of a number is its check digit."""
     total = 0
@@ -254,7 +286,7 @@ class Surrogates:
 
     def syllables(self, kind: str, name: str, ending: str, script: str) -> str:
         """A drawn name: some syllables, then the ending; in the letter case of the original, which it never is."""
-        low = name.lower()
+        low, woman = base_form(kind, name.lower(), script)
         draw, out = self.again.get((kind, low), 0), low
         while out == low:
             (number,) = self._numbers(f"{kind}|{script}|{draw}|{low}".encode(), 1)
@@ -263,6 +295,7 @@ class Surrogates:
                 number, k = divmod(number, len(parts))
                 out += parts[k]
             out, draw = out + ending, draw + (1 << 32)
+        out += _FEMININE[script] if woman else ""
         return out.upper() if name.isupper() and len(name) > 1 else out.capitalize()
 
     def name_parts(self, title: str | None, name: str) -> list[tuple[str, str, str]]:
@@ -278,8 +311,7 @@ class Surrogates:
     def _name_word(self, kind: str, word: str) -> str:
         if kind == "initial":
             return self.characters(kind, word)
-        name = unicodedata.name(word[0], "")
-        script = next((s for s in _ENDINGS if s.upper() in name), None)
+        script = _script(word)
         if script is None:  # of a script without syllables: letters of the same script
             return self.characters("letters", word)
         return self.syllables(kind, word, _ENDINGS[script][kind.removeprefix("given_")], script)
@@ -343,6 +375,9 @@ class Surrogates:
         if kind == "ip":
             old = [int(p) for p in text.split(".")]
             return ".".join(map(str, self._walk("ip", old, [256] * 4, lambda v: 0 < v[0] < 255)))
+        if kind == "ip6":
+            new = self.characters("ip6", text.lower(), _HEX)
+            return new.upper() if text.isupper() else new
         if kind == "card":
             digits = re.sub(r"\D", "", text)
             return self._digits("card", text, 0, luhn) if luhn(digits) else None
@@ -388,7 +423,7 @@ class Surrogates:
         for m in entities(text):
             found = {k: v for k, v in m.groupdict().items() if v is not None}
             group = next(k for k in found if k != "title")
-            kind = "name" if group == "untitled" else group
+            kind = {"untitled": "name", "spaced_ssn": "ssn"}.get(group, group)
             new = self.of(kind, m[group], found.get("title"))
             if new is None:
                 continue
@@ -408,7 +443,7 @@ class Surrogates:
 
 
 def drawn_names(docs: DataFrame, surrogates: Surrogates, text: str = "text") -> DataFrame:
-    """The distinct (kind, name, surrogate) of all names in the corpus."""
+    """The distinct (kind, name, surrogate) of all names in the corpus, surnames in their form for men."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -417,7 +452,8 @@ def drawn_names(docs: DataFrame, surrogates: Surrogates, text: str = "text") ->
                 for m in entities(t) if t else ():
                     found = m.groupdict()
                     if name := found.get("name") or found.get("untitled"):
-                        rows |= {(kind, part.lower(), new.lower()) for kind, part, new in surrogates.name_parts(found["title"], name) if kind != "initial"}
+                        words = {(kind, base_form(kind, part.lower(), _script(part))[0]) for kind, part, _ in surrogates.name_parts(found["title"], name) if kind != "initial"}
+                        rows |= {(kind, base, surrogates._name_word(kind, base.capitalize()).lower()) for kind, base in words}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(rows), strict=True)], names=["kind", "name", "surrogate"])
 
