@@ -74,3 +74,27 @@ def test_a_long_track_is_split_over_tasks(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "clip_id long, track_id long, frame_idx long, x double, y double")
     assert tracks.kalman_1d(empty, "x").count() == 0 and tracks.kalman_2d(empty, 30.0).count() == 0
+
+
+def test_tracks_stay_whole_where_joins_change_while_running(spark):
+    """A join that becomes a broadcast one at run time is read where it lies; rows of a track must come together all the same."""
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    df = spark.range(0, 60_000, 1, 12).select((i % 500).alias("clip_id"), (i * 7 % 3).alias("track_id"), F.floor(i / 1500).alias("frame_idx"), (i * 7919 % 1000 + 0.0).alias("x"), (i * 104_729 % 700 + 0.0).alias("y"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100MB"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        one = {(r.clip_id, r.track_id, r.frame_idx): r.smooth for r in tracks.kalman_1d(df, "x").collect()}
+        two = {(r.clip_id, r.track_id, r.frame_idx): (r.sx, r.sy, r.svx, r.svy) for r in tracks.kalman_2d(df, 30.0).collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    mine = {}
+    for r in sorted(df.collect()):
+        mine.setdefault((r.clip_id, r.track_id), []).append(r)
+    for rows in mine.values():
+        x, y = [r.x for r in rows], [r.y for r in rows]
+        np.testing.assert_array_equal([one[tuple(r[:3])] for r in rows], fold_1d(x))  # the very same doubles
+        np.testing.assert_array_equal([two[tuple(r[:3])] for r in rows], fold_2d(x, y, 1 / 30.0))

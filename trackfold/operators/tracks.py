@@ -2,7 +2,8 @@
 
 A filter's gains depend only on a row's number within its track, so every step is an affine map of the state, and a track
 is a chain of such maps.  Tracks are cut into blocks of frames; each block's maps are composed, the blocks' maps are
-chained, and then every block runs from its own first state.  So no track is bound to one task, and no step is a loop.
+chained, and then every block runs from its own first state.  So no track is bound to one task.  Within a block the filter's
+own steps are taken in their order, for all blocks of a batch at once.
 """
 
 from __future__ import annotations
@@ -101,6 +102,30 @@ def chained(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     return a, b
 
 
+def stepped(n: np.ndarray, z: np.ndarray, first: np.ndarray, state: np.ndarray, gains: np.ndarray, dt: float) -> np.ndarray:
+    """The filter's states (rows x size x axes), one step after the other, of all stretches at once.
+
+    Stretches begin where ``first`` is set, with ``state`` (stretches x size x axes); row 1 of a track only starts it.
+    """
+    out = np.zeros((len(n), *state.shape[1:]))
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, len(n)))
+    state, gain = state.copy(), gains[np.clip(n - 2, 0, len(gains) - 1)]
+    order = np.argsort(-size, kind="stable")
+    begin, size, state = begin[order], size[order], state[order]
+    for k in range(int(size[0]) if len(size) else 0):
+        live = int(np.searchsorted(-size, -k, side="left"))  # stretches longer than k come first
+        row, s = begin[:live] + k, state[:live]
+        if s.shape[1] == 2:
+            s[:, 0] += dt * s[:, 1]
+        s += gain[row][:, :, None] * (z[row] - s[:, 0])[:, None, :]
+        one = n[row] == 1
+        s[one] = 0.0
+        s[one, 0] = z[row[one]]
+        out[row] = s
+    return out
+
+
 def _maps(n: np.ndarray, z: np.ndarray, gains: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The map of each row from its number within its track (from 1) and its measurements (rows x axes)."""
     maps, inputs = gains
@@ -120,10 +145,13 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def filtered(rows: DataFrame, values: list[str], gains: tuple[np.ndarray, np.ndarray], names: list[str]) -> DataFrame:
+def filtered(rows: DataFrame, values: list[str], gains: tuple[np.ndarray, np.ndarray], names: list[str], dt: float = 0.0) -> DataFrame:
     """``rows`` with the state of a filter of the measurements ``values`` after each row: one column for each element and axis.
 
     Rows have clip_id, track_id, frame_idx (no nulls) and are taken in frame order within a track.
+
+    Rows are numbered by a window just before they go to Python: a window, unlike ``repartition``, is a requirement that
+    Spark keeps when it changes joins and reads while a query runs, so a block always comes whole and in order.
     """
     size, axes = gains[0].shape[1], len(values)
     shared = rows.sparkSession.sparkContext.broadcast(gains)
@@ -133,26 +161,26 @@ def filtered(rows: DataFrame, values: list[str], gains: tuple[np.ndarray, np.nda
     blocks = dealt.groupBy(*keys).agg(F.count("*").alias("__n"))
     blocks = blocks.withColumn("__from", F.sum("__n").over(order) - F.col("__n")).withColumn("__last", F.lead("__n").over(order).isNull())
 
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy("frame_idx")))
+
     def sequences(batches):
-        """Keys, numbers within the track and measurements of each batch; a block that goes on in the next batch goes on counting."""
-        before, count = None, 0
+        """Keys, numbers within the track, measurements and maps of each batch; a block may go on in the next batch."""
+        before = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
             first = _changes(key)
             goes_on = before == tuple(k[0] for k in key)
-            at = np.arange(batch.num_rows)
-            within = at - np.maximum.accumulate(np.where(first, at, 0))
-            if goes_on:
-                within[: np.flatnonzero(first)[1] if first.sum() > 1 else len(first)] += count
-            before, count = tuple(k[-1] for k in key), int(within[-1]) + 1
+            before = tuple(k[-1] for k in key)
+            n = batch.column("__from").to_numpy() + batch.column("__row").to_numpy()
             z = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in values], 1)
-            yield batch, key, first, goes_on, *_maps(batch.column("__from").to_numpy() + within + 1, z, shared.value)
+            yield batch, key, first, goes_on, n, z
 
     def compose(batches):
-        for number, (_, key, first, _, a, b) in enumerate(sequences(batches)):
-            a, b = chained(a, b, first)
+        for number, (_, key, first, _, n, z) in enumerate(sequences(batches)):
+            a, b = chained(*_maps(n, z, shared.value), first)
             ends = np.append(np.flatnonzero(first)[1:], len(first)) - 1
             flat = [pa.array(list(m[ends].reshape(len(ends), -1)), pa.list_(pa.float64())) for m in (a, b)]
             yield pa.RecordBatch.from_arrays([*(pa.array(k[ends], pa.int64()) for k in key), pa.array(np.full(len(ends), number, np.int64)), *flat], names=[*keys, "piece", "a", "b"])
@@ -176,27 +204,29 @@ def filtered(rows: DataFrame, values: list[str], gains: tuple[np.ndarray, np.nda
 
     kinds = "clip_id long, track_id long, __block long, piece long"
     whole = dealt.join(blocks, keys)
-    pieces = whole.where("NOT __last").repartition(*keys).sortWithinPartitions(*keys, "frame_idx").mapInArrow(compose, f"{kinds}, a array<double>, b array<double>")
+    pieces = in_order(whole.where("NOT __last")).mapInArrow(compose, f"{kinds}, a array<double>, b array<double>")
     # the state after a block is that after its last piece; it enters the track's next block
-    after = pieces.repartition(*TRACK).sortWithinPartitions(*keys, "piece").mapInArrow(enter, f"{kinds}, state array<double>")
+    after = pieces.withColumn("__row", F.row_number().over(Window.partitionBy(*TRACK).orderBy("__block", "piece"))).mapInArrow(enter, f"{kinds}, state array<double>")
     after = after.groupBy(*keys).agg(F.max_by("state", "piece").alias("__state"))
     entered = blocks.join(after, keys, "left").withColumn("__enter", F.lag("__state").over(order)).select(*keys, "__from", "__enter")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{n} double" for n in names)])
 
     def run(batches):
         last = np.zeros((size, axes))
-        for batch, _, first, goes_on, a, b in sequences(batches):
+        for batch, _, first, goes_on, n, z in sequences(batches):
             begins = np.flatnonzero(first)
-            enter_ = batch.column("__enter").to_pylist() if batch.column("__enter").null_count < batch.num_rows else None
-            for k, i in enumerate(begins.tolist()):
-                state = last if k == 0 and goes_on else None if enter_ is None or enter_[i] is None else np.reshape(enter_[i], (size, axes))
-                if state is not None:
-                    b[i] += a[i] @ state
-            _, b = chained(a, b, first)
+            state = np.zeros((len(begins), size, axes))
+            if batch.column("__enter").null_count < batch.num_rows:
+                for k, entered_with in enumerate(batch.column("__enter").take(pa.array(begins)).to_pylist()):
+                    if entered_with is not None:
+                        state[k] = np.reshape(entered_with, (size, axes))
+            if goes_on:
+                state[0] = last
+            b = stepped(n, z, first, state, shared.value[1], dt)
             last = b[-1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(b[:, i, j]) for i in range(size) for j in range(axes))], names=[*columns, *names])
 
-    return dealt.join(entered, keys).repartition(*keys).sortWithinPartitions(*keys, "frame_idx").mapInArrow(run, schema)
+    return in_order(dealt.join(entered, keys)).mapInArrow(run, schema)
 
 
 def kalman_1d(rows: DataFrame, value: str, process: float = PROCESS_NOISE, measurement: float = MEASUREMENT_NOISE) -> DataFrame:
@@ -210,7 +240,8 @@ def kalman_2d(rows: DataFrame, fps: float, extra: tuple[str, ...] = ()) -> DataF
     The time step is 1 / fps, whatever gaps there are.
     """
     base = rows.select(*TRACK, "frame_idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *extra)
-    return filtered(base, ["x", "y"], gains_2d(1.0 / max(fps, 1e-6)), ["sx", "sy", "svx", "svy"])
+    dt = 1.0 / max(fps, 1e-6)
+    return filtered(base, ["x", "y"], gains_2d(dt), ["sx", "sy", "svx", "svy"], dt)
 
 
 def smooth_motion(rows: DataFrame, fps: float) -> DataFrame:
