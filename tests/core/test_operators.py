@@ -105,6 +105,20 @@ def test_jersey(spark):
     assert best.number == "24" and best.share >= 0.62
 
 
+def test_a_share_just_below_the_limit_is_not_shown(spark):
+    rows = [(1, "24", 0.89996, 120.0), (1, "24", 0.9, 120.0), (1, "7", 0.2, 120.0)]  # a share of 0.89999...
+    votes = spark.createDataFrame(rows, "id int, number string, conf double, sharpness double")
+    consensus = appearance.jersey_consensus(votes, ("id",))
+    assert 0.89995 < consensus.first().share < 0.9 and appearance.displayed(consensus).count() == 0
+
+
+def test_a_share_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, "8", 0.05, 120.0), (1, "7", 0.57, 120.0), (1, "56", 0.05, 120.0), (1, "7", 0.98, 120.0), (1, "66", 0.85, 120.0)]
+    for k in range(5):  # 0.62 when added from the largest weight down, below it in other orders
+        votes = spark.createDataFrame(rows[k:] + rows[:k], "id int, number string, conf double, sharpness double").coalesce(1)
+        assert [(r.number, r.share) for r in appearance.jersey_consensus(votes, ("id",)).collect()] == [("7", 0.62)]
+
+
 def test_gap_filling(spark):
     rows = spark.createDataFrame([(1, 7, 0, 130.0, 50.0, 10.0, 10.0, True), (1, 7, 2, 170.0, 50.0, 10.0, 10.0, True)], "clip_id long, track_id long, frame_idx long, x double, y double, w double, h double, active boolean")
     assert [(r.frame_idx, r.x) for r in tracks.fill_gaps(rows).collect()] == [(1, 150.0)]

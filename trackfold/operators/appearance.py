@@ -104,13 +104,15 @@ def top_evidence(evidence: DataFrame, keys: tuple[str, ...], n: int = 5) -> Data
 
 
 def jersey_consensus(evidence: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The number with the largest weight of each identity, if it has two votes and 62 percent of the weight."""
+    """The number with the largest weight of each identity, if it has two votes and 62 percent of the weight; its share is not rounded."""
     weight = F.greatest(F.lit(0.05), F.col("conf") * F.greatest(F.lit(0.2), clip01(F.col("sharpness") / 120.0)))
-    votes = evidence.groupBy(*keys, "number").agg(F.sum(weight).alias("weight"), F.count("*").alias("votes"))
-    best = F.max(F.struct("weight", "votes", "number")).alias("b")
-    out = votes.groupBy(*keys).agg(best, F.sum("weight").alias("total"), F.sum("votes").alias("evidence"))
+    # sums of doubles depend on their order: sharpest reads first, then largest weights first
+    total = lambda rows: F.aggregate(F.sort_array(rows, asc=False), F.lit(0.0), lambda s, r: s + r["weight"])
+    votes = evidence.groupBy(*keys, "number").agg(total(F.collect_list(F.struct("sharpness", "conf", weight.alias("weight")))).alias("weight"), F.count("*").alias("votes"))
+    out = votes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("weight", "votes", "number")), asc=False).alias("all"), F.sum("votes").alias("evidence"))
+    out = out.select("*", F.get("all", F.lit(0)).alias("b"), total(F.col("all")).alias("total"))
     share = F.col("b.weight") / F.col("total")
-    return out.where((F.col("b.votes") >= 2) & (share >= 0.62)).select(*keys, F.col("b.number").alias("number"), F.col("b.votes").alias("votes"), F.round(share, 4).alias("share"), "evidence")
+    return out.where((F.col("b.votes") >= 2) & (share >= 0.62)).select(*keys, F.col("b.number").alias("number"), F.col("b.votes").alias("votes"), share.alias("share"), "evidence")
 
 
 def displayed(consensus: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def srt_03_top_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT clip_id, track_id, number, votes, round(share, 4) AS share, evidence FROM cs WHERE n = 1 AND votes >= 2 AND share >= 0.62", _JERSEY)
 def agg_07_jersey_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return appearance.jersey_consensus(_evidence(spark, sf_dir), ("clip_id", "track_id"))
+    return appearance.jersey_consensus(_evidence(spark, sf_dir), ("clip_id", "track_id")).withColumn("share", F.round("share", 4))
 
 
 @query("SELECT det.clip_id, count(*) AS n, count(number) AS numbered, count(number) FILTER (share >= 0.9 AND evidence >= 3) AS shown FROM det LEFT JOIN (SELECT * FROM cs WHERE n = 1 AND votes >= 2 AND share >= 0.62) c USING (clip_id, track_id) GROUP BY ALL", _JERSEY)
