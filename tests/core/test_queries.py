@@ -72,3 +72,9 @@ def test_rule_table_must_be_whole():
     attribution.validate_rules(attribution.RULES)
     with pytest.raises(ValueError, match="lack"):
         attribution.validate_rules({k: v for k, v in attribution.RULES.items() if k != "steal"})
+
+
+def test_bridged_rows_work_out_tracks_and_links_once(spark):
+    """What several steps read is written once; the last step does not go back to the events."""
+    made = catalogue.QUERIES["sts_10_bridged_rows"](spark, DATA)
+    assert made.inputFiles() and not any("events.parquet" in f for f in made.inputFiles())

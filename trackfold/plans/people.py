@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import appearance, identity, ledger
 from ..operators.policy import IdentityPolicy
+from ..sources.storage import saved
 from . import adapter
 from .geometry import _DR
 from .registry import query
@@ -106,7 +107,9 @@ def sts_10_canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sts_10_bridged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated rows of each link's gap, under the canonical identity."""
-    made = identity.bridged(short_tracks(spark, sf_dir), _links(spark, sf_dir))
+    rows = saved(short_tracks(spark, sf_dir))  # ends, links and seen frames all read them, and three steps read the links
+    links = saved(identity.selected(identity.candidates(rows, POLICY.link)))
+    made = identity.bridged(rows, links)
     return made.select("clip_id", "identity", "frame_idx", *[F.round(c, 4).alias(c) for c in "xywh"])
 
 
