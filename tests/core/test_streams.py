@@ -52,6 +52,16 @@ def test_ledger_reads_other_columns_and_null_points(spark, tmp_path):
     assert plain(state.run_available(state.ledger(stream), str(tmp_path / "out"), str(tmp_path / "mark"))) == [(1, 0, 2, "MadeBasket", 5, 1, 3)]
 
 
+def test_ledger_stream_takes_rows_without_players_and_runs_that_are_not_the_last(spark, tmp_path):
+    rows = [(g, s, "Foul" if s % 2 else "MadeBasket", 1000 * s, None if s % 4 == 1 else s, 1, None) for s in range(8) for g in (1, 2)]
+    rows += [(g, 8, "ThreePointSignal", 7000, None, None, None) for g in (1, 2)]
+    for k, last in ((0, False), (1, True)):
+        write(spark, [r for r in rows if (r[1] < 4) == (k == 0)], EVENTS, tmp_path / "in")
+        stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+        out = state.run_available(state.ledger(stream), str(tmp_path / "out"), str(tmp_path / "mark"), last=last)
+    assert plain(out) == plain(ledger.validated(spark.createDataFrame(rows, EVENTS)))
+
+
 def test_track_table_equals_the_batch_filter(spark, tmp_path):
     rng = random.Random(2)
     schema = "clip_id long, track_id long, frame_idx long, x double, y double, has_pose boolean"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import review, sampling
 from ..sources import jsonl, lines, stores
-from ..sources.storage import shared_folder
+from ..sources.storage import saved, shared_folder
 from ..sources.versions import VersionedTable
 from ..streaming import state
 from . import adapter, reviews
@@ -36,28 +38,30 @@ def srt_07_sampled_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sampled(clip_lengths(spark, sf_dir), 1000, 7, by_length=True).drop("start_s")
 
 
-#: Files that a stream is dealt to, and those of a batch.
-STREAM_FILES, FILES_PER_BATCH = 5, 2
-
+#: Stretches that a stream is cut into, and those that arrive together.
+STRETCHES, TOGETHER = 5, 2
 
-def _as_stream(rows: DataFrame, part: str, order: str) -> DataFrame:
-    """A stream of ``rows``, written as files of ascending parts; a file's rows are in order."""
-    spark, path = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/stream"
-    for k in range(STREAM_FILES):  # one after the other, so that their times ascend as those of arriving files do
-        rows.where(F.col(part) == k).drop(part).coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
+def _streamed(rows: DataFrame, stretch: str, order: str, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``result`` makes of a stream of ``rows`` that arrive by ascending stretches, each in as many files as tasks write.
 
-def _streamed(result: DataFrame) -> DataFrame:
-    folder = shared_folder(result.sparkSession)
-    return state.run_available(result, f"{folder}/out", f"{folder}/checkpoint")
+    Every run takes what has arrived since the last one and goes on from its checkpoint.
+    """
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    kept = saved(rows)  # each arrival reads its own part
+    for k in range(0, STRETCHES, TOGETHER):
+        arrived = kept.where((F.col(stretch) >= k) & (F.col(stretch) < k + TOGETHER))
+        arrived.drop(stretch).sortWithinPartitions(order).write.mode("append").parquet(f"{folder}/stream")
+        stream = spark.readStream.schema(rows.drop(stretch).schema).parquet(f"{folder}/stream")
+        out = state.run_available(result(stream), f"{folder}/out", f"{folder}/checkpoint", last=k + TOGETHER >= STRETCHES)
+    return out
 
 
 @query(HISTORY_SQL, _LEDGER + "," + _FOLD, recursive=True)
 def sts_06_streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger's history worked out by a stream with state; every file holds a stretch of each game."""
-    events = ledger_events(spark, sf_dir).withColumn("part", F.col("seq") * STREAM_FILES / 500).withColumn("part", F.floor("part"))
-    return _streamed(state.ledger(_as_stream(events, "part", "seq")))
+    """The ledger's history worked out by a stream with state; every arrival holds a stretch of each game."""
+    events = ledger_events(spark, sf_dir).withColumn("part", F.col("seq") * STRETCHES / 500).withColumn("part", F.floor("part"))
+    return _streamed(events, "part", "seq", state.ledger)
 
 
 _TRACKS = """z AS (SELECT clip_id, track_id, frame_idx, x, y, v % 3 = 0 AS has_pose, row_number() OVER (PARTITION BY clip_id, track_id ORDER BY frame_idx) AS n FROM ply),
@@ -70,8 +74,8 @@ _TRACKS = """z AS (SELECT clip_id, track_id, frame_idx, x, y, v % 3 = 0 AS has_p
 @query("SELECT clip_id, track_id, frame_idx, round(sx, 4) AS court_x, round(sy, 4) AS court_y, 1 AS team, k.n AS seen, least(poses, 30) AS poses FROM k JOIN hs USING (clip_id, track_id, frame_idx)", _TRACKS, recursive=True)
 def sts_08_streamed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of tracks kept by a stream: each detection with its track's state after it."""
-    rows = adapter.players(spark, sf_dir).select("clip_id", "track_id", "frame_idx", "x", "y", (F.col("v") % 3 == 0).alias("has_pose"), F.floor(F.col("frame_idx") * STREAM_FILES / 50).alias("part"))
-    out = _streamed(state.tracks(_as_stream(rows, "part", "frame_idx")))
+    rows = adapter.players(spark, sf_dir).select("clip_id", "track_id", "frame_idx", "x", "y", (F.col("v") % 3 == 0).alias("has_pose"), F.floor(F.col("frame_idx") * STRETCHES / 50).alias("part"))
+    out = _streamed(rows, "part", "frame_idx", state.tracks)
     return out.withColumns({c: F.round(c, 4) for c in ("court_x", "court_y")})
 
 

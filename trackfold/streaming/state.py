@@ -10,9 +10,8 @@ import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +21,9 @@ from ..operators.tracks import HOME_TEAM, MEASUREMENT_NOISE, PROCESS_NOISE, kalm
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HISTORY = 30
 LEDGER = "game_id long, seq long, at_seq long, kind string, player_id long, team_id long, points long"
+TRACKS = "clip_id long, track_id long, frame_idx long, court_x double, court_y double, team int, seen long, poses long"
+# groups are small and many, so processors take and give rows: a frame for each group would cost more than its rows
+_ENTRY, _TRACK = (Row(*(c.split()[0] for c in schema.split(", "))) for schema in (LEDGER, TRACKS))
 
 
 def with_typed_state(spark: SparkSession) -> None:
@@ -53,25 +55,24 @@ class LedgerState(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "seq long, t_ms long, player_id long, team_id long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         waiting, out = Waiting(self.window_ms, self.waiting.get()), []
         last = None
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            points = None if pd.isna(r.points) else int(r.points)
-            if r.kind == "MadeBasket":
-                waiting.add(int(r.seq), int(r.t_ms), int(r.player_id), int(r.team_id))
-                last = max(last or 0, int(r.t_ms))
-            elif r.kind == "ThreePointSignal":
-                if hit := waiting.take(int(r.t_ms)):
-                    out.append((key[0], hit[0], int(r.seq), "MadeBasket", hit[2], hit[3], HINT_POINTS if points is None else points))
+        for _, seq, kind, t_ms, player_id, team_id, points, _ in sorted(rows, key=lambda r: r[1]):
+            if kind == "MadeBasket":
+                waiting.add(seq, t_ms, player_id, team_id)
+                last = max(last or 0, t_ms)
+            elif kind == "ThreePointSignal":
+                if hit := waiting.take(t_ms):
+                    out.append(_ENTRY(key[0], hit[0], seq, "MadeBasket", hit[2], hit[3], HINT_POINTS if points is None else points))
             else:
-                out.append((key[0], int(r.seq), int(r.seq), r.kind, int(r.player_id), int(r.team_id), points))
+                out.append(_ENTRY(key[0], seq, seq, kind, player_id, team_id, points))
         self._keep(waiting)
         if last is not None:
             self.handle.registerTimer(last + self.window_ms + 1)
-        yield pd.DataFrame(out, columns=["game_id", "seq", "at_seq", "kind", "player_id", "team_id", "points"]).astype({"points": "Int64"})
+        return iter(out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         waiting = Waiting(self.window_ms, self.waiting.get())
         waiting.drop_before(timerValues.getCurrentWatermarkInMs())
         self._keep(waiting)
@@ -94,25 +95,26 @@ class TrackState(StatefulProcessor):
         self.track = handle.getValueState("track", "x double, y double, p double, team int, seen long")
         self.recent = handle.getListState("recent", "frame_idx long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         track = tuple(self.track.get()) if self.track.exists() else None
         recent = [int(r[0]) for r in self.recent.get()]
         out = []
-        for r in pd.concat(list(rows)).sort_values("frame_idx").itertuples(index=False):
+        for _, _, frame_idx, at_x, at_y, has_pose in sorted(rows, key=lambda r: r[2]):
+            at_x, at_y = (float("nan") if v is None else float(v) for v in (at_x, at_y))
             if track is None:
-                track = (float(r.x), float(r.y), 1.0, HOME_TEAM, 0)
+                track = (at_x, at_y, 1.0, HOME_TEAM, 0)
             else:
-                x, p = kalman_step(track[0], track[2], float(r.x), PROCESS_NOISE, MEASUREMENT_NOISE)
-                y, _ = kalman_step(track[1], track[2], float(r.y), PROCESS_NOISE, MEASUREMENT_NOISE)
+                x, p = kalman_step(track[0], track[2], at_x, PROCESS_NOISE, MEASUREMENT_NOISE)
+                y, _ = kalman_step(track[1], track[2], at_y, PROCESS_NOISE, MEASUREMENT_NOISE)
                 track = (x, y, p, *track[3:])
             track = (*track[:4], track[4] + 1)
-            if r.has_pose:
-                recent = [*recent, int(r.frame_idx)][-HISTORY:]
-            out.append((*key, int(r.frame_idx), track[0], track[1], track[3], track[4], len(recent)))
+            if has_pose:
+                recent = [*recent, frame_idx][-HISTORY:]
+            out.append(_TRACK(*key, frame_idx, track[0], track[1], track[3], track[4], len(recent)))
         self.track.update(track)
         if recent:
             self.recent.put([(f,) for f in recent])
-        yield pd.DataFrame(out, columns=["clip_id", "track_id", "frame_idx", "court_x", "court_y", "team", "seen", "poses"])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -128,7 +130,7 @@ def ledger(stream: DataFrame, window_ms: int = WINDOW_MS, late: str = "1 second"
     # one more, since the first watermark is 0 and a row at the watermark is late already
     timed = stream.select("game_id", "seq", "kind", "t_ms", "player_id", "team_id", "points", F.timestamp_millis(F.col("t_ms") + 1).alias("ts")).withWatermark("ts", late)
     with _by_value():
-        return timed.groupBy("game_id").transformWithStateInPandas(LedgerState(window_ms), LEDGER, "append", "eventTime")
+        return timed.groupBy("game_id").transformWithState(LedgerState(window_ms), LEDGER, "append", "eventTime")
 
 
 def tracks(stream: DataFrame) -> DataFrame:
@@ -139,14 +141,21 @@ def tracks(stream: DataFrame) -> DataFrame:
     with_typed_state(stream.sparkSession)
     rows = stream.select("clip_id", "track_id", "frame_idx", "x", "y", "has_pose")
     with _by_value():
-        return rows.groupBy("clip_id", "track_id").transformWithStateInPandas(TrackState(), "clip_id long, track_id long, frame_idx long, court_x double, court_y double, team int, seen long, poses long", "append", "none")
+        return rows.groupBy("clip_id", "track_id").transformWithState(TrackState(), TRACKS, "append", "none")
 
 
-def run_available(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def run_available(result: DataFrame, path: str, checkpoint: str, last: bool = True) -> DataFrame:
     """Run a stream over all input that is there, append to Parquet files at ``path``, and read them.
 
-    Started again with the same checkpoint it takes only new input.
+    Started again with the same checkpoint it takes only new input.  A run that is not the ``last`` one leaves out the
+    empty batch behind it, which only fires timers: they fire in the next run.
     """
-    query = result.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark, empty = result.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, str(last and before == "true").lower())
+    try:
+        query = result.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(empty, before)
     query.awaitTermination()
-    return result.sparkSession.read.schema(result.schema).parquet(path)
+    return spark.read.schema(result.schema).parquet(path)
