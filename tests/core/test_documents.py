@@ -123,3 +123,21 @@ def test_fixture_files_are_sorted(spark, tmp_path):
     assert reports.read_document(spark, f"{tmp_path}/f/report") == {"schema_version": "1.0.0", "source": "notes", "case_count": 3}
     lines = [x for p in sorted((tmp_path / "f" / "cases").glob("part-*")) for x in p.read_text().splitlines()]
     assert [json.loads(x)["case_id"] for x in lines] == ["c", "a", "b"]
+
+
+def test_solved_poses_keep_a_frame_in_one_row(spark, tmp_path):
+    """They equal the poses of grouped bones, without an exchange; a file's steps are chosen before lines are parsed."""
+    from trackfold.plans.documents import _STICKS
+
+    frames = "".join(f"{n}\nroot {n % 3} {n % 5} 100 {n} {2 * n} 0\nhead 5\n" for n in range(1, 101))
+    (tmp_path / "m.amc").write_text(":DEGREES\n" + frames)
+    skeleton = mocap.parse_skeleton(_STICKS)
+    motion = mocap.read_motion(spark, str(tmp_path / "m.amc"))
+    posed = mocap.solved_poses(motion, skeleton)
+    assert "Exchange" not in posed._jdf.queryExecution().executedPlan().toString()
+    want = {r.frame: r.joints for r in mocap.coco_poses(mocap.solved(motion, skeleton)).collect()}
+    assert {r.frame: r.joints for r in posed.collect()} == want and len(want) == 100
+    few = mocap.read_motion(spark, str(tmp_path / "m.amc"), 30)
+    assert sorted(r.frame for r in few.collect()) == [i * 99 // 29 + 1 for i in range(30)]
+    lacking = mocap.parse_skeleton(_STICKS.replace("head", "skull"))
+    assert {r.joints for r in mocap.solved_poses(few, lacking).collect()} == {None}

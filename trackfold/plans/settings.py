@@ -81,7 +81,7 @@ def src_23_samples_of_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws("\n", F.col("event_id") + 1, F.concat(F.lit("root "), F.col("v") % 10, F.lit(" 0 100 0 0 0")))
     e = adapter.events(spark, sf_dir).select("clip_id", (F.col("clip_id") % 2).alias("take"), F.struct("event_id", line.alias("f")).alias("s"))
     files = e.groupBy("take", "clip_id").agg(F.concat_ws("\n", F.lit(":DEGREES"), F.transform(F.array_sort(F.collect_list("s")), lambda s: s["f"])).alias("value"))
-    files.write.partitionBy("take", "clip_id").text(f"{folder}/motion")
+    files.drop("clip_id").write.partitionBy("take").option("maxRecordsPerFile", 1).text(f"{folder}/motion")  # a file, but no folder, for each clip
     takes = [("sticks", "motion/take=0", "walk"), ("sticks", "motion/take=1", "run"), ("sticks", "motion/take=2", "hop")]
     made = mocap.capture_dataset(spark, folder, takes)
     x = F.aggregate("features_v2", F.lit(0.0), lambda total, row: total + row[70])

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import EPSILON, norm2
+from ..functions.geometry import EPSILON, let, norm2, resampled
+from ..operators.features import STEPS
 from ..operators.synthetic import capture_samples
 
 CM_PER_INCH = 2.54
 # Bones of the 17 joints behind the five of the head, in order.
 COCO_BONES = ["lhumerus", "rhumerus", "lradius", "rradius", "lwrist", "rwrist", "lfemur", "rfemur", "ltibia", "rtibia", "lfoot", "rfoot"]
+_WANTED = ["head", *COCO_BONES]
 # Nose, eyes and ears as (steps forward from the head, offset).
 HEAD = [(5.0, (0, 0, 0)), (4.0, (-2, 0, 2)), (4.0, (2, 0, 2)), (2.0, (-5, 0, 1)), (2.0, (5, 0, 1))]
 
@@ -104,14 +107,19 @@ def parse_skeleton(text: str) -> Skeleton:
     return skeleton
 
 
-def read_motion(spark: SparkSession, path: str) -> DataFrame:
+def read_motion(spark: SparkSession, path: str, steps: int | None = None) -> DataFrame:
     """(file, frame, bones): a row for each frame of motion files, with bone and channels of its lines in order.
 
     A line of digits begins a frame; lines before the first, comments and directives are left out.  Each file is one
-    text value that is split in order, so frames need no global line numbers.
+    text value that is split in order, so frames need no global line numbers.  ``steps``: of a file with more frames only
+    that many, at evenly spaced places in the order of their numbers; the others' lines are not parsed.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), r"(?m)^\s*(?=\d+\s*$)")).alias("k", "block"))
-    blocks = text.where(F.col("block").rlike(r"^\d+\s*(\n|$)")).withColumn("lines", F.split("block", "\n"))
+    cut = F.filter(F.split(F.regexp_replace("value", r"\r", ""), r"(?m)^\s*(?=\d+\s*$)"), lambda b: b.rlike(r"^\d+\s*(\n|$)"))
+    if steps is not None:
+        numbered = F.transform(cut, lambda b, i: F.struct(F.regexp_extract(b, r"^\d+", 0).cast("long").alias("frame"), i.alias("i"), b.alias("block")))
+        cut = let(F.array_sort(numbered), lambda n: F.transform(resampled(n, steps), lambda x: x["block"]))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(cut).alias("block"))
+    blocks = text.withColumn("lines", F.split("block", "\n"))
     worded = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda line: F.trim(line).rlike(r"^[^#:\s]"))
     words = F.transform(worded, lambda line: F.split(F.trim(line), r"\s+"))
     bones = F.transform(words, lambda w: F.struct(w[0].alias("bone"), F.transform(F.slice(w, F.lit(2), F.size(w)), lambda x: x.cast("double")).alias("channels")))
@@ -122,7 +130,7 @@ def channel_matrix(bones: pa.ListArray, name: str, default: np.ndarray) -> np.nd
     """A bone's channels in each frame (rows), defaults where a frame does not give them; of repeated lines the last counts."""
     lines, n = bones.flatten(), len(bones)
     frame = np.repeat(np.arange(n), bones.value_lengths().to_numpy(zero_copy_only=False))
-    at = np.flatnonzero(np.array(lines.field("bone").to_pylist(), object) == name)
+    at = np.flatnonzero(pc.fill_null(pc.equal(lines.field("bone"), name), False).to_numpy(zero_copy_only=False))
     last = np.full(n, -1)
     last[frame[at]] = at
     here = np.flatnonzero(last >= 0)
@@ -162,19 +170,23 @@ def pose_stacks(skeleton: Skeleton, channels: dict[str, np.ndarray], n: int) ->
     return at
 
 
-def solved(motion: DataFrame, skeleton: Skeleton) -> DataFrame:
-    """(file, frame, bone, x, y, z): forward kinematics of the frames of ``read_motion``, all frames of a batch at once."""
-    names = ["root", *(b.name for b in skeleton.bones)]
+def _positions(skeleton: Skeleton) -> Callable[[pa.ListArray], np.ndarray]:
+    """The positions (as ``pose_stacks``) of the frames of a batch, from their lines of bones."""
     still = dict(zip(("tx", "ty", "tz", "rx", "ry", "rz"), [*skeleton.position, *skeleton.orientation], strict=True))
     default = {b.name: np.zeros(len(b.dof)) for b in skeleton.bones} | {"root": np.array([still.get(c, 0.0) for c in skeleton.order])}
+    return lambda bones: pose_stacks(skeleton, {b: channel_matrix(bones, b, d) for b, d in default.items()}, len(bones))
+
+
+def solved(motion: DataFrame, skeleton: Skeleton) -> DataFrame:
+    """(file, frame, bone, x, y, z): forward kinematics of the frames of ``read_motion``, all frames of a batch at once."""
+    names, positions = ["root", *(b.name for b in skeleton.bones)], _positions(skeleton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            bones = batch.column("bones")
-            xyz = pose_stacks(skeleton, {b: channel_matrix(bones, b, d) for b, d in default.items()}, n).reshape(-1, 3)
+            xyz = positions(batch.column("bones")).reshape(-1, 3)
             each = pa.array(np.repeat(np.arange(n), len(names)))
             columns = [batch.column("file").take(each), batch.column("frame").take(each), pa.array(names * n), *(pa.array(np.ascontiguousarray(xyz[:, i])) for i in range(3))]
             yield pa.RecordBatch.from_arrays(columns, names=["file", "frame", "bone", "x", "y", "z"])
@@ -183,22 +195,43 @@ def solved(motion: DataFrame, skeleton: Skeleton) -> DataFrame:
 
 
 def coco_poses(bones: DataFrame) -> DataFrame:
-    """(file, frame, joints): the bones of each frame as 17 joints; null where one of the bones is missing.
+    """(file, frame, joints): the bones of each frame as 17 joints; null where one of the bones is missing."""
+    at = F.map_from_entries(F.collect_list(F.when(F.col("bone").isin(_WANTED), F.struct("bone", F.array("x", "y", "z")))))
+    d = bones.groupBy("file", "frame").agg(at.alias("at"))
+    return _with_joints(d, lambda b: F.try_element_at("at", F.lit(b)), F.size(F.map_keys("at")) == len(_WANTED))
+
+
+def solved_poses(motion: DataFrame, skeleton: Skeleton) -> DataFrame:
+    """``coco_poses`` of ``solved`` motion without an exchange: a frame stays one row, its positions one array."""
+    names, positions = ["root", *(b.name for b in skeleton.bones)], _positions(skeleton)
+    place = {b: i for i, b in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if n := batch.num_rows:
+                flat = np.ascontiguousarray(positions(batch.column("bones"))).reshape(-1)
+                at = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 3 * len(names), dtype=np.int32), pa.array(flat))
+                assert len(at) == n
+                yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("frame"), at], names=["file", "frame", "at"])
+
+    d = motion.select("file", "frame", "bones").mapInArrow(run, "file string, frame long, at array<double>")
+    nowhere = F.array(*[F.lit(None).cast("double")] * 3)
+    return _with_joints(d, lambda b: F.array(*[F.col("at")[3 * place[b] + i] for i in range(3)]) if b in place else nowhere, F.lit(place.keys() >= set(_WANTED)))
+
+
+def _with_joints(d: DataFrame, at: Callable[[str], Column], whole: Column) -> DataFrame:
+    """(file, frame, joints) of rows whose bones are ``at`` places; null unless they are ``whole``.
 
     The joints of the head are set off forward, at right angles to the shoulders.
     """
-    wanted = ["head", *COCO_BONES]
-    at = F.map_from_entries(F.collect_list(F.when(F.col("bone").isin(wanted), F.struct("bone", F.array("x", "y", "z")))))
-    d = bones.groupBy("file", "frame").agg(at.alias("at"))
-    left, right, head = (F.try_element_at("at", F.lit(b)) for b in ("lhumerus", "rhumerus", "head"))
+    left, right, head = (at(b) for b in ("lhumerus", "rhumerus", "head"))
     across = [right[i] - left[i] for i in range(3)]
     width = F.sqrt(across[0] * across[0] + across[1] * across[1] + across[2] * across[2]) + EPSILON
     d = d.withColumns({"fx": -across[1] / width, "fy": across[0] / width})
     length = norm2(F.col("fx"), F.col("fy")) + EPSILON
     d = d.withColumns({"fx": F.col("fx") / length, "fy": F.col("fy") / length})
     face = [F.array(head[0] + F.col("fx") * step + off[0], head[1] + F.col("fy") * step + off[1], head[2] + off[2]) for step, off in HEAD]
-    joints = F.array(*face, *[F.try_element_at("at", F.lit(b)) for b in COCO_BONES])
-    whole = F.size(F.map_keys("at")) == len(wanted)
+    joints = F.array(*face, *[at(b) for b in COCO_BONES])
     return d.select("file", "frame", F.when(whole, joints).alias("joints"))
 
 
@@ -208,12 +241,12 @@ def capture_dataset(spark: SparkSession, folder: str, takes: list[tuple[str, str
     for skeleton_file, motion_file, label in takes:
         try:
             text = spark.read.text(f"{folder}/{skeleton_file}", wholetext=True).first()[0]
-            motion = read_motion(spark, f"{folder}/{motion_file}")
+            motion = read_motion(spark, f"{folder}/{motion_file}", STEPS)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             warnings.warn(f"take without files: {skeleton_file}/{motion_file}", stacklevel=2)
             continue
-        made = capture_samples(coco_poses(solved(motion, parse_skeleton(text))), label).drop("file")
+        made = capture_samples(solved_poses(motion, parse_skeleton(text)), label).drop("file")
         out = made if out is None else out.unionByName(made)
     return spark.createDataFrame([], "label string, schema_version string, features_v2 array<array<double>>") if out is None else out
