@@ -78,3 +78,10 @@ def test_bridged_rows_work_out_tracks_and_links_once(spark):
     """What several steps read is written once; the last step does not go back to the events."""
     made = catalogue.QUERIES["sts_10_bridged_rows"](spark, DATA)
     assert made.inputFiles() and not any("events.parquet" in f for f in made.inputFiles())
+
+
+def test_joints_are_worked_out_once(spark):
+    """No filter that Spark infers for a generator repeats the joints."""
+    for name in ("prj_04_lift_joints", "prj_05_lift_on_floor", "prj_23_box_normalise"):
+        plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "transform(" in line]

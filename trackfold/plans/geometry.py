@@ -59,6 +59,14 @@ def _joints():
     return F.transform(F.sequence(F.lit(0), F.lit(16)), lambda j: F.array(F.col("x") + j * 3, F.col("y") + j * j))
 
 
+_JOINT = ["clip_id", "frame_idx", "slot", "j"]
+
+
+def _by_joint(rows: DataFrame, joints) -> DataFrame:
+    """A row for each joint; of a named column Spark would first filter by its size, and work it out for each test again."""
+    return rows.select(*_JOINT[:3], F.posexplode(joints).alias("j", "p")).withColumn("j", F.col("j").cast("long"))
+
+
 _JOINTS = "(SELECT *, unnest(range(17)) AS j FROM det)"
 
 
@@ -67,16 +75,14 @@ _JOINTS = "(SELECT *, unnest(range(17)) AS j FROM det)"
         FROM (SELECT *, 0.0001 * jx + 0.0002 * jy + 1.0 + 1e-6 AS w0, 0.0001 * fx + 0.0002 * fy + 1.0 + 1e-6 AS w1 FROM (SELECT *, x + j * 3 AS jx, y + j * j AS jy, x + 46.5 AS fx, y + 240.5 AS fy FROM {_JOINTS}))"""
 )
 def prj_04_lift_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = adapter.detections(spark, sf_dir).withColumn("lifted", geometry.lift_joints(_joints(), _h()))
-    return d.select("clip_id", "frame_idx", "slot", F.posexplode("lifted").alias("j", "p")).select("clip_id", "frame_idx", "slot", F.col("j").cast("long").alias("j"), r4(F.col("p")[0], "jx"), r4(F.col("p")[1], "jy"), r4(F.col("p")[2], "jz"))
+    return _by_joint(adapter.detections(spark, sf_dir), geometry.lift_joints(_joints(), _h())).select(*_JOINT, r4(F.col("p")[0], "jx"), r4(F.col("p")[1], "jy"), r4(F.col("p")[2], "jz"))
 
 
 @query(
     f"SELECT clip_id, frame_idx, slot, j, round((1.1 * fx + 0.2 * fy + 5.0) / w0, 4) AS jx, round((0.1 * fx + 0.9 * fy + 3.0) / w0, 4) AS jy, round(abs(fy - jy) * 0.5, 4) AS jz FROM (SELECT *, (0.0001 * fx + 0.0002 * fy + 1.0) AS w0 FROM (SELECT *, x + 46.5 AS fx, y + 240.5 AS fy, y + j * j AS jy FROM {_JOINTS}))"
 )
 def prj_05_lift_on_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = adapter.detections(spark, sf_dir).withColumn("lifted", geometry.lift_joints_on_floor(_joints(), _h()))
-    return d.select("clip_id", "frame_idx", "slot", F.posexplode("lifted").alias("j", "p")).select("clip_id", "frame_idx", "slot", F.col("j").cast("long").alias("j"), r4(F.col("p")[0], "jx"), r4(F.col("p")[1], "jy"), r4(F.col("p")[2], "jz"))
+    return _by_joint(adapter.detections(spark, sf_dir), geometry.lift_joints_on_floor(_joints(), _h())).select(*_JOINT, r4(F.col("p")[0], "jx"), r4(F.col("p")[1], "jy"), r4(F.col("p")[2], "jz"))
 
 
 @query("SELECT clip_id, frame_idx, slot, d AS determinant, abs(d) > 1e-6 AS invertible FROM (SELECT *, v % 5 * (v % 7) - v % 3 * (v % 4) + 0.0::DOUBLE AS d FROM det)")
@@ -152,8 +158,7 @@ def prj_24_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT clip_id, frame_idx, slot, j, round(j * 3 / (48 + 1e-6), 4) AS nx, round(j * j / (256 + 1e-6), 4) AS ny FROM " + _JOINTS)
 def prj_23_box_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = adapter.detections(spark, sf_dir).withColumn("n", geometry.box_normalised(_joints()))
-    return d.select("clip_id", "frame_idx", "slot", F.posexplode("n").alias("j", "p")).select("clip_id", "frame_idx", "slot", F.col("j").cast("long").alias("j"), r4(F.col("p")[0], "nx"), r4(F.col("p")[1], "ny"))
+    return _by_joint(adapter.detections(spark, sf_dir), geometry.box_normalised(_joints())).select(*_JOINT, r4(F.col("p")[0], "nx"), r4(F.col("p")[1], "ny"))
 
 
 _FLT = "SELECT clip_id, frame_idx, slot, "
