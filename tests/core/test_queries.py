@@ -85,3 +85,13 @@ def test_joints_are_worked_out_once(spark):
     for name in ("prj_04_lift_joints", "prj_05_lift_on_floor", "prj_23_box_normalise"):
         plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Filter" in line and "transform(" in line]
+
+
+def test_audit_files_are_made_of_a_written_report(spark, monkeypatch):
+    from trackfold.sources import reports
+
+    seen = []
+    write = reports.write_audit
+    monkeypatch.setattr(reports, "write_audit", lambda report, *rest: (seen.append(report), write(report, *rest)))
+    catalogue.QUERIES["snk_09_srt_06_audit_files"](spark, DATA)
+    assert seen and not any("events.parquet" in f for f in seen[0].inputFiles())
