@@ -95,3 +95,8 @@ def test_audit_files_are_made_of_a_written_report(spark, monkeypatch):
     monkeypatch.setattr(reports, "write_audit", lambda report, *rest: (seen.append(report), write(report, *rest)))
     catalogue.QUERIES["snk_09_srt_06_audit_files"](spark, DATA)
     assert seen and not any("events.parquet" in f for f in seen[0].inputFiles())
+
+
+def test_hypotheses_work_out_tracks_once(spark):
+    made = catalogue.QUERIES["sco_06_srt_04_hypotheses"](spark, DATA)
+    assert made.inputFiles() and not any("events.parquet" in f for f in made.inputFiles())

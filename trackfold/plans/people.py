@@ -82,8 +82,9 @@ cc AS (SELECT clip_id, pred * 1000 + succ AS node, pred * 1000 + succ AS root FR
     recursive=True,
 )
 def sco_06_srt_04_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = identity.candidates(short_tracks(spark, sf_dir), POLICY.hypothesis, same_segment=False).withColumn("gap", F.col("gap").cast("long"))
-    return identity.hypotheses(c, _links(spark, sf_dir))
+    rows = saved(short_tracks(spark, sf_dir))  # candidates and links read them, and each round of the groups begins with the candidates
+    c = saved(identity.candidates(rows, POLICY.hypothesis, same_segment=False).withColumn("gap", F.col("gap").cast("long")))
+    return identity.hypotheses(c, identity.selected(identity.candidates(rows, POLICY.link)))
 
 
 _CHAINS = _TAILS + """,
