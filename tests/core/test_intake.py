@@ -112,3 +112,23 @@ def test_benchmark_totals(spark):
     got = {r.clip: tuple(r)[1:] for r in review.benchmark_totals(t, f, ["clip"]).collect()}
     # track 1 twice (its first row in order is the far one), 3 by its second row (no pose), 4; 2 is 33 ms away
     assert got == {"g": (5, 4, 0.5, 0.5), "h": (1, 0, 0.0, 0.0)}
+
+
+def test_benchmark_carries_no_pose_through_the_match(spark):
+    """Poses are neither grouped by nor compared by times; each goes flat to the row that it is matched with."""
+    t = spark.createDataFrame([], "clip string, track_id long, t_ms long, type string, label string, pose array<array<double>>")
+    f = spark.createDataFrame([], "track_id long, t_ms long, ord long, pose array<array<double>>")
+    plan = review.benchmark_totals(t, f, ["clip"])._jdf.queryExecution().optimizedPlan()
+    assert not any("pose" in line.split("], [")[0] for line in plan.toString().splitlines() if "Aggregate [" in line)
+    assert not any("pose" in c for line in plan.toString().splitlines() if "Generate explode" in line for c in line.split("[")[1:])
+
+
+def test_benchmark_ties_groups_and_odd_poses(spark):
+    pose, far = [[0.0, 0.0], [1.0, 1.0]], [[0.0, 0.2], [1.0, 1.0]]
+    truth = [("g", 1, 100, "id_verification", "correct", pose), ("h", 1, 100, "id_verification", "correct", pose), (None, 1, 100, "pose", None, pose), ("g", None, 100, "pose", None, pose), ("g", 2, 0, "pose", None, []), ("g", 3, 0, "pose", None, [[0.0, 0.0], None, [2.0, 2.0]])]
+    # equal ord: the earlier one; exact copies count once; a shorter pose lacks joints
+    found = [("g", 1, 110, 5, pose), ("g", 1, 90, 5, far), ("g", 1, 90, 5, far), ("g", 2, 0, 1, pose), ("g", 3, 0, 1, [[0.0, 0.0]])]
+    t = spark.createDataFrame(truth, "clip string, track_id long, t_ms long, type string, label string, pose array<array<double>>")
+    f = spark.createDataFrame(found, "clip string, track_id long, t_ms long, ord long, pose array<array<double>>")
+    got = {r.clip: tuple(r)[1:] for r in review.benchmark_totals(t, f, ["clip"]).collect()}
+    assert got == {"g": (4, 3, 1 / 3, (1 / 2 + 1 / 3) / 2), "h": (1, 0, 0.0, 0.0), None: (1, 0, 0.0, 0.0)}
