@@ -163,7 +163,8 @@ def agg_16_benchmark_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.transform(j, lambda k: F.array((F.col("v") * k % 13) / 100.0, F.lit(0.0)))
     track = (F.col("clip_id") * 100 + F.col("track_id")).alias("track_id")
     pick = lambda c, a, b: F.when(c, a).otherwise(b)
-    truth = adapter.players(spark, sf_dir).select(
+    players = adapter.lowest_slot(d.select("clip_id", "frame_idx", "track_id", "slot", "t_ms", "v"), "clip_id", "frame_idx", "track_id")
+    truth = players.select(
         "clip_id", track, "t_ms", pick(F.col("v") % 2 == 0, "id_verification", "pose").alias("type"), pick(F.col("v") % 3 == 0, "correct", "wrong").alias("label"), F.when(F.col("v") % 4 != 0, still).alias("pose")
     )
     found = d.select(track, (F.col("t_ms") + F.col("v") % 40).alias("t_ms"), (F.col("frame_idx") * 10 + F.col("slot")).alias("ord"), F.when(F.col("v") % 5 != 0, moved).alias("pose"))
