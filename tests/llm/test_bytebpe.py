@@ -118,3 +118,17 @@ def test_query_equals_the_library(spark, library):
         ids = library.encode_ordinary(d.text or "")
         want.append((d.doc_id, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(library.decode_bytes(ids)).hexdigest()))
     assert sorted(tuple(r) for r in queries.op12_byte_bpe(spark, DATA).collect()) == sorted(want)
+
+
+def test_texts_are_not_shuffled(spark, library, monkeypatch):
+    """Neither texts nor their words go through an exchange or a join, which cost several times the input of disk."""
+    rows = [(i, f"zyzzyva{i % 7} quux{i} the cat", i * 2) for i in range(300)] + [(300, None, 0), (301, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    for limit in (1, 3000, 1 << 25):  # each batch alone, and groups of many
+        monkeypatch.setattr(bytebpe, "GROUP_BYTES", limit)
+        made = bytebpe.encode_decode(docs, PATH, PATTERN)
+        got = {r.doc_id: (r.text, r.n, r.bpe_ids, bytes(r.bpe_bytes)) for r in made.collect()}
+        assert got == {i: (t, n, library.encode_ordinary(t or ""), (t or "").encode()) for i, t, n in rows}
+    source = queries.read_table(spark, DATA, "documents") if os.path.isdir(DATA) else docs.coalesce(3)
+    plan = bytebpe.token_digests(source, PATH, PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and ("Exchange" not in plan or not os.path.isdir(DATA))

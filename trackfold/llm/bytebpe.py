@@ -5,10 +5,11 @@ step finds the smallest rank among the pairs of neighbours and merges its leftmo
 has a rank.  Ranks stand in the plan as a literal: an array of small maps, one for each value of a hash, so a lookup
 searches a few entries only.  Decoding concatenates the binary pieces of the ids.
 
-Distinct words of all texts are folded once.  The ids come back to the texts in two ways.  A word that makes up at
-least one in ``COMMON`` of all words is found in a second literal, which by that definition has at most ``COMMON``
-words.  The others are joined: each distinct text asks for the ones it holds, and gets them as small maps in its row.
-So the common words are never shuffled, and no word is common enough to burden a task.
+Texts are worked on in groups of neighbouring rows, of about ``GROUP_BYTES``: a small helper lists the distinct words of
+a group and where each text has them.  A word is folded once for its group, or its ids stand in
+the plan if it is common, and the ids are fetched by place.  So
+neither texts nor words are shuffled or written, no word is common enough to burden a task, and what a task holds does
+not grow with the table.
 """
 
 from __future__ import annotations
@@ -16,23 +17,32 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import saved, spread_join, unused
+from .common import saved
 
-#: A word that is at least this share of all words has its ids in the plan; longer words (in bytes) never have.
-COMMON, COMMON_BYTES = 1 << 20, 32
-#: Pairs up to which a word is merged one pair a step, which costs fewer lookups; the ids are the same.
+#: A word that is at least this share of the words of a sample, one in ``SAMPLED`` of the texts, has its ids in the plan
+#: (so these are ``COMMON`` at most); longer words (in bytes) never have.  It saves time only: the ids are the same.
+COMMON, COMMON_BYTES, SAMPLED = 1 << 20, 32, 16
+#: Bytes of words in a group of texts; a longer text stands alone.
+GROUP_BYTES = 32 << 20
+#: Bytes up to which a word is merged one pair a step, which costs fewer lookups; the ids are the same.
 SHORT = 32
 #: The inside of a class of Unicode's white space.
 _SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _BUCKETS = 1 << 14
 #: Bits of a place in a word, and the rank of pairs without one.
 _PLACE, _NO_RANK = (1 << 40) - 1, 1 << 22
+#: Bits of a place in a short word.
+_SHORT_BITS = 8
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -104,6 +114,14 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _with(value: Column, body: Callable[[Column], Column], kind: str) -> Column:
+    """``_let`` for a body of a known type, much faster in nested bodies.
+
+    Spark asks an element's type of the whole body at every evaluation of ``_let``; an ``aggregate`` has that of its variable.
+    """
+    return F.aggregate(F.array_repeat(value, F.lit(1)), F.lit(None).cast(kind), lambda _, x: body(x))
+
+
 def _literal_map(entries: dict[bytes, tuple[str, object]], value_type: str) -> Column:
     """A literal of (text key, value) by bytes: an array of maps, each with the keys of one hash."""
     buckets: list[dict] = [{} for _ in range(_BUCKETS)]
@@ -192,9 +210,100 @@ class _Fold:
         return _let(last, lambda s: F.transform(begins(s), lambda x, i: _rank(self.table, self.piece(x, self.place(s, i)))))
 
 
+class _ShortFold:
+    """The same merges of a short word, one pair a step, with few expressions in each: they are what takes the time.
+
+    The state has integers, with places in ``_SHORT_BITS`` bits, and an entry without a rank at either end: the word's
+    begin and end.  So the four places around a pair are read without asking where it lies; beyond the ends they are null.
+    """
+
+    def __init__(self, table: Column, word: Column):
+        self.table, self.word = table, word
+
+    def number(self, begin: Column, place: Column, end: Column) -> Column:
+        rank = _with(F.substring(self.word, begin, end - begin), lambda piece: _rank(self.table, piece), "int")
+        return F.coalesce(rank, F.lit(_NO_RANK)) * F.lit(1 << _SHORT_BITS) + place
+
+    def merge(self, state: Column, at: Column) -> Column:
+        """Merge the pair at ``at`` (from 1)."""
+
+        def place(i: Column) -> Column:
+            return F.get(state, i).bitwiseAND(F.lit((1 << _SHORT_BITS) - 1))
+
+        def renewed(left: Column, right: Column) -> Column:
+            return F.array(self.number(place(at - 3), left, right), self.number(left, right, place(at + 1)))
+
+        between = _with(place(at - 2), lambda left: _with(place(at), lambda right: renewed(left, right), "array<int>"), "array<int>")
+        return F.flatten(F.array(F.slice(state, F.lit(1), at - 2), between, F.slice(state, at + 2, F.size(state))))
+
+    def step(self, state: Column) -> Column:
+        def merge(least: Column) -> Column:
+            return _with(F.array_position(state, least).cast("int"), lambda at: self.merge(state, at), "array<int>")
+
+        return _with(F.array_min(state), lambda least: F.when(least < F.lit(_NO_RANK << _SHORT_BITS), merge(least)).otherwise(state), "array<int>")
+
+    def ids(self) -> Column:
+        no_pair, n = F.lit(_NO_RANK << _SHORT_BITS), F.length(self.word)
+        places = F.sequence(F.lit(2), n)
+        pairs = F.transform(places, lambda i: self.number(i - 1, i, i + 1))
+        first = F.concat(F.array(no_pair + 1), pairs, F.array(no_pair + n + 1))
+        last = F.aggregate(places, first, lambda s, _: self.step(s))
+
+        def piece(state: Column) -> Column:
+            begins = F.transform(state, lambda x: x.bitwiseAND(F.lit((1 << _SHORT_BITS) - 1)))
+            spans = lambda b: F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b)), lambda x, y: _with(F.substring(self.word, x, y - x), lambda k: _rank(self.table, k), "int"))
+            return _with(begins, spans, "array<int>")
+
+        return _with(last, piece, "array<int>")
+
+
 def fold_ids(table: Column, raw: Column) -> Column:
     """Ids of one word of at least one byte (binary): its own if it is a piece, else those of its ranked merges."""
-    return _let(raw, lambda word: _let(_rank(table, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_Fold(table, word).ids())))
+
+    def folded(word: Column) -> Column:
+        short = F.length(word) <= min(SHORT, (1 << _SHORT_BITS) - 2)
+        return F.when(short, _ShortFold(table, word).ids()).otherwise(_Fold(table, word).ids())
+
+    def ids(word: Column) -> Column:
+        return _with(_rank(table, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(word)), "array<int>")
+
+    return _with(raw, ids, "array<int>")
+
+
+def _group(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row of the rows of ``batches``, their distinct words, and the place of each word of each row among these."""
+    lists = pa.concat_arrays([b.column("words") for b in batches])
+    coded = lists.flatten().dictionary_encode()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    rows = pa.concat_arrays([b.column("row") for b in batches])
+
+    def one(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    places = pa.ListArray.from_arrays(pa.array(ends), coded.indices.cast(pa.int32()))
+    return pa.RecordBatch.from_arrays([one(rows), one(coded.dictionary.cast(pa.string())), one(places)], names=["rows", "words", "places"])
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """(row, words) to groups of neighbours, none of which has many more than ``GROUP_BYTES`` of words unless in one batch."""
+    schema = T.StructType([T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    limit = GROUP_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = batch.nbytes
+            if held and size + more > limit:
+                yield _group(held)
+                held, size = [], 0
+            held.append(batch)
+            size += more
+        if held:
+            yield _group(held)
+
+    return rows.mapInArrow(run, schema)
 
 
 class Vocabulary:
@@ -213,44 +322,36 @@ class Vocabulary:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def folded(self, docs: DataFrame, text: str) -> DataFrame:
-        """(word, n, ids) of all distinct words of the texts, written to the shared folder."""
-        words = docs.select(F.explode(self.words(F.col(f"`{text}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        return saved(words.select("word", "n", _let(self.table, lambda t: fold_ids(t, F.encode("word", "UTF-8"))).alias("ids")), "folded")
-
-    def with_ids(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
-        """``docs`` with the ids of its whole texts; null texts have none."""
-        rare_column, digest = unused(docs, "__rare"), unused(docs, "__digest")
-        folded = self.folded(docs, text)
-        total = folded.agg(F.sum("n")).first()[0] or 0
-        often = (F.col("n") * COMMON >= total) & (F.octet_length("word") <= COMMON_BYTES)
-        common = {r.word.encode(): (r.word, r.ids) for r in folded.where(often).select("word", "ids").toLocalIterator()}  # COMMON words at most
-        literal = _literal_map(common, "array<int>")
-        words = self.words(F.col(f"`{text}`"))
-
-        def hashed(w: Column) -> Column:
-            return F.crc32(F.encode(w, "UTF-8"))
-
-        # texts that are equal have one set of rare words, whatever the keys of their rows; texts whose hashes are equal
-        # share the words of both, which does no harm
-        keyed = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-        others = _let(literal, lambda known: F.array_distinct(F.filter(words, lambda w: _found(known, F.encode(w, "UTF-8"), w).isNull())))
-        pairs = keyed.select(F.col(digest), F.explode(others).alias("word"))
-        others = folded.where(~often)
-        rare = spread_join(pairs, others.select("word", "ids"), "word", others).groupBy(digest).agg(F.collect_set(F.struct("word", "ids")).alias(rare_column))
-
-        def buckets(entries: Column) -> Column:  # about as many maps as each has words
-            n = F.greatest(F.sqrt(F.size(entries)).cast("int"), F.lit(1))
-            one = lambda b: F.map_from_entries(F.filter(entries, lambda e: F.pmod(hashed(e["word"]), n) == b))
-            return F.transform(F.sequence(F.lit(0), n - 1), one)
-
-        def looked_up(known: Column, maps: Column) -> Column:
-            in_text = lambda w: F.try_element_at(F.get(maps, F.pmod(hashed(w), F.size(maps)).cast("int")), w)
-            return F.flatten(F.transform(words, lambda w: F.coalesce(_found(known, F.encode(w, "UTF-8"), w), in_text(w))))
-
-        joined = spread_join(keyed, rare, digest)
-        found = _let(literal, lambda known: _let(buckets(F.coalesce(F.col(rare_column), F.array().cast(rare.schema[rare_column].dataType))), lambda maps: looked_up(known, maps)))
-        return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != ids], found.alias(ids))
+    def common(self, docs: DataFrame, text: str) -> Column:
+        """A literal of the ids of common words that are no pieces."""
+        sample = docs.where(F.pmod(F.xxhash64(f"`{text}`"), F.lit(SAMPLED)) == 0)
+        counts = sample.select(F.explode(self.words(F.col(f"`{text}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        counts = saved(counts, "counts")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        often = counts.where((F.col("n") > 1) & (F.col("n") * COMMON >= total) & (F.octet_length("word") <= COMMON_BYTES))
+        ids = often.select("word", _with(self.table, lambda t: fold_ids(t, F.encode("word", "UTF-8")), "array<int>").alias("ids")).where(F.size("ids") > 1)
+        return _literal_map({r.word.encode(): (r.word, r.ids) for r in ids.toLocalIterator()}, "array<int>")
+
+    def with_ids(self, docs: DataFrame, text: str, ids: str, keep: list[str] | None = None) -> DataFrame:
+        """``docs`` (or its columns ``keep``) with the ids of its whole texts; null texts have none."""
+        keep = [c for c in docs.columns if c != ids] if keep is None else keep
+        known_words = self.common(docs, text)
+        groups = grouped(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), self.words(F.col(f"`{text}`")).alias("words")))
+
+        def of_texts(known: Column) -> Column:
+            return F.transform("places", lambda p: F.flatten(F.transform(p, lambda i: F.get(known, i))))
+
+        def ids_of(table: Column, common: Column) -> Column:
+            def one(word: Column) -> Column:
+                return _with(F.encode(word, "UTF-8"), lambda raw: F.coalesce(_found(common, raw, word), fold_ids(table, raw)), "array<int>")
+
+            return F.transform("words", one)
+
+        kind = "array<array<int>>"
+        folded = _with(known_words, lambda c: _with(self.table, lambda t: ids_of(t, c), kind), kind)
+        made = groups.select("rows", _with(folded, of_texts, "array<array<int>>").alias("ids"))
+        each = made.select(F.explode(F.arrays_zip("rows", "ids")).alias("one"))
+        return each.select(*[F.col("one.rows").getField(c).alias(c) for c in keep], F.col("one.ids").alias(ids))
 
     def ids_binary(self, ids: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -279,6 +380,6 @@ def token_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     """
     vocabulary = Vocabulary(docs.sparkSession, path, pattern)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    ids = vocabulary.with_ids(rows, "text", "ids").select("key", "ids")
+    ids = vocabulary.with_ids(rows, "text", "ids", ["key"])
     digest = [F.sha2(c, 256) for c in (vocabulary.ids_binary(F.col("ids")), vocabulary.decoded(F.col("ids")))]
     return ids.select(F.col("key").alias(key), F.size("ids").cast("long").alias("n_tokens"), digest[0].alias("ids_sha256"), digest[1].alias("decoded_sha256"))
