@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackfold.operators import components, identity
@@ -88,3 +90,64 @@ def test_groups_of_any_shape(spark):
     links = [(*r, 1, 0.6) for r in links] + [(9, 1, 2, 1, 0.6)] + [(8, 0, i, 1, 0.6) for i in range(100)]
     assert groups(spark, links) == grouped(links)
     assert groups(spark, []) == []
+
+
+def test_smallest_nodes_of_edges():
+    rng = random.Random(4)
+    for n in (0, 1, 5, 300):
+        links = [(rng.randrange(3), 2 * rng.randrange(100), 2 * rng.randrange(100) + 1) for _ in range(n)]
+        links += [(7, 2 * (i // 2), 2 * ((i + 1) // 2) + 1) for i in range(n)]  # a path
+        part, a, b = (np.array([r[i] for r in links], np.int64) for i in range(3))
+        label, group = components.smallest_nodes(part, a, b)
+        want = [min(2 * p, 2 * s + 1) for p, s in _members(links)]
+        assert label.tolist() == want
+        assert len({*zip(part.tolist(), group.tolist(), strict=True)}) == len({*group.tolist()}) == len({*zip(part.tolist(), want, strict=True)})
+
+
+def _members(links):
+    """(smallest predecessor, smallest successor) of each link's component."""
+    least = {}
+    todo = True
+    while todo:
+        todo = False
+        for clip, a, b in links:
+            both = (min(a // 2, least.get((clip, a), (a // 2,))[0], least.get((clip, b), (a // 2,))[0]), min(b // 2, least.get((clip, a), (0, b // 2))[1], least.get((clip, b), (0, b // 2))[1]))
+            for end in ((clip, a), (clip, b)):
+                if least.get(end) != both:
+                    least[end] = both
+                    todo = True
+    return [least[clip, a] for clip, a, _ in links]
+
+
+def test_batches_end_where_clips_do(monkeypatch):
+    monkeypatch.setattr(identity, "BATCH", 10)
+    clips = ["a"] * 4 + ["b"] * 9 + ["c"] * 25 + ["d"] * 2
+    batches = [pa.RecordBatch.from_pydict({"clip_id": clips[i : i + 3]}) for i in range(0, 40, 3)]
+    got = [t.column("clip_id").to_pylist() for t in identity._by_clips(iter(batches))]
+    assert sum(got, []) == clips
+    assert [sorted(set(t)) for t in got[:2]] == [["a"], ["b"]]  # only "c", which is too large, is cut
+    assert not {"a", "b", "d"} & {c for x, y in zip(got, got[1:], strict=False) for c in set(x) & set(y)}
+    assert list(identity._by_clips(iter([]))) == []
+
+
+def test_hypotheses_of_scattered_candidates(spark):
+    """Clips that lie in many batches, any choice of links: as a plain walk gives it."""
+    rng = random.Random(6)
+    links = [(*r, rng.randint(1, 3), rng.choice([0.55, 0.6, 0.61, 0.7, 0.9])) for r in sorted({(rng.randrange(4), rng.randrange(40), rng.randrange(40)) for _ in range(130)})]
+    chosen = [r for r in links if rng.random() < 0.1] + [(0, 777, 778, 1, 0.9)]
+    of = {(c, p, s): (gp, gs) for c, p, s, gp, gs in grouped(links)}
+    groups_ = {}
+    for r in links:
+        groups_.setdefault((r[0], *of[r[:3]]), []).append(r)
+    want = []
+    for (clip, gp, gs), rows in groups_.items():
+        rows = sorted(rows, key=lambda r: (-r[4], r[3], r[2], r[1]))
+        taken = [r in chosen for r in rows]
+        other = max((r[4] for r, t in zip(rows, taken, strict=True) if not t), default=0.0)
+        group_status = "deferred" if not any(taken) else "ambiguous_selected" if other >= rows[0][4] - 0.05 else "selected"
+        for rank, (r, t) in enumerate(list(zip(rows, taken, strict=True))[:3], 1):
+            status = "selected" if t else "alternate" if any(taken) else "deferred"
+            want.append((clip, gp, gs, rank, *r[1:], round(rows[0][4] - r[4], 4), status, group_status, len(rows)))
+    rng.shuffle(links)
+    made = identity.hypotheses(spark.createDataFrame(links, LINKS).repartition(7), spark.createDataFrame(chosen, LINKS))
+    assert sorted(tuple(r) for r in made.collect()) == sorted(want)

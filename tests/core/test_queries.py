@@ -11,6 +11,7 @@ from trackfold.operators import attribution, ledger
 from trackfold.plans import catalogue, people
 
 DATA = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"  # the smallest tables have no candidates of links
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
@@ -100,3 +101,26 @@ def test_audit_files_are_made_of_a_written_report(spark, monkeypatch):
 def test_hypotheses_work_out_tracks_once(spark):
     made = catalogue.QUERIES["sco_06_srt_04_hypotheses"](spark, DATA)
     assert made.inputFiles() and not any("events.parquet" in f for f in made.inputFiles())
+
+
+def test_pairs_of_tracks_take_one_exchange(spark):
+    """The events are dealt by clip while they are narrow; ends of tracks and their pairs are not shuffled."""
+    for name in ("joi_06_sco_04_link_candidates", "joi_07_hypothesis_candidates", "sco_05_win_10_selected_links"):
+        plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1, plan
+
+
+def shuffled(spark):
+    """Rows that the session's stages have shuffled so far."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages)}
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
+def test_hypotheses_shuffle_events_once_and_not_all_candidates(spark):
+    events = spark.read.parquet(f"{LARGER}/events.parquet").count()
+    candidates = catalogue.QUERIES["joi_07_hypothesis_candidates"](spark, LARGER).count()
+    before = shuffled(spark)
+    catalogue.QUERIES["sco_06_srt_04_hypotheses"](spark, LARGER).collect()
+    assert 0 < sum(n for s, n in shuffled(spark).items() if s not in before) < events + candidates

@@ -7,12 +7,34 @@ with the logarithm of a component's size, however long its paths are.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import saved
 
 
+def smallest_nodes(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each edge (a, b) of a part: the smallest node of its component among these edges, and the component's number.
+
+    Roots hook onto smaller ones and pointers are halved until every edge lies below one root.
+    """
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    nodes, at = np.unique(np.concatenate([part, part]).astype(np.int64) * len(names) + at, return_inverse=True)
+    root = np.arange(len(nodes))
+    x, y = np.split(at, 2)
+    first = x
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        above = root[root]
+        while not np.array_equal(above, root):
+            root, above = above, above[above]
+    return names[nodes[root[first]] % max(len(names), 1)], root[first]
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("part", F.col("high").alias("u"), F.col("low").alias("v")).unionByName(edges.select("part", F.col("low").alias("u"), F.col("high").alias("v")))
     least = both.groupBy("part", "u").agg(F.least("u", F.min("v")).alias("m"))

@@ -2,38 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructType
 
 from ..functions.geometry import clip01
 from ..sources.storage import saved
-from .components import components
+from .components import components, smallest_nodes
 from .policy import IdentityPolicy
 
 MARGIN = 0.05
+#: Rows of candidates that are put into components together, about; a clip is not cut if it has fewer.
+BATCH = 1 << 18
+_PART = ["clip_id", "__label", "__batch"]
 _ENDS = ["frame_idx", "x", "y", "w", "h", "vx", "vy", "court_x", "court_y", "uniform", "conf", "active", "segment"]
 
 
-def link_score(a: str = "a", b: str = "b", gap: str = "gap", fps: float = 30.0, policy: IdentityPolicy = IdentityPolicy()) -> Column:
-    """Score of track end ``a`` and track start ``b`` (structs); null where a gate rules the link out."""
-    A, B = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))  # noqa: N806
+def link_measures(gap: str = "gap", fps: float = 30.0, policy: IdentityPolicy = IdentityPolicy()) -> Column:
+    """What a track end (columns ``a_``) and a track start (``b_``) are judged by, as a struct; ``link_score`` wants its fields as columns."""
+    A, B = (lambda f: F.col(f"a_{f}")), (lambda f: F.col(f"b_{f}"))  # noqa: N806
     elapsed = (F.col(gap) + 1) * max(1.0 / fps, 0.001)
     distance = F.sqrt((A("x") + A("vx") * elapsed - B("x")) ** 2 + (A("y") + A("vy") * elapsed - B("y")) ** 2)
     limit = F.greatest(F.lit(40.0), policy.max_ratio * (A("h") + B("h")) / 2)
     ratio = lambda f: F.least(A(f), B(f)) / F.greatest(A(f), B(f))
     size = (ratio("w") + ratio("h")) / 2
     sa, sb = F.sqrt(A("vx") ** 2 + A("vy") ** 2), F.sqrt(B("vx") ** 2 + B("vy") ** 2)
-    cosine = (A("vx") * B("vx") + A("vy") * B("vy")) / (sa * sb)
-    velocity = F.when((sa > 1) & (sb > 1), clip01((cosine + 1) / 2)).otherwise(F.lit(0.5))
-    known = lambda f: A(f).isin("dark", "light") & B(f).isin("dark", "light")
-    conflict = F.coalesce(known("uniform") & (A("uniform") != B("uniform")), F.lit(False))
-    uniform = F.when(A("uniform").isNull() | B("uniform").isNull(), 0.0).when(known("uniform") & (A("uniform") == B("uniform")), 1.0).when((A("uniform") == "unknown") | (B("uniform") == "unknown"), 0.55).otherwise(0.0)
+    known = A("uniform").isin("dark", "light") & B("uniform").isin("dark", "light")
     on_court = F.sqrt((A("court_x") - B("court_x")) ** 2 + (A("court_y") - B("court_y")) ** 2)
-    court = F.when(on_court.isNull(), 0.5).otherwise(clip01(1 - on_court / policy.max_court))
+    values = {"distance": distance, "limit": limit, "size": size, "sa": sa, "sb": sb, "dot": A("vx") * B("vx") + A("vy") * B("vy"), "known": known, "on_court": on_court}
+    return F.struct(*[v.alias(f"m_{k}") for k, v in values.items()])
+
+
+def link_score(gap: str = "gap", policy: IdentityPolicy = IdentityPolicy()) -> Column:
+    """Score of a track end (columns ``a_``) and a track start (``b_``) with their measures (``m_``); null where a gate rules the link out."""
+    A, B, M = (lambda f: F.col(f"a_{f}")), (lambda f: F.col(f"b_{f}")), (lambda f: F.col(f"m_{f}"))  # noqa: N806
+    cosine = M("dot") / (M("sa") * M("sb"))
+    velocity = F.when((M("sa") > 1) & (M("sb") > 1), clip01((cosine + 1) / 2)).otherwise(F.lit(0.5))
+    conflict = F.coalesce(M("known") & (A("uniform") != B("uniform")), F.lit(False))
+    uniform = F.when(A("uniform").isNull() | B("uniform").isNull(), 0.0).when(M("known") & (A("uniform") == B("uniform")), 1.0).when((A("uniform") == "unknown") | (B("uniform") == "unknown"), 0.55).otherwise(0.0)
+    court = F.when(M("on_court").isNull(), 0.5).otherwise(clip01(1 - M("on_court") / policy.max_court))
     score = (
-        0.34 * clip01(1 - distance / limit) + 0.18 * velocity + 0.14 * size + 0.14 * uniform + 0.10 * court + 0.06 * clip01(1 - (F.col(gap) - 1) / float(max(policy.max_gap, 1))) + 0.04 * F.least(A("conf"), B("conf"))
+        0.34 * clip01(1 - M("distance") / M("limit")) + 0.18 * velocity + 0.14 * M("size") + 0.14 * uniform + 0.10 * court + 0.06 * clip01(1 - (F.col(gap) - 1) / float(max(policy.max_gap, 1))) + 0.04 * F.least(A("conf"), B("conf"))
     )
-    allowed = A("active") & B("active") & ~conflict & (distance <= limit) & (size >= 0.55) & F.coalesce(on_court <= policy.max_court, F.lit(True))
+    allowed = A("active") & B("active") & ~conflict & (M("distance") <= M("limit")) & (M("size") >= 0.55) & F.coalesce(M("on_court") <= policy.max_court, F.lit(True))
     return F.when(allowed, F.round(score, 4))
 
 
@@ -46,64 +63,169 @@ def track_ends(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, least: float, same_segment: bool | None = None, fps: float = 30.0, policy: IdentityPolicy = IdentityPolicy()) -> DataFrame:
     """Pairs (pred, succ) of tracks of a clip whose gap is 1 to ``policy.max_gap`` frames, scored at least ``least``.
 
-    Both ends lie in one segment if ``same_segment`` says so, or where it is None the policy.  A limit of no frames gives no pairs.
+    Both ends lie in one segment if ``same_segment`` says so, or where it is None the policy; if they need not, a column
+    ``same_segment`` says whether they do.  A limit of no frames gives no pairs.
 
-    The range condition is made an equality: the end is spread over the frames where a successor may start.
+    A clip's ends are dealt to one task, once: the starts and ends of a frame become one row, and a window over the frames
+    of the clip brings each frame the starts of the frames behind it.
     """
-    ends = track_ends(rows)
-    starts = ends.select("clip_id", F.col("track_id").alias("succ"), F.col("head").alias("b"), F.col("head.frame_idx").alias("start_frame"))
-    last = ends.select("clip_id", F.col("track_id").alias("pred"), F.col("tail").alias("a"))
-    last = last.withColumn("gap", F.explode(F.sequence(F.lit(1), F.lit(max(policy.max_gap, 1))))).withColumn("start_frame", F.col("a.frame_idx") + F.col("gap") + 1)
-    both = last.join(starts, ["clip_id", "start_frame"]).where((F.col("pred") != F.col("succ")) & (F.col("gap") <= policy.max_gap))
-    if policy.reset if same_segment is None else same_segment:
-        both = both.where("a.segment = b.segment")
-    # exploded, so that the optimiser does not copy the whole score into the filter
-    scored = both.select("*", F.explode(F.array(link_score(fps=fps, policy=policy))).alias("score")).where(F.col("score") >= least)
-    return scored.select("clip_id", "pred", "succ", "gap", F.col("a.frame_idx").alias("end_frame"), "start_frame", "score")
+    reach = max(policy.max_gap, 1)
+    ends = track_ends(rows).repartition("clip_id").where("clip_id IS NOT NULL")
+    side = lambda c: F.struct(F.lit(c).alias("side"), F.col(f"{c}.frame_idx").alias("frame_idx"), F.struct("track_id", f"{c}.*").alias("of"))
+    each = ends.select("clip_id", F.inline(F.array(side("tail"), side("head")))).where("frame_idx IS NOT NULL")
+    gathered = lambda c: F.collect_list(F.when(F.col("side") == c, F.col("of"))).alias(f"{c}s")
+    behind = Window.partitionBy("clip_id").orderBy("frame_idx").rangeBetween(2, reach + 1)
+    frames = each.groupBy("clip_id", "frame_idx").agg(gathered("tail"), gathered("head")).withColumn("heads", F.flatten(F.collect_list("heads").over(behind)))
+    # flat columns: Spark 4.1 loses columns of chained generators where it prunes structs
+    last = frames.select("clip_id", "heads", F.inline("tails").alias("pred", *[f"a_{c}" for c in _ENDS]))
+    pairs = last.select("clip_id", *last.columns[2:], F.inline("heads").alias("succ", *[f"b_{c}" for c in _ENDS])).where("pred <> succ")
+    pairs = pairs.withColumn("gap", (F.col("b_frame_idx") - F.col("a_frame_idx") - 1).cast("int")).where(F.col("gap") <= policy.max_gap)
+    within = F.col("a_segment") == F.col("b_segment")
+    must = policy.reset if same_segment is None else same_segment
+    if must:
+        pairs = pairs.where(within)
+    # exploded, so that the optimiser copies neither the measures into the score nor the whole score into the filter: the
+    # code of all in one is a method too long to be compiled
+    measured = pairs.select("*", F.inline(F.array(link_measures(fps=fps, policy=policy))))
+    scored = measured.select("*", F.explode(F.array(link_score(policy=policy))).alias("score")).where(F.col("score") >= least)
+    more = [] if must else [F.coalesce(within, F.lit(False)).alias("same_segment")]
+    return scored.select("clip_id", "pred", "succ", "gap", F.col("a_frame_idx").alias("end_frame"), F.col("b_frame_idx").alias("start_frame"), "score", *more)
 
 
-def selected(links: DataFrame) -> DataFrame:
-    """The candidates that beat every rival for the same predecessor or successor by more than the margin.
+def marked(links: DataFrame) -> DataFrame:
+    """Candidates with ``is_selected``: it beats every rival for the same predecessor or successor by more than the margin.
 
     A greedy choice in score order gives the same: a rival that was chosen before would have vetoed the candidate.
     """
     out = links
     for side in ("pred", "succ"):
         w = Window.partitionBy("clip_id", side).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        out = out.withColumns({f"best_{side}": F.first("score").over(w), f"next_{side}": F.nth_value("score", 2).over(w)})
-        out = out.withColumn(f"rival_{side}", F.coalesce(F.when(F.col("score") < F.col(f"best_{side}"), F.col(f"best_{side}")).otherwise(F.col(f"next_{side}")), F.lit(0.0)))
-    return out.where((F.col("score") - MARGIN) > F.greatest("rival_pred", "rival_succ")).drop(*(f"{c}_{side}" for side in ("pred", "succ") for c in ("best", "next", "rival")))
+        best, second = F.first("score").over(w), F.nth_value("score", 2).over(w)
+        out = out.withColumns({"__best": best, "__second": second})
+        out = out.withColumn(f"__{side}", F.coalesce(F.when(F.col("score") < F.col("__best"), F.col("__best")).otherwise(F.col("__second")), F.lit(0.0))).drop("__best", "__second")
+    return out.withColumn("is_selected", (F.col("score") - MARGIN) > F.greatest("__pred", "__succ")).drop("__pred", "__succ")
+
+
+def selected(links: DataFrame) -> DataFrame:
+    """The candidates that ``marked`` selects."""
+    return marked(links).where("is_selected").drop("is_selected")
+
+
+def _node(c: str, side: int) -> Column:
+    """The number of a predecessor (side 0) or a successor (1) as a node."""
+    return F.col(c).cast("long") * 2 + side
+
+
+def _clip_numbers(t: pa.Table) -> np.ndarray:
+    return pc.dictionary_encode(t.column("clip_id"), null_encoding="encode").combine_chunks().indices.to_numpy(zero_copy_only=False)
+
+
+def _by_clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about ``BATCH`` rows that end where a clip does; a clip of more rows is cut."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BATCH:
+            table = pa.Table.from_batches(held).combine_chunks()
+            clips = _clip_numbers(table)
+            others = np.flatnonzero(clips != clips[-1])
+            cut = int(others[-1]) + 1 if len(others) else n
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            n -= cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def with_labels(links: DataFrame, top: int) -> DataFrame:
+    """Candidates with the component that they are in among those of their batch.
+
+    ``__label``: its smallest node; predecessors are even numbers, successors odd ones.  ``__batch``: the batch.
+    ``__first``: whether it is that component's smallest (pred, succ).  ``__top``: whether its score is not below the
+    ``top`` best ones of that component.
+    """
+    rows = links.where("clip_id IS NOT NULL AND pred IS NOT NULL AND succ IS NOT NULL").withColumns({"__a": _node("pred", 0), "__b": _node("succ", 1)})
+
+    def label(batches):
+        first = TaskContext.get().partitionId() << 32
+        for i, t in enumerate(_by_clips(batches)):
+            a, b, score = (pc.fill_null(t.column(c), least).to_numpy() for c, least in (("__a", 0), ("__b", 0), ("score", -np.inf)))
+            label, group = smallest_nodes(_clip_numbers(t), a, b)
+            worth = np.where(np.isnan(score), np.inf, score)
+            smallest, best = np.zeros((2, len(group)), bool)
+            order = np.lexsort((b, a, group))
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))  # of each component
+            sizes = np.diff(starts, append=len(order))
+            smallest[order[starts]] = True
+            order = np.lexsort((-worth, group))
+            last = worth[order[starts + np.minimum(sizes, max(top, 1)) - 1]]
+            best[order] = (worth[order] >= np.repeat(last, sizes)) & (top > 0)
+            t = t.drop_columns(["__a", "__b"])
+            more = {"__label": label, "__batch": np.full(len(order), first + i), "__first": smallest, "__top": best}
+            for name, values in more.items():
+                t = t.append_column(name, pa.array(values))
+            yield from t.to_batches(max_chunksize=10_000)
+
+    out = StructType([*links.schema.fields])
+    out.add("__label", LongType()).add("__batch", LongType()).add("__first", BooleanType()).add("__top", BooleanType())
+    return rows.mapInArrow(label, out)
+
+
+def _torn_labels(links: DataFrame) -> DataFrame:
+    """(clip_id, __label, __root): the smallest node of a label's group, for the clips that lie in several batches."""
+    torn = saved(links.groupBy("clip_id").agg(F.min("__batch").alias("l"), F.max("__batch").alias("h")).where("l < h").select("clip_id"))
+    ends = links.join(torn, "clip_id", "left_semi").select(F.col("clip_id").alias("part"), F.explode(F.array(_node("pred", 0), _node("succ", 1))).alias("a"), F.col("__label").alias("b"))
+    ends = saved(ends.distinct())
+    labels = ends.select("part", F.col("b").alias("node")).distinct()
+    return saved(components(ends).join(labels, ["part", "node"]).toDF("clip_id", "__label", "__root"))
+
+
+def _groups(links: DataFrame, **more: tuple[Column, Callable]) -> DataFrame:
+    """For each component of a batch its group's ``group_key`` and ``more``: an aggregate of it, put together over the group by the function.
+
+    No aggregate is a struct, so that Spark aggregates by hash and does not sort all candidates.
+    """
+    first = {c: F.min(F.when(F.col("__first"), F.col(c))).alias(c) for c in ("pred", "succ")}
+    parts = links.groupBy(*_PART).agg(*first.values(), *[of_part.alias(c) for c, (of_part, _) in more.items()])
+    named = parts.join(_torn_labels(links), ["clip_id", "__label"], "left").withColumn("__root", F.coalesce("__root", "__label"))
+    g = Window.partitionBy("clip_id", "__root")
+    key = F.min(F.struct("pred", "succ")).over(g)
+    return named.select(*_PART, key.alias("group_key"), *[of_group(c).over(g).alias(c) for c, (_, of_group) in more.items()])
 
 
 def hypothesis_groups(links: DataFrame) -> DataFrame:
     """Candidates with the group of those that share a predecessor or successor with each other, over any number of steps.
 
     Ends are nodes (a predecessor an even number, a successor an odd one), candidates are edges, and groups are their
-    components.  The label is the smallest (pred, succ) of the group.
+    components: those of batches first, and only what lies in several batches is contracted further.  The label is the
+    smallest (pred, succ) of the group.
     """
-    node = lambda c, side: (F.col(c).cast("long") * 2 + side)
-    edges = links.select(F.col("clip_id").alias("part"), node("pred", 0).alias("a"), node("succ", 1).alias("b"))
-    roots = components(edges).withColumnsRenamed({"part": "clip_id", "node": "__node", "root": "__root"})
-    found = saved(links.withColumn("__node", node("pred", 0)).join(roots, ["clip_id", "__node"]).drop("__node"))
-    least = found.groupBy("clip_id", "__root").agg(F.min(F.struct("pred", "succ")).alias("group_key"))
-    return found.join(least, ["clip_id", "__root"]).drop("__root")
+    found = saved(with_labels(links, 0))
+    return found.join(_groups(found), _PART).drop("__label", "__batch", "__first", "__top")
+
 
+def hypotheses(links: DataFrame, chosen: DataFrame | None = None, policy: IdentityPolicy = IdentityPolicy()) -> DataFrame:
+    """The best ``policy.top`` candidates of each group: rank, status of candidate and group, margin to the best; none if the policy wants none.
 
-def hypotheses(links: DataFrame, chosen: DataFrame, policy: IdentityPolicy = IdentityPolicy()) -> DataFrame:
-    """The best ``policy.top`` candidates of each group: rank, status of candidate and group, margin to the best; none if the policy wants none."""
+    Without ``chosen`` the candidates carry ``is_selected``, and may carry what ``with_labels`` adds.  All but the best
+    candidates are counted where they lie and not shuffled.
+    """
     if not policy.with_hypotheses:
         links = links.where(F.lit(False))
-    c = hypothesis_groups(links).join(chosen.select("clip_id", "pred", "succ", F.lit(True).alias("is_selected")), ["clip_id", "pred", "succ"], "left").withColumn("is_selected", F.coalesce("is_selected", F.lit(False)))
-    g = Window.partitionBy("clip_id", "group_key")
-    c = c.withColumns(
-        {
-            "rank": F.row_number().over(g.orderBy(F.desc("score"), "gap", "succ", "pred")),
-            "best": F.max("score").over(g),
-            "any_selected": F.max("is_selected").over(g),
-            "best_other": F.coalesce(F.max(F.when(~F.col("is_selected"), F.col("score"))).over(g), F.lit(0.0)),
-            "n": F.count("*").over(g),
-        }
+    if chosen is not None:
+        links = links.join(chosen.select("clip_id", "pred", "succ", F.lit(True).alias("is_selected")), ["clip_id", "pred", "succ"], "left").withColumn("is_selected", F.coalesce("is_selected", F.lit(False)))
+    if "__label" not in links.columns:
+        links = saved(with_labels(links, policy.top))
+    groups = _groups(
+        links,
+        best=(F.max("score"), F.max),
+        any_selected=(F.max("is_selected"), F.max),
+        best_other=(F.max(F.when(~F.col("is_selected"), F.col("score"))), F.max),
+        n=(F.count("*"), F.sum),
     )
+    c = links.where("__top").join(groups, _PART)
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("clip_id", "group_key").orderBy(F.desc("score"), "gap", "succ", "pred")))
     group_status = F.when(~F.col("any_selected"), "deferred").when(F.col("best_other") >= F.col("best") - policy.ambiguity, "ambiguous_selected").otherwise("selected")
     status = F.when(F.col("is_selected"), "selected").when(F.col("any_selected"), "alternate").otherwise("deferred")
     out = c.where(F.col("rank") <= policy.top)

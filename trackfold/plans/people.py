@@ -17,8 +17,10 @@ POLICY = IdentityPolicy()
 
 def short_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short tracks (one per user and clip) close to each other, for identity links."""
-    e = adapter.events(spark, sf_dir).where("slot <> 0")
-    return adapter.lowest_slot(e, "clip_id", "frame_idx", "user_id").selectExpr(
+    e = adapter.events(spark, sf_dir).where("slot <> 0").select("clip_id", "frame_idx", "slot", "user_id", "v")
+    # a clip's events go to one task while they are narrow; what follows by clip needs no further exchange
+    dealt = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip_id")
+    return adapter.lowest_slot(dealt, "clip_id", "frame_idx", "user_id").selectExpr(
         "clip_id", "frame_idx", "user_id AS track_id", "v * 37 % 80 + 0.0D AS x", "v * 61 % 60 + 0.0D AS y", "40 + v * 7 % 20 + 0.0D AS w", "90 + v * 11 % 40 + 0.0D AS h", "(v * 3 % 400 - 200) / 7.0D AS vx", "(v * 19 % 160 - 80) / 7.0D AS vy",
         "CASE WHEN v % 7 = 0 THEN NULL ELSE v * 29 % 300 + 0.0D END AS court_x", "CASE WHEN v % 7 = 0 THEN NULL ELSE v * 17 % 150 + 0.0D END AS court_y",
         "CASE v % 5 WHEN 0 THEN 'dark' WHEN 1 THEN 'light' WHEN 2 THEN NULL ELSE 'unknown' END AS uniform", "(50 + v * 13 % 50) / 100.0D AS conf", "v % 9 <> 0 AS active", "frame_idx div 25 AS segment",
@@ -82,9 +84,11 @@ cc AS (SELECT clip_id, pred * 1000 + succ AS node, pred * 1000 + succ AS root FR
     recursive=True,
 )
 def sco_06_srt_04_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = saved(short_tracks(spark, sf_dir))  # candidates and links read them, and each round of the groups begins with the candidates
-    c = saved(identity.candidates(rows, POLICY.hypothesis, same_segment=False).withColumn("gap", F.col("gap").cast("long")))
-    return identity.hypotheses(c, identity.selected(identity.candidates(rows, POLICY.link)))
+    c = identity.candidates(short_tracks(spark, sf_dir), POLICY.hypothesis, same_segment=False)
+    c = c.select("clip_id", "pred", "succ", F.col("gap").cast("long").alias("gap"), "score", (F.col("same_segment") & (F.col("score") >= POLICY.link)).alias("linked"))
+    c = saved(identity.with_labels(c, POLICY.top))  # the only table of all candidates; only those that may be links are shuffled
+    links = saved(identity.marked(c.where("linked")))
+    return identity.hypotheses(c.where("NOT linked").withColumn("is_selected", F.lit(False)).unionByName(links))
 
 
 _CHAINS = _TAILS + """,
