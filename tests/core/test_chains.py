@@ -98,7 +98,8 @@ def test_smallest_nodes_of_edges():
         links = [(rng.randrange(3), 2 * rng.randrange(100), 2 * rng.randrange(100) + 1) for _ in range(n)]
         links += [(7, 2 * (i // 2), 2 * ((i + 1) // 2) + 1) for i in range(n)]  # a path
         part, a, b = (np.array([r[i] for r in links], np.int64) for i in range(3))
-        label, group = components.smallest_nodes(part, a, b)
+        label, group, ends = components.smallest_nodes(part, a, b)
+        assert all(len({*zip(part.tolist(), x.tolist(), strict=True)}) == len({*zip(part.tolist(), x.tolist(), n.tolist(), strict=True)}) for x, n in zip((a, b), ends, strict=True))
         want = [min(2 * p, 2 * s + 1) for p, s in _members(links)]
         assert label.tolist() == want
         assert len({*zip(part.tolist(), group.tolist(), strict=True)}) == len({*group.tolist()}) == len({*zip(part.tolist(), want, strict=True)})
@@ -151,3 +152,25 @@ def test_hypotheses_of_scattered_candidates(spark):
     rng.shuffle(links)
     made = identity.hypotheses(spark.createDataFrame(links, LINKS).repartition(7), spark.createDataFrame(chosen, LINKS))
     assert sorted(tuple(r) for r in made.collect()) == sorted(want)
+
+
+def test_selection_of_scattered_candidates(spark):
+    """What batches select by themselves is put right for clips that lie in several."""
+    rng = random.Random(9)
+    pairs = sorted({(rng.randrange(6), rng.randrange(30), rng.randrange(30)) for _ in range(160)})
+    links = spark.createDataFrame([(*r, rng.randint(1, 3), rng.choice([0.6, 0.7, 0.75, 0.77, 0.84, 0.9, 0.96])) for r in pairs], LINKS)
+    linked = links.withColumn("linked", (links.score >= 0.7) & (links.pred % 5 != 0))
+    want = sorted(tuple(r) for r in identity.hypotheses(links, identity.selected(linked.where("linked"))).collect())
+    assert {r[9] for r in want} == {"selected", "alternate", "deferred"}
+    for n in (1, 7):
+        assert sorted(tuple(r) for r in identity.hypotheses(linked.repartition(n)).collect()) == want
+
+
+def test_selection_in_a_batch(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 60):
+        pairs = sorted({(rng.randrange(15), rng.randrange(15)) for _ in range(n)})
+        links = [(1, *r, 1, rng.choice([0.03, 0.5, 0.6, 0.66, 0.7])) for r in pairs]
+        ends, score = (np.array([r[1] for r in links], int), np.array([r[2] for r in links], int)), np.array([r[4] for r in links], float)
+        got = [r[:3] for r, taken in zip(links, identity._unrivalled(ends, score), strict=True) if taken]
+        assert got == sorted(tuple(r)[:3] for r in identity.selected(spark.createDataFrame(links, LINKS)).collect())

@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from ..sources.storage import saved
 
 
-def smallest_nodes(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each edge (a, b) of a part: the smallest node of its component among these edges, and the component's number.
+def smallest_nodes(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """For each edge (a, b) of a part: the smallest node of its component among these edges, the component's number, and
+    the numbers of both nodes.
 
     Roots hook onto smaller ones and pointers are halved until every edge lies below one root.
     """
     names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     nodes, at = np.unique(np.concatenate([part, part]).astype(np.int64) * len(names) + at, return_inverse=True)
     root = np.arange(len(nodes))
-    x, y = np.split(at, 2)
-    first = x
+    x, y = ends = np.split(at, 2)
     while len(x):
         low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
         apart = low < high
@@ -32,7 +32,8 @@ def smallest_nodes(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.n
         above = root[root]
         while not np.array_equal(above, root):
             root, above = above, above[above]
-    return names[nodes[root[first]] % max(len(names), 1)], root[first]
+    group = root[ends[0]]
+    return names[nodes[group] % max(len(names), 1)], group, tuple(ends)
 
 
 def _large(edges: DataFrame) -> DataFrame:

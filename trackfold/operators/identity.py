@@ -116,6 +116,19 @@ def _node(c: str, side: int) -> Column:
     return F.col(c).cast("long") * 2 + side
 
 
+def _unrivalled(ends: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.ndarray:
+    """What ``marked`` says of candidates between numbered ends, among these alone."""
+    rival = np.zeros(len(score))
+    for end in ends:
+        best, second = np.zeros((2, end.max(initial=-1) + 1))
+        np.maximum.at(best, end, score)
+        leads = score == best[end]
+        np.maximum.at(second, end[~leads], score[~leads])
+        second = np.where(np.bincount(end[leads], minlength=len(best)) > 1, best, second)
+        rival = np.maximum(rival, np.where(leads, second[end], best[end]))
+    return (score - MARGIN) > rival
+
+
 def _clip_numbers(t: pa.Table) -> np.ndarray:
     return pc.dictionary_encode(t.column("clip_id"), null_encoding="encode").combine_chunks().indices.to_numpy(zero_copy_only=False)
 
@@ -143,15 +156,17 @@ def with_labels(links: DataFrame, top: int) -> DataFrame:
 
     ``__label``: its smallest node; predecessors are even numbers, successors odd ones.  ``__batch``: the batch.
     ``__first``: whether it is that component's smallest (pred, succ).  ``__top``: whether its score is not below the
-    ``top`` best ones of that component.
+    ``top`` best ones of that component.  If the candidates have ``linked`` (which of them may be links), ``is_selected``
+    is added too, as ``marked`` gives it for those of the batch.
     """
+    choose = "linked" in links.columns
     rows = links.where("clip_id IS NOT NULL AND pred IS NOT NULL AND succ IS NOT NULL").withColumns({"__a": _node("pred", 0), "__b": _node("succ", 1)})
 
     def label(batches):
         first = TaskContext.get().partitionId() << 32
         for i, t in enumerate(_by_clips(batches)):
             a, b, score = (pc.fill_null(t.column(c), least).to_numpy() for c, least in (("__a", 0), ("__b", 0), ("score", -np.inf)))
-            label, group = smallest_nodes(_clip_numbers(t), a, b)
+            label, group, ends = smallest_nodes(_clip_numbers(t), a, b)
             worth = np.where(np.isnan(score), np.inf, score)
             smallest, best = np.zeros((2, len(group)), bool)
             order = np.lexsort((b, a, group))
@@ -163,32 +178,49 @@ def with_labels(links: DataFrame, top: int) -> DataFrame:
             best[order] = (worth[order] >= np.repeat(last, sizes)) & (top > 0)
             t = t.drop_columns(["__a", "__b"])
             more = {"__label": label, "__batch": np.full(len(order), first + i), "__first": smallest, "__top": best}
+            if choose:
+                linked = t.column("linked").to_numpy()
+                more["is_selected"] = np.zeros(len(order), bool)
+                more["is_selected"][linked] = _unrivalled((ends[0][linked], ends[1][linked]), worth[linked])
             for name, values in more.items():
                 t = t.append_column(name, pa.array(values))
             yield from t.to_batches(max_chunksize=10_000)
 
     out = StructType([*links.schema.fields])
     out.add("__label", LongType()).add("__batch", LongType()).add("__first", BooleanType()).add("__top", BooleanType())
+    if choose:
+        out.add("is_selected", BooleanType())
     return rows.mapInArrow(label, out)
 
 
-def _torn_labels(links: DataFrame) -> DataFrame:
+def _torn(links: DataFrame) -> DataFrame:
+    """The clips that lie in several batches."""
+    return saved(links.groupBy("clip_id").agg(F.min("__batch").alias("l"), F.max("__batch").alias("h")).where("l < h").select("clip_id"))
+
+
+def _chosen(links: DataFrame, torn: DataFrame) -> DataFrame:
+    """Candidates whose ``is_selected`` holds for the whole clip, not for the batch alone."""
+    split = links.join(torn, "clip_id", "left_semi")
+    again = saved(marked(split.where("linked").drop("is_selected")))
+    return links.join(torn, "clip_id", "left_anti").unionByName(split.where("NOT linked")).unionByName(again)
+
+
+def _torn_labels(links: DataFrame, torn: DataFrame) -> DataFrame:
     """(clip_id, __label, __root): the smallest node of a label's group, for the clips that lie in several batches."""
-    torn = saved(links.groupBy("clip_id").agg(F.min("__batch").alias("l"), F.max("__batch").alias("h")).where("l < h").select("clip_id"))
     ends = links.join(torn, "clip_id", "left_semi").select(F.col("clip_id").alias("part"), F.explode(F.array(_node("pred", 0), _node("succ", 1))).alias("a"), F.col("__label").alias("b"))
     ends = saved(ends.distinct())
     labels = ends.select("part", F.col("b").alias("node")).distinct()
     return saved(components(ends).join(labels, ["part", "node"]).toDF("clip_id", "__label", "__root"))
 
 
-def _groups(links: DataFrame, **more: tuple[Column, Callable]) -> DataFrame:
+def _groups(links: DataFrame, torn: DataFrame, **more: tuple[Column, Callable]) -> DataFrame:
     """For each component of a batch its group's ``group_key`` and ``more``: an aggregate of it, put together over the group by the function.
 
     No aggregate is a struct, so that Spark aggregates by hash and does not sort all candidates.
     """
     first = {c: F.min(F.when(F.col("__first"), F.col(c))).alias(c) for c in ("pred", "succ")}
     parts = links.groupBy(*_PART).agg(*first.values(), *[of_part.alias(c) for c, (of_part, _) in more.items()])
-    named = parts.join(_torn_labels(links), ["clip_id", "__label"], "left").withColumn("__root", F.coalesce("__root", "__label"))
+    named = parts.join(_torn_labels(links, torn), ["clip_id", "__label"], "left").withColumn("__root", F.coalesce("__root", "__label"))
     g = Window.partitionBy("clip_id", "__root")
     key = F.min(F.struct("pred", "succ")).over(g)
     return named.select(*_PART, key.alias("group_key"), *[of_group(c).over(g).alias(c) for c, (_, of_group) in more.items()])
@@ -202,14 +234,15 @@ def hypothesis_groups(links: DataFrame) -> DataFrame:
     smallest (pred, succ) of the group.
     """
     found = saved(with_labels(links, 0))
-    return found.join(_groups(found), _PART).drop("__label", "__batch", "__first", "__top")
+    return found.join(_groups(found, _torn(found)), _PART).drop("__label", "__batch", "__first", "__top")
 
 
 def hypotheses(links: DataFrame, chosen: DataFrame | None = None, policy: IdentityPolicy = IdentityPolicy()) -> DataFrame:
     """The best ``policy.top`` candidates of each group: rank, status of candidate and group, margin to the best; none if the policy wants none.
 
-    Without ``chosen`` the candidates carry ``is_selected``, and may carry what ``with_labels`` adds.  All but the best
-    candidates are counted where they lie and not shuffled.
+    Without ``chosen`` the candidates have ``linked`` (a boolean, not null), and those that may be links are chosen from as
+    ``selected`` does.  They may have gone through ``with_labels``.  All but the best candidates are counted where they
+    lie and not shuffled.
     """
     if not policy.with_hypotheses:
         links = links.where(F.lit(False))
@@ -217,8 +250,12 @@ def hypotheses(links: DataFrame, chosen: DataFrame | None = None, policy: Identi
         links = links.join(chosen.select("clip_id", "pred", "succ", F.lit(True).alias("is_selected")), ["clip_id", "pred", "succ"], "left").withColumn("is_selected", F.coalesce("is_selected", F.lit(False)))
     if "__label" not in links.columns:
         links = saved(with_labels(links, policy.top))
+    torn = _torn(links)
+    if chosen is None:
+        links = _chosen(links, torn)
     groups = _groups(
         links,
+        torn,
         best=(F.max("score"), F.max),
         any_selected=(F.max("is_selected"), F.max),
         best_other=(F.max(F.when(~F.col("is_selected"), F.col("score"))), F.max),

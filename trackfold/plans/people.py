@@ -86,9 +86,7 @@ cc AS (SELECT clip_id, pred * 1000 + succ AS node, pred * 1000 + succ AS root FR
 def sco_06_srt_04_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = identity.candidates(short_tracks(spark, sf_dir), POLICY.hypothesis, same_segment=False)
     c = c.select("clip_id", "pred", "succ", F.col("gap").cast("long").alias("gap"), "score", (F.col("same_segment") & (F.col("score") >= POLICY.link)).alias("linked"))
-    c = saved(identity.with_labels(c, POLICY.top))  # the only table of all candidates; only those that may be links are shuffled
-    links = saved(identity.marked(c.where("linked")))
-    return identity.hypotheses(c.where("NOT linked").withColumn("is_selected", F.lit(False)).unionByName(links))
+    return identity.hypotheses(saved(identity.with_labels(c, POLICY.top)))
 
 
 _CHAINS = _TAILS + """,
